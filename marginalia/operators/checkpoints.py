@@ -1,0 +1,23 @@
+"""Reliable checkpoints for the two iterative operators."""
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's checkpoint folder and cut its lineage there."""
+    _ensure_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _ensure_folder(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="marginalia-checkpoint-")
+    context.setCheckpointDir(folder)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.checkpoints import checkpoint
+from marginalia.operators.stored import stored
 
 
 def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     number of rounds grows with the logarithm of the size, not with the length of chains.
     """
     here = Window.partitionBy(*keys, "a")
-    edges = checkpoint(edges.where("a <> b"))
+    edges = stored(edges.where("a <> b"))
     while not _is_star_forest(edges, keys):
         both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         large = (both.withColumn("_min", F.least("a", F.min("b").over(here))).where("b > a")
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
                      F.struct("a", F.col("_min").alias("b")),
                      F.struct(F.col("b").alias("a"), F.col("_min").alias("b")))))
                  .select(*keys, "_link.a", "_link.b").where("a <> b").distinct())
-        edges = checkpoint(small)
+        edges = stored(small)
     leaves = edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(*keys, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.checkpoints import checkpoint
+from marginalia.operators.stored import stored
 
 # Sorts after every outline key: the place of annotations that belong to no heading.
 NO_HEADING = "~"
@@ -18,7 +18,7 @@ def flatten_outline(entries: DataFrame) -> DataFrame:
     """
     entries = entries.select("doc_id", "id", "parent_id", "sibling_ord",
                              F.coalesce("title", F.lit("")).alias("title"), "page_idx")
-    level = checkpoint(entries.where(F.col("parent_id").isNull()).select(
+    level = stored(entries.where(F.col("parent_id").isNull()).select(
         "doc_id", "id", "title", "page_idx", F.lit(0).alias("depth"),
         _ordinal(F.col("sibling_ord")).alias("outline_key")))
     children = entries.where(F.col("parent_id").isNotNull())
@@ -26,7 +26,7 @@ def flatten_outline(entries: DataFrame) -> DataFrame:
     while not level.isEmpty():
         levels.append(level)
         parents = level.select("doc_id", F.col("id").alias("parent_id"), "depth", "outline_key")
-        level = checkpoint(children.join(parents, ["doc_id", "parent_id"]).select(
+        level = stored(children.join(parents, ["doc_id", "parent_id"]).select(
             "doc_id", "id", "title", "page_idx", (F.col("depth") + 1).alias("depth"),
             F.concat_ws("/", "outline_key", _ordinal(F.col("sibling_ord"))).alias("outline_key")))
     return reduce(DataFrame.unionByName, levels) if levels else level

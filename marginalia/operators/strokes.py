@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import bbox_gap, stroke_bounds
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
-from marginalia.operators.checkpoints import checkpoint
+from marginalia.operators.stored import stored
 from marginalia.operators.components import connected_components
 
 # Fixed value: strokes this close, in points, share a crop.
@@ -44,7 +44,8 @@ def stroke_clusters(ann: DataFrame) -> DataFrame:
     named = nodes.groupBy(*PAGE, "component").agg(F.min("lowest").alias("cluster_idx"))
     lookup = nodes.join(named, [*PAGE, "component"]).select(*PAGE, "node", "cluster_idx")
     found = spread_join(strokes, lookup, [*PAGE, "node"], F.col("annot_idx"))
-    return found.withColumn("cluster_idx", F.coalesce("cluster_idx", "annot_idx")).drop("node")
+    return stored(found.withColumn("cluster_idx", F.coalesce("cluster_idx", "annot_idx"))
+                  .drop("node"))
 
 
 def cluster_bounds(clusters: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def cell_links(boxes: DataFrame) -> DataFrame:
     boxes = boxes.where(F.col("min_x").isNotNull()).select(*PAGE, *SIDES).distinct()
     pieces = _cut(boxes.withColumn("a", _node(_cell("min_x", CELL), _cell("min_y", CELL))), CELL)
     spans = pieces.where("a <> node").select(*PAGE, "a", F.col("node").alias("b")).distinct()
-    near = checkpoint(_near_cells(_extremes(pieces, ["node"])))
+    near = stored(_near_cells(_extremes(pieces, ["node"])))
     links = spans.unionByName(near.where("is_close").select(*PAGE, "a", "b"))
     unsure = near.where("not is_close").select(*PAGE, "a", "b")
     if not unsure.isEmpty():
@@ -143,7 +144,7 @@ def _close_by_parts(pieces: DataFrame, unsure: DataFrame) -> DataFrame:
     parts = _cut(pieces.join(cells, [*PAGE, "node"]).select(*PAGE, "node", *SIDES).distinct(),
                  SUBCELL, "part").distinct()
     sums = _extremes(parts, ["node", "part"])
-    judged = checkpoint(_judge(
+    judged = stored(_judge(
         unsure.join(_side(sums, "a", F.struct(*_summary())), [*PAGE, "a"])
         .join(_side(sums, "b", F.struct(*_summary())), [*PAGE, "b"]),
         [*PAGE, "a", "b", "part_a", "part_b"]))

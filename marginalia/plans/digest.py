@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import file_stem
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
-from marginalia.operators.checkpoints import checkpoint
+from marginalia.operators.stored import stored
 from marginalia.operators.crops import crops, with_images
 from marginalia.operators.filters import filter_annotations
 from marginalia.operators.passages import annotated_page_text, highlight_text, with_passage
@@ -25,7 +25,7 @@ def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text
     raw = highlight_text(ann, glyphs)
     images = None
     if geometry is not None:
-        images = checkpoint(crops(ann, stroke_clusters(ann), geometry, image_dir))
+        images = stored(crops(ann, stroke_clusters(ann), geometry, image_dir))
     return digest(ann, ol, names, page_text, raw, images, image_dir.rsplit("/", 1)[-1])
 
 
@@ -36,7 +36,7 @@ def digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame
 
     Title, summary, sections in outline order, then annotations without a heading.
     """
-    pages = digest_pages(ann, ol, page_text)
+    pages = stored(digest_pages(ann, ol, page_text))
     blocks = annotation_blocks(ann, pages, page_text, raw, images, rel_dir)
     return assemble(blocks.withColumn("part", F.lit(3)).select("doc_id", "is_long", *ORDER, "markdown")
                     .unionByName(_frame(pages, names)))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import (
     clean_text, effective_contents, is_blank, normalize_color)
 from marginalia.operators import crops as crop_ops
-from marginalia.operators.blocks import ANNOTATION, PAGE
+from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.filters import filter_annotations, filter_colors, filter_pages, filter_report
 from marginalia.operators.outline import dedup_outline, flatten_outline
 from marginalia.operators.passages import annotated_page_text, highlight_text, with_passage
 from marginalia.operators.render import annotation_label, heading_level
 from marginalia.operators.sections import assign_headings, image_first_shown, reading_order, with_sort_y
+from marginalia.operators.stored import stored
 from marginalia.operators.strokes import cluster_bounds, stroke_boxes, stroke_clusters
 from marginalia.operators.summary import COUNTS, document_totals, page_counts, section_summary
 from marginalia.plans.digest import annotation_blocks, annotation_digest, digest, digest_files, digest_pages
@@ -39,8 +40,7 @@ def _outline(c: Corpus) -> DataFrame:
     return flatten_outline(c.outline_entries())
 
 
-def _images(c: Corpus) -> DataFrame:
-    ann = c.annotations()
+def _images(c: Corpus, ann: DataFrame) -> DataFrame:
     return crop_ops.crops(ann, stroke_clusters(ann), c.geometry(), IMAGE_DIR)
 
 
@@ -126,14 +126,9 @@ def cleaned_documents(c):
 
 @query
 def highlight_in_context(c):
-    # One page text serves all of its highlights.
-    raw = c.highlight_raw()
-    return with_page_text(raw, c.page_text()).select(*ANNOTATION, "event_id", "passage")
-
-
-def with_page_text(raw: DataFrame, page_text: DataFrame) -> DataFrame:
-    from marginalia.operators.blocks import spread_join
-    return with_passage(spread_join(raw, page_text, PAGE, F.col("annot_idx")))
+    raw = c.highlight_raw(c.annotations())
+    return with_passage(spread_join(raw, c.page_text(), PAGE, F.col("annot_idx"))).select(
+        *ANNOTATION, "passage")
 
 
 @query
@@ -167,55 +162,58 @@ def stroke_bounding_boxes(c):
 
 @query
 def stroke_cluster_members(c):
-    return stroke_clusters(c.annotations()).select(*ANNOTATION, "cluster_idx")
+    return stroke_clusters(stored(c.annotations())).select(*ANNOTATION, "cluster_idx")
 
 
 @query
 def stroke_cluster_bounds(c):
-    return cluster_bounds(stroke_clusters(c.annotations()))
+    return cluster_bounds(stroke_clusters(stored(c.annotations())))
 
 
 @query
 def crop_boxes(c):
-    ann = c.annotations()
+    ann = stored(c.annotations())
     return crop_ops.pixel_boxes(ann, stroke_clusters(ann), c.geometry())
 
 
 @query
 def crop_numbers(c):
-    ann = c.annotations()
+    ann = stored(c.annotations())
     boxes = crop_ops.pixel_boxes(ann, stroke_clusters(ann), c.geometry())
     return crop_ops.number_crops(boxes, IMAGE_DIR)
 
 
 @query
 def image_map(c):
-    return _images(c)
+    return _images(c, stored(c.annotations()))
 
 
 @query
 def first_image_occurrences(c):
-    ann = with_sort_y(assign_headings(c.annotations(), _outline(c)))
-    return image_first_shown(crop_ops.with_images(ann, _images(c), "images"))
+    ann = stored(c.annotations())
+    pictured = crop_ops.with_images(with_sort_y(ann), stored(_images(c, ann)), "images", "inner")
+    return image_first_shown(assign_headings(pictured, _outline(c)))
 
 
 @query
 def annotation_markdown(c):
-    ann, page_text = c.annotations(), c.page_text()
-    pages = digest_pages(ann, _outline(c), page_text)
-    return annotation_blocks(ann, pages, page_text, c.highlight_raw(), _images(c)).select(
+    ann, page_text = stored(c.annotations()), c.page_text()
+    pages = stored(digest_pages(ann, _outline(c), page_text))
+    images = stored(_images(c, ann))
+    return annotation_blocks(ann, pages, page_text, c.highlight_raw(ann), images).select(
         *ANNOTATION, "markdown")
 
 
 @query
 def document_digest(c):
-    return digest(c.annotations(), _outline(c), c.names(), c.page_text(), c.highlight_raw())
+    ann = stored(c.annotations())
+    return digest(ann, _outline(c), c.names(), c.page_text(), c.highlight_raw(ann))
 
 
 @query
 def filtered_digest_with_images(c):
     """Filters, glyph text and crops, each on the annotations that are left."""
-    ann, page_text = c.annotations(), c.page_text()
+    ann, page_text = stored(c.annotations()), c.page_text()
     marked = filter_annotations(ann, PAGE_RANGE).where("kind = 'highlight'")
     glyphs = c.glyphs(annotated_page_text(page_text, marked))
     return annotation_digest(ann, _outline(c), c.names(), page_text, glyphs, c.geometry(),
@@ -224,16 +222,17 @@ def filtered_digest_with_images(c):
 
 @query
 def digest_file_rows(c):
-    texts = digest(c.annotations(), _outline(c), c.names(), c.page_text())
-    return digest_files(texts, c.names())
+    return digest_files(document_digest(c), c.names())
 
 
 @query
 def whole_document_export(c):
-    texts = corpus_export(c.page_text(), c.annotations(), c.highlight_raw())
+    ann = stored(c.annotations())
+    texts = corpus_export(c.page_text(), ann, c.highlight_raw(ann))
     return digest_files(texts, c.names(), "-export.md")
 
 
 @query
 def page_range_export(c):
-    return corpus_export(c.page_text(), c.annotations(), c.highlight_raw(), PAGE_RANGE)
+    ann = stored(c.annotations())
+    return corpus_export(c.page_text(), ann, c.highlight_raw(ann), PAGE_RANGE)

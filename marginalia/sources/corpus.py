@@ -107,10 +107,10 @@ class Corpus:
         users = self.events.select(F.col("user_id").alias("doc_id"))
         return self.bodies().select(*PAGE).join(users, "doc_id", "left_semi")
 
-    def highlight_raw(self) -> DataFrame:
-        """Text found under highlights. It starts anywhere in the page, has doubled spaces and
+    def highlight_raw(self, ann: DataFrame) -> DataFrame:
+        """Text found under the highlights of `annotations()`. It starts anywhere in the page, has doubled spaces and
         upper-case vowels; one in fifty is nowhere on the page."""
-        marked = self.annotations().where("kind = 'highlight'")
+        marked = ann.where("kind = 'highlight'")
         bodies = self.bodies().where(F.length("body") > 0)
         marked = marked.select(*PAGE, "annot_idx", "event_id")
         return spread_join(marked, bodies, PAGE, F.col("annot_idx"), "inner").selectExpr(

@@ -11,9 +11,9 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     Each round hangs nodes below smaller neighbours, until every component is a star. The
     number of rounds grows with the logarithm of the size, not with the length of chains.
+    The edges are read several times and should be a stored table without loops.
     """
     here = Window.partitionBy(*keys, "a")
-    edges = stored(edges.where("a <> b"))
     while not _is_star_forest(edges, keys):
         both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         large = (both.withColumn("_min", F.least("a", F.min("b").over(here))).where("b > a")

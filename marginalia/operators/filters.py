@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import normalize_color, page_in_range, parse_colors
-from marginalia.operators.blocks import ANNOTATION, PAGE, annot_block, number_rows
+from marginalia.operators.blocks import PAGE, annot_block, number_rows
 
 
 def filter_pages(rows: DataFrame, page_range: str) -> DataFrame:
@@ -42,7 +42,6 @@ def filter_report(ann: DataFrame, page_entries: DataFrame, page_range: str | Non
 
     The page filter keeps entries without annotations, the colour filter drops them.
     """
-    ann = ann.select(*ANNOTATION, "color")
     if page_range is not None:
         ann = filter_pages(ann, page_range)
         page_entries = filter_pages(page_entries, page_range)

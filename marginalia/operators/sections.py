@@ -19,8 +19,9 @@ def headings_at(pages: DataFrame, ol: DataFrame) -> DataFrame:
     others = [c for c in pages.columns if c not in PAGE]
     marks = (pages.withColumn("_asked", F.lit(True))
              .unionByName(page_headings(ol), allowMissingColumns=True)
-             .groupBy(*PAGE).agg(*(F.max(c).alias(c) for c in [*others, "_asked", "heading"]))
-             .withColumn("_block", page_block()))
+             .withColumn("_block", page_block()).repartition("doc_id", "_block")
+             .groupBy(*PAGE, "_block")
+             .agg(*(F.max(c).alias(c) for c in [*others, "_asked", "heading"])))
     within = Window.partitionBy("doc_id", "_block").orderBy("page_idx")
     earlier = (Window.partitionBy("doc_id").orderBy("_block")
                .rowsBetween(Window.unboundedPreceding, -1))

@@ -1,22 +1,26 @@
 """Freehand strokes: boxes, and clusters of strokes at most 50 points apart."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import bbox_gap, stroke_bounds
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
-from marginalia.operators.stored import stored
 from marginalia.operators.components import connected_components
+from marginalia.operators.stored import stored
 
 # Fixed value: strokes this close, in points, share a crop.
 MERGE_DISTANCE = 50.0
 
 # Any two boxes that reach into one cell of this side are within the merge distance.
 CELL = 35.0
-# Cells whose boxes are too many to compare by their extremes are cut this fine.
-SUBCELL = CELL / 16
 # Cells this many steps apart can still hold boxes within the merge distance.
 REACH = 2
+# Cells with more pieces than this are not compared piece by piece but cut into parts first.
+FEW_PIECES = 64
+PARTS_PER_SIDE = 8
+# Parts are not cut below this side, where coordinates have no more digits.
+SMALLEST_PART = 1e-3
+
 SIDES = ["min_x", "min_y", "max_x", "max_y"]
 
 
@@ -35,14 +39,13 @@ def stroke_clusters(ann: DataFrame) -> DataFrame:
     of their strokes are close. Components are then found on cells, whose number depends on
     the page and not on how often it was drawn on.
     """
-    strokes = stroke_boxes(ann).withColumn("node", _node(_cell("min_x", CELL), _cell("min_y", CELL)))
+    strokes = stroke_boxes(ann).withColumn("node", _first_cell())
     lowest = (strokes.where(F.col("node").isNotNull())
               .groupBy(*PAGE, "node").agg(F.min("annot_idx").alias("lowest")))
     linked = connected_components(cell_links(strokes), PAGE)
-    nodes = lowest.join(linked, [*PAGE, "node"], "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    named = nodes.groupBy(*PAGE, "component").agg(F.min("lowest").alias("cluster_idx"))
-    lookup = nodes.join(named, [*PAGE, "component"]).select(*PAGE, "node", "cluster_idx")
+    together = Window.partitionBy(*PAGE, F.coalesce("component", "node"))
+    lookup = (lowest.join(linked, [*PAGE, "node"], "left")
+              .select(*PAGE, "node", F.min("lowest").over(together).alias("cluster_idx")))
     found = spread_join(strokes, lookup, [*PAGE, "node"], F.col("annot_idx"))
     return stored(found.withColumn("cluster_idx", F.coalesce("cluster_idx", "annot_idx"))
                   .drop("node"))
@@ -58,17 +61,28 @@ def cluster_bounds(clusters: DataFrame) -> DataFrame:
 
 
 def cell_links(boxes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of cells that belong together: one box reaches into both, or boxes in them
-    are within the merge distance."""
+    """Pairs (a, b) of cells whose strokes belong to one cluster, enough to connect all of it.
+
+    A stroke counts for its first cell. Each cell it reaches into has an owner, the smallest
+    first cell of the strokes there; links lead to owners and between owners of near cells.
+    """
     boxes = boxes.where(F.col("min_x").isNotNull()).select(*PAGE, *SIDES).distinct()
-    pieces = _cut(boxes.withColumn("a", _node(_cell("min_x", CELL), _cell("min_y", CELL))), CELL)
-    spans = pieces.where("a <> node").select(*PAGE, "a", F.col("node").alias("b")).distinct()
-    near = stored(_near_cells(_extremes(pieces, ["node"])))
-    links = spans.unionByName(near.where("is_close").select(*PAGE, "a", "b"))
-    unsure = near.where("not is_close").select(*PAGE, "a", "b")
-    if not unsure.isEmpty():
-        links = links.unionByName(_close_by_parts(pieces, unsure))
-    return links
+    pieces = _cut(boxes.withColumn("first", _first_cell()), CELL, "node")
+    here = Window.partitionBy(*PAGE, "node")
+    reached = (pieces.select(*PAGE, "node", "first").distinct()
+               .withColumn("owner", F.min("first").over(here)).where("first <> owner")
+               .select(*PAGE, F.col("first").alias("a"), F.col("owner").alias("b")).distinct())
+    cells = _hulls(pieces, ["node"], F.min("first").alias("owner"))
+    near = _judged(_neighbours(cells)).select(
+        *PAGE, F.col("owner_a").alias("a"), F.col("owner_b").alias("b"), "node_a", "node_b",
+        "is_close", "is_small")
+    links = stored(reached.withColumn("is_close", F.lit(True))
+                   .unionByName(near, allowMissingColumns=True))
+    sure = links.where("is_close").select(*PAGE, "a", "b")
+    unsure = links.where("not is_close")
+    if unsure.isEmpty():
+        return sure
+    return stored(sure.unionByName(_close_inside(pieces, unsure)))
 
 
 def _cell(side: str, size: float) -> Column:
@@ -79,85 +93,115 @@ def _node(col: Column, row: Column) -> Column:
     return col * F.lit(2**32) + row
 
 
-def _cut(boxes: DataFrame, size: float, name: str = "node") -> DataFrame:
+def _first_cell() -> Column:
+    return _node(_cell("min_x", CELL), _cell("min_y", CELL))
+
+
+def _cut(boxes: DataFrame, size: float, name: str) -> DataFrame:
     """Boxes cut along the grid, one piece for every cell they reach into."""
     kept = [c for c in boxes.columns if c not in SIDES]
-    spread = (boxes.withColumn("_col", F.explode(F.sequence(_cell("min_x", size),
-                                                            _cell("max_x", size))))
-              .withColumn("_row", F.explode(F.sequence(_cell("min_y", size),
-                                                       _cell("max_y", size)))))
-    low, high = (lambda c: (F.col(c) * size).cast("float")), (lambda c: ((F.col(c) + 1) * size).cast("float"))
+    spread = (boxes
+              .withColumn("_col", F.explode(F.sequence(_cell("min_x", size), _cell("max_x", size))))
+              .withColumn("_row", F.explode(F.sequence(_cell("min_y", size), _cell("max_y", size)))))
+
+    def edge(place: Column) -> Column:
+        return (place * size).cast("float")
     return spread.select(*kept, _node(F.col("_col"), F.col("_row")).alias(name),
-                         F.greatest("min_x", low("_col")).alias("min_x"),
-                         F.greatest("min_y", low("_row")).alias("min_y"),
-                         F.least("max_x", high("_col")).alias("max_x"),
-                         F.least("max_y", high("_row")).alias("max_y"))
-
-
-def _extremes(pieces: DataFrame, cell: list[str]) -> DataFrame:
-    """Per cell: the box around its pieces, its outermost pieces, whether these are all."""
-    piece = F.struct(*SIDES)
-    x0, y0, x1, y1 = (F.col(side) for side in SIDES)
-    outermost = F.array(
-        F.min_by(piece, x0), F.max_by(piece, x1), F.min_by(piece, y0), F.max_by(piece, y1),
-        F.min_by(piece, x0 + y0), F.max_by(piece, x1 + y1),
-        F.min_by(piece, x0 - y1), F.max_by(piece, x1 - y0))
-    return (pieces.groupBy(*PAGE, *cell)
-            .agg(F.struct(F.min(x0).alias("min_x"), F.min(y0).alias("min_y"),
-                          F.max(x1).alias("max_x"), F.max(y1).alias("max_y")).alias("hull"),
-                 F.array_distinct(outermost).alias("outer"), F.count("*").alias("_n"))
-            .withColumn("complete", F.col("_n") <= F.size("outer")).drop("_n"))
-
-
-def _near_cells(cells: DataFrame) -> DataFrame:
-    """Pairs of nearby cells with `is_close`, false where the outermost pieces cannot tell."""
-    steps = [(dx, dy) for dx in range(REACH + 1) for dy in range(-REACH, REACH + 1)
-             if dx > 0 or dy > 0]
-    ahead = F.explode(F.array(*(F.lit(dx * 2**32 + dy) for dx, dy in steps)))
-    first = (cells.select(*PAGE, F.col("node").alias("a"), F.struct(*_summary()).alias("_a"), ahead.alias("_step"))
-             .withColumn("b", F.col("a") + F.col("_step")).drop("_step"))
-    second = cells.select(*PAGE, F.col("node").alias("b"), F.struct(*_summary()).alias("_b"))
-    return _judge(first.join(second, [*PAGE, "b"]), [*PAGE, "a", "b"])
+                         F.greatest("min_x", edge(F.col("_col"))).alias("min_x"),
+                         F.greatest("min_y", edge(F.col("_row"))).alias("min_y"),
+                         F.least("max_x", edge(F.col("_col") + 1)).alias("max_x"),
+                         F.least("max_y", edge(F.col("_row") + 1)).alias("max_y"))
+
 
+def _hulls(pieces: DataFrame, cell: list[str], *more: Column) -> DataFrame:
+    """The box around the pieces of each cell, and their number."""
+    return pieces.groupBy(*PAGE, *cell).agg(
+        F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"),
+        F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"),
+        F.count("*").alias("pieces"), *more)
 
-def _summary() -> list[str]:
-    return ["hull", "outer", "complete"]
 
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    """Name all columns of one of two sides, but for the page."""
+    return rows.select(*PAGE, *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in PAGE))
 
-def _judge(pairs: DataFrame, keep: list[str]) -> DataFrame:
-    """Keep pairs whose hulls are close; is_close when some outermost pieces are."""
-    def close(x: Column, y: Column) -> Column:
-        return bbox_gap(x, y) <= MERGE_DISTANCE
-    some = F.exists("_a.outer", lambda x: F.exists("_b.outer", lambda y: close(x, y)))
-    certain = F.col("_a.complete") & F.col("_b.complete")
-    return (pairs.where(close(F.col("_a.hull"), F.col("_b.hull"))).withColumn("is_close", some)
-            .where(F.col("is_close") | ~certain).select(*keep, "is_close"))
 
+def _box(side: str) -> dict[str, Column]:
+    return {c: F.col(f"{c}_{side}") for c in SIDES}
 
-def _close_by_parts(pieces: DataFrame, unsure: DataFrame) -> DataFrame:
-    """Those of the unsure cell pairs that do hold pieces within the merge distance.
 
-    Their cells are cut into parts, at most 256 each, and parts are judged like cells. Pieces
-    meet only in pairs of parts that even that leaves open.
+def _neighbours(cells: DataFrame) -> DataFrame:
+    """Pairs of cells within reach that do not have the same owner anyway."""
+    steps = [dx * 2**32 + dy for dx in range(REACH + 1) for dy in range(-REACH, REACH + 1)
+             if dx > 0 or dy > 0]
+    ahead = _side(cells, "a").withColumn("_step", F.explode(F.array(*map(F.lit, steps))))
+    return (ahead.withColumn("node_b", F.col("node_a") + F.col("_step"))
+            .join(_side(cells, "b"), [*PAGE, "node_b"]).where("owner_a <> owner_b"))
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Pairs of cells that may hold close pieces; is_close where their hulls are proof of it.
+
+    Some piece touches each side of a hull. Across a gap between hulls, two such pieces are as
+    far apart as the hulls, and sideways no further than both hulls reach.
+    """
+    a, b = _box("a"), _box("b")
+
+    def across(low: str, high: str) -> Column:
+        return F.greatest(a[low] - b[high], b[low] - a[high]).cast("double")
+
+    def reach(low: str, high: str) -> Column:
+        return (F.greatest(a[high], b[high]) - F.least(a[low], b[low])).cast("double")
+    gap_x, gap_y = across("min_x", "max_x"), across("min_y", "max_y")
+    reach_x, reach_y = reach("min_x", "max_x"), reach("min_y", "max_y")
+    surely = MERGE_DISTANCE - 1e-3
+    proof = ((F.hypot(reach_x, reach_y) <= surely)
+             | ((gap_x > 0) & (F.hypot(gap_x, reach_y) <= surely))
+             | ((gap_y > 0) & (F.hypot(reach_x, gap_y) <= surely)))
+    single = (F.col("pieces_a") == 1) & (F.col("pieces_b") == 1)
+    small = (F.col("pieces_a") <= FEW_PIECES) & (F.col("pieces_b") <= FEW_PIECES)
+    return (pairs.where(bbox_gap(a, b) <= MERGE_DISTANCE)
+            .withColumn("is_close", single | proof).withColumn("is_small", small))
+
+
+def _close_inside(pieces: DataFrame, unsure: DataFrame) -> DataFrame:
+    """The unsure links (a, b) whose cells do hold close pieces.
+
+    Pieces of two cells meet only when they are few. Other cells are cut into parts, which are
+    judged like cells, and so on until every pair is settled.
     """
-    cells = unsure.select(*PAGE, F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = _cut(pieces.join(cells, [*PAGE, "node"]).select(*PAGE, "node", *SIDES).distinct(),
-                 SUBCELL, "part").distinct()
-    sums = _extremes(parts, ["node", "part"])
-    judged = stored(_judge(
-        unsure.join(_side(sums, "a", F.struct(*_summary())), [*PAGE, "a"])
-        .join(_side(sums, "b", F.struct(*_summary())), [*PAGE, "b"]),
-        [*PAGE, "a", "b", "part_a", "part_b"]))
-    close = judged.where("is_close").select(*PAGE, "a", "b").distinct()
-    open_parts = judged.where("not is_close").drop("is_close").join(close, [*PAGE, "a", "b"], "left_anti")
-    if open_parts.isEmpty():
-        return close
-    met = (open_parts.join(_side(parts, "a", F.struct(*SIDES)), [*PAGE, "a", "part_a"])
-           .join(_side(parts, "b", F.struct(*SIDES)), [*PAGE, "b", "part_b"])
-           .where(bbox_gap(F.col("_a"), F.col("_b")) <= MERGE_DISTANCE))
-    return close.unionByName(met.select(*PAGE, "a", "b").distinct())
-
-
-def _side(rows: DataFrame, side: str, value: Column) -> DataFrame:
-    return rows.select(*PAGE, F.col("node").alias(side), F.col("part").alias(f"part_{side}"),
-                       value.alias(f"_{side}"))
+    link = [*PAGE, "a", "b"]
+    pieces = pieces.select(*PAGE, "node", F.lit(0).cast("bigint").alias("part"), *SIDES)
+    unsure = unsure.select(*link, "node_a", "node_b", F.lit(0).cast("bigint").alias("part_a"),
+                           F.lit(0).cast("bigint").alias("part_b"), "is_small")
+    size, found = CELL, []
+    while True:
+        last = size / PARTS_PER_SIDE < SMALLEST_PART
+        few = unsure if last else unsure.where("is_small")
+        met = _join_sides(few, pieces).where(bbox_gap(_box("a"), _box("b")) <= MERGE_DISTANCE)
+        found.append(stored(met.select(*link).distinct()))
+        many = unsure.where("not is_small").join(found[-1], link, "left_anti")
+        if last or many.isEmpty():
+            break
+        size /= PARTS_PER_SIDE
+        cells = many.select(*PAGE, F.explode(F.array(
+            F.struct(F.col("node_a").alias("node"), F.col("part_a").alias("part")),
+            F.struct(F.col("node_b").alias("node"), F.col("part_b").alias("part")))).alias("_c"))
+        parts = pieces.join(cells.select(*PAGE, "_c.*").distinct(), [*PAGE, "node", "part"])
+        pieces = stored(_cut(parts.withColumnRenamed("part", "whole"), size, "part").distinct())
+        hulls = _hulls(pieces, ["node", "whole", "part"])
+        whole = many.drop("is_small").withColumnsRenamed({"part_a": "whole_a", "part_b": "whole_b"})
+        judged = stored(_judged(_join_sides(whole, hulls, "whole")).select(
+            *link, "node_a", "node_b", "part_a", "part_b", "is_close", "is_small"))
+        found.append(judged.where("is_close").select(*link).distinct())
+        unsure = judged.where("not is_close").join(found[-1], link, "left_anti")
+        pieces = pieces.drop("whole")
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.distinct()
+
+
+def _join_sides(pairs: DataFrame, rows: DataFrame, key: str = "part") -> DataFrame:
+    return (pairs.join(_side(rows, "a"), [*PAGE, "node_a", f"{key}_a"])
+            .join(_side(rows, "b"), [*PAGE, "node_b", f"{key}_b"]))

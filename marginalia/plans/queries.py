@@ -37,7 +37,7 @@ def query(build: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]
 
 
 def _outline(c: Corpus) -> DataFrame:
-    return flatten_outline(c.outline_entries())
+    return flatten_outline(stored(c.outline_entries()))
 
 
 def _images(c: Corpus, ann: DataFrame) -> DataFrame:
@@ -68,13 +68,13 @@ def reading_order_in_sections(c):
 
 @query
 def section_counts(c):
-    return section_summary(c.annotations(), _outline(c)).select(
+    return section_summary(c.marks(), _outline(c)).select(
         "doc_id", "outline_key", "title", "depth", *COUNTS)
 
 
 @query
 def document_counts(c):
-    return document_totals(page_counts(c.annotations()))
+    return document_totals(page_counts(c.marks()))
 
 
 @query
@@ -84,7 +84,7 @@ def page_range_filter(c):
 
 @query
 def color_normalize(c):
-    return c.annotations().select("event_id", "color",
+    return c.marks().select("event_id", "color",
                                   normalize_color(F.col("color")).alias("normal_color"))
 
 
@@ -100,22 +100,22 @@ def page_and_color_filter(c):
 
 @query
 def page_filter_report(c):
-    return filter_report(c.annotations(), c.page_entries(), PAGE_RANGE)
+    return filter_report(c.marks(), c.page_entries(), PAGE_RANGE)
 
 
 @query
 def color_filter_report(c):
-    return filter_report(c.annotations(), c.page_entries(), PAGE_RANGE, COLORS)
+    return filter_report(c.marks(), c.page_entries(), PAGE_RANGE, COLORS)
 
 
 @query
 def annotated_pages_text(c):
-    return annotated_page_text(c.page_text(), c.annotations())
+    return annotated_page_text(c.page_text(), c.marks())
 
 
 @query
 def drawable_pages(c):
-    return crop_ops.drawable_pages(c.annotations())
+    return crop_ops.drawable_pages(c.marks())
 
 
 @query
@@ -140,18 +140,18 @@ def highlight_text_from_glyphs(c):
 
 @query
 def annotation_labels(c):
-    return c.annotations().select("event_id", annotation_label().alias("label"))
+    return c.marks().select("event_id", annotation_label().alias("label"))
 
 
 @query
 def note_texts(c):
     note = effective_contents(F.col("contents"), F.col("note_text"))
-    return c.annotations().where("kind = 'note'").select("event_id", note.alias("note"))
+    return c.marks().where("kind = 'note'").select("event_id", note.alias("note"))
 
 
 @query
 def blank_comments(c):
-    return c.annotations().select("event_id", is_blank(F.col("contents")).alias("no_comment"),
+    return c.marks().select("event_id", is_blank(F.col("contents")).alias("no_comment"),
                                   is_blank(F.col("author")).alias("no_author"))
 
 

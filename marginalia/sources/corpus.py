@@ -64,8 +64,8 @@ class Corpus:
             first = first.unionByName(more)
         return first
 
-    def annotations(self) -> DataFrame:
-        """Events as annotations; a page lists them by event_id."""
+    def marks(self) -> DataFrame:
+        """Events as annotations, without their places in the page lists."""
         rows = self.events.selectExpr(
             "event_id", "user_id as doc_id",
             "cast(regexp_extract(props, '[0-9]+', 0) as int) % 8 as page_idx",
@@ -84,7 +84,7 @@ class Corpus:
             "float((event_id * 37) % 500) as x",
             "float(if(event_type = 'click', (event_id * 53) % 60, (event_id * 53) % 700)) as y",
             "float(10 + event_id % 90) as w", "float(5 + event_id % 40) as h")
-        shapes = rows.selectExpr(
+        return rows.selectExpr(
             "*",
             """case when kind = 'highlight' then filter(array(
                  if(event_id % 11 = 0, null, struct(x, y, w, h)),
@@ -95,7 +95,10 @@ class Corpus:
                  if(event_id % 10 = 7, null, struct(float(x + w) as x, float(y + h) as y)),
                  if(event_id % 10 = 7, null, struct(float(x + w) as x, y))),
                  p -> p is not null) end as points""")
-        numbered = number_rows(shapes.withColumn("_part", block_of(F.col("event_id"))), PAGE,
+
+    def annotations(self) -> DataFrame:
+        """Events as annotations; a page lists them by event_id."""
+        numbered = number_rows(self.marks().withColumn("_part", block_of(F.col("event_id"))), PAGE,
                                [["_part"]], ["event_id"], "_number")
         return numbered.select(
             *PAGE, (F.col("_number") - 1).cast("int").alias("annot_idx"), "event_id", "kind",

@@ -9,6 +9,15 @@ POINTS_PER_INCH = 72.0
 PADDING_PX = 40
 
 
+def cell_of(coordinate: Column, size: float) -> Column:
+    return F.floor(coordinate.cast("double") / size)
+
+
+def cell_number(col: Column, row: Column) -> Column:
+    """One number for a grid cell."""
+    return col * F.lit(2**32) + row
+
+
 def sort_y(kind: Column, y: Column, rects: Column, points: Column) -> Column:
     """Height that decides the reading order on a page; kinds without one lead with 0."""
     top = F.array_min(F.transform(points, lambda p: p["y"]))

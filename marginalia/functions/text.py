@@ -1,6 +1,7 @@
 """String expressions: cleaning, labels, colours and page ranges."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,12 +91,13 @@ def _page_number(text: str) -> int:
 
 
 def page_in_range(page_idx: Column, spec: str) -> Column:
-    """Whether a 0-based page lies in a 1-based range. A reversed range holds no page."""
-    number = page_idx + 1
-    allowed = F.lit(False)
-    for low, high in parse_page_range(spec):
-        allowed = allowed | ((number >= low) if high is None else number.between(low, high))
-    return allowed
+    """Whether a 0-based page lies in a 1-based range. A reversed range holds no page.
+
+    The page is compared as it is stored, so that the test can move into the scan.
+    """
+    spans = [(page_idx >= low - 1) if high is None else page_idx.between(low - 1, high - 1)
+             for low, high in parse_page_range(spec)]
+    return reduce(Column.__or__, spans) if spans else F.lit(False)
 
 
 def effective_contents(contents: Column, note_text: Column) -> Column:

@@ -12,8 +12,9 @@ ROWS_PER_BLOCK = 65536
 PAGES_PER_BLOCK = 1024
 
 
-def block_of(position: Column, size: int = ROWS_PER_BLOCK) -> Column:
-    return F.floor(position / size)
+def block_of(position: Column, size: int | None = None) -> Column:
+    size = size or ROWS_PER_BLOCK
+    return F.call_function("div", position, F.lit(size))
 
 
 def annot_block() -> Column:
@@ -52,13 +53,19 @@ def _block_starts(sizes: DataFrame, group: list[str], levels: list[list[str]]) -
             .withColumn("_start", F.col("_start") + F.col("_outer")).drop("_outer"))
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], position: Column,
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], position: str,
                 how: str = "left") -> DataFrame:
     """Join rows to the one lookup row of their key, with hot keys split over tasks.
 
-    A key's rows are spread by blocks of their position; the lookup row is copied once per
-    block that occurs, so an ordinary key is copied once.
+    A key's rows are spread by blocks of their position, which is not negative; lookup rows are
+    copied to each further block that occurs. Positions beyond the first block are looked for
+    with a plain comparison, so where a table has none the scan skips all of it.
     """
-    rows = rows.withColumn("_block", block_of(position))
-    copies = rows.select(*keys, "_block").distinct().join(lookup, keys)
-    return rows.join(copies, [*keys, "_block"], how).drop("_block")
+    further = (rows.where(F.col(position) >= ROWS_PER_BLOCK)
+               .groupBy(*keys).agg(F.collect_set(block_of(F.col(position))).alias("_further")))
+    first = F.array(F.lit(0).cast("bigint"))
+    copies = (lookup.join(further, keys, "left")
+              .withColumn("_block", F.explode(F.concat(first, F.coalesce("_further", F.array()))))
+              .drop("_further"))
+    return (rows.withColumn("_block", block_of(F.col(position)))
+            .join(copies, [*keys, "_block"], how).drop("_block"))

@@ -1,32 +1,46 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.stored import stored
 
+# Rounds between two looks at whether they were enough; most components need no more.
+ROUNDS_PER_LOOK = 2
+
 
 def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, component) of every node on an edge (keys, a, b).
+    """(keys, node, component) of every node on an edge (keys, a, b); a and b differ.
 
     Each round hangs nodes below smaller neighbours, until every component is a star. The
     number of rounds grows with the logarithm of the size, not with the length of chains.
-    The edges are read several times and should be a stored table without loops.
     """
+    while True:
+        for _ in range(ROUNDS_PER_LOOK):
+            edges = _round(edges, keys)
+        edges = stored(edges)
+        if _is_star_forest(edges, keys):
+            break
+    ends = _both(edges, keys, ("a", "b"), ("b", "b"))
+    return ends.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).distinct()
+
+
+def _round(edges: DataFrame, keys: list[str]) -> DataFrame:
     here = Window.partitionBy(*keys, "a")
-    while not _is_star_forest(edges, keys):
-        both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (both.withColumn("_min", F.least("a", F.min("b").over(here))).where("b > a")
-                 .select(*keys, F.col("b").alias("a"), F.col("_min").alias("b")).distinct())
-        small = (large.withColumn("_min", F.min("b").over(here))
-                 .withColumn("_link", F.explode(F.array(
-                     F.struct("a", F.col("_min").alias("b")),
-                     F.struct(F.col("b").alias("a"), F.col("_min").alias("b")))))
-                 .select(*keys, "_link.a", "_link.b").where("a <> b").distinct())
-        edges = stored(small)
-    leaves = edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("component"))
-    roots = edges.select(*keys, F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return leaves.unionByName(roots)
+    lowest = F.min("b").over(here)
+    large = (_both(edges, keys, ("a", "b"), ("b", "a"))
+             .withColumn("low", F.least("a", lowest)).where("b > a")
+             .select(*keys, F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+    small = large.withColumn("low", lowest)
+    return _both(small, keys, ("a", "low"), ("b", "low")).where("a <> b").distinct()
+
+
+def _both(edges: DataFrame, keys: list[str], *ends: tuple[str, str]) -> DataFrame:
+    """Two edges (a, b) for each given one."""
+    def pair(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    pairs = F.explode(F.array(*(pair(*end) for end in ends)))
+    return edges.select(*keys, pairs.alias("_e")).select(*keys, "_e.*")
 
 
 def _is_star_forest(edges: DataFrame, keys: list[str]) -> bool:

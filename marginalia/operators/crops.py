@@ -27,7 +27,7 @@ def pixel_boxes(ann: DataFrame, clusters: DataFrame, geometry: DataFrame) -> Dat
     groups = cluster_bounds(clusters).select(
         *PAGE, F.lit(1).alias("is_cluster"), F.col("cluster_idx").alias("entry_idx"), *box)
     entries = spread_join(rects.unionByName(groups), geometry.select(*PAGE, "bmp_w", "bmp_h"),
-                          PAGE, F.col("entry_idx"), "inner")
+                          PAGE, "entry_idx", "inner")
     cut = pixel_box(*(F.col(c) for c in [*box, "bmp_w", "bmp_h"]))
     return (entries.withColumn("_box", cut).where(F.col("_box").isNotNull())
             .select(*PAGE, "is_cluster", "entry_idx", "_box.*"))
@@ -52,7 +52,7 @@ def crops(ann: DataFrame, clusters: DataFrame, geometry: DataFrame, image_dir: s
     pictures = numbered.where("is_cluster = 1").select(
         *PAGE, F.col("entry_idx").alias("cluster_idx"), "image_path")
     members = spread_join(clusters.select(*ANNOTATION, "cluster_idx"), pictures,
-                          [*PAGE, "cluster_idx"], F.col("annot_idx"), "inner")
+                          [*PAGE, "cluster_idx"], "annot_idx", "inner")
     return rects.unionByName(members.select(*ANNOTATION, "image_path"))
 
 

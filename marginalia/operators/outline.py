@@ -18,18 +18,19 @@ def flatten_outline(entries: DataFrame) -> DataFrame:
     """
     entries = entries.select("doc_id", "id", "parent_id", "sibling_ord",
                              F.coalesce("title", F.lit("")).alias("title"), "page_idx")
-    level = stored(entries.where(F.col("parent_id").isNull()).select(
+    level = entries.where(F.col("parent_id").isNull()).select(
         "doc_id", "id", "title", "page_idx", F.lit(0).alias("depth"),
-        _ordinal(F.col("sibling_ord")).alias("outline_key")))
+        _ordinal(F.col("sibling_ord")).alias("outline_key"))
     children = entries.where(F.col("parent_id").isNotNull())
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
+    levels = [level]
+    while True:
         parents = level.select("doc_id", F.col("id").alias("parent_id"), "depth", "outline_key")
         level = stored(children.join(parents, ["doc_id", "parent_id"]).select(
             "doc_id", "id", "title", "page_idx", (F.col("depth") + 1).alias("depth"),
             F.concat_ws("/", "outline_key", _ordinal(F.col("sibling_ord"))).alias("outline_key")))
-    return reduce(DataFrame.unionByName, levels) if levels else level
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
 
 
 def _ordinal(sibling_ord: Column) -> Column:

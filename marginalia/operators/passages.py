@@ -3,12 +3,18 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.geometry import cell_number, cell_of
 from marginalia.functions.text import case_fold, clean_text, is_blank, passage_pattern
-from marginalia.operators.blocks import ANNOTATION, PAGE, annot_block
+from marginalia.operators.blocks import ANNOTATION, PAGE, block_of, spread_join
 from marginalia.operators.sections import annotated_pages
 
 # Side of the squares, in points, that bring glyphs and highlight boxes together.
 CELL = 36.0
+# A box over more cells is a good part of a page and is not cut.
+CELLS_PER_BOX = 64
+WHOLE_PAGE = -(2**63)
+# Highlights of a page, by position, that meet its glyphs in one task.
+BOXES_PER_BLOCK = 16384
 
 
 def annotated_page_text(page_text: DataFrame, ann: DataFrame) -> DataFrame:
@@ -23,9 +29,8 @@ def highlight_text(ann: DataFrame, glyphs: DataFrame) -> DataFrame:
     order with a space between; boxes without text are left out, highlights without text too.
     """
     highlights = ann.where((F.col("kind") == "highlight") & (F.size("rects") > 0))
-    centres = (glyphs.join(annotated_pages(highlights), PAGE, "left_semi")
-               .select(*PAGE, "glyph_idx", "ch", _middle("x0", "x1").alias("cx"),
-                       _middle("y0", "y1").alias("cy")))
+    centres = glyphs.select(*PAGE, "glyph_idx", "ch", _middle("x0", "x1").alias("cx"),
+                            _middle("y0", "y1").alias("cy"))
     boxes = (highlights.select(*ANNOTATION, F.posexplode("rects").alias("rect_idx", "r"))
              .select(*ANNOTATION, "rect_idx", F.col("r.x").alias("left"), F.col("r.y").alias("top"),
                      (F.col("r.x") + F.col("r.w")).alias("right"),
@@ -42,40 +47,34 @@ def _middle(low: str, high: str) -> Column:
     return (F.col(low).cast("double") + F.col(high).cast("double")) / 2
 
 
-def _cell(c: str) -> Column:
-    return F.floor(F.col(c) / CELL)
-
-
 def _meet(boxes: DataFrame, centres: DataFrame) -> DataFrame:
     """Pairs of box and glyph centre inside it.
 
-    Both meet in the cells of a grid; boxes are first cut to the part of the page that holds
-    glyphs, so an oversized box costs no more cells than the page has. Glyphs are copied to each
-    block of annotations on their page, which spreads a page with very many highlights.
+    Both meet in the cells of a grid; a box over very many cells meets all glyphs of its page
+    instead. Glyphs are copied to each block of annotations on their page, which spreads a page
+    with very many highlights, and glyphs of other pages are left out.
     """
-    extent = centres.groupBy(*PAGE).agg(
-        F.min("cx").alias("min_x"), F.max("cx").alias("max_x"),
-        F.min("cy").alias("min_y"), F.max("cy").alias("max_y"))
-    boxes = boxes.withColumn("_block", annot_block())
-    blocks = boxes.select(*PAGE, "_block").distinct()
-    boxes = boxes.join(blocks.join(extent, PAGE), [*PAGE, "_block"])
-    low_x, high_x = F.greatest("left", "min_x"), F.least("right", "max_x")
-    low_y, high_y = F.greatest("top", "min_y"), F.least("bottom", "max_y")
-    columns = [*ANNOTATION, "rect_idx", "_block", "left", "right", "top", "bottom"]
-    boxes = (boxes.where((low_x <= high_x) & (low_y <= high_y))
-             .select(*columns, F.explode(_cells(low_y, high_y)).alias("_row"),
-                     _cells(low_x, high_x).alias("_cols"))
-             .select(*columns, "_row", F.explode("_cols").alias("_col")))
-    centres = (centres.join(blocks, PAGE)
-               .withColumn("_row", _cell("cy")).withColumn("_col", _cell("cx")))
-    met = boxes.join(centres, [*PAGE, "_block", "_row", "_col"])
-    return met.where(F.col("cx").between(F.col("left"), F.col("right"))
-                     & F.col("cy").between(F.col("top"), F.col("bottom"))).select(
-                         *ANNOTATION, "rect_idx", "glyph_idx", "ch")
-
-
-def _cells(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low / CELL), F.floor(high / CELL))
+    left, right = cell_of(F.col("left"), CELL), cell_of(F.col("right"), CELL)
+    top, bottom = cell_of(F.col("top"), CELL), cell_of(F.col("bottom"), CELL)
+    number = (right - left + 1).cast("double") * (bottom - top + 1)
+    cells = F.flatten(F.transform(F.sequence(top, bottom), lambda row: F.transform(
+        F.sequence(left, right), lambda col: cell_number(col, row))))
+    boxes = (boxes.where("left <= right and top <= bottom")
+             .withColumn("_block", block_of(F.col("annot_idx"), BOXES_PER_BLOCK))
+             .withColumn("_large", number > CELLS_PER_BOX))
+    pages = boxes.groupBy(*PAGE).agg(F.collect_set("_block").alias("_blocks"),
+                                     F.max("_large").alias("_large"))
+    whole_page = F.array(F.lit(WHOLE_PAGE))
+    boxes = boxes.withColumn("_cell", F.explode(F.when(F.col("_large"), whole_page).otherwise(cells)))
+    own = F.array(cell_number(cell_of(F.col("cx"), CELL), cell_of(F.col("cy"), CELL)))
+    centres = (spread_join(centres, pages, PAGE, "glyph_idx", "inner")
+               .withColumn("_block", F.explode("_blocks"))
+               .withColumn("_cell", F.explode(F.when(F.col("_large"), F.concat(own, whole_page))
+                                              .otherwise(own)))
+               .drop("_blocks", "_large"))
+    met = boxes.drop("_large").join(centres, [*PAGE, "_block", "_cell"])
+    return met.where("cx between left and right and cy between top and bottom").select(
+        *ANNOTATION, "rect_idx", "glyph_idx", "ch")
 
 
 def with_passage(rows: DataFrame, text: str = "text", raw: str = "raw") -> DataFrame:

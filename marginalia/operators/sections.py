@@ -44,7 +44,7 @@ def annotated_pages(ann: DataFrame) -> DataFrame:
 def assign_headings(ann: DataFrame, ol: DataFrame) -> DataFrame:
     """Annotations with title, depth and outline_key of their heading (`~` for none)."""
     headings = headings_at(annotated_pages(ann), ol)
-    return spread_join(ann, headings, PAGE, F.col("annot_idx"))
+    return spread_join(ann, headings, PAGE, "annot_idx")
 
 
 def with_sort_y(ann: DataFrame) -> DataFrame:
@@ -55,17 +55,13 @@ def with_sort_y(ann: DataFrame) -> DataFrame:
 def reading_order(assigned: DataFrame) -> DataFrame:
     """Add `rank`, the 1-based place in the section by page, height and position.
 
-    Pages are numbered in bands one point high. The many annotations with height 0 (all
-    carets and free texts) form one band cut by position instead.
+    Annotations of the same height, as all carets and free texts are, are cut by position.
     """
-    rows = with_sort_y(assigned)
-    level = F.when(F.col("sort_y") == 0, F.lit(0.0)).when(
-        F.col("sort_y") > 0, F.floor("sort_y") + 1.0).otherwise(F.floor("sort_y").cast("double"))
-    rows = (rows.withColumn("_pages", page_block()).withColumn("_level", level)
-            .withColumn("_part", F.when(F.col("_level") == 0, annot_block()).otherwise(F.lit(0))))
-    levels = [["_pages"], ["page_idx"], ["_level", "_part"]]
-    return number_rows(rows, ["doc_id", "outline_key"], levels, ["sort_y", "annot_idx"],
-                       "rank").drop("_pages", "_level", "_part")
+    rows = (with_sort_y(assigned).withColumn("_pages", page_block())
+            .withColumn("_part", annot_block()))
+    levels = [["_pages"], ["page_idx"], ["sort_y", "_part"]]
+    return number_rows(rows, ["doc_id", "outline_key"], levels, ["annot_idx"],
+                       "rank").drop("_pages", "_part")
 
 
 def image_first_shown(ordered: DataFrame) -> DataFrame:

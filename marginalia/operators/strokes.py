@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.geometry import bbox_gap, stroke_bounds
+from marginalia.functions.geometry import bbox_gap, cell_number, cell_of, stroke_bounds
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.components import connected_components
 from marginalia.operators.stored import stored
@@ -46,7 +46,7 @@ def stroke_clusters(ann: DataFrame) -> DataFrame:
     together = Window.partitionBy(*PAGE, F.coalesce("component", "node"))
     lookup = (lowest.join(linked, [*PAGE, "node"], "left")
               .select(*PAGE, "node", F.min("lowest").over(together).alias("cluster_idx")))
-    found = spread_join(strokes, lookup, [*PAGE, "node"], F.col("annot_idx"))
+    found = spread_join(strokes, lookup, [*PAGE, "node"], "annot_idx")
     return stored(found.withColumn("cluster_idx", F.coalesce("cluster_idx", "annot_idx"))
                   .drop("node"))
 
@@ -86,15 +86,11 @@ def cell_links(boxes: DataFrame) -> DataFrame:
 
 
 def _cell(side: str, size: float) -> Column:
-    return F.floor(F.col(side).cast("double") / size)
-
-
-def _node(col: Column, row: Column) -> Column:
-    return col * F.lit(2**32) + row
+    return cell_of(F.col(side), size)
 
 
 def _first_cell() -> Column:
-    return _node(_cell("min_x", CELL), _cell("min_y", CELL))
+    return cell_number(_cell("min_x", CELL), _cell("min_y", CELL))
 
 
 def _cut(boxes: DataFrame, size: float, name: str) -> DataFrame:
@@ -106,7 +102,7 @@ def _cut(boxes: DataFrame, size: float, name: str) -> DataFrame:
 
     def edge(place: Column) -> Column:
         return (place * size).cast("float")
-    return spread.select(*kept, _node(F.col("_col"), F.col("_row")).alias(name),
+    return spread.select(*kept, cell_number(F.col("_col"), F.col("_row")).alias(name),
                          F.greatest("min_x", edge(F.col("_col"))).alias("min_x"),
                          F.greatest("min_y", edge(F.col("_row"))).alias("min_y"),
                          F.least("max_x", edge(F.col("_col") + 1)).alias("max_x"),

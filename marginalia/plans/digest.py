@@ -22,7 +22,7 @@ def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text
                       image_dir: str = "images") -> DataFrame:
     """Filter, read highlighted text from glyphs, crop pictures if geometry is given, digest."""
     ann = filter_annotations(ann, page_range, colors)
-    raw = highlight_text(ann, glyphs)
+    raw = stored(highlight_text(ann, glyphs))
     images = None
     if geometry is not None:
         images = stored(crops(ann, stroke_clusters(ann), geometry, image_dir))
@@ -36,22 +36,27 @@ def digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame
 
     Title, summary, sections in outline order, then annotations without a heading.
     """
-    pages = stored(digest_pages(ann, ol, page_text))
+    pages = stored(digest_pages(ann, ol, page_text, raw))
     blocks = annotation_blocks(ann, pages, page_text, raw, images, rel_dir)
     return assemble(blocks.withColumn("part", F.lit(3)).select("doc_id", "is_long", *ORDER, "markdown")
                     .unionByName(_frame(pages, names)))
 
 
-def digest_pages(ann: DataFrame, ol: DataFrame, page_text: DataFrame | None) -> DataFrame:
+def digest_pages(ann: DataFrame, ol: DataFrame, page_text: DataFrame | None = None,
+                 raw: DataFrame | None = None) -> DataFrame:
     """Annotated pages with counts, heading, and whether their document is long."""
     pages = page_counts(ann, F.sum(annotation_chars()).alias("chars"))
+    if raw is not None:
+        marked = raw.groupBy(*PAGE).agg(F.sum(F.length("raw")).alias("_size"))
+        pages = (pages.join(marked, PAGE, "left").withColumn(
+            "chars", F.col("chars") + F.coalesce("_size", F.lit(0))).drop("_size"))
     if page_text is not None:
         sizes = page_text.select(*PAGE, F.length("text").alias("_size"))
         shown = F.col("highlights") * F.coalesce("_size", F.lit(0))
         pages = (pages.join(sizes, PAGE, "left")
                  .withColumn("chars", F.col("chars") + shown).drop("_size"))
     longs = pages.groupBy("doc_id").agg(is_long(F.sum("chars")).alias("is_long"))
-    return headings_at(pages.drop("chars"), ol).join(longs, "doc_id")
+    return spread_join(headings_at(pages.drop("chars"), ol), longs, ["doc_id"], "page_idx")
 
 
 def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | None = None,
@@ -73,7 +78,7 @@ def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | N
         rows = rows.withColumn("raw", no_text)
     else:
         rows = rows.join(raw.select(*ANNOTATION, "raw"), ANNOTATION, "left")
-    rows = with_passage(spread_join(rows, lookup, PAGE, F.col("annot_idx")))
+    rows = with_passage(spread_join(rows, lookup, PAGE, "annot_idx"))
     return rows.select(*ANNOTATION, "outline_key", "is_long", "sort_y", "kind",
                        annotation_block(images is not None).alias("markdown"))
 
@@ -81,7 +86,7 @@ def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | N
 def _shown_images(rows: DataFrame, pages: DataFrame, images: DataFrame,
                   rel_dir: str) -> DataFrame:
     pictured = with_images(rows.select(*ANNOTATION, "sort_y"), images, rel_dir, "inner")
-    placed = spread_join(pictured, pages.select(*PAGE, "outline_key"), PAGE, F.col("annot_idx"))
+    placed = spread_join(pictured, pages.select(*PAGE, "outline_key"), PAGE, "annot_idx")
     return with_image_shown(placed).select(*ANNOTATION, "image_path", "show_image")
 
 

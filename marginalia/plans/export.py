@@ -25,7 +25,7 @@ def corpus_export(page_text: DataFrame, ann: DataFrame, raw: DataFrame | None =
     else:
         rows = rows.join(raw.select(*ANNOTATION, "raw"), ANNOTATION, "left")
     rows = spread_join(with_passage(rows.drop("rects", "points")),
-                       pages.select(*PAGE, "is_long"), PAGE, F.col("annot_idx"))
+                       pages.select(*PAGE, "is_long"), PAGE, "annot_idx")
     place = {"part": F.lit(0), "outline_key": F.lit("")}
     columns = ["doc_id", "is_long", *ORDER, "markdown"]
     folded = rows.withColumn("markdown", annotation_block()).withColumns(place).select(*columns)
@@ -45,5 +45,5 @@ def export_pages(page_text: DataFrame, ann: DataFrame) -> DataFrame:
                                        is_long(F.sum("chars")).alias("is_long"))
     breaks = F.when(F.col("page_idx") > F.col("first_page"), PAGE_BREAK).otherwise("")
     body = F.coalesce(F.concat("text", F.lit("\n\n")), F.lit(""))
-    return pages.join(docs, "doc_id").select(*PAGE, "is_long",
+    return spread_join(pages, docs, ["doc_id"], "page_idx").select(*PAGE, "is_long",
                                              F.concat(breaks, body).alias("markdown"))

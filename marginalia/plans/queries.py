@@ -127,7 +127,7 @@ def cleaned_documents(c):
 @query
 def highlight_in_context(c):
     raw = c.highlight_raw(c.annotations())
-    return with_passage(spread_join(raw, c.page_text(), PAGE, F.col("annot_idx"))).select(
+    return with_passage(spread_join(raw, c.page_text(), PAGE, "annot_idx")).select(
         *ANNOTATION, "passage")
 
 
@@ -207,7 +207,8 @@ def annotation_markdown(c):
 @query
 def document_digest(c):
     ann = stored(c.annotations())
-    return digest(ann, _outline(c), c.names(), c.page_text(), c.highlight_raw(ann))
+    raw = stored(c.highlight_raw(ann))
+    return digest(ann, _outline(c), c.names(), c.page_text(), raw)
 
 
 @query

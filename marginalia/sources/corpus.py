@@ -116,7 +116,7 @@ class Corpus:
         marked = ann.where("kind = 'highlight'")
         bodies = self.bodies().where(F.length("body") > 0)
         marked = marked.select(*PAGE, "annot_idx", "event_id")
-        return spread_join(marked, bodies, PAGE, F.col("annot_idx"), "inner").selectExpr(
+        return spread_join(marked, bodies, PAGE, "annot_idx", "inner").selectExpr(
             *PAGE, "annot_idx", "event_id",
             """case when event_id % 50 = 0 then 'no such passage'
                else translate(substr(replace(body, ' ', '  '),

@@ -92,7 +92,6 @@ def test_reading_order_rank(spark, monkeypatch, size):
 @pytest.mark.parametrize("size", [65536, 3])
 def test_colour_filter_numbers_what_is_left(spark, monkeypatch, size):
     monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", size)
-    monkeypatch.setattr(blocks.block_of, "__defaults__", (size,))
     rng = random.Random(12)
     colors = [rng.choice(["#F00", "ff0000", "#00F", None]) for _ in range(60)]
     ann = lib.annotations(spark, [lib.note(i % 2, str(i), color=c) for i, c in enumerate(colors)])
@@ -126,15 +125,11 @@ def test_counts(spark):
         ("", 0, 1, 1, 0, 0), ("A", 0, 0, 0, 0, 2)]
 
 
-def test_spread_join_splits_a_hot_key(spark):
+def test_spread_join_splits_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", 100)
     rows = spark.range(1000).selectExpr("cast(1 as bigint) as k", "cast(id as int) as i")
     lookup = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
-    monkey = blocks.block_of.__defaults__
-    try:
-        blocks.block_of.__defaults__ = (100,)
-        joined = blocks.spread_join(rows, lookup, ["k"], blocks.F.col("i"))
-    finally:
-        blocks.block_of.__defaults__ = monkey
+    joined = blocks.spread_join(rows, lookup, ["k"], "i")
     assert joined.where("v = 'x'").count() == 1000 and joined.columns == ["k", "i", "v"]
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import pixel_box
 from marginalia.operators.blocks import ANNOTATION, PAGE, block_of, number_rows, page_block, spread_join
+from marginalia.operators.stored import stored
 from marginalia.operators.strokes import cluster_bounds
 
 # Fixed value: file names of the crops, numbered per document.
@@ -35,7 +36,7 @@ def pixel_boxes(ann: DataFrame, clusters: DataFrame, geometry: DataFrame) -> Dat
 
 def number_crops(boxes: DataFrame, image_dir: str) -> DataFrame:
     """Add crop_no, counted per document by page, rectangles before clusters, and image_path."""
-    rows = (boxes.withColumn("_pages", page_block())
+    rows = (stored(boxes).withColumn("_pages", page_block())
             .withColumn("_part", block_of(F.col("entry_idx"))))
     levels = [["_pages"], ["page_idx", "is_cluster", "_part"]]
     name = F.format_string(CROP_NAME, F.col("crop_no"))

@@ -23,13 +23,14 @@ def heading_level(depth: Column) -> Column:
 
 
 def annotation_label() -> Column:
-    """Page and kind of an annotation; notes also name review state and author."""
-    kind, page = F.col("kind"), F.col("page_idx")
-    chosen = F.when(kind == "note", label(page, KIND_NAMES["note"], F.col("state"), F.col("author")))
-    for value, name in KIND_NAMES.items():
-        if value != "note":
-            chosen = chosen.when(kind == value, label(page, name))
-    return chosen
+    """Page and kind of an annotation; notes also name review state and author. Null for kinds
+    that are not shown."""
+    kind = F.col("kind")
+    name = F.create_map(*(F.lit(part) for pair in KIND_NAMES.items() for part in pair))[kind]
+    is_note = kind == "note"
+    return F.when(name.isNotNull(), label(F.col("page_idx"), name,
+                                          F.when(is_note, F.col("state")),
+                                          F.when(is_note, F.col("author"))))
 
 
 def annotation_block(images: bool = False) -> Column:
@@ -39,34 +40,31 @@ def annotation_block(images: bool = False) -> Column:
     image_path and show_image.
     """
     kind, contents = F.col("kind"), F.col("contents")
-    has_image = F.col("image_path").isNotNull() if images else F.lit(False)
-    show_image = F.col("show_image") if images else F.lit(False)
-    tail = F.concat(F.lit("> "), annotation_label(), F.lit("\n\n"))
     free_text = clean_text(contents)
-
-    def picture(name: str) -> Column:
-        if not images:
-            return F.lit("")
-        return F.concat(F.lit(f"![{name} annotation, p. "), (F.col("page_idx") + 1).cast("string"),
-                        F.lit("]("), F.col("image_path"), F.lit(")\n\n"))
-
-    highlight = F.concat(
-        _if(F.col("passage").isNotNull(), F.lit("> "), F.col("passage"), F.lit("\n")),
-        _if(~is_blank(contents), F.lit(">\n> **Comment:** "), contents, F.lit("\n")),
-        F.lit(">\n"), tail)
+    comment = _if(~is_blank(contents), F.lit("> **Comment:** "), contents, F.lit("\n"))
+    highlight = F.concat(_if(F.col("passage").isNotNull(), F.lit("> "), F.col("passage"), F.lit("\n")),
+                         _if(~is_blank(contents), F.lit(">\n")), comment, F.lit(">\n"))
     note = F.concat(F.lit("> **Note:** "),
                     F.coalesce(effective_contents(contents, F.col("note_text")), F.lit("")),
-                    F.lit("\n>\n"), tail)
-    rect = F.concat(_if(has_image, picture("Rectangle")), F.lit(">\n"), tail)
-    freehand = F.concat(_if(has_image & show_image, picture("Freehand")),
-                        _if(~has_image, F.lit(NO_DRAWING + "\n>\n")), tail)
-    caret = F.concat(_if(~is_blank(contents), F.lit("> **Comment:** "), contents, F.lit("\n>\n")),
-                     tail)
-    text = F.concat(_if(~is_blank(free_text), F.lit("> **Free text:** "), free_text,
-                        F.lit("\n>\n")), tail)
-    return (F.when(kind == "highlight", highlight).when(kind == "note", note)
+                    F.lit("\n>\n"))
+    rect, freehand = F.lit(">\n"), F.lit(NO_DRAWING + "\n>\n")
+    if images:
+        has_image, show_image = F.col("image_path").isNotNull(), F.col("show_image")
+        rect = F.concat(_if(has_image, *_picture("Rectangle")), rect)
+        freehand = (F.when(has_image & show_image, F.concat(*_picture("Freehand")))
+                    .when(has_image, "").otherwise(freehand))
+    caret = F.concat(comment, _if(~is_blank(contents), F.lit(">\n")))
+    text = _if(~is_blank(free_text), F.lit("> **Free text:** "), free_text, F.lit("\n>\n"))
+    body = (F.when(kind == "highlight", highlight).when(kind == "note", note)
             .when(kind == "rect", rect).when(kind == "freehand", freehand)
-            .when(kind == "caret", caret).when(kind == "free_text", text).otherwise(F.lit("")))
+            .when(kind == "caret", caret).when(kind == "free_text", text))
+    block = F.concat(body, F.lit("> "), annotation_label(), F.lit("\n\n"))
+    return F.coalesce(block, F.lit(""))
+
+
+def _picture(name: str) -> list[Column]:
+    return [F.lit(f"![{name} annotation, p. "), (F.col("page_idx") + 1).cast("string"), F.lit("]("),
+            F.col("image_path"), F.lit(")\n\n")]
 
 
 def _if(condition: Column, *parts: Column) -> Column:

@@ -21,7 +21,8 @@ def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text
                       page_range: str | None = None, colors: str | None = None,
                       image_dir: str = "images") -> DataFrame:
     """Filter, read highlighted text from glyphs, crop pictures if geometry is given, digest."""
-    ann = filter_annotations(ann, page_range, colors)
+    if page_range is not None or colors is not None:
+        ann = stored(filter_annotations(ann, page_range, colors))
     raw = stored(highlight_text(ann, glyphs))
     images = None
     if geometry is not None:

@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 
 from marginalia.plans.queries import QUERIES
 
-HEADLINE = ["highlight_in_context", "section_counts", "stroke_cluster_members", "crop_numbers",
-            "outline_preorder", "highlight_text_from_glyphs", "reading_order_in_sections",
-            "document_digest", "filtered_digest_with_images", "whole_document_export"]
+HEADLINE = ["highlight_in_context", "section_summary", "stroke_clusters", "crop_numbering",
+            "outline_preorder", "highlight_text_from_glyphs", "reading_order",
+            "annotation_digest", "filtered_digest_with_images", "corpus_export"]
 
 
 def main() -> None:

@@ -18,6 +18,12 @@ def cell_number(col: Column, row: Column) -> Column:
     return col * F.lit(2**32) + row
 
 
+def cell_place(number: Column) -> tuple[Column, Column]:
+    """Column and row of a numbered cell."""
+    col = F.shiftright(number + F.lit(2**31), 32)
+    return col, number - col * F.lit(2**32)
+
+
 def sort_y(kind: Column, y: Column, rects: Column, points: Column) -> Column:
     """Height that decides the reading order on a page; kinds without one lead with 0."""
     top = F.array_min(F.transform(points, lambda p: p["y"]))
@@ -33,7 +39,7 @@ def stroke_bounds(points: Column) -> Column:
     ys = F.transform(points, lambda p: p["y"])
     box = F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"),
                    F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
-    return F.when(F.size(points) > 0, box)
+    return F.when(F.array_size(points) > 0, box)
 
 
 def bbox_gap(a: Column, b: Column) -> Column:

@@ -28,7 +28,7 @@ def highlight_text(ann: DataFrame, glyphs: DataFrame) -> DataFrame:
     A glyph belongs to a box that holds its centre. Glyphs come in page order, boxes in list
     order with a space between; boxes without text are left out, highlights without text too.
     """
-    highlights = ann.where((F.col("kind") == "highlight") & (F.size("rects") > 0))
+    highlights = ann.where((F.col("kind") == "highlight") & (F.array_size("rects") > 0))
     centres = glyphs.select(*PAGE, "glyph_idx", "ch", _middle("x0", "x1").alias("cx"),
                             _middle("y0", "y1").alias("cy"))
     boxes = (highlights.select(*ANNOTATION, F.posexplode("rects").alias("rect_idx", "r"))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.geometry import bbox_gap, cell_number, cell_of, stroke_bounds
+from marginalia.functions.geometry import bbox_gap, cell_number, cell_of, cell_place, stroke_bounds
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.components import connected_components
 from marginalia.operators.stored import stored
@@ -15,6 +15,8 @@ MERGE_DISTANCE = 50.0
 CELL = 35.0
 # Cells this many steps apart can still hold boxes within the merge distance.
 REACH = 2
+# Squares of 4 by 4 cells bring near cells together.
+SQUARE_BITS = 2
 # Cells with more pieces than this are not compared piece by piece but cut into parts first.
 FEW_PIECES = 64
 PARTS_PER_SIDE = 8
@@ -127,12 +129,23 @@ def _box(side: str) -> dict[str, Column]:
 
 
 def _neighbours(cells: DataFrame) -> DataFrame:
-    """Pairs of cells within reach that do not have the same owner anyway."""
-    steps = [dx * 2**32 + dy for dx in range(REACH + 1) for dy in range(-REACH, REACH + 1)
-             if dx > 0 or dy > 0]
-    ahead = _side(cells, "a").withColumn("_step", F.explode(F.array(*map(F.lit, steps))))
-    return (ahead.withColumn("node_b", F.col("node_a") + F.col("_step"))
-            .join(_side(cells, "b"), [*PAGE, "node_b"]).where("owner_a <> owner_b"))
+    """Pairs of cells within reach that do not have the same owner anyway.
+
+    Cells meet in squares of cells: the one in its own square, the other in every square that
+    holds a cell from which it is within reach.
+    """
+    def square(col: Column, row: Column) -> Column:
+        return cell_number(F.shiftright(col, SQUARE_BITS), F.shiftright(row, SQUARE_BITS))
+    col, row = cell_place(F.col("node"))
+    places = cells.withColumn("col", col).withColumn("row", row)
+    reached = F.array_distinct(F.array(*(
+        square(F.col("col_b") + dx, F.col("row_b") + dy) for dx in (-REACH, 0) for dy in (-REACH, REACH))))
+    ahead = _side(places, "b").withColumn("_square", F.explode(reached))
+    own = _side(places, "a").withColumn("_square", square(F.col("col_a"), F.col("row_a")))
+    dx, dy = F.col("col_b") - F.col("col_a"), F.col("row_b") - F.col("row_a")
+    return (own.join(ahead, [*PAGE, "_square"])
+            .where(dx.between(0, REACH) & dy.between(-REACH, REACH) & ((dx > 0) | (dy > 0)))
+            .where("owner_a <> owner_b"))
 
 
 def _judged(pairs: DataFrame) -> DataFrame:
@@ -167,7 +180,9 @@ def _close_inside(pieces: DataFrame, unsure: DataFrame) -> DataFrame:
     judged like cells, and so on until every pair is settled.
     """
     link = [*PAGE, "a", "b"]
-    pieces = pieces.select(*PAGE, "node", F.lit(0).cast("bigint").alias("part"), *SIDES)
+    cells = unsure.select(*PAGE, F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
+    pieces = stored(pieces.join(cells, [*PAGE, "node"])
+                    .select(*PAGE, "node", F.lit(0).cast("bigint").alias("part"), *SIDES))
     unsure = unsure.select(*link, "node_a", "node_b", F.lit(0).cast("bigint").alias("part_a"),
                            F.lit(0).cast("bigint").alias("part_b"), "is_small")
     size, found = CELL, []

@@ -8,7 +8,7 @@ from marginalia.operators.blocks import block_of
 # A document up to this many characters becomes one string. A longer one stays in pieces, each
 # of at most ROWS_PER_PIECE blocks, with columns that sort them.
 MAX_DOCUMENT_CHARS = 1 << 24
-ROWS_PER_PIECE = 1024
+ROWS_PER_PIECE = 8192
 # Room for labels and markup of one annotation.
 MARKUP_CHARS = 300
 

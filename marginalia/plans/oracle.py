@@ -326,22 +326,27 @@ KEY = "doc_id, page_idx, annot_idx"
 FILE = "regexp_replace(name, '\\.[^./]*$', '')"
 
 ORACLE_SQL = {
+    "annotation_scan": sql(
+        f"select {KEY}, event_id, kind, color, contents, note_text, author, state, x, y, w, h, "
+        "case when kind = 'highlight' and event_id % 11 <> 0 then case when event_id % 3 = 0 then 2 else 1 end "
+        "else 0 end as n_rects, "
+        "case when kind = 'freehand' and not no_points then 3 else 0 end as n_points from annotations"),
     "outline_preorder": sql("select *, least(depth + 2, 4) as level from outline"),
     "outline_dedup": sql("select * from headings"),
     "heading_assignment": sql(f"select {KEY}, event_id, title, depth, outline_key from assigned"),
-    "reading_order_in_sections": sql(
+    "reading_order": sql(
         "select doc_id, outline_key, row_number() over (partition by doc_id, outline_key "
         "order by page_idx, sort_y, annot_idx) as rank, page_idx, sort_y, annot_idx, event_id from assigned"),
-    "section_counts": sql("select * from sections"),
-    "document_counts": sql("select * from totals"),
+    "section_summary": sql("select * from sections"),
+    "document_totals": sql("select * from totals"),
     "page_range_filter": sql(f"select {KEY}, event_id, kind from annotations where {IN_RANGE}"),
     "color_normalize": sql(
         f"select event_id, color, {color('color')} as normal_color from events_as_annotations"),
     "color_filter": sql(
         "select doc_id, page_idx, (row_number() over (partition by doc_id, page_idx order by annot_idx) - 1)::int "
         f"as annot_idx, event_id, color from annotations where {IN_COLORS}"),
-    "page_and_color_filter": sql(f"select {KEY}, event_id from filtered"),
-    "page_filter_report": sql(
+    "reindexed_annotations": sql(f"select {KEY}, event_id from filtered"),
+    "filter_report": sql(
         "select doc_id, sum(n)::bigint as annotations, count(*) as pages from ("
         "select doc_id, page_idx, max(n) as n from ("
         "select doc_id, page_idx, count(*) as n from annotations group by all "
@@ -350,37 +355,40 @@ ORACLE_SQL = {
     "color_filter_report": sql(
         "select doc_id, count(*) as annotations, count(distinct page_idx) as pages from annotations "
         f"where {IN_RANGE} and {IN_COLORS} group by doc_id"),
-    "annotated_pages_text": sql(
+    "annotated_page_text": sql(
         "select * from page_text where (doc_id, page_idx) in (select (doc_id, page_idx) from annotations)"),
     "drawable_pages": sql(
         "select distinct doc_id, page_idx from annotations where kind in ('rect', 'freehand')"),
-    "cleaned_documents": "select doc_id, " + clean(
+    "clean_text": "select doc_id, " + clean(
         "replace(replace(text, 'th', 't' || chr(173) || 'h'), ' ', ' ' || chr(9))") + " as cleaned from documents",
     "highlight_in_context": sql("select * from passages"),
     "highlight_text_from_glyphs": sql("select * from glyph_text"),
     "annotation_labels": sql(f"select event_id, {LABEL} as label from events_as_annotations"),
-    "note_texts": sql(
+    "effective_note_text": sql(
         f"select event_id, case when {blank('contents')} then note_text else contents end as note "
         "from events_as_annotations where kind = 'note'"),
-    "blank_comments": sql(
+    "blank_text": sql(
         f"select event_id, {blank('contents')} as no_comment, {blank('author')} as no_author "
         "from events_as_annotations"),
-    "stroke_bounding_boxes": sql("select * from strokes"),
-    "stroke_cluster_members": sql(f"select {KEY}, cluster_idx from clusters"),
-    "stroke_cluster_bounds": sql("select * from cluster_boxes"),
-    "crop_boxes": sql("select * from boxes"),
-    "crop_numbers": sql("select * from numbered"),
-    "image_map": sql("select * from images"),
-    "first_image_occurrences": sql(
+    "stroke_bounds": sql("select * from strokes"),
+    "stroke_clusters": sql(f"select {KEY}, cluster_idx from clusters"),
+    "cluster_bounds": sql("select * from cluster_boxes"),
+    "pixel_boxes": sql("select * from boxes"),
+    "crop_numbering": sql("select * from numbered"),
+    "crops": sql("select * from images"),
+    "annotation_images": sql(
+        f"select {KEY}, kind, 'images/' || regexp_extract(image_path, '[^/]*$') as image_path "
+        f"from annotations left join images using ({KEY})"),
+    "image_first_occurrence": sql(
         "select doc_id, outline_key, image as image_path, page_idx, sort_y, annot_idx from pictured where shown"),
-    "annotation_markdown": sql(f"select {KEY}, markdown from blocks", shown="pictured"),
-    "document_digest": sql(f"select doc_id, {NO_PIECE}, markdown from digests"),
+    "annotation_blocks": sql(f"select {KEY}, markdown from blocks", shown="pictured"),
+    "annotation_digest": sql(f"select doc_id, {NO_PIECE}, markdown from digests"),
     "filtered_digest_with_images": sql(
         f"select doc_id, {NO_PIECE}, markdown from digests", ann="filtered", raw="glyph_text", shown="pictured"),
-    "digest_file_rows": sql(
+    "digest_files": sql(
         f"select doc_id, {NO_PIECE}, markdown, {FILE} || '-annotations.md' as file_name "
         "from digests join names using (doc_id)"),
-    "whole_document_export": sql(
+    "corpus_export": sql(
         f"select doc_id, {NO_PIECE}, markdown, {FILE} || '-export.md' as file_name "
         "from exports join names using (doc_id)"),
     "page_range_export": sql(f"select doc_id, {NO_PIECE}, markdown from exports", span=IN_RANGE),

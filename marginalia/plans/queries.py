@@ -29,11 +29,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(build: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return build(Corpus(spark, folder))
-    QUERIES[build.__name__] = run
-    return build
+def query(name: str) -> Callable:
+    def register(build: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
+        QUERIES[name] = lambda spark, folder: build(Corpus(spark, folder))
+        return build
+    return register
 
 
 def _outline(c: Corpus) -> DataFrame:
@@ -44,159 +44,175 @@ def _images(c: Corpus, ann: DataFrame) -> DataFrame:
     return crop_ops.crops(ann, stroke_clusters(ann), c.geometry(), IMAGE_DIR)
 
 
-@query
-def outline_preorder(c):
+@query("annotation_scan")
+def _annotation_scan(c):
+    """Annotations as they come in, boxes and points counted."""
+    return c.annotations().select(
+        *ANNOTATION, "event_id", "kind", "color", "contents", "note_text", "author", "state", "x", "y",
+        "w", "h", F.coalesce(F.array_size("rects"), F.lit(0)).alias("n_rects"),
+        F.coalesce(F.array_size("points"), F.lit(0)).alias("n_points"))
+
+
+@query("outline_preorder")
+def _outline_preorder(c):
     return _outline(c).withColumn("level", heading_level(F.col("depth")))
 
 
-@query
-def outline_dedup(c):
+@query("outline_dedup")
+def _outline_dedup(c):
     return dedup_outline(_outline(c))
 
 
-@query
-def heading_assignment(c):
+@query("heading_assignment")
+def _heading_assignment(c):
     return assign_headings(c.annotations(), _outline(c)).select(
         *ANNOTATION, "event_id", "title", "depth", "outline_key")
 
 
-@query
-def reading_order_in_sections(c):
+@query("reading_order")
+def _reading_order_in_sections(c):
     return reading_order(assign_headings(c.annotations(), _outline(c))).select(
         "doc_id", "outline_key", "rank", "page_idx", "sort_y", "annot_idx", "event_id")
 
 
-@query
-def section_counts(c):
+@query("section_summary")
+def _section_counts(c):
     return section_summary(c.marks(), _outline(c)).select(
         "doc_id", "outline_key", "title", "depth", *COUNTS)
 
 
-@query
-def document_counts(c):
+@query("document_totals")
+def _document_counts(c):
     return document_totals(page_counts(c.marks()))
 
 
-@query
-def page_range_filter(c):
+@query("page_range_filter")
+def _page_range_filter(c):
     return filter_pages(c.annotations(), PAGE_RANGE).select(*ANNOTATION, "event_id", "kind")
 
 
-@query
-def color_normalize(c):
+@query("color_normalize")
+def _color_normalize(c):
     return c.marks().select("event_id", "color",
                                   normalize_color(F.col("color")).alias("normal_color"))
 
 
-@query
-def color_filter(c):
+@query("color_filter")
+def _color_filter(c):
     return filter_colors(c.annotations(), COLORS).select(*ANNOTATION, "event_id", "color")
 
 
-@query
-def page_and_color_filter(c):
+@query("reindexed_annotations")
+def _page_and_color_filter(c):
     return filter_annotations(c.annotations(), PAGE_RANGE, COLORS).select(*ANNOTATION, "event_id")
 
 
-@query
-def page_filter_report(c):
+@query("filter_report")
+def _page_filter_report(c):
     return filter_report(c.marks(), c.page_entries(), PAGE_RANGE)
 
 
-@query
-def color_filter_report(c):
+@query("color_filter_report")
+def _color_filter_report(c):
     return filter_report(c.marks(), c.page_entries(), PAGE_RANGE, COLORS)
 
 
-@query
-def annotated_pages_text(c):
+@query("annotated_page_text")
+def _annotated_pages_text(c):
     return annotated_page_text(c.page_text(), c.marks())
 
 
-@query
-def drawable_pages(c):
+@query("drawable_pages")
+def _drawable_pages(c):
     return crop_ops.drawable_pages(c.marks())
 
 
-@query
-def cleaned_documents(c):
+@query("clean_text")
+def _cleaned_documents(c):
     noisy = F.expr("replace(replace(text, 'th', concat('t', char(173), 'h')), ' ', ' \\t')")
     return c.documents.select("doc_id", clean_text(noisy).alias("cleaned"))
 
 
-@query
-def highlight_in_context(c):
+@query("highlight_in_context")
+def _highlight_in_context(c):
     raw = c.highlight_raw(c.annotations())
     return with_passage(spread_join(raw, c.page_text(), PAGE, "annot_idx")).select(
         *ANNOTATION, "passage")
 
 
-@query
-def highlight_text_from_glyphs(c):
+@query("highlight_text_from_glyphs")
+def _highlight_text_from_glyphs(c):
     ann = c.annotations()
     marked = ann.where("kind = 'highlight'")
     return highlight_text(ann, c.glyphs(annotated_page_text(c.page_text(), marked)))
 
 
-@query
-def annotation_labels(c):
+@query("annotation_labels")
+def _annotation_labels(c):
     return c.marks().select("event_id", annotation_label().alias("label"))
 
 
-@query
-def note_texts(c):
+@query("effective_note_text")
+def _note_texts(c):
     note = effective_contents(F.col("contents"), F.col("note_text"))
     return c.marks().where("kind = 'note'").select("event_id", note.alias("note"))
 
 
-@query
-def blank_comments(c):
+@query("blank_text")
+def _blank_comments(c):
     return c.marks().select("event_id", is_blank(F.col("contents")).alias("no_comment"),
                                   is_blank(F.col("author")).alias("no_author"))
 
 
-@query
-def stroke_bounding_boxes(c):
+@query("stroke_bounds")
+def _stroke_bounding_boxes(c):
     return stroke_boxes(c.annotations())
 
 
-@query
-def stroke_cluster_members(c):
+@query("stroke_clusters")
+def _stroke_cluster_members(c):
     return stroke_clusters(stored(c.annotations())).select(*ANNOTATION, "cluster_idx")
 
 
-@query
-def stroke_cluster_bounds(c):
+@query("cluster_bounds")
+def _stroke_cluster_bounds(c):
     return cluster_bounds(stroke_clusters(stored(c.annotations())))
 
 
-@query
-def crop_boxes(c):
+@query("pixel_boxes")
+def _crop_boxes(c):
     ann = stored(c.annotations())
     return crop_ops.pixel_boxes(ann, stroke_clusters(ann), c.geometry())
 
 
-@query
-def crop_numbers(c):
+@query("crop_numbering")
+def _crop_numbers(c):
     ann = stored(c.annotations())
     boxes = crop_ops.pixel_boxes(ann, stroke_clusters(ann), c.geometry())
     return crop_ops.number_crops(boxes, IMAGE_DIR)
 
 
-@query
-def image_map(c):
+@query("crops")
+def _image_map(c):
     return _images(c, stored(c.annotations()))
 
 
-@query
-def first_image_occurrences(c):
+@query("annotation_images")
+def _annotation_images(c):
+    """Every annotation, with the picture it shows if it has one."""
+    ann = stored(c.annotations())
+    return crop_ops.with_images(ann.select(*ANNOTATION, "kind"), _images(c, ann), "images")
+
+
+@query("image_first_occurrence")
+def _first_image_occurrences(c):
     ann = stored(c.annotations())
     pictured = crop_ops.with_images(with_sort_y(ann), stored(_images(c, ann)), "images", "inner")
     return image_first_shown(assign_headings(pictured, _outline(c)))
 
 
-@query
-def annotation_markdown(c):
+@query("annotation_blocks")
+def _annotation_markdown(c):
     ann, page_text = stored(c.annotations()), c.page_text()
     pages = stored(digest_pages(ann, _outline(c), page_text))
     images = stored(_images(c, ann))
@@ -204,15 +220,15 @@ def annotation_markdown(c):
         *ANNOTATION, "markdown")
 
 
-@query
-def document_digest(c):
+@query("annotation_digest")
+def _document_digest(c):
     ann = stored(c.annotations())
     raw = stored(c.highlight_raw(ann))
     return digest(ann, _outline(c), c.names(), c.page_text(), raw)
 
 
-@query
-def filtered_digest_with_images(c):
+@query("filtered_digest_with_images")
+def _filtered_digest_with_images(c):
     """Filters, glyph text and crops, each on the annotations that are left."""
     ann, page_text = stored(c.annotations()), c.page_text()
     marked = filter_annotations(ann, PAGE_RANGE).where("kind = 'highlight'")
@@ -221,19 +237,19 @@ def filtered_digest_with_images(c):
                              PAGE_RANGE, COLORS, IMAGE_DIR)
 
 
-@query
-def digest_file_rows(c):
-    return digest_files(document_digest(c), c.names())
+@query("digest_files")
+def _digest_file_rows(c):
+    return digest_files(_document_digest(c), c.names())
 
 
-@query
-def whole_document_export(c):
+@query("corpus_export")
+def _whole_document_export(c):
     ann = stored(c.annotations())
     texts = corpus_export(c.page_text(), ann, c.highlight_raw(ann))
     return digest_files(texts, c.names(), "-export.md")
 
 
-@query
-def page_range_export(c):
+@query("page_range_export")
+def _page_range_export(c):
     ann = stored(c.annotations())
     return corpus_export(c.page_text(), ann, c.highlight_raw(ann), PAGE_RANGE)

@@ -65,13 +65,13 @@ def _outline_dedup(c):
 
 @query("heading_assignment")
 def _heading_assignment(c):
-    return assign_headings(c.annotations(), _outline(c)).select(
+    return assign_headings(stored(c.annotations()), _outline(c)).select(
         *ANNOTATION, "event_id", "title", "depth", "outline_key")
 
 
 @query("reading_order")
 def _reading_order_in_sections(c):
-    return reading_order(assign_headings(c.annotations(), _outline(c))).select(
+    return reading_order(assign_headings(stored(c.annotations()), _outline(c))).select(
         "doc_id", "outline_key", "rank", "page_idx", "sort_y", "annot_idx", "event_id")
 
 
@@ -135,14 +135,14 @@ def _cleaned_documents(c):
 
 @query("highlight_in_context")
 def _highlight_in_context(c):
-    raw = c.highlight_raw(c.annotations())
+    raw = c.highlight_raw(stored(c.annotations()))
     return with_passage(spread_join(raw, c.page_text(), PAGE, "annot_idx")).select(
         *ANNOTATION, "passage")
 
 
 @query("highlight_text_from_glyphs")
 def _highlight_text_from_glyphs(c):
-    ann = c.annotations()
+    ann = stored(c.annotations())
     marked = ann.where("kind = 'highlight'")
     return highlight_text(ann, c.glyphs(annotated_page_text(c.page_text(), marked)))
 

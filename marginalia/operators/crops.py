@@ -4,12 +4,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import pixel_box
+from marginalia.functions.text import file_stem
 from marginalia.operators.blocks import ANNOTATION, PAGE, block_of, number_rows, page_block, spread_join
 from marginalia.operators.stored import stored
 from marginalia.operators.strokes import cluster_bounds
 
-# Fixed value: file names of the crops, numbered per document.
+# File names of the crops, numbered per document, and their folder.
 CROP_NAME = "annotation_%03d.png"
+IMAGE_DIR_SUFFIX = "-annotations-images"
 
 
 def drawable_pages(ann: DataFrame) -> DataFrame:
@@ -34,18 +36,33 @@ def pixel_boxes(ann: DataFrame, clusters: DataFrame, geometry: DataFrame) -> Dat
             .select(*PAGE, "is_cluster", "entry_idx", "_box.*"))
 
 
-def number_crops(boxes: DataFrame, image_dir: str) -> DataFrame:
-    """Add crop_no, counted per document by page, rectangles before clusters, and image_path."""
+def image_dirs(names: DataFrame) -> DataFrame:
+    """The folder of each document's crops, next to its digest."""
+    folder = F.concat(file_stem(F.col("name")), F.lit(IMAGE_DIR_SUFFIX))
+    return names.select("doc_id", folder.alias("image_dir"))
+
+
+def number_crops(boxes: DataFrame, image_dir: str | DataFrame) -> DataFrame:
+    """Add crop_no, counted per document by page, rectangles before clusters, and image_path.
+
+    `image_dir` is one folder or the table of `image_dirs`.
+    """
     rows = (stored(boxes).withColumn("_pages", page_block())
             .withColumn("_part", block_of(F.col("entry_idx"))))
     levels = [["_pages"], ["page_idx", "is_cluster", "_part"]]
+    numbered = number_rows(rows, ["doc_id"], levels, ["entry_idx"], "crop_no")
+    if isinstance(image_dir, str):
+        folder = F.lit(_folder(image_dir))
+    else:
+        numbered = spread_join(numbered, image_dir, ["doc_id"], "page_idx")
+        folder = F.coalesce(F.concat("image_dir", F.lit("/")), F.lit(""))
     name = F.format_string(CROP_NAME, F.col("crop_no"))
-    return (number_rows(rows, ["doc_id"], levels, ["entry_idx"], "crop_no")
-            .withColumn("image_path", F.concat(F.lit(_folder(image_dir)), name))
-            .drop("_pages", "_part"))
+    return (numbered.withColumn("image_path", F.concat(folder, name))
+            .select(*boxes.columns, "crop_no", "image_path"))
 
 
-def crops(ann: DataFrame, clusters: DataFrame, geometry: DataFrame, image_dir: str) -> DataFrame:
+def crops(ann: DataFrame, clusters: DataFrame, geometry: DataFrame,
+          image_dir: str | DataFrame) -> DataFrame:
     """image_path by annotation; the strokes of a cluster share one picture."""
     numbered = number_crops(pixel_boxes(ann, clusters, geometry), image_dir)
     rects = numbered.where("is_cluster = 0").select(
@@ -57,10 +74,14 @@ def crops(ann: DataFrame, clusters: DataFrame, geometry: DataFrame, image_dir: s
     return rects.unionByName(members.select(*ANNOTATION, "image_path"))
 
 
-def with_images(ann: DataFrame, images: DataFrame, rel_dir: str, how: str = "left") -> DataFrame:
-    """Add image_path as seen from the digest: file name below `rel_dir`."""
-    name = F.substring_index("image_path", "/", -1)
-    shown = images.select(*ANNOTATION, F.concat(F.lit(_folder(rel_dir)), name).alias("image_path"))
+def with_images(ann: DataFrame, images: DataFrame, rel_dir: str | None = None,
+                how: str = "left") -> DataFrame:
+    """Add image_path as seen from the digest: file name below `rel_dir`, or below the last
+    folder of its own path."""
+    name = F.substring_index("image_path", "/", -2)
+    if rel_dir is not None:
+        name = F.concat(F.lit(_folder(rel_dir)), F.substring_index("image_path", "/", -1))
+    shown = images.select(*ANNOTATION, name.alias("image_path"))
     return ann.join(shown, ANNOTATION, how)
 
 

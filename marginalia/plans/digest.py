@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import file_stem
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.stored import stored
-from marginalia.operators.crops import crops, with_images
+from marginalia.operators.crops import crops, image_dirs, with_images
 from marginalia.operators.filters import filter_annotations
 from marginalia.operators.passages import annotated_page_text, highlight_text, with_passage
 from marginalia.operators.render import annotation_block, document_head, section_head, summary_row
@@ -18,21 +18,23 @@ from marginalia.plans.assembly import ORDER, annotation_chars, assemble, is_long
 
 def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame,
                       glyphs: DataFrame, geometry: DataFrame | None = None,
-                      page_range: str | None = None, colors: str | None = None,
-                      image_dir: str = "images") -> DataFrame:
-    """Filter, read highlighted text from glyphs, crop pictures if geometry is given, digest."""
+                      page_range: str | None = None, colors: str | None = None) -> DataFrame:
+    """Filter, read highlighted text from glyphs, crop pictures if geometry is given, digest.
+
+    Pictures of a document go to a folder of its own, named after it.
+    """
     if page_range is not None or colors is not None:
         ann = stored(filter_annotations(ann, page_range, colors))
     raw = stored(highlight_text(ann, glyphs))
     images = None
     if geometry is not None:
-        images = stored(crops(ann, stroke_clusters(ann), geometry, image_dir))
-    return digest(ann, ol, names, page_text, raw, images, image_dir.rsplit("/", 1)[-1])
+        images = stored(crops(ann, stroke_clusters(ann), geometry, image_dirs(names)))
+    return digest(ann, ol, names, page_text, raw, images)
 
 
 def digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame | None = None,
            raw: DataFrame | None = None, images: DataFrame | None = None,
-           rel_dir: str = "images") -> DataFrame:
+           rel_dir: str | None = None) -> DataFrame:
     """Digest of documents that have annotations.
 
     Title, summary, sections in outline order, then annotations without a heading.
@@ -62,7 +64,7 @@ def digest_pages(ann: DataFrame, ol: DataFrame, page_text: DataFrame | None = No
 
 def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | None = None,
                       raw: DataFrame | None = None, images: DataFrame | None = None,
-                      rel_dir: str = "images") -> DataFrame:
+                      rel_dir: str | None = None) -> DataFrame:
     """One row per annotation with its Markdown and the columns that place it."""
     lookup = pages.select(*PAGE, "outline_key", "is_long")
     no_text = F.lit(None).cast("string")
@@ -85,7 +87,7 @@ def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | N
 
 
 def _shown_images(rows: DataFrame, pages: DataFrame, images: DataFrame,
-                  rel_dir: str) -> DataFrame:
+                  rel_dir: str | None) -> DataFrame:
     pictured = with_images(rows.select(*ANNOTATION, "sort_y"), images, rel_dir, "inner")
     placed = spread_join(pictured, pages.select(*PAGE, "outline_key"), PAGE, "annot_idx")
     return with_image_shown(placed).select(*ANNOTATION, "image_path", "show_image")

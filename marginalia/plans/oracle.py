@@ -252,7 +252,7 @@ TABLES = {
       select c.doc_id, c.page_idx, c.annot_idx, n.image_path from clusters c join numbered n
         on c.doc_id = n.doc_id and c.page_idx = n.page_idx and c.cluster_idx = n.entry_idx and n.is_cluster = 1""",
     "pictured": """
-      select a.*, 'images/' || regexp_extract(image_path, '[^/]*$') as image,
+      select a.*, {folder} || regexp_extract(image_path, '[^/]*$') as image,
         image_path is not null and row_number() over (partition by a.doc_id, outline_key, image_path
           order by a.page_idx, sort_y, a.annot_idx) = 1 as shown
       from assigned a left join images i using (doc_id, page_idx, annot_idx)""",
@@ -299,9 +299,9 @@ TABLES = {
 RECURSIVE = {"outline", "clusters"}
 
 
-def sql(select, ann="annotations", raw="raw_text", shown="plain", span="true"):
+def sql(select, ann="annotations", raw="raw_text", shown="plain", span="true", folder="'images/'"):
     """The select with every derived table it needs in front."""
-    names = {"ann": ann, "raw": raw, "shown": shown, "span": span}
+    names = {"ann": ann, "raw": raw, "shown": shown, "span": span, "folder": folder}
     tables = {name: _fill(body, names) for name, body in TABLES.items()}
     needed: list[str] = []
 
@@ -384,7 +384,8 @@ ORACLE_SQL = {
     "annotation_blocks": sql(f"select {KEY}, markdown from blocks", shown="pictured"),
     "annotation_digest": sql(f"select doc_id, {NO_PIECE}, markdown from digests"),
     "filtered_digest_with_images": sql(
-        f"select doc_id, {NO_PIECE}, markdown from digests", ann="filtered", raw="glyph_text", shown="pictured"),
+        f"select doc_id, {NO_PIECE}, markdown from digests", ann="filtered", raw="glyph_text", shown="pictured",
+        folder="('doc.' || a.doc_id || '-annotations-images/')"),
     "digest_files": sql(
         f"select doc_id, {NO_PIECE}, markdown, {FILE} || '-annotations.md' as file_name "
         "from digests join names using (doc_id)"),

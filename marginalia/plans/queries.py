@@ -201,13 +201,13 @@ def _image_map(c):
 def _annotation_images(c):
     """Every annotation, with the picture it shows if it has one."""
     ann = stored(c.annotations())
-    return crop_ops.with_images(ann.select(*ANNOTATION, "kind"), _images(c, ann), "images")
+    return crop_ops.with_images(ann.select(*ANNOTATION, "kind"), _images(c, ann))
 
 
 @query("image_first_occurrence")
 def _first_image_occurrences(c):
     ann = stored(c.annotations())
-    pictured = crop_ops.with_images(with_sort_y(ann), stored(_images(c, ann)), "images", "inner")
+    pictured = crop_ops.with_images(with_sort_y(ann), stored(_images(c, ann)), how="inner")
     return image_first_shown(assign_headings(pictured, _outline(c)))
 
 
@@ -234,7 +234,7 @@ def _filtered_digest_with_images(c):
     marked = filter_annotations(ann, PAGE_RANGE).where("kind = 'highlight'")
     glyphs = c.glyphs(annotated_page_text(page_text, marked))
     return annotation_digest(ann, _outline(c), c.names(), page_text, glyphs, c.geometry(),
-                             PAGE_RANGE, COLORS, IMAGE_DIR)
+                             PAGE_RANGE, COLORS)
 
 
 @query("digest_files")

@@ -27,6 +27,14 @@ def read_glyphs(spark: SparkSession, path: str, format: str = "parquet") -> Data
     return read_table(spark, path, schemas.GLYPHS, format)
 
 
+def read_geometry(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    return read_table(spark, path, schemas.PAGE_GEOMETRY, format)
+
+
+def read_names(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    return read_table(spark, path, schemas.DOCUMENT_NAMES, format)
+
+
 def write_digests(digests: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write (doc_id, file_name, piece columns, markdown) rows as a parquet table."""
     digests.write.mode(mode).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.geometry import bbox_gap, pixel_box
 from marginalia.operators import strokes as ops
 from marginalia.operators.components import connected_components
-from marginalia.operators.crops import crops, number_crops, pixel_boxes
+from marginalia.operators.crops import crops, image_dirs, number_crops, pixel_boxes, with_images
 from marginalia.operators.stored import stored
 
 
@@ -150,6 +150,11 @@ def test_crop_numbers_skip_what_is_not_drawn(spark):
     clusters = ops.stroke_clusters(ann)
     numbered = number_crops(pixel_boxes(ann, clusters, geometry), "").collect()
     assert sorted(r.crop_no for r in numbered) == list(range(1, 1005))
+    dirs = image_dirs(lib.names(spark, (1, "a/paper.pdf")))
+    own = crops(ann, clusters, geometry, dirs).where("page_idx = 2").first()
+    assert own.image_path == "a/paper-annotations-images/annotation_004.png"
+    assert with_images(ann, crops(ann, clusters, geometry, dirs)).where("page_idx = 2").orderBy(
+        "annot_idx").first().image_path == "paper-annotations-images/annotation_004.png"
     images = {(r.page_idx, r.annot_idx): r.image_path for r in crops(ann, clusters, geometry, "d/").collect()}
     assert images[0, 1] == "d/annotation_001.png"
     assert images[0, 0] == images[0, 3] == "d/annotation_002.png"

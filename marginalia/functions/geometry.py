@@ -1,5 +1,7 @@
 """Positions, boxes and pixels. Coordinates are 32-bit floats in PDF points."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,7 +53,11 @@ def bbox_gap(a: Column, b: Column) -> Column:
 
 
 def pixel_box(x: Column, y: Column, w: Column, h: Column, bmp_w: Column, bmp_h: Column) -> Column:
-    """Padded crop box in the page picture, whose y axis points down; null when off the page."""
+    """Padded crop box in the page picture, whose y axis points down.
+
+    Null when off the page, or when any of the values is.
+    """
+    known = reduce(Column.__and__, (c.isNotNull() for c in (x, y, w, h, bmp_w, bmp_h)))
     left = F.greatest(F.lit(0), _pixels(x) - PADDING_PX)
     top = F.greatest(F.lit(0), bmp_h - _pixels(y + h) - PADDING_PX)
     width = F.least(_pixels(w) + 2 * PADDING_PX, bmp_w - left)
@@ -59,7 +65,7 @@ def pixel_box(x: Column, y: Column, w: Column, h: Column, bmp_w: Column, bmp_h:
     box = F.struct(left.cast("int").alias("left"), top.cast("int").alias("top"),
                    (left + width).cast("int").alias("right"),
                    (top + height).cast("int").alias("bottom"))
-    return F.when((width > 0) & (height > 0), box)
+    return F.when(known & (width > 0) & (height > 0), box)
 
 
 def _pixels(points: Column) -> Column:

@@ -85,15 +85,16 @@ TABLES = {
       from bodies where length(body) > 0""",
     "names": "select doc_id, 'library/' || source || '/doc.' || doc_id || '.pdf' as name from documents",
     "outline_entries": """
-      with even as (select doc_id, page_idx, page_idx::bigint * 10 as id,
-                      regexp_extract(body, '^[^.\\n]*') as title
-                    from bodies where page_idx % 2 = 0 and page_idx > 0)
-      select doc_id, id, case when page_idx % 4 <> 2 then id - 20 end as parent_id,
-        id as sibling_ord, title, page_idx from even
-      union all select doc_id, id + 1, id, id + 1, 'Sub ' || title, page_idx from even where doc_id % 3 = 0
-      union all select doc_id, id + 9, null, id + 9, title, page_idx from even
-        where doc_id % 5 = 0 and page_idx % 4 = 2
-      union all select doc_id, -1, null, 999999999, 'Appendix', null from documents""",
+      with numbered as (
+        select doc_id, page_idx, page_idx::bigint * 10 as id, regexp_extract(body, '^[^.\\n]*') as title,
+          case when page_idx = 0 or page_idx % 4 = 2 then null
+            when page_idx % 4 = 0 then page_idx::bigint * 10 - 20 else page_idx::bigint * 10 - 10 end as parent_id,
+          nullif(page_idx, 0) as target
+        from bodies)
+      select doc_id, id, parent_id, id as sibling_ord, title, target as page_idx from numbered
+      union all select doc_id, id + 1, id, id + 1, 'Sub ' || title, target from numbered where doc_id % 3 = 0
+      union all select doc_id, id + 9, null, id + 9, title, target from numbered
+        where doc_id % 5 = 0 and parent_id is null""",
     "outline": """
       with recursive tree as (
         select doc_id, id, title, page_idx, 0 as depth, lpad(sibling_ord::varchar, 19, '0') as outline_key
@@ -137,8 +138,9 @@ TABLES = {
       select * replace ((row_number() over (partition by doc_id, page_idx order by annot_idx) - 1)::int as annot_idx)
       from annotations where {IN_RANGE} and {IN_COLORS}""",
     "geometry": """
-      select distinct doc_id, page_idx, case when doc_id % 7 = 0 then 1200 else 2550 end as bmp_w, 3300 as bmp_h
-      from annotations where page_idx <> 7""",
+      select distinct doc_id, page_idx, case when page_idx = 7 then null when doc_id % 7 = 0 then 1200
+        else 2550 end as bmp_w, case when page_idx <> 7 then 3300 end as bmp_h
+      from annotations""",
     "assigned": """
       select a.*, h.title, h.depth, coalesce(h.outline_key, '~') as outline_key
       from {ann} a asof left join page_heads h on a.doc_id = h.doc_id and a.page_idx >= h.page_idx""",
@@ -240,7 +242,7 @@ TABLES = {
         from entries join geometry using (doc_id, page_idx))
       select doc_id, page_idx, is_cluster, entry_idx, l as "left", t as "top",
         l + least(pw, bmp_w - l) as "right", t + least(ph, bmp_h - t) as "bottom"
-      from scaled where least(pw, bmp_w - l) > 0 and least(ph, bmp_h - t) > 0""",
+      from scaled where bmp_w is not null and least(pw, bmp_w - l) > 0 and least(ph, bmp_h - t) > 0""",
     "numbered": """
       select *, 'out/images/annotation_' || case when crop_no < 1000 then lpad(crop_no::varchar, 3, '0')
           else crop_no::varchar end || '.png' as image_path

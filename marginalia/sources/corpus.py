@@ -40,29 +40,21 @@ class Corpus:
                 .select(*PAGE, noisy.alias("text")))
 
     def outline_entries(self) -> DataFrame:
-        """Chapters and sections by turns on even pages, sub-sections in every third document,
-        repeated chapters in every fifth, one entry without a page in each."""
-        bodies = self.bodies().select(*PAGE, F.expr("regexp_extract(body, '^[^.\\n]*', 0)").alias("title"))
-        even = bodies.where("page_idx % 2 = 0 and page_idx > 0")
-        kinds = [
-            even.selectExpr(
-                "doc_id", "page_idx * 10L as id",
-                "if(page_idx % 4 = 2, null, (page_idx - 2) * 10L) as parent_id",
-                "page_idx * 10L as sibling_ord", "title", "page_idx"),
-            even.where("doc_id % 3 = 0").selectExpr(
-                "doc_id", "page_idx * 10L + 1 as id", "page_idx * 10L as parent_id",
-                "page_idx * 10L + 1 as sibling_ord", "concat('Sub ', title) as title", "page_idx"),
-            even.where("doc_id % 5 = 0 and page_idx % 4 = 2").selectExpr(
-                "doc_id", "page_idx * 10L + 9 as id", "cast(null as bigint) as parent_id",
-                "page_idx * 10L + 9 as sibling_ord", "title", "page_idx"),
-            self.documents.selectExpr(
-                "doc_id", "-1L as id", "cast(null as bigint) as parent_id",
-                "999999999L as sibling_ord", "'Appendix' as title", "cast(null as int) as page_idx"),
-        ]
-        first, *rest = kinds
-        for more in rest:
-            first = first.unionByName(more)
-        return first
+        """An entry for every page: chapters, sections and sub-sections by turns, the first
+        without a page. Every third document has a second entry on each page, every fifth
+        repeats its chapters."""
+        pages = self.bodies().selectExpr(
+            *PAGE, "regexp_extract(body, '^[^.\\n]*', 0) as title", "page_idx * 10L as own",
+            """case when page_idx = 0 or page_idx % 4 = 2 then null when page_idx % 4 = 0
+                 then (page_idx - 2) * 10L else (page_idx - 1) * 10L end as above""",
+            "if(page_idx = 0, null, page_idx) as target")
+        first = "struct(own as id, above as parent_id, own as sibling_ord, title, target as page_idx)"
+        second = """if(doc_id % 3 = 0, struct(own + 1 as id, own as parent_id, own + 1 as sibling_ord,
+                      concat('Sub ', title) as title, target as page_idx), null)"""
+        repeat = """if(doc_id % 5 = 0 and above is null, struct(own + 9 as id, above as parent_id,
+                      own + 9 as sibling_ord, title, target as page_idx), null)"""
+        return pages.selectExpr(
+            "doc_id", f"inline(filter(array({first}, {second}, {repeat}), e -> e is not null))")
 
     def marks(self) -> DataFrame:
         """Events as annotations, without their places in the page lists."""
@@ -132,7 +124,7 @@ class Corpus:
 
     def geometry(self) -> DataFrame:
         """Letter pages at 300 dpi, narrow in every seventh document; page 7 cannot be drawn."""
-        pages = self.events.selectExpr(
-            "user_id as doc_id", "cast(regexp_extract(props, '[0-9]+', 0) as int) % 8 as page_idx")
-        return pages.distinct().where("page_idx <> 7").selectExpr(
-            *PAGE, "if(doc_id % 7 = 0, 1200, 2550) as bmp_w", "3300 as bmp_h")
+        pages = self.marks().select(*PAGE).distinct()
+        return pages.selectExpr(
+            *PAGE, "case when page_idx = 7 then null when doc_id % 7 = 0 then 1200 else 2550 end as bmp_w",
+            "if(page_idx = 7, null, 3300) as bmp_h")

@@ -124,7 +124,7 @@ def test_gap_and_pixels(spark):
         return F.struct(*(F.lit(v).cast("float").alias(n) for n, v in zip(ops.SIDES, sides)))
 
     def pixels(*values):
-        return pixel_box(*(F.lit(v).cast("float") for v in values[:4]), F.lit(values[4]), F.lit(values[5]))
+        return pixel_box(*(F.lit(v).cast("float") for v in values[:4]), *(F.lit(v).cast("int") for v in values[4:]))
     row = spark.range(1).select(
         bbox_gap(box(0, 0, 1, 1), box(4, 5, 6, 6)).alias("apart"),
         bbox_gap(box(0, 0, 9, 9), box(4, 5, 6, 6)).alias("inside"),
@@ -132,7 +132,10 @@ def test_gap_and_pixels(spark):
         pixels(0, 790, 10, 10, 2550, 3300).alias("corner"),
         pixels(600, 100, 10, 10, 1200, 3300).alias("off"),
         pixels(1e12, 0, 10, 10, 1200, 3300).alias("far"),
-        pixels(0, 0, 1e12, 1e12, 1200, 3300).alias("huge")).first()
+        pixels(0, 0, 1e12, 1e12, 1200, 3300).alias("huge"),
+        pixels(0, 0, 9, 9, None, 3300).alias("no_page"),
+        pixels(None, 0, 9, 9, 1200, 3300).alias("no_place")).first()
+    assert row.no_page is None and row.no_place is None
     assert row.apart == 5.0 and row.inside == 0.0
     assert tuple(row.plain) == (168, 2219, 1914, 3132)
     assert tuple(row.corner) == (0, 0, 121, 121)

@@ -12,6 +12,7 @@ ROWS_PER_PIECE = 8192
 # Room for labels and markup of one annotation.
 MARKUP_CHARS = 300
 
+DOCUMENT = ["doc_id", "name", "is_long"]
 ORDER = ["part", "outline_key", "page_idx", "sort_y", "annot_idx"]
 PIECE = ["part", "outline_key", "page_idx", "sort_y", "block"]
 
@@ -26,14 +27,21 @@ def is_long(chars: Column) -> Column:
     return chars > MAX_DOCUMENT_CHARS
 
 
+def documents(pages: DataFrame, names: DataFrame, *more: Column) -> DataFrame:
+    """Name, more aggregates, and is_long for the documents of a table of page sizes (chars)."""
+    sizes = pages.groupBy("doc_id").agg(is_long(F.sum("chars")).alias("is_long"), *more)
+    named = names.select("doc_id", F.coalesce("name", F.lit("")).alias("name"))
+    return sizes.join(named, "doc_id", "left")
+
+
 def assemble(blocks: DataFrame) -> DataFrame:
     """Join the column `markdown` of a document's blocks in order.
 
-    Blocks carry doc_id, is_long and the ORDER columns. Pieces of a long document come as
+    Blocks carry the DOCUMENT and ORDER columns. Pieces of a long document come as
     rows to be read by PIECE; these columns are null where a document is one row.
     """
     cut = F.struct(*ORDER[:-1], block_of(F.col("annot_idx"), ROWS_PER_PIECE).alias("block"))
     joined = F.expr(f"listagg(markdown, '') within group (order by {', '.join(ORDER)})")
     return (blocks.withColumn("_piece", F.when(F.col("is_long"), cut))
-            .groupBy("doc_id", "_piece").agg(joined.alias("markdown"))
-            .select("doc_id", *(F.col("_piece")[c].alias(c) for c in PIECE), "markdown"))
+            .groupBy("doc_id", "name", "_piece").agg(joined.alias("markdown"))
+            .select("doc_id", "name", *(F.col("_piece")[c].alias(c) for c in PIECE), "markdown"))

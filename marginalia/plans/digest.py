@@ -13,7 +13,7 @@ from marginalia.operators.render import annotation_block, document_head, section
 from marginalia.operators.sections import headings_at, with_image_shown, with_sort_y
 from marginalia.operators.strokes import stroke_clusters
 from marginalia.operators.summary import COUNTS, document_totals, page_counts, section_totals
-from marginalia.plans.assembly import ORDER, annotation_chars, assemble, is_long
+from marginalia.plans.assembly import DOCUMENT, ORDER, annotation_chars, assemble, documents
 
 
 def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame,
@@ -39,15 +39,15 @@ def digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame
 
     Title, summary, sections in outline order, then annotations without a heading.
     """
-    pages = stored(digest_pages(ann, ol, page_text, raw))
+    pages = stored(digest_pages(ann, ol, names, page_text, raw))
     blocks = annotation_blocks(ann, pages, page_text, raw, images, rel_dir)
-    return assemble(blocks.withColumn("part", F.lit(3)).select("doc_id", "is_long", *ORDER, "markdown")
-                    .unionByName(_frame(pages, names)))
+    return assemble(blocks.withColumn("part", F.lit(3)).select(*DOCUMENT, *ORDER, "markdown")
+                    .unionByName(_frame(pages)))
 
 
-def digest_pages(ann: DataFrame, ol: DataFrame, page_text: DataFrame | None = None,
-                 raw: DataFrame | None = None) -> DataFrame:
-    """Annotated pages with counts, heading, and whether their document is long."""
+def digest_pages(ann: DataFrame, ol: DataFrame, names: DataFrame,
+                 page_text: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """Annotated pages with counts, heading, name of the document and whether it is long."""
     pages = page_counts(ann, F.sum(annotation_chars()).alias("chars"))
     if raw is not None:
         marked = raw.groupBy(*PAGE).agg(F.sum(F.length("raw")).alias("_size"))
@@ -58,15 +58,15 @@ def digest_pages(ann: DataFrame, ol: DataFrame, page_text: DataFrame | None = No
         shown = F.col("highlights") * F.coalesce("_size", F.lit(0))
         pages = (pages.join(sizes, PAGE, "left")
                  .withColumn("chars", F.col("chars") + shown).drop("_size"))
-    longs = pages.groupBy("doc_id").agg(is_long(F.sum("chars")).alias("is_long"))
-    return spread_join(headings_at(pages.drop("chars"), ol), longs, ["doc_id"], "page_idx")
+    return spread_join(headings_at(pages.drop("chars"), ol), documents(pages, names), ["doc_id"],
+                       "page_idx")
 
 
 def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | None = None,
                       raw: DataFrame | None = None, images: DataFrame | None = None,
                       rel_dir: str | None = None) -> DataFrame:
     """One row per annotation with its Markdown and the columns that place it."""
-    lookup = pages.select(*PAGE, "outline_key", "is_long")
+    lookup = pages.select(*PAGE, "outline_key", "name", "is_long")
     no_text = F.lit(None).cast("string")
     if page_text is None:
         lookup = lookup.withColumn("text", no_text)
@@ -82,7 +82,7 @@ def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | N
     else:
         rows = rows.join(raw.select(*ANNOTATION, "raw"), ANNOTATION, "left")
     rows = with_passage(spread_join(rows, lookup, PAGE, "annot_idx"))
-    return rows.select(*ANNOTATION, "outline_key", "is_long", "sort_y", "kind",
+    return rows.select(*ANNOTATION, "outline_key", "name", "is_long", "sort_y",
                        annotation_block(images is not None).alias("markdown"))
 
 
@@ -93,31 +93,30 @@ def _shown_images(rows: DataFrame, pages: DataFrame, images: DataFrame,
     return with_image_shown(placed).select(*ANNOTATION, "image_path", "show_image")
 
 
-def _frame(pages: DataFrame, names: DataFrame) -> DataFrame:
+def _frame(pages: DataFrame) -> DataFrame:
     """Title, summary and section heads; parts 0 to 2 come before the sections of part 3."""
     none = {"outline_key": F.lit(""), "page_idx": F.lit(-1), "sort_y": F.lit(0.0),
             "annot_idx": F.lit(0)}
-    totals = document_totals(pages, "is_long")
+    totals = document_totals(pages, "name", "is_long")
     base_name = F.coalesce(F.substring_index("name", "/", -1), F.lit(""))
     head = document_head(base_name, F.col("annotations"), F.col("pages"))
-    ends = (totals.join(names, "doc_id", "left")
-            .select("doc_id", "is_long", F.explode(F.array(
+    ends = (totals
+            .select(*DOCUMENT, F.explode(F.array(
                 F.struct(F.lit(0).alias("part"), head.alias("markdown")),
                 F.struct(F.lit(2).alias("part"), F.lit("\n").alias("markdown")))).alias("_b"))
-            .select("doc_id", "is_long", "_b.*").withColumns(none))
-    sections = section_totals(pages, "is_long")
+            .select(*DOCUMENT, "_b.*").withColumns(none))
+    sections = section_totals(pages, "name", "is_long")
     row = summary_row(F.col("title"), [F.col(c) for c in COUNTS])
-    heads = (sections.select("doc_id", "is_long", "outline_key", F.explode(F.array(
+    heads = (sections.select(*DOCUMENT, "outline_key", F.explode(F.array(
         F.struct(F.lit(1).alias("part"), row.alias("markdown")),
         F.struct(F.lit(3).alias("part"), section_head(F.col("title"), F.col("depth"))
                  .alias("markdown")))).alias("_b"))
-        .select("doc_id", "is_long", "outline_key", "_b.*")
+        .select(*DOCUMENT, "outline_key", "_b.*")
         .withColumns({k: v for k, v in none.items() if k != "outline_key"}))
-    columns = ["doc_id", "is_long", *ORDER, "markdown"]
+    columns = [*DOCUMENT, *ORDER, "markdown"]
     return ends.select(*columns).unionByName(heads.select(*columns))
 
 
-def digest_files(texts: DataFrame, names: DataFrame, suffix: str = "-annotations.md") -> DataFrame:
+def digest_files(texts: DataFrame, suffix: str = "-annotations.md") -> DataFrame:
     """Add file_name, the document's name with its extension replaced."""
-    file_name = F.concat(file_stem(F.col("name")), F.lit(suffix)).alias("file_name")
-    return texts.join(names.select("doc_id", file_name), "doc_id")
+    return texts.withColumn("file_name", F.concat(file_stem(F.col("name")), F.lit(suffix)))

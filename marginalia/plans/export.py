@@ -8,42 +8,42 @@ from marginalia.operators.filters import filter_pages
 from marginalia.operators.passages import with_passage
 from marginalia.operators.render import annotation_block
 from marginalia.operators.sections import with_sort_y
-from marginalia.plans.assembly import ORDER, annotation_chars, assemble, is_long
+from marginalia.plans.assembly import DOCUMENT, ORDER, annotation_chars, assemble, documents
 
 PAGE_BREAK = "---\n\n"
 
 
-def corpus_export(page_text: DataFrame, ann: DataFrame, raw: DataFrame | None = None,
+def corpus_export(page_text: DataFrame, ann: DataFrame, names: DataFrame,
+                  raw: DataFrame | None = None,
                   page_range: str | None = None) -> DataFrame:
     """Text of each page, then its annotations in reading order; breaks between pages."""
     if page_range is not None:
         page_text, ann = filter_pages(page_text, page_range), filter_pages(ann, page_range)
-    pages = export_pages(page_text, ann)
+    pages = export_pages(page_text, ann, names)
     rows = with_sort_y(ann).withColumn("text", F.lit(None).cast("string"))
     if raw is None:
         rows = rows.withColumn("raw", F.lit(None).cast("string"))
     else:
         rows = rows.join(raw.select(*ANNOTATION, "raw"), ANNOTATION, "left")
     rows = spread_join(with_passage(rows.drop("rects", "points")),
-                       pages.select(*PAGE, "is_long"), PAGE, "annot_idx")
+                       pages.select(*PAGE, "name", "is_long"), PAGE, "annot_idx")
     place = {"part": F.lit(0), "outline_key": F.lit("")}
-    columns = ["doc_id", "is_long", *ORDER, "markdown"]
+    columns = [*DOCUMENT, *ORDER, "markdown"]
     folded = rows.withColumn("markdown", annotation_block()).withColumns(place).select(*columns)
     # Before any annotation of the page, however low these start.
     front = {**place, "sort_y": F.lit(float("-inf")), "annot_idx": F.lit(-1)}
     return assemble(pages.withColumns(front).select(*columns).unionByName(folded))
 
 
-def export_pages(page_text: DataFrame, ann: DataFrame) -> DataFrame:
-    """Pages with text or annotations: their own Markdown, and whether the document is long."""
+def export_pages(page_text: DataFrame, ann: DataFrame, names: DataFrame) -> DataFrame:
+    """Pages with text or annotations: their own Markdown, and what is known of the document."""
     texts = page_text.where(F.length("text") > 0).select(
         *PAGE, "text", F.length("text").cast("bigint").alias("chars"))
     marks = ann.groupBy(*PAGE).agg(F.sum(annotation_chars()).alias("chars"))
     pages = (texts.unionByName(marks, allowMissingColumns=True).groupBy(*PAGE)
              .agg(F.max("text").alias("text"), F.sum("chars").alias("chars")))
-    docs = pages.groupBy("doc_id").agg(F.min("page_idx").alias("first_page"),
-                                       is_long(F.sum("chars")).alias("is_long"))
+    docs = documents(pages, names, F.min("page_idx").alias("first_page"))
     breaks = F.when(F.col("page_idx") > F.col("first_page"), PAGE_BREAK).otherwise("")
     body = F.coalesce(F.concat("text", F.lit("\n\n")), F.lit(""))
-    return spread_join(pages, docs, ["doc_id"], "page_idx").select(*PAGE, "is_long",
-                                             F.concat(breaks, body).alias("markdown"))
+    return spread_join(pages, docs, ["doc_id"], "page_idx").select(
+        *PAGE, "name", "is_long", F.concat(breaks, body).alias("markdown"))

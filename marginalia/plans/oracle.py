@@ -384,15 +384,15 @@ ORACLE_SQL = {
     "image_first_occurrence": sql(
         "select doc_id, outline_key, image as image_path, page_idx, sort_y, annot_idx from pictured where shown"),
     "annotation_blocks": sql(f"select {KEY}, markdown from blocks", shown="pictured"),
-    "annotation_digest": sql(f"select doc_id, {NO_PIECE}, markdown from digests"),
+    "annotation_digest": sql(f"select doc_id, name, {NO_PIECE}, markdown from digests join names using (doc_id)"),
     "filtered_digest_with_images": sql(
-        f"select doc_id, {NO_PIECE}, markdown from digests", ann="filtered", raw="glyph_text", shown="pictured",
+        f"select doc_id, name, {NO_PIECE}, markdown from digests join names using (doc_id)", ann="filtered", raw="glyph_text", shown="pictured",
         folder="('doc.' || a.doc_id || '-annotations-images/')"),
     "digest_files": sql(
-        f"select doc_id, {NO_PIECE}, markdown, {FILE} || '-annotations.md' as file_name "
+        f"select doc_id, name, {NO_PIECE}, markdown, {FILE} || '-annotations.md' as file_name "
         "from digests join names using (doc_id)"),
     "corpus_export": sql(
-        f"select doc_id, {NO_PIECE}, markdown, {FILE} || '-export.md' as file_name "
+        f"select doc_id, name, {NO_PIECE}, markdown, {FILE} || '-export.md' as file_name "
         "from exports join names using (doc_id)"),
-    "page_range_export": sql(f"select doc_id, {NO_PIECE}, markdown from exports", span=IN_RANGE),
+    "page_range_export": sql(f"select doc_id, name, {NO_PIECE}, markdown from exports join names using (doc_id)", span=IN_RANGE),
 }

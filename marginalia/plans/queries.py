@@ -214,7 +214,7 @@ def _first_image_occurrences(c):
 @query("annotation_blocks")
 def _annotation_markdown(c):
     ann, page_text = stored(c.annotations()), c.page_text()
-    pages = stored(digest_pages(ann, _outline(c), page_text))
+    pages = stored(digest_pages(ann, _outline(c), c.names(), page_text))
     images = stored(_images(c, ann))
     return annotation_blocks(ann, pages, page_text, c.highlight_raw(ann), images).select(
         *ANNOTATION, "markdown")
@@ -239,17 +239,17 @@ def _filtered_digest_with_images(c):
 
 @query("digest_files")
 def _digest_file_rows(c):
-    return digest_files(_document_digest(c), c.names())
+    return digest_files(_document_digest(c))
 
 
 @query("corpus_export")
 def _whole_document_export(c):
     ann = stored(c.annotations())
-    texts = corpus_export(c.page_text(), ann, c.highlight_raw(ann))
-    return digest_files(texts, c.names(), "-export.md")
+    texts = corpus_export(c.page_text(), ann, c.names(), c.highlight_raw(ann))
+    return digest_files(texts, "-export.md")
 
 
 @query("page_range_export")
 def _page_range_export(c):
     ann = stored(c.annotations())
-    return corpus_export(c.page_text(), ann, c.highlight_raw(ann), PAGE_RANGE)
+    return corpus_export(c.page_text(), ann, c.names(), c.highlight_raw(ann), PAGE_RANGE)

@@ -84,7 +84,8 @@ def test_crowded_cells_on_both_sides_of_the_limit(spark, monkeypatch, few):
         for _ in range(90):
             t = rng.uniform(0, 34)
             left.append([(t, 34.0 - t)])
-            right.append([(t + (gap + rng.uniform(0, 1)) / math.sqrt(2), 34.0 - t + (gap + rng.uniform(0, 1)) / math.sqrt(2))])
+            across, up = (gap + rng.uniform(0, 1)) / math.sqrt(2), (gap + rng.uniform(0, 1)) / math.sqrt(2)
+            right.append([(t + across, 34.0 - t + up)])
         pages.append(left + right)
     check(spark, pages)
 

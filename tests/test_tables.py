@@ -17,7 +17,8 @@ def random_outline(rng, depth=0):
     entries = []
     for _ in range(rng.randrange(1, 5)):
         page = rng.choice([None, rng.randrange(30)])
-        entries.append((rng.choice("ABCDE"), page, *([random_outline(rng, depth + 1)] if depth < 4 and rng.random() < 0.5 else [])))
+        below = [random_outline(rng, depth + 1)] if depth < 4 and rng.random() < 0.5 else []
+        entries.append((rng.choice("ABCDE"), page, *below))
     return entries
 
 

@@ -1,12 +1,14 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.stored import stored
 
 # Rounds between two looks at whether they were enough; most components need no more.
 ROUNDS_PER_LOOK = 2
+# The edges of one node are dealt over so many tasks.
+PARTS = 16
 
 
 def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,15 +28,20 @@ def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _round(edges: DataFrame, keys: list[str]) -> DataFrame:
-    here = Window.partitionBy(*keys, "a")
-    lowest = F.min("b").over(here)
-    large = (_both(edges, keys, ("a", "b"), ("b", "a"))
-             .withColumn("low", F.least("a", lowest)).where("b > a")
-             .select(*keys, F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-    small = large.withColumn("low", lowest)
+    large = (_with_lowest(_both(edges, keys, ("a", "b"), ("b", "a")), keys).where("b > a")
+             .select(*keys, F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct())
+    small = _with_lowest(large, keys)
     return _both(small, keys, ("a", "low"), ("b", "low")).where("a <> b").distinct()
 
 
+def _with_lowest(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges with the lowest b of their a as `low`; the edges of a hub come in PARTS tasks."""
+    part = F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")
+    lows = (edges.groupBy(*keys, "a").agg(F.min("b").alias("low"))
+            .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))))
+    return edges.withColumn("_part", part).join(lows, [*keys, "a", "_part"]).drop("_part")
+
+
 def _both(edges: DataFrame, keys: list[str], *ends: tuple[str, str]) -> DataFrame:
     """Two edges (a, b) for each given one."""
     def pair(a: str, b: str) -> Column:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import simhash
+from marginalia.llm import decontamination, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,37 @@ def op1_simhash_near_dedup(spark, sf_dir):
     pages = simhash.near_duplicate_pages(as_page_text(read(spark, sf_dir, "documents")))
     return pages.select("doc_id", simhash.hex_fingerprint(F.col("fingerprint")).alias("fingerprint"),
                         F.col("class_doc_id").alias("component_id"))
+
+
+@query
+def op2_decontamination(spark, sf_dir):
+    pages = decontamination.contaminated_pages(as_page_text(read(spark, sf_dir, "documents")),
+                                               read(spark, sf_dir, "benchmark"))
+    return pages.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLE_SQL["op2_decontamination"] = r"""
+with words as (
+  select 'd' as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark where item_id is not null),
+items as (select id, w, least(len(w), 13) as n from words where side = 'i' and len(w) > 0),
+windows as (
+  select distinct id, n, array_to_string(w[ofs + 1 : ofs + n], ' ') as passage
+  from (select *, unnest(range(len(w) - n + 1)) as ofs from items)),
+docs as (select id, w, len(w) as n_words from words where side = 'd'),
+places as (
+  select id, n, ofs, array_to_string(w[ofs + 1 : ofs + n], ' ') as passage
+  from (select id, w, n, unnest(range(n_words - n + 1)) as ofs
+        from docs, (select distinct n from windows) where n_words >= n)),
+hits as (select p.id, p.ofs, p.n, i.id as item from places p join windows i on p.n = i.n and p.passage = i.passage),
+counted as (select id, count(distinct pos) as n_hit
+  from (select id, unnest(range(ofs, ofs + n)) as pos from hits) group by id),
+named as (select id, count(*) as n_items, string_agg(item::varchar, ',' order by item::varchar) as items
+  from (select distinct id, item from hits) group by id)
+select d.id as doc_id, n_words::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= n_words as contaminated
+from docs d left join counted c on d.id = c.id left join named m on d.id = m.id"""

@@ -1,21 +1,62 @@
-"""Training-data pipeline over `documents`."""
+"""Training-data pipeline over `documents`: language, near copies, benchmark passages, batches.
+
+A stage works on all that the one before it kept, and returns the columns of documents; the last returns the
+pieces of documents with their batches. A null text has no letters, so the first stage rejects it; a document without
+doc_id is judged like any other. Rows that repeat a document are near copies of each other: one stays.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import simhash
-from marginalia.llm.queries import as_page_text
+from marginalia.llm import decontamination, language, packing, simhash
+from marginalia.llm.queries import as_page_text, labelled_for_training
 from marginalia.operators.stored import stored
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told by a clear margin."""
+    dictionaries = language.fit_dictionaries(labelled_for_training(docs))
+    pages = language.page_languages(as_page_text(docs), dictionaries)
+    return _without(docs, pages.where("rejected"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies."""
     classes = stored(simhash.near_duplicate_pages(as_page_text(docs)))
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_doc_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    once = _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_doc_id"))))
+    again = classes.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = _only(once, again).dropDuplicates(["doc_id"])
+    return _without(once, again).unionByName(repeated)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages in a twentieth of their words."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    pages = decontamination.contaminated_pages(as_page_text(docs), items)
+    return _without(docs, pages.where("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with the batch each belongs to."""
+    lengths = as_page_text(docs).withColumn("n_tokens", packing.word_count(F.col("text")))
+    return packing.pack_pages(lengths).drop("page_idx")
+
+
+def _without(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    return _joined(docs, pages, "left_anti")
+
+
+def _only(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    return _joined(docs, pages, "left_semi")
+
+
+def _joined(docs: DataFrame, pages: DataFrame, how: str) -> DataFrame:
+    ids = pages.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
 
 
-STAGES = [("SimHash near-dedup", near_dedup)]
+STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup),
+          ("benchmark decontamination", decontaminate), ("packing", pack)]
 ORACLE_SQL = None
 
 

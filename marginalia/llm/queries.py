@@ -2,10 +2,10 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, simhash
+from marginalia.llm import decontamination, language, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def labelled_for_training(documents: DataFrame) -> DataFrame:
+    """Documents whose language may be learned from; the others are held out."""
+    return as_page_text(documents).where(~held_out(5, 0))
+
+
+def held_out(parts: int, part: int) -> Column:
+    """Whether CRC-32 of doc_id as text leaves this remainder; false without doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
 @query
 def op1_simhash_near_dedup(spark, sf_dir):
     pages = simhash.near_duplicate_pages(as_page_text(read(spark, sf_dir, "documents")))
@@ -65,3 +75,17 @@ select d.id as doc_id, n_words::bigint as n_words, coalesce(n_hit, 0)::bigint as
   coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= n_words as contaminated
 from docs d left join counted c on d.id = c.id left join named m on d.id = m.id"""
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents")
+    dictionaries = language.fit_dictionaries(labelled_for_training(documents))
+    return (language.page_languages(as_page_text(documents), dictionaries)
+            .select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected"))
+
+
+@query
+def op7_packing(spark, sf_dir):
+    lengths = as_page_text(read(spark, sf_dir, "documents")).withColumn("n_tokens", packing.word_count(F.col("text")))
+    return packing.pack_pages(lengths).drop("page_idx")

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, language, packing, simhash
+from marginalia.llm import decontamination, extraction, language, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,21 @@ def op3_language_id(spark, sf_dir):
 def op7_packing(spark, sf_dir):
     lengths = as_page_text(read(spark, sf_dir, "documents")).withColumn("n_tokens", packing.word_count(F.col("text")))
     return packing.pack_pages(lengths).drop("page_idx")
+
+
+@query
+def op8_html_extraction(spark, sf_dir):
+    pages = extraction.main_text(read(spark, sf_dir, "pages"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+# The given pages are of one kind; their article is what SQL can find by its tag.
+ORACLE_SQL["op8_html_extraction"] = r"""
+with articles as (
+  select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1),
+    '</?(?:h1|p|br)>', ' ', 'g') as body from pages),
+plain as (
+  select page_id, url, replace(replace(replace(replace(regexp_replace(body, '</?[a-z][^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text from articles)
+select page_id, url, trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')) as text,
+  length(trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')))::bigint as n_chars from plain"""

@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, extraction, language, packing, simhash
+from marginalia.llm import decontamination, extraction, language, packing, simhash, warc
+from marginalia.operators.stored import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +86,32 @@ def op3_language_id(spark, sf_dir):
             .select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected"))
 
 
+@query
+def op4_warc_index(spark, sf_dir):
+    """A page as a digest file; the given pages have no times, so page_id counts the seconds."""
+    digests = read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), F.col("url").alias("file_name"), F.col("html").alias("markdown"),
+        F.timestamp_seconds("page_id").alias("written_at"))
+    folder = new_path(spark)
+    warc.write_archives(digests, folder)
+    captures = warc.merge_captures(warc.read_archives(spark, folder))
+    return captures.select(F.col("doc_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op4_warc_index"] = """
+with payloads as (select page_id, encode(coalesce(html, '')) as payload from pages),
+bits as (
+  select page_id, payload, array_to_string(list_transform(string_split(sha1(payload), ''),
+    lambda c: right('000' || bin(strpos('0123456789abcdef', c) - 1), 4)), '') as bits from payloads),
+digests as (
+  select page_id, octet_length(payload) as payload_bytes, array_to_string(list_transform(range(32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(5),
+      lambda j: substr(bits, 5 * i + j + 1, 1)::int << (4 - j))))::int, 1)), '') as payload_digest,
+    max(page_id) over (partition by payload) as kept from bits)
+select page_id, payload_bytes, payload_digest, case when page_id = kept then 'response' else 'revisit' end as record_type,
+  case when page_id <> kept then kept end as refers_to from digests"""
+
+
 @query
 def op7_packing(spark, sf_dir):
     lengths = as_page_text(read(spark, sf_dir, "documents")).withColumn("n_tokens", packing.word_count(F.col("text")))

@@ -16,12 +16,21 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 def lower_words(text: bytes | None) -> Iterator[list[bytes]]:
     """Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, in stretches that end between words."""
+    return (stretch.lower().split() for stretch in stretches(text))
+
+
+def words(text: bytes | None) -> Iterator[list[bytes]]:
+    """The same words as they are."""
+    return (stretch.split() for stretch in stretches(text))
+
+
+def stretches(text: bytes | None) -> Iterator[bytes]:
     start, size = 0, len(text or b"")
     while start < size:
         end = min(start + STRETCH, size)
         while end < size and text[end] not in b" \t\n\x0b\x0c\r":
             end += 1
-        yield text[start:end].lower().split()
+        yield text[start:end]
         start = end
 
 

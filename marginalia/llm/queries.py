@@ -5,9 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, extraction, language, packing, simhash, warc
+from marginalia.llm import decontamination, extraction, language, packing, simhash, token_counts, warc
 from marginalia.operators.stored import new_path
 
+# Vocabulary of op5, a file of a public tokenizer.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,6 +115,12 @@ select page_id, payload_bytes, payload_digest, case when page_id = kept then 're
   case when page_id <> kept then kept end as refers_to from digests"""
 
 
+@query
+def op5_token_counts(spark, sf_dir):
+    pages = as_page_text(read(spark, sf_dir, "documents"))
+    return token_counts.page_tokens(pages, token_counts.read_ranks(VOCABULARY)).drop("page_idx")
+
+
 @query
 def op7_packing(spark, sf_dir):
     lengths = as_page_text(read(spark, sf_dir, "documents")).withColumn("n_tokens", packing.word_count(F.col("text")))

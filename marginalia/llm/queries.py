@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, extraction, language, packing, simhash, token_counts, warc
+from marginalia.llm import decontamination, extraction, language, licenses, packing, simhash, token_counts, warc
 from marginalia.operators.stored import new_path
 
 # Vocabulary of op5, a file of a public tokenizer.
@@ -143,3 +143,8 @@ plain as (
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text from articles)
 select page_id, url, trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')) as text,
   length(trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')))::bigint as n_chars from plain"""
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    return licenses.licensed_pages(as_page_text(read(spark, sf_dir, "documents"))).drop("page_idx")

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, extraction, language, licenses, packing, simhash, token_counts, warc
+from marginalia.llm import decontamination, extraction, language, licenses, lm_scoring, packing, simhash, token_counts, warc
 from marginalia.operators.stored import new_path
 
 # Vocabulary of op5, a file of a public tokenizer.
@@ -121,6 +121,13 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.page_tokens(pages, token_counts.read_ranks(VOCABULARY)).drop("page_idx")
 
 
+@query
+def op6_lm_scoring(spark, sf_dir):
+    documents = as_page_text(read(spark, sf_dir, "documents"))
+    pages = lm_scoring.score_pages(documents.withColumn("training", ~held_out(7, 2)))
+    return pages.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op7_packing(spark, sf_dir):
     lengths = as_page_text(read(spark, sf_dir, "documents")).withColumn("n_tokens", packing.word_count(F.col("text")))

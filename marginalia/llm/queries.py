@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, extraction, language, licenses, lm_scoring, packing, simhash, token_counts, warc
+from marginalia.llm import decontamination, extraction, language, licenses, lm_scoring, packing, search, simhash, token_counts, warc
 from marginalia.operators.stored import new_path
 
 # Vocabulary of op5, a file of a public tokenizer.
@@ -155,3 +155,11 @@ select page_id, url, trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')) as text
 @query
 def op9_license_scan(spark, sf_dir):
     return licenses.licensed_pages(as_page_text(read(spark, sf_dir, "documents"))).drop("page_idx")
+
+
+@query
+def op10_topk_search(spark, sf_dir):
+    """The queries are the documents whose doc_id is divisible by 100, whole."""
+    documents = read(spark, sf_dir, "documents")
+    queries = documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.search_pages(as_page_text(documents), queries).drop("page_idx")

@@ -1,0 +1,65 @@
+"""Top-k search against scores of every page."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import search
+
+PAGES, QUERIES = "doc_id long, page_idx int, text string", "query_id long, text string"
+
+
+def split(text):
+    lower = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def slow(pages, queries, top):
+    bags = [Counter(split(t)) for *_, t in pages]
+    mean = sum(b.total() for b in bags) / max(len(bags), 1)
+    holders = Counter(w for b in bags for w in b)
+    result = []
+    for query, text in queries:
+        scored = []
+        for (doc, page, _), bag in zip(pages, bags, strict=True):
+            score = sum(n * math.log(1 + (len(bags) - holders[w] + 0.5) / (holders[w] + 0.5)) * bag[w] * 2.2
+                        / (bag[w] + 1.2 * (0.25 + 0.75 * bag.total() / mean)) for w, n in Counter(split(text)).items() if bag[w])
+            if score > 0 and query is not None:
+                scored.append((-round(score, 9), doc is not None, doc or 0, page is not None, page or 0, doc, page))
+        result += [(query, i + 1, s[5], s[6], -s[0]) for i, s in enumerate(sorted(scored)[:top])]
+    return sorted(result, key=repr)
+
+
+@pytest.mark.parametrize("top", [1, 5])
+def test_matches_brute_force(spark, monkeypatch, top):
+    monkeypatch.setattr(search, "SHARD_PAGES", 50)
+    monkeypatch.setattr(search, "SHARD_TOKENS", 3000)
+    monkeypatch.setattr(search, "BLOCK_PAGES", 4)
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 20)
+    monkeypatch.setattr(search, "FIRST_ROUND", 1)
+    pick = random.Random(top)
+    word = lambda: f"w{int(pick.paretovariate(0.6))}"
+    texts = [" ".join(word() for _ in range(pick.randint(1, 120))) for _ in range(300)]
+    pages = [(i, i % 3, pick.choice(texts)) for i in range(500)]
+    pages += [(900, 0, None), (901, 0, ""), (902, 0, "?!"), (None, None, texts[0]), (7, 1, texts[1]), (7, 1, texts[1]), (903, 0, "É w1 " * 3000)]
+    queries = [(i, pick.choice(texts)) for i in range(40)] + [(100, None), (101, ""), (102, "nowhere"), (103, "W1 w1 É"), (None, "w1")]
+    table = spark.createDataFrame(pages, PAGES)
+    asked = spark.createDataFrame(queries, QUERIES)
+    for name in ("terms", "lengths", "score", "rank"):
+        table, asked = table.withColumn(name, F.lit(1)), asked.withColumn(name, F.lit("x"))
+    found = sorted(map(tuple, search.search_pages(table, asked, top).collect()), key=repr)
+    expected = slow(pages, queries, top)
+    assert [r[:4] for r in found] == [r[:4] for r in expected]
+    assert [r[4] for r in found] == pytest.approx([r[4] for r in expected], abs=1e-6)
+
+
+def test_empty_tables(spark):
+    none, one = spark.createDataFrame([], PAGES), spark.createDataFrame([(1, 0, "a b")], PAGES)
+    asked = spark.createDataFrame([(5, "a")], QUERIES)
+    assert search.search_pages(none, asked).count() == 0
+    assert search.search_pages(one, asked.limit(0)).count() == 0
+    assert [tuple(r)[:4] for r in search.search_pages(one, asked).collect()] == [(5, 1, 1, 0)]

@@ -11,16 +11,38 @@ STRIP = r"\x{AD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F"
 WHITESPACE = r"\t\n\r\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BLANK = WHITESPACE + r"\x0B\x0C\x85"
 
-# Fixed values (code points): letters with a common upper-case but not lower-case form, and the
-# letter that stands for them: final sigma, micro, Greek symbols, long s with dot.
-SAME_UPPER = {0x3A3: 0x3C3, 0x3C2: 0x3C3, 0xB5: 0x3BC, 0x3D0: 0x3B2, 0x3D1: 0x3B8, 0x3D5: 0x3C6,
-              0x3D6: 0x3C0, 0x3F0: 0x3BA, 0x3F1: 0x3C1, 0x3F5: 0x3B5, 0x1E9B: 0x1E61}
-# Letters whose lower-case form belongs to another letter or is two characters long: dotted I,
-# Kelvin, angstrom, ohm, sharp S, theta symbol. Private-use characters stand for them.
-OWN_UPPER = {0x130: 0xE000, 0x212A: 0xE001, 0x212B: 0xE002, 0x2126: 0xE003, 0x1E9E: 0xE004,
-             0x3F4: 0xE005}
-_FOLD_FROM = "".join(map(chr, [*SAME_UPPER, *OWN_UPPER]))
-_FOLD_TO = "".join(map(chr, [*SAME_UPPER.values(), *OWN_UPPER.values()]))
+# Kinds of text markup that are shown as highlights.
+MARKUP_KINDS = ("underline", "strikeout", "squiggly")
+# Where private-use characters begin that stand for letters without a lower-case form of their own.
+PRIVATE_USE = 0xE000
+
+
+def _folding() -> dict[str, str]:
+    """Letters that lower-casing alone does not bring together with those of the same upper case, or wrongly does.
+
+    Letters are the same if their upper case is the same single letter; ASCII letters are the same as no others. Each gets the
+    lower case of that letter if this leads back to it, else a character of its own. The lower case of a
+    capital sigma depends on what follows, so it is given here.
+    """
+    folding, own = {"\u03a3": "\u03c3"}, {}
+    for c in filter(str.isprintable, map(chr, range(0x80, 0x1E944))):
+        upper = _upper(c)
+        low = upper.lower()
+        if len(low) != 1 or _upper(low) != upper:
+            low = c if c == upper and c.lower() == c else own.setdefault(upper, chr(PRIVATE_USE + len(own)))
+        if c.lower() != low:
+            folding[c] = low
+    return folding
+
+
+def _upper(c: str) -> str:
+    """The upper case that is one letter; some have one only at the start of a word."""
+    found = next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+    return found if found.isascii() == c.isascii() else c
+
+
+_FOLDING = _folding()
+_FOLD_FROM, _FOLD_TO = "".join(_FOLDING), "".join(_FOLDING.values())
 
 
 def clean_text(c: Column) -> Column:
@@ -100,6 +122,11 @@ def page_in_range(page_idx: Column, spec: str) -> Column:
     return reduce(Column.__or__, spans) if spans else F.lit(False)
 
 
+def shown_kind(kind: Column) -> Column:
+    """The kind an annotation is shown as: underlines, strikeouts and squiggly lines are highlights."""
+    return F.when(kind.isin(*MARKUP_KINDS), F.lit("highlight")).otherwise(kind)
+
+
 def effective_contents(contents: Column, note_text: Column) -> Column:
     """A note's own contents, else its older text field."""
     return F.when(is_blank(contents), note_text).otherwise(contents)

@@ -2,10 +2,9 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from marginalia.operators.blocks import spread_join
 from marginalia.operators.stored import stored
 
 # Sorts after every outline key: the place of annotations that belong to no heading.
@@ -26,11 +25,12 @@ def flatten_outline(entries: DataFrame) -> DataFrame:
     levels = [level]
     while True:
         parents = level.select("doc_id", F.col("id").alias("parent_id"), "depth", "outline_key")
-        level = stored(spread_join(
-            children, parents, ["doc_id", "parent_id"], "sibling_ord", "inner").select(
+        placed = Observation()
+        level = stored(children.join(parents, ["doc_id", "parent_id"]).select(
             "doc_id", "id", "title", "page_idx", (F.col("depth") + 1).alias("depth"),
-            F.concat_ws("/", "outline_key", _ordinal(F.col("sibling_ord"))).alias("outline_key")))
-        if level.isEmpty():
+            F.concat_ws("/", "outline_key", _ordinal(F.col("sibling_ord"))).alias("outline_key"))
+            .observe(placed, F.count("*").alias("n")))
+        if not placed.get.get("n"):
             return reduce(DataFrame.unionByName, levels)
         levels.append(level)
 

@@ -77,19 +77,27 @@ def _meet(boxes: DataFrame, centres: DataFrame) -> DataFrame:
         *ANNOTATION, "rect_idx", "glyph_idx", "ch")
 
 
-def with_passage(rows: DataFrame, text: str = "text", raw: str = "raw") -> DataFrame:
+def in_pages(raw: DataFrame, page_text: DataFrame) -> DataFrame:
+    """Highlighted text (`raw` by annotation) with `passage`; only its pages are read, each folded once."""
+    pages = page_text.join(annotated_pages(raw), PAGE, "left_semi").select(
+        *PAGE, "text", case_fold(F.col("text")).alias("folded"))
+    return with_passage(spread_join(raw, pages, PAGE, "annot_idx"), folded="folded").drop("folded")
+
+
+def with_passage(rows: DataFrame, text: str = "text", raw: str = "raw", folded: str | None = None) -> DataFrame:
     """Add `passage`: the page text with the highlighted text in bold.
 
     The cleaned highlight is looked up in the page text without regard to case. Failing that,
     it is looked up as if the page text were cleaned too, and the matching stretch of the
     untouched text is marked. Failing that, or without page text, the highlight stands alone.
-    Only the first occurrence is marked. Null when there is no highlighted text.
+    Only the first occurrence is marked. Null when there is no highlighted text. `folded` names the
+    case-folded page text if there is a column of it.
     """
     found = F.coalesce(F.position(F.col("_needle"), F.col("_folded")), F.lit(0))
     rows = (rows.withColumn("_shown", clean_text(F.col(raw)))
             .withColumn("_shown", F.when(~is_blank(F.col("_shown")), F.col("_shown")))
             .withColumn("_needle", case_fold(F.col("_shown")))
-            .withColumn("_folded", F.when(F.col("_shown").isNotNull(), case_fold(F.col(text))))
+            .withColumn("_folded", F.when(F.col("_shown").isNotNull(), F.col(folded) if folded else case_fold(F.col(text))))
             .withColumn("_at", found))
     loose = F.when((F.col("_at") == 0) & F.col("_folded").isNotNull(),
                    F.regexp_substr(F.col("_folded"), passage_pattern(F.col("_needle"))))

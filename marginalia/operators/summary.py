@@ -11,19 +11,18 @@ COUNTED = {"highlights": "highlight", "notes": "note", "rectangles": "rect",
 COUNTS = [*COUNTED, "other"]
 
 
-def page_counts(ann: DataFrame, *more: Column) -> DataFrame:
-    """Annotations by kind, and more aggregates, for every annotated page."""
+def page_counts(ann: DataFrame) -> DataFrame:
+    """Annotations by kind for every annotated page."""
     kind = F.coalesce("kind", F.lit(""))
     return ann.groupBy(*PAGE).agg(
         F.count("*").alias("annotations"),
         *(F.count_if(kind == value).alias(name) for name, value in COUNTED.items()),
-        F.count_if(~kind.isin(*COUNTED.values())).alias("other"), *more)
+        F.count_if(~kind.isin(*COUNTED.values())).alias("other"))
 
 
-def document_totals(pages: DataFrame, *keep: str) -> DataFrame:
+def document_totals(pages: DataFrame) -> DataFrame:
     """Annotations and annotated pages per document, from page counts."""
-    return pages.groupBy("doc_id", *keep).agg(F.sum("annotations").alias("annotations"),
-                                              F.count("*").alias("pages"))
+    return pages.groupBy("doc_id").agg(F.sum("annotations").alias("annotations"), F.count("*").alias("pages"))
 
 
 def section_summary(ann: DataFrame, ol: DataFrame) -> DataFrame:
@@ -34,6 +33,6 @@ def section_summary(ann: DataFrame, ol: DataFrame) -> DataFrame:
     return section_totals(headings_at(page_counts(ann), ol))
 
 
-def section_totals(pages: DataFrame, *keep: str) -> DataFrame:
-    return (pages.groupBy("doc_id", *keep, "outline_key", "title", "depth")
-            .agg(*(F.sum(c).alias(c) for c in COUNTS)))
+def section_totals(pages: DataFrame, *more: Column) -> DataFrame:
+    return (pages.groupBy("doc_id", "outline_key", "title", "depth")
+            .agg(*(F.sum(c).alias(c) for c in COUNTS), *more))

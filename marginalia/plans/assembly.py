@@ -1,47 +1,30 @@
-"""Putting ordered blocks together to documents."""
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from marginalia.operators.blocks import block_of
-
-# A document up to this many characters becomes one string. A longer one stays in pieces, each
-# of at most ROWS_PER_PIECE blocks, with columns that sort them.
-MAX_DOCUMENT_CHARS = 1 << 24
-ROWS_PER_PIECE = 8192
-# Room for labels and markup of one annotation.
-MARKUP_CHARS = 300
-
-DOCUMENT = ["doc_id", "name", "is_long"]
-ORDER = ["part", "outline_key", "page_idx", "sort_y", "annot_idx"]
-PIECE = ["part", "outline_key", "page_idx", "sort_y", "block"]
+"""Putting ordered blocks together to documents in pieces.
 
+Every document has the same form: rows (doc_id, name, piece_no, markdown), to be read by piece_no. The cut does not look at
+sizes: a digest has a piece for its front and one for each page of a section, an export one for each page.
+"""
 
-def annotation_chars() -> Column:
-    """Characters an annotation brings to its document, page text aside."""
-    own = [F.coalesce(F.length(c), F.lit(0)) for c in ("contents", "note_text", "author", "state")]
-    return sum(own, F.lit(MARKUP_CHARS))
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+PIECE = ["doc_id", "piece_no"]
+ORDER = ["part", "outline_key", "sort_y", "annot_idx"]
 
-def is_long(chars: Column) -> Column:
-    return chars > MAX_DOCUMENT_CHARS
 
+def assemble(blocks: DataFrame) -> DataFrame:
+    """Join the column `markdown` of each piece's blocks by ORDER."""
+    joined = F.expr(f"listagg(markdown, '') within group (order by {', '.join(ORDER)})")
+    return blocks.groupBy(*PIECE).agg(joined.alias("markdown"))
 
-def documents(pages: DataFrame, names: DataFrame, *more: Column) -> DataFrame:
-    """Name, more aggregates, and is_long for the documents of a table of page sizes (chars)."""
-    sizes = pages.groupBy("doc_id").agg(is_long(F.sum("chars")).alias("is_long"), *more)
-    named = names.select("doc_id", F.coalesce("name", F.lit("")).alias("name"))
-    return sizes.join(named, "doc_id", "left")
 
+def named(pieces: DataFrame, names: DataFrame) -> DataFrame:
+    """Pieces with the name of their document, empty where it has none."""
+    known = names.select("doc_id", F.col("name").alias("_name"))
+    return (pieces.join(known, "doc_id", "left")
+            .select("doc_id", F.coalesce("_name", F.lit("")).alias("name"), "piece_no", "markdown"))
 
-def assemble(blocks: DataFrame) -> DataFrame:
-    """Join the column `markdown` of a document's blocks in order.
 
-    Blocks carry the DOCUMENT and ORDER columns. Pieces of a long document come as
-    rows to be read by PIECE; these columns are null where a document is one row.
-    """
-    cut = F.struct(*ORDER[:-1], block_of(F.col("annot_idx"), ROWS_PER_PIECE).alias("block"))
-    joined = F.expr(f"listagg(markdown, '') within group (order by {', '.join(ORDER)})")
-    return (blocks.withColumn("_piece", F.when(F.col("is_long"), cut))
-            .groupBy("doc_id", "name", "_piece").agg(joined.alias("markdown"))
-            .select("doc_id", "name", *(F.col("_piece")[c].alias(c) for c in PIECE), "markdown"))
+def whole_documents(pieces: DataFrame) -> DataFrame:
+    """One string for each document, for libraries whose documents are known to be small."""
+    joined = F.expr("listagg(markdown, '') within group (order by piece_no)")
+    return pieces.groupBy("doc_id", "name").agg(joined.alias("markdown"))

@@ -1,19 +1,19 @@
-"""The annotation digest: one Markdown text per document."""
+"""The annotation digest: Markdown pieces of each document."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import file_stem
-from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
+from marginalia.operators.blocks import ANNOTATION, PAGE, number_rows, page_block, spread_join
 from marginalia.operators.stored import stored
 from marginalia.operators.crops import crops, image_dirs, with_images
 from marginalia.operators.filters import filter_annotations
-from marginalia.operators.passages import annotated_page_text, highlight_text, with_passage
+from marginalia.operators.passages import highlight_text, in_pages, with_passage
 from marginalia.operators.render import annotation_block, document_head, section_head, summary_row
 from marginalia.operators.sections import headings_at, with_image_shown, with_sort_y
 from marginalia.operators.strokes import stroke_clusters
 from marginalia.operators.summary import COUNTS, document_totals, page_counts, section_totals
-from marginalia.plans.assembly import DOCUMENT, ORDER, annotation_chars, assemble, documents
+from marginalia.plans.assembly import ORDER, PIECE, assemble, named
 
 
 def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame,
@@ -35,54 +35,39 @@ def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text
 def digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame | None = None,
            raw: DataFrame | None = None, images: DataFrame | None = None,
            rel_dir: str | None = None) -> DataFrame:
-    """Digest of documents that have annotations.
+    """Digest of documents that have annotations, in pieces (doc_id, name, piece_no, markdown).
 
-    Title, summary, sections in outline order, then annotations without a heading.
+    Title and summary are piece 0. Sections follow in outline order, then annotations without a heading, with a
+    piece for each page; a section's head stands on its first.
     """
-    pages = stored(digest_pages(ann, ol, names, page_text, raw))
+    pages = stored(digest_pages(ann, ol))
     blocks = annotation_blocks(ann, pages, page_text, raw, images, rel_dir)
-    return assemble(blocks.withColumn("part", F.lit(3)).select(*DOCUMENT, *ORDER, "markdown")
-                    .unionByName(_frame(pages)))
+    return named(assemble(blocks.withColumn("part", F.lit(3)).select(*PIECE, *ORDER, "markdown")
+                          .unionByName(_frame(pages, names))), names)
 
 
-def digest_pages(ann: DataFrame, ol: DataFrame, names: DataFrame,
-                 page_text: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
-    """Annotated pages with counts, heading, name of the document and whether it is long."""
-    pages = page_counts(ann, F.sum(annotation_chars()).alias("chars"))
-    if raw is not None:
-        marked = raw.groupBy(*PAGE).agg(F.sum(F.length("raw")).alias("_size"))
-        pages = (pages.join(marked, PAGE, "left").withColumn(
-            "chars", F.col("chars") + F.coalesce("_size", F.lit(0))).drop("_size"))
-    if page_text is not None:
-        sizes = page_text.select(*PAGE, F.length("text").alias("_size"))
-        shown = F.col("highlights") * F.coalesce("_size", F.lit(0))
-        pages = (pages.join(sizes, PAGE, "left")
-                 .withColumn("chars", F.col("chars") + shown).drop("_size"))
-    return spread_join(headings_at(pages.drop("chars"), ol), documents(pages, names), ["doc_id"],
-                       "page_idx")
+def digest_pages(ann: DataFrame, ol: DataFrame) -> DataFrame:
+    """Annotated pages with counts, heading, and the number of their piece."""
+    pages = stored(headings_at(page_counts(ann), ol).withColumn("_pages", page_block()))
+    return number_rows(pages, ["doc_id"], [["outline_key"], ["_pages"]], ["page_idx"], "piece_no").drop("_pages")
 
 
 def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | None = None,
                       raw: DataFrame | None = None, images: DataFrame | None = None,
                       rel_dir: str | None = None) -> DataFrame:
     """One row per annotation with its Markdown and the columns that place it."""
-    lookup = pages.select(*PAGE, "outline_key", "name", "is_long")
-    no_text = F.lit(None).cast("string")
-    if page_text is None:
-        lookup = lookup.withColumn("text", no_text)
-    else:
-        marked = ann.where(F.col("kind") == "highlight")
-        lookup = lookup.join(annotated_page_text(page_text, marked).select(*PAGE, "text"),
-                             PAGE, "left")
     rows = with_sort_y(ann).drop("rects", "points")
     if images is not None:
         rows = rows.join(_shown_images(rows, pages, images, rel_dir), ANNOTATION, "left")
-    if raw is None:
-        rows = rows.withColumn("raw", no_text)
-    else:
-        rows = rows.join(raw.select(*ANNOTATION, "raw"), ANNOTATION, "left")
-    rows = with_passage(spread_join(rows, lookup, PAGE, "annot_idx"))
-    return rows.select(*ANNOTATION, "outline_key", "name", "is_long", "sort_y",
+    rows = spread_join(rows, pages.select(*PAGE, "outline_key", "piece_no"), PAGE, "annot_idx")
+    passages = F.lit(None).cast("string").alias("passage")
+    if raw is not None:
+        marked = raw.select(*ANNOTATION, "raw")
+        shown = in_pages(marked, page_text) if page_text is not None else with_passage(
+            marked.withColumn("text", F.lit(None).cast("string")))
+        rows, passages = rows.join(shown.select(*ANNOTATION, "passage"), ANNOTATION, "left"), F.col("passage")
+    rows = rows.select("*", passages) if raw is None else rows
+    return rows.select(*ANNOTATION, "outline_key", "piece_no", "sort_y",
                        annotation_block(images is not None).alias("markdown"))
 
 
@@ -93,28 +78,24 @@ def _shown_images(rows: DataFrame, pages: DataFrame, images: DataFrame,
     return with_image_shown(placed).select(*ANNOTATION, "image_path", "show_image")
 
 
-def _frame(pages: DataFrame) -> DataFrame:
-    """Title, summary and section heads; parts 0 to 2 come before the sections of part 3."""
-    none = {"outline_key": F.lit(""), "page_idx": F.lit(-1), "sort_y": F.lit(0.0),
-            "annot_idx": F.lit(0)}
-    totals = document_totals(pages, "name", "is_long")
+def _frame(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """Title, summary and section heads; parts 0 to 2 are the front, heads come before part 3."""
+    front = {"piece_no": F.lit(0).cast("bigint"), "sort_y": F.lit(0.0), "annot_idx": F.lit(0)}
+    totals = document_totals(pages).join(names.select("doc_id", "name"), "doc_id", "left")
     base_name = F.coalesce(F.substring_index("name", "/", -1), F.lit(""))
     head = document_head(base_name, F.col("annotations"), F.col("pages"))
-    ends = (totals
-            .select(*DOCUMENT, F.explode(F.array(
-                F.struct(F.lit(0).alias("part"), head.alias("markdown")),
-                F.struct(F.lit(2).alias("part"), F.lit("\n").alias("markdown")))).alias("_b"))
-            .select(*DOCUMENT, "_b.*").withColumns(none))
-    sections = section_totals(pages, "name", "is_long")
+    ends = totals.select("doc_id", F.lit("").alias("outline_key"), F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), head.alias("markdown")),
+        F.struct(F.lit(2).alias("part"), F.lit("\n").alias("markdown")))).alias("_b"))
+    sections = section_totals(pages, F.min("piece_no").alias("first_piece"))
     row = summary_row(F.col("title"), [F.col(c) for c in COUNTS])
-    heads = (sections.select(*DOCUMENT, "outline_key", F.explode(F.array(
-        F.struct(F.lit(1).alias("part"), row.alias("markdown")),
-        F.struct(F.lit(3).alias("part"), section_head(F.col("title"), F.col("depth"))
-                 .alias("markdown")))).alias("_b"))
-        .select(*DOCUMENT, "outline_key", "_b.*")
-        .withColumns({k: v for k, v in none.items() if k != "outline_key"}))
-    columns = [*DOCUMENT, *ORDER, "markdown"]
-    return ends.select(*columns).unionByName(heads.select(*columns))
+    rows = sections.select("doc_id", "outline_key", F.lit(1).alias("part"), row.alias("markdown"))
+    heads = sections.select(
+        F.col("first_piece").alias("piece_no"), "doc_id", "outline_key", F.lit(2).alias("part"), F.lit(0.0).alias("sort_y"),
+        F.lit(0).alias("annot_idx"), section_head(F.col("title"), F.col("depth")).alias("markdown"))
+    columns = [*PIECE, *ORDER, "markdown"]
+    return (ends.select("doc_id", "outline_key", "_b.*").withColumns(front).select(*columns)
+            .unionByName(rows.withColumns(front).select(*columns)).unionByName(heads.select(*columns)))
 
 
 def digest_files(texts: DataFrame, suffix: str = "-annotations.md") -> DataFrame:

@@ -3,12 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
+from marginalia.operators.blocks import ANNOTATION, PAGE, number_rows, page_block
 from marginalia.operators.filters import filter_pages
 from marginalia.operators.passages import with_passage
 from marginalia.operators.render import annotation_block
 from marginalia.operators.sections import with_sort_y
-from marginalia.plans.assembly import DOCUMENT, ORDER, annotation_chars, assemble, documents
+from marginalia.operators.stored import stored
+from marginalia.plans.assembly import named
 
 PAGE_BREAK = "---\n\n"
 
@@ -16,34 +17,32 @@ PAGE_BREAK = "---\n\n"
 def corpus_export(page_text: DataFrame, ann: DataFrame, names: DataFrame,
                   raw: DataFrame | None = None,
                   page_range: str | None = None) -> DataFrame:
-    """Text of each page, then its annotations in reading order; breaks between pages."""
+    """Text of each page, then its annotations in reading order; breaks between pages.
+
+    A page is a piece. Its annotations are put together before they meet the text, which is shuffled once.
+    """
     if page_range is not None:
         page_text, ann = filter_pages(page_text, page_range), filter_pages(ann, page_range)
-    pages = export_pages(page_text, ann, names)
+    page_text = page_text.where(F.length("text") > 0).select(*PAGE, "text")
+    folded = stored(_folded(ann, raw))
+    pages = page_text.select(*PAGE).union(folded.select(*PAGE)).distinct()
+    numbered = number_rows(pages.withColumn("_pages", page_block()), ["doc_id"], [["_pages"]], ["page_idx"], "_place")
+    breaks = F.when(F.col("_place") > 1, PAGE_BREAK).otherwise("")
+    body = F.coalesce(F.concat("text", F.lit("\n\n")), F.lit(""))
+    full = (numbered.select(*PAGE, "_place").join(page_text, PAGE, "left").join(folded, PAGE, "left")
+            .select("doc_id", (F.col("_place") - 1).alias("piece_no"),
+                    F.concat(breaks, body, F.coalesce("markdown", F.lit(""))).alias("markdown")))
+    return named(full, names)
+
+
+def _folded(ann: DataFrame, raw: DataFrame | None) -> DataFrame:
+    """The annotations of each page as one text."""
     rows = with_sort_y(ann).withColumn("text", F.lit(None).cast("string"))
     if raw is None:
         rows = rows.withColumn("raw", F.lit(None).cast("string"))
     else:
         rows = rows.join(raw.select(*ANNOTATION, "raw"), ANNOTATION, "left")
-    rows = spread_join(with_passage(rows.drop("rects", "points")),
-                       pages.select(*PAGE, "name", "is_long"), PAGE, "annot_idx")
-    place = {"part": F.lit(0), "outline_key": F.lit("")}
-    columns = [*DOCUMENT, *ORDER, "markdown"]
-    folded = rows.withColumn("markdown", annotation_block()).withColumns(place).select(*columns)
-    # Before any annotation of the page, however low these start.
-    front = {**place, "sort_y": F.lit(float("-inf")), "annot_idx": F.lit(-1)}
-    return assemble(pages.withColumns(front).select(*columns).unionByName(folded))
-
-
-def export_pages(page_text: DataFrame, ann: DataFrame, names: DataFrame) -> DataFrame:
-    """Pages with text or annotations: their own Markdown, and what is known of the document."""
-    texts = page_text.where(F.length("text") > 0).select(
-        *PAGE, "text", F.length("text").cast("bigint").alias("chars"))
-    marks = ann.groupBy(*PAGE).agg(F.sum(annotation_chars()).alias("chars"))
-    pages = (texts.unionByName(marks, allowMissingColumns=True).groupBy(*PAGE)
-             .agg(F.max("text").alias("text"), F.sum("chars").alias("chars")))
-    docs = documents(pages, names, F.min("page_idx").alias("first_page"))
-    breaks = F.when(F.col("page_idx") > F.col("first_page"), PAGE_BREAK).otherwise("")
-    body = F.coalesce(F.concat("text", F.lit("\n\n")), F.lit(""))
-    return spread_join(pages, docs, ["doc_id"], "page_idx").select(
-        *PAGE, "name", "is_long", F.concat(breaks, body).alias("markdown"))
+    blocks = with_passage(rows.drop("rects", "points")).select(
+        *ANNOTATION, "sort_y", annotation_block().alias("markdown"))
+    joined = F.expr("listagg(markdown, '') within group (order by sort_y, annot_idx)")
+    return blocks.groupBy(*PAGE).agg(joined.alias("markdown"))

@@ -5,17 +5,13 @@ Written as plain windows, as-of joins and recursion, apart from the Spark plans
 
 import re
 
-# Character classes and letter pairs as in functions/text.py.
+# Character classes as in functions/text.py.
 STRIP = r"\x{AD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F"
 SPACE = r"\t\n\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-FOLD_FROM = (0x3A3, 0x3C2, 0xB5, 0x3D0, 0x3D1, 0x3D5, 0x3D6, 0x3F0, 0x3F1, 0x3F5, 0x1E9B,
-             0x130, 0x212A, 0x212B, 0x2126, 0x1E9E, 0x3F4)
-FOLD_TO = (0x3C3, 0x3C3, 0x3BC, 0x3B2, 0x3B8, 0x3C6, 0x3C0, 0x3BA, 0x3C1, 0x3B5, 0x1E61,
-           0xE000, 0xE001, 0xE002, 0xE003, 0xE004, 0xE005)
-
-
-def _chars(codes):
-    return " || ".join(f"chr({code})" for code in codes)
+# Letters with another upper case of one letter, by Unicode, but none between ASCII letters and others.
+CAPITALS = {c: u for c in filter(str.isprintable, map(chr, range(0x1E944)))
+            for u in [c.upper() if len(c.upper()) == 1 else c.title()]
+            if len(u) == 1 and u != c and u.isascii() == c.isascii()}
 
 
 def clean(c):
@@ -24,7 +20,7 @@ def clean(c):
 
 
 def fold(c):
-    return f"lower(translate({c}, {_chars(FOLD_FROM)}, {_chars(FOLD_TO)}))"
+    return f"translate({c}, '{''.join(CAPITALS)}', '{''.join(CAPITALS.values())}')"
 
 
 def blank(c):
@@ -41,8 +37,6 @@ def color(c):
 # "1,3,5-6,8-,4-2" on 0-based pages, and "#ff0, 0000FF".
 IN_RANGE = "(page_idx = 0 or page_idx = 2 or page_idx in (4, 5) or page_idx >= 7)"
 IN_COLORS = f"{color('color')} in ('ffff00', '0000ff')"
-NO_PIECE = ("null::integer as part, null::varchar as outline_key, null::integer as page_idx, "
-            "null::double as sort_y, null::bigint as block")
 LABEL = """'*(p. ' || (page_idx + 1) || ', ' || case kind
   when 'highlight' then 'highlight' when 'rect' then 'rectangle' when 'freehand' then 'freehand'
   when 'caret' then 'caret' when 'free_text' then 'free text'
@@ -111,12 +105,19 @@ TABLES = {
     "page_heads": """
       select doc_id, page_idx, title, depth, outline_key from headings where page_idx is not null
       qualify row_number() over (partition by doc_id, page_idx order by last_key desc) = 1""",
+    "doc_pages": "select doc_id, max(page_idx) + 1 as n_pages from bodies group by doc_id",
+    "placed_events": """
+      select *, case when event_id % 4 = 0 then user_id
+        else (event_id * 7919) % (select max(doc_id) + 1 from documents) end as doc_id from events""",
     "events_as_annotations": """
-      select event_id, user_id as doc_id, regexp_extract(props, '[0-9]+')::int % 8 as page_idx,
-        case event_type when 'click' then 'highlight' when 'view' then 'note'
+      select event_id, doc_id, (case when event_id % 20 = 7 then n_pages + event_id % 3
+          else (event_id * 31 + event_id // 1000) % n_pages end)::int as page_idx,
+        case event_type when 'click' then case event_id % 13 when 0 then 'underline' when 1 then 'strikeout'
+            when 2 then 'squiggly' else 'highlight' end when 'view' then 'note'
           when 'purchase' then 'rect' when 'error' then 'freehand'
           else case event_id % 5 when 0 then 'stamp' when 1 then 'caret' when 2 then 'caret'
-               else 'free_text' end end as kind,
+               else 'free_text' end end as raw_kind,
+        case when raw_kind in ('underline', 'strikeout', 'squiggly') then 'highlight' else raw_kind end as kind,
         case event_id % 4 when 0 then '#FF0' when 1 then '#FFCC00' when 2 then '##00F'
           else 'ff0000' end as color,
         case event_id % 3 when 0 then 'com' || chr(173) || 'ment  no.' || chr(9) || event_id
@@ -127,7 +128,7 @@ TABLES = {
         ((event_id * 37) % 500)::float as x,
         (case when event_type = 'click' then (event_id * 53) % 60 else (event_id * 53) % 700 end)::float as y,
         (10 + event_id % 90)::float as w, (5 + event_id % 40)::float as h
-      from events""",
+      from placed_events join doc_pages using (doc_id)""",
     "annotations": """
       select *, (row_number() over (partition by doc_id, page_idx order by event_id) - 1)::int as annot_idx,
         case when kind = 'highlight' and event_id % 11 <> 0 or kind in ('note', 'rect')
@@ -263,23 +264,30 @@ TABLES = {
       select a.doc_id, a.page_idx, a.annot_idx, a.outline_key, a.sort_y,
         {block('image is not null', 'image', 'p.passage')} as markdown
       from {{shown}} a left join passages p using (doc_id, page_idx, annot_idx)""",
+    "section_pages": """
+      select *, row_number() over (partition by doc_id order by outline_key, page_idx) as piece_no
+      from (select distinct doc_id, page_idx, outline_key from assigned)""",
     "digests": """
       with parts as (
-        select doc_id, 0 as part, '' as outline_key, -1 as page_idx, 0 as sort_y, 0 as annot_idx,
-          '# Annotations: ' || regexp_extract(name, '[^/]*$') || chr(10) || chr(10) || '## Summary' || chr(10)
+        select doc_id, 0 as piece_no, 0 as part, '' as outline_key, 0 as sort_y, 0 as annot_idx,
+          '# Annotations: ' || coalesce(regexp_extract(name, '[^/]*$'), '') || chr(10) || chr(10) || '## Summary' || chr(10)
           || chr(10) || '**' || annotations || ' annotations** across **' || pages || ' pages**' || chr(10)
           || chr(10) || '| Section | Highlights | Notes | Rectangles | Freehand | Other |' || chr(10)
           || '|---------|-----------|-------|------------|----------|-------|' || chr(10) as markdown
-        from totals join names using (doc_id)
-        union all select doc_id, 1, outline_key, -1, 0, 0, '| ' || coalesce(title, '*(Other)*') || ' | '
+        from totals left join names using (doc_id)
+        union all select doc_id, 0, 1, outline_key, 0, 0, '| ' || coalesce(title, '*(Other)*') || ' | '
           || highlights || ' | ' || notes || ' | ' || rectangles || ' | ' || freehand || ' | ' || other
           || ' |' || chr(10) from sections
-        union all select doc_id, 2, '', -1, 0, 0, chr(10) from totals
-        union all select doc_id, 3, outline_key, -1, 0, 0, coalesce(repeat('#', least(depth + 2, 4)) || ' '
-          || title, '## Other Annotations') || chr(10) || chr(10) from sections
-        union all select doc_id, 3, outline_key, page_idx, sort_y, annot_idx, markdown from blocks)
-      select doc_id, string_agg(markdown, '' order by part, outline_key, page_idx, sort_y, annot_idx) as markdown
-      from parts group by doc_id""",
+        union all select doc_id, 0, 2, '', 0, 0, chr(10) from totals
+        union all select s.doc_id, (select min(p.piece_no) from section_pages p
+            where p.doc_id = s.doc_id and p.outline_key = s.outline_key), 2, outline_key, 0, 0,
+          coalesce(repeat('#', least(depth + 2, 4)) || ' ' || title, '## Other Annotations') || chr(10) || chr(10)
+        from sections s
+        union all select b.doc_id, piece_no, 3, '', sort_y, annot_idx, markdown
+        from blocks b join section_pages p on b.doc_id = p.doc_id and b.page_idx = p.page_idx)
+      select doc_id, piece_no::bigint as piece_no,
+        string_agg(markdown, '' order by part, outline_key, sort_y, annot_idx) as markdown
+      from parts group by doc_id, piece_no""",
     "export_blocks": f"""
       select doc_id, page_idx, annot_idx, sort_y,
         {block('false', "''", "('**' || nullif(" + clean('raw') + ", '') || '**')")} as markdown
@@ -288,14 +296,16 @@ TABLES = {
     "exports": """
       with spans as (
         select doc_id, page_idx from page_text where {span} union select doc_id, page_idx from annotations where {span}),
+      pieces as (select *, row_number() over (partition by doc_id order by page_idx) - 1 as piece_no from spans),
       parts as (
-        select s.doc_id, s.page_idx, 0 as part, 0 as sort_y, 0 as annot_idx,
-          case when s.page_idx > min(s.page_idx) over (partition by s.doc_id)
-            then '---' || chr(10) || chr(10) else '' end || coalesce(text || chr(10) || chr(10), '') as markdown
-        from spans s left join page_text p on s.doc_id = p.doc_id and s.page_idx = p.page_idx
-        union all select doc_id, page_idx, 1, sort_y, annot_idx, markdown from export_blocks where {span})
-      select doc_id, string_agg(markdown, '' order by page_idx, part, sort_y, annot_idx) as markdown
-      from parts group by doc_id""",
+        select s.doc_id, s.piece_no, 0 as part, 0 as sort_y, 0 as annot_idx,
+          case when piece_no > 0 then '---' || chr(10) || chr(10) else '' end
+            || coalesce(text || chr(10) || chr(10), '') as markdown
+        from pieces s left join page_text p on s.doc_id = p.doc_id and s.page_idx = p.page_idx
+        union all select b.doc_id, piece_no, 1, sort_y, annot_idx, markdown
+        from export_blocks b join pieces s on b.doc_id = s.doc_id and b.page_idx = s.page_idx)
+      select doc_id, piece_no, string_agg(markdown, '' order by part, sort_y, annot_idx) as markdown
+      from parts group by doc_id, piece_no""",
 }
 
 RECURSIVE = {"outline", "clusters"}
@@ -352,7 +362,7 @@ ORACLE_SQL = {
         "select doc_id, sum(n)::bigint as annotations, count(*) as pages from ("
         "select doc_id, page_idx, max(n) as n from ("
         "select doc_id, page_idx, count(*) as n from annotations group by all "
-        "union all select doc_id, page_idx, 0 from bodies where doc_id in (select user_id from events)) "
+        "union all select doc_id, page_idx, 0 from bodies where doc_id in (select doc_id from annotations)) "
         f"where {IN_RANGE} group by doc_id, page_idx) group by doc_id"),
     "color_filter_report": sql(
         "select doc_id, count(*) as annotations, count(distinct page_idx) as pages from annotations "
@@ -366,6 +376,7 @@ ORACLE_SQL = {
     "highlight_in_context": sql("select * from passages"),
     "highlight_text_from_glyphs": sql("select * from glyph_text"),
     "annotation_labels": sql(f"select event_id, {LABEL} as label from events_as_annotations"),
+    "markup_kinds": sql("select event_id, raw_kind, kind from events_as_annotations"),
     "effective_note_text": sql(
         f"select event_id, case when {blank('contents')} then note_text else contents end as note "
         "from events_as_annotations where kind = 'note'"),
@@ -384,15 +395,15 @@ ORACLE_SQL = {
     "image_first_occurrence": sql(
         "select doc_id, outline_key, image as image_path, page_idx, sort_y, annot_idx from pictured where shown"),
     "annotation_blocks": sql(f"select {KEY}, markdown from blocks", shown="pictured"),
-    "annotation_digest": sql(f"select doc_id, name, {NO_PIECE}, markdown from digests join names using (doc_id)"),
+    "annotation_digest": sql(f"select doc_id, name, piece_no, markdown from digests join names using (doc_id)"),
     "filtered_digest_with_images": sql(
-        f"select doc_id, name, {NO_PIECE}, markdown from digests join names using (doc_id)", ann="filtered", raw="glyph_text", shown="pictured",
+        f"select doc_id, name, piece_no, markdown from digests join names using (doc_id)", ann="filtered", raw="glyph_text", shown="pictured",
         folder="('doc.' || a.doc_id || '-annotations-images/')"),
     "digest_files": sql(
-        f"select doc_id, name, {NO_PIECE}, markdown, {FILE} || '-annotations.md' as file_name "
+        f"select doc_id, name, piece_no, markdown, {FILE} || '-annotations.md' as file_name "
         "from digests join names using (doc_id)"),
     "corpus_export": sql(
-        f"select doc_id, name, {NO_PIECE}, markdown, {FILE} || '-export.md' as file_name "
+        f"select doc_id, name, piece_no, markdown, {FILE} || '-export.md' as file_name "
         "from exports join names using (doc_id)"),
-    "page_range_export": sql(f"select doc_id, name, {NO_PIECE}, markdown from exports join names using (doc_id)", span=IN_RANGE),
+    "page_range_export": sql(f"select doc_id, name, piece_no, markdown from exports join names using (doc_id)", span=IN_RANGE),
 }

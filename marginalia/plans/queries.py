@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import (
     clean_text, effective_contents, is_blank, normalize_color)
 from marginalia.operators import crops as crop_ops
-from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
+from marginalia.operators.blocks import ANNOTATION
 from marginalia.operators.filters import filter_annotations, filter_colors, filter_pages, filter_report
 from marginalia.operators.outline import dedup_outline, flatten_outline
-from marginalia.operators.passages import annotated_page_text, highlight_text, with_passage
+from marginalia.operators.passages import annotated_page_text, highlight_text, in_pages
 from marginalia.operators.render import annotation_label, heading_level
 from marginalia.operators.sections import assign_headings, image_first_shown, reading_order, with_sort_y
 from marginalia.operators.stored import stored
@@ -136,8 +136,7 @@ def _cleaned_documents(c):
 @query("highlight_in_context")
 def _highlight_in_context(c):
     raw = c.highlight_raw(stored(c.annotations()))
-    return with_passage(spread_join(raw, c.page_text(), PAGE, "annot_idx")).select(
-        *ANNOTATION, "passage")
+    return in_pages(raw, c.page_text()).select(*ANNOTATION, "passage")
 
 
 @query("highlight_text_from_glyphs")
@@ -152,6 +151,12 @@ def _annotation_labels(c):
     return c.marks().select("event_id", annotation_label().alias("label"))
 
 
+@query("markup_kinds")
+def _markup_kinds(c):
+    """Kinds as they come in and as they are shown."""
+    return c.marks().select("event_id", "raw_kind", "kind")
+
+
 @query("effective_note_text")
 def _note_texts(c):
     note = effective_contents(F.col("contents"), F.col("note_text"))
@@ -214,7 +219,7 @@ def _first_image_occurrences(c):
 @query("annotation_blocks")
 def _annotation_markdown(c):
     ann, page_text = stored(c.annotations()), c.page_text()
-    pages = stored(digest_pages(ann, _outline(c), c.names(), page_text))
+    pages = stored(digest_pages(ann, _outline(c)))
     images = stored(_images(c, ann))
     return annotation_blocks(ann, pages, page_text, c.highlight_raw(ann), images).select(
         *ANNOTATION, "markdown")

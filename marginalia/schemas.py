@@ -5,7 +5,8 @@ from pyspark.sql import types as T
 BOX = T.StructType([T.StructField(n, T.FloatType()) for n in ("x", "y", "w", "h")])
 POINT = T.StructType([T.StructField(n, T.FloatType()) for n in ("x", "y")])
 
-# kind: highlight, note, rect, freehand, caret or free_text; anything else counts as "other".
+# kind: highlight, note, rect, freehand, caret or free_text; anything else counts as "other". Underline, strikeout
+# and squiggly become highlights where the table is read.
 # page_idx is 0-based; annot_idx is the position in the page's list.
 ANNOTATIONS = T.StructType([
     T.StructField("doc_id", T.LongType(), False),

@@ -1,17 +1,25 @@
 """An annotated library derived from the given `documents` and `events` tables.
 
-Every document becomes a paged text of two lines a page, every event an annotation on the
-document with the event's user_id. All rows and whole texts take part.
+Every document becomes a paged text of two lines a page, every event an annotation. A quarter of the events
+lie on the document with the event's user_id, so some documents have many; the others are spread over all documents, and
+all over all pages of their document. One in twenty lies on a page behind the last, which has no text. All rows and
+whole texts take part.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import shown_kind
 from marginalia.operators.blocks import PAGE, block_of, number_rows, spread_join
 
 LINES_PER_PAGE = 2
 
 
+def page_numbers() -> Column:
+    """The last page of a text."""
+    return F.call_function("div", F.size(F.split("text", "\n")) - 1, F.lit(LINES_PER_PAGE))
+
+
 class Corpus:
     """Lazy tables over one data folder."""
 
@@ -58,13 +66,18 @@ class Corpus:
 
     def marks(self) -> DataFrame:
         """Events as annotations, without their places in the page lists."""
-        rows = self.events.selectExpr(
-            "event_id", "user_id as doc_id",
-            "cast(regexp_extract(props, '[0-9]+', 0) as int) % 8 as page_idx",
-            """case event_type when 'click' then 'highlight' when 'view' then 'note'
+        documents = (self.documents.agg(F.max("doc_id")).first()[0] or 0) + 1
+        placed = self.events.withColumn("doc_id", F.expr(
+            f"if(event_id % 4 = 0, user_id, (event_id * 7919) % {documents})")).join(
+            self.documents.select("doc_id", (page_numbers() + 1).alias("n_pages")), "doc_id")
+        rows = placed.selectExpr(
+            "event_id", "doc_id", """cast(if(event_id % 20 = 7, n_pages + event_id % 3,
+                 (event_id * 31 + event_id div 1000) % n_pages) as int) as page_idx""",
+            """case event_type when 'click' then case event_id % 13 when 0 then 'underline' when 1 then 'strikeout'
+                 when 2 then 'squiggly' else 'highlight' end when 'view' then 'note'
                  when 'purchase' then 'rect' when 'error' then 'freehand'
                  else case event_id % 5 when 0 then 'stamp' when 1 then 'caret' when 2 then 'caret'
-                 else 'free_text' end end as kind""",
+                 else 'free_text' end end as raw_kind""",
             """case event_id % 4 when 0 then '#FF0' when 1 then '#FFCC00' when 2 then '##00F'
                  else 'ff0000' end as color""",
             """case event_id % 3 when 0 then concat('com', char(173), 'ment  no.\\t', event_id)
@@ -76,7 +89,7 @@ class Corpus:
             "float((event_id * 37) % 500) as x",
             "float(if(event_type = 'click', (event_id * 53) % 60, (event_id * 53) % 700)) as y",
             "float(10 + event_id % 90) as w", "float(5 + event_id % 40) as h")
-        return rows.selectExpr(
+        return rows.withColumn("kind", shown_kind(F.col("raw_kind"))).selectExpr(
             "*",
             """case when kind = 'highlight' then filter(array(
                  if(event_id % 11 = 0, null, struct(x, y, w, h)),
@@ -98,9 +111,8 @@ class Corpus:
 
     def page_entries(self) -> DataFrame:
         """The pages an annotation file lists, some without annotations: all pages of documents
-        with an event."""
-        users = self.events.select(F.col("user_id").alias("doc_id"))
-        return self.bodies().select(*PAGE).join(users, "doc_id", "left_semi")
+        with an annotation."""
+        return self.bodies().select(*PAGE).join(self.marks().select("doc_id"), "doc_id", "left_semi")
 
     def highlight_raw(self, ann: DataFrame) -> DataFrame:
         """Text found under the highlights of `annotations()`. It starts anywhere in the page, has doubled spaces and

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from marginalia import schemas
+from marginalia.functions.text import shown_kind
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType,
@@ -12,7 +13,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def read_annotations(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.ANNOTATIONS, format)
+    """Annotations; text markup of other kinds comes as highlights."""
+    rows = read_table(spark, path, schemas.ANNOTATIONS, format)
+    return rows.withColumn("kind", shown_kind(rows["kind"]))
 
 
 def read_outline(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -36,5 +39,8 @@ def read_names(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def write_digests(digests: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write (doc_id, file_name, piece columns, markdown) rows as a parquet table."""
-    digests.write.mode(mode).parquet(path)
+    """Write (doc_id, name, file_name, piece_no, markdown) rows as a parquet table.
+
+    The pieces of a document lie in one file, or in neighbouring ones, in order.
+    """
+    digests.repartitionByRange("doc_id", "piece_no").sortWithinPartitions("doc_id", "piece_no").write.mode(mode).parquet(path)

@@ -4,12 +4,15 @@ import random
 
 import library as lib
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import blocks, sections
 from marginalia.operators.filters import filter_annotations, filter_colors, filter_report
 from marginalia.operators.outline import dedup_outline, flatten_outline
 from marginalia.operators.stored import stored
 from marginalia.operators.summary import document_totals, page_counts, section_summary
+from marginalia.plans.digest import annotation_digest, digest_files
+from marginalia.sources import tables
 from marginalia.sources.tables import read_annotations, write_digests
 
 
@@ -141,9 +144,40 @@ def test_tables_round_trip(spark, tmp_path):
         ann.write.format(kind).save(path)
         back = read_annotations(spark, path, kind)
         assert back.orderBy("page_idx").collect() == ann.orderBy("page_idx").collect()
-    texts = spark.createDataFrame([(1, "a-annotations.md", "# x")], "doc_id long, file_name string, markdown string")
-    write_digests(texts, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).collect() == texts.collect()
+    marked = ann.withColumn("kind", F.when(F.col("kind") == "highlight", "squiggly").otherwise(F.col("kind")))
+    marked.write.parquet(str(tmp_path / "marked"))
+    assert {r.kind for r in read_annotations(spark, str(tmp_path / "marked")).collect()} == {"highlight", "freehand"}
+
+
+def test_digest_from_tables_as_they_are_read(spark, tmp_path):
+    ann = lib.annotations(spark, [lib.highlight(0, kind="underline"), lib.note(2, "later"), lib.rect(2)])
+    glyphs = lib.table(spark, lib.schemas.GLYPHS, [
+        {"doc_id": 1, "page_idx": 0, "glyph_idx": i, "ch": ch, "x0": 60.0 + 6 * i, "y0": 50.0, "x1": 66.0 + 6 * i, "y1": 60.0}
+        for i, ch in enumerate("ebb")])
+    geometry = lib.table(spark, lib.schemas.PAGE_GEOMETRY, [{"doc_id": 1, "page_idx": 2, "bmp_w": 2550, "bmp_h": 3300}])
+    made = {"annotations": ann, "outline": lib.outline(spark, [("Tides", 0)]), "page_text": lib.page_text(spark, (0, "at ebb tide")),
+            "glyphs": glyphs, "geometry": geometry, "names": lib.names(spark, (1, "sea/tides.pdf"))}
+    read = {}
+    for name, table in made.items():
+        table.write.parquet(str(tmp_path / name))
+        read[name] = getattr(tables, f"read_{name}")(spark, str(tmp_path / name))
+        assert read[name].schema.simpleString() == table.schema.simpleString()
+    pieces = annotation_digest(read["annotations"], flatten_outline(read["outline"]), read["names"], read["page_text"],
+                               read["glyphs"], read["geometry"])
+    write_digests(digest_files(pieces), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id", "piece_no").collect()
+    assert [r.piece_no for r in back] == [0, 1, 2] and {r.file_name for r in back} == {"sea/tides-annotations.md"}
+    assert "> at **ebb** tide\n>\n> *(p. 1, highlight)*" in back[1].markdown
+    assert "![Rectangle annotation, p. 3](tides-annotations-images/annotation_001.png)" in back[2].markdown
+
+
+def test_pieces_are_written_in_order(spark, tmp_path):
+    rows = [(d, "n", p, f"{d}.{p}", "f") for p in range(40) for d in range(5)]
+    write_digests(spark.createDataFrame(rows, "doc_id long, name string, piece_no long, markdown string, file_name string"),
+                  str(tmp_path / "out"))
+    for file in (tmp_path / "out").glob("*.parquet"):
+        found = [(r.doc_id, r.piece_no) for r in spark.read.parquet(str(file)).collect()]
+        assert found == sorted(found)
 
 
 def test_stored_tables_go_to_the_checkpoint_folder(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -20,18 +21,26 @@ PAGES_PER_WORD = 2
 # A text is compressed in pieces of so many bytes, so that the end of a long text counts like its start, and not
 # what it repeats of itself.
 PIECE = 256
-# zstandard levels: the second judges again where the first gives a score below SURE.
+# zstandard levels: the second judges again where the first gives a score below SURE. It compresses each piece
+# behind a primer, text of the language, since what is short may not compress at all on its own.
 QUICK, STRONG, SURE = 6, 12, 0.03
+PRIMER_PAGES, PRIMER_CHARS = 4, 600
 # A prediction that saves less than this share of the runner-up's bytes is rejected.
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.005
 UNDECIDED = "und"
 
 PAGE = ["doc_id", "page_idx"]
 NO_LETTERS = regex.compile(r"\P{L}+")
 
 
-def fit_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
-    """A zstandard raw-content dictionary for each language of rows (doc_id, page_idx, text, lang).
+class Dictionary(NamedTuple):
+    """Raw content for zstandard, and the primer."""
+    words: bytes
+    primer: bytes
+
+
+def fit_dictionaries(labelled: DataFrame) -> dict[str, Dictionary]:
+    """A zstandard raw-content dictionary and a primer for each language of rows (doc_id, page_idx, text, lang).
 
     The pages are those with the lowest hashes of their key, one for each of PAGES_PER_LANGUAGE parts of the
     hash range. A dictionary has their words, the most widespread last, where references to it are shortest.
@@ -45,19 +54,26 @@ def fit_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     sample = (rows.join(F.broadcast(drawn), ["lang", "draw"])
               .select("lang", "draw", F.substring("text", 1, CHARS_PER_PAGE).alias("text"))
               .groupBy("lang", "draw").agg(F.min("text").alias("text")))
-    pages: dict[str, Counter[str]] = {}
-    for row in sample.collect():
-        pages.setdefault(row.lang, Counter()).update(set(letters(row.text).split()))
-    return {lang: _by_spread(counts) for lang, counts in pages.items()}
+    pages: dict[str, list[str]] = {}
+    for row in sorted(sample.collect(), key=lambda r: (r.lang, r.draw)):
+        pages.setdefault(row.lang, []).append(letters(row.text).strip())
+    return {lang: Dictionary(_by_spread(own), _primer(own)) for lang, own in pages.items()}
 
 
-def _by_spread(counts: Counter[str]) -> bytes:
+def _by_spread(pages: list[str]) -> bytes:
+    counts = Counter(word for page in pages for word in set(page.split()))
     least = PAGES_PER_WORD if max(counts.values(), default=0) >= PAGES_PER_WORD else 1
     words = sorted((n, word) for word, n in counts.items() if n >= least)
     return " ".join(word for _, word in words).encode()
 
 
-def page_languages(page_text: DataFrame, dictionaries: dict[str, bytes],
+def _primer(pages: list[str]) -> bytes:
+    """Starts of pages that do not repeat themselves, as far as there are some."""
+    varied = sorted(pages, key=lambda page: -len(set(page[:PRIMER_CHARS].split())))
+    return " ".join([*(page[:PRIMER_CHARS] for page in varied[:PRIMER_PAGES]), ""]).encode()
+
+
+def page_languages(page_text: DataFrame, dictionaries: dict[str, Dictionary],
                    min_margin: float = MIN_MARGIN) -> DataFrame:
     """(doc_id, page_idx, lang_pred, score, rejected) for each row of page_text.
 
@@ -89,9 +105,12 @@ def letters(text: str) -> str:
 class Judge:
     """Compressors of all languages; made once in each task."""
 
-    def __init__(self, dictionaries: dict[str, bytes]):
-        self.quick, self.strong = ([(lang, _compressor(dictionaries[lang], level)) for lang in sorted(dictionaries)]
-                                   for level in (QUICK, STRONG))
+    def __init__(self, dictionaries: dict[str, Dictionary]):
+        self.quick, self.strong = [], []
+        for lang, own in sorted(dictionaries.items()):
+            self.quick.append((lang, b"", 0, _compressor(own.words, QUICK)))
+            strong = _compressor(own.words, STRONG)
+            self.strong.append((lang, own.primer, len(strong.compress(own.primer)) - 1, strong))
 
     def __call__(self, text: bytes | None) -> tuple[str, float]:
         words = letters((text or b"").decode()).strip()
@@ -114,7 +133,9 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=content, compression_params=parameters)
 
 
-def _smallest(compressors: list[tuple[str, zstandard.ZstdCompressor]], pieces: list[bytes]) -> tuple[str, float]:
-    sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in compressors)
+def _smallest(compressors: list[tuple[str, bytes, int, zstandard.ZstdCompressor]], pieces: list[bytes]) -> tuple[str, float]:
+    """The language with the fewest bytes, the primer's not counted, and what it saves of the second."""
+    sizes = sorted((sum(max(1, len(c.compress(primer + p)) - before) for p in pieces), lang)
+                   for lang, primer, before, c in compressors)
     (best, lang), second = sizes[0], sizes[1:2]
     return lang, 1 - best / second[0][0] if second else 1.0

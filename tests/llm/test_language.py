@@ -55,10 +55,16 @@ def test_defined_cases(spark, dictionaries):
     assert all(r.rejected for r in mixed)
 
 
+def test_short_texts(spark, dictionaries):
+    rows = list(pages(7, 300, words=(3, 6)))
+    found = {r.doc_id: r for r in language.page_languages(spark.createDataFrame(rows, SCHEMA), dictionaries).collect()}
+    assert sum(found[i].lang_pred == lang for i, _, _, lang in rows) / 300 > 0.97
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert language.fit_dictionaries(empty) == {}
-    assert language.page_languages(empty, {"aa": b"a"}).count() == 0
+    assert language.page_languages(empty, {"aa": language.Dictionary(b"a", b"")}).count() == 0
     one = spark.createDataFrame([(1, 0, "some text", None)], SCHEMA)
     assert [(r.lang_pred, r.rejected) for r in language.page_languages(one, {}).collect()] == [("und", True)]
-    assert [(r.lang_pred, r.score) for r in language.page_languages(one, {"aa": b"a"}).collect()] == [("aa", 1.0)]
+    assert [(r.lang_pred, r.score) for r in language.page_languages(one, {"aa": language.Dictionary(b"a", b"")}).collect()] == [("aa", 1.0)]

@@ -11,19 +11,19 @@ POINTS_PER_INCH = 72.0
 PADDING_PX = 40
 
 
-def cell_of(coordinate: Column, size: float) -> Column:
-    return F.floor(coordinate.cast("double") / size)
+def cell_of(coordinate: Column, size: float | Column) -> Column:
+    """Place of a coordinate on a grid, as a whole double: no coordinate is too far out for it."""
+    place = coordinate.cast("double") / size
+    return place - F.pmod(place, F.lit(1.0))
 
 
-def cell_number(col: Column, row: Column) -> Column:
-    """One number for a grid cell."""
-    return col * F.lit(2**32) + row
+def cells_between(first: Column, last: Column) -> Column:
+    """The places from first to last, which must not be many."""
+    return F.transform(F.sequence(F.lit(0), (last - first).cast("int")), lambda step: first + step)
 
 
-def cell_place(number: Column) -> tuple[Column, Column]:
-    """Column and row of a numbered cell."""
-    col = F.shiftright(number + F.lit(2**31), 32)
-    return col, number - col * F.lit(2**32)
+def cell(col: Column, row: Column) -> Column:
+    return F.struct(col.alias("col"), row.alias("row"))
 
 
 def sort_y(kind: Column, y: Column, rects: Column, points: Column) -> Column:

@@ -3,16 +3,14 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.geometry import cell_number, cell_of
+from marginalia.functions.geometry import cell, cell_of, cells_between
 from marginalia.functions.text import case_fold, clean_text, is_blank, passage_pattern
 from marginalia.operators.blocks import ANNOTATION, PAGE, block_of, spread_join
 from marginalia.operators.sections import annotated_pages
 
-# Side of the squares, in points, that bring glyphs and highlight boxes together.
+# Side of the smallest squares, in points, that bring glyphs and highlight boxes together; each level above has
+# squares twice as large. A box lies on the level whose squares are at least as large as it.
 CELL = 36.0
-# A box over more cells is a good part of a page and is not cut.
-CELLS_PER_BOX = 64
-WHOLE_PAGE = -(2**63)
 # Highlights of a page, by position, that meet its glyphs in one task.
 BOXES_PER_BLOCK = 16384
 
@@ -50,29 +48,22 @@ def _middle(low: str, high: str) -> Column:
 def _meet(boxes: DataFrame, centres: DataFrame) -> DataFrame:
     """Pairs of box and glyph centre inside it.
 
-    Both meet in the cells of a grid; a box over very many cells meets all glyphs of its page
-    instead. Glyphs are copied to each block of annotations on their page, which spreads a page
+    Both meet in the cells of a grid: a box in at most four of its own level, a glyph in one of each level that
+    boxes of its page have. Glyphs are copied to each block of annotations on their page, which spreads a page
     with very many highlights, and glyphs of other pages are left out.
     """
-    left, right = cell_of(F.col("left"), CELL), cell_of(F.col("right"), CELL)
-    top, bottom = cell_of(F.col("top"), CELL), cell_of(F.col("bottom"), CELL)
-    number = (right - left + 1).cast("double") * (bottom - top + 1)
-    cells = F.flatten(F.transform(F.sequence(top, bottom), lambda row: F.transform(
-        F.sequence(left, right), lambda col: cell_number(col, row))))
+    size = F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top")).cast("double")
+    side = F.lit(CELL) * F.pow(F.lit(2.0), F.col("_level"))
     boxes = (boxes.where("left <= right and top <= bottom")
              .withColumn("_block", block_of(F.col("annot_idx"), BOXES_PER_BLOCK))
-             .withColumn("_large", number > CELLS_PER_BOX))
-    pages = boxes.groupBy(*PAGE).agg(F.collect_set("_block").alias("_blocks"),
-                                     F.max("_large").alias("_large"))
-    whole_page = F.array(F.lit(WHOLE_PAGE))
-    boxes = boxes.withColumn("_cell", F.explode(F.when(F.col("_large"), whole_page).otherwise(cells)))
-    own = F.array(cell_number(cell_of(F.col("cx"), CELL), cell_of(F.col("cy"), CELL)))
-    centres = (spread_join(centres, pages, PAGE, "glyph_idx", "inner")
-               .withColumn("_block", F.explode("_blocks"))
-               .withColumn("_cell", F.explode(F.when(F.col("_large"), F.concat(own, whole_page))
-                                              .otherwise(own)))
-               .drop("_blocks", "_large"))
-    met = boxes.drop("_large").join(centres, [*PAGE, "_block", "_cell"])
+             .withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size / CELL, F.lit(1.0)))).cast("int"))))
+    wanted = boxes.select(*PAGE, "_block", "_level").distinct()
+    boxes = (boxes.withColumn("_col", F.explode(cells_between(cell_of(F.col("left"), side), cell_of(F.col("right"), side))))
+             .withColumn("_row", F.explode(cells_between(cell_of(F.col("top"), side), cell_of(F.col("bottom"), side))))
+             .withColumn("_cell", cell(F.col("_col"), F.col("_row"))).drop("_col", "_row"))
+    centres = (centres.join(wanted, PAGE)
+               .withColumn("_cell", cell(cell_of(F.col("cx"), side), cell_of(F.col("cy"), side))))
+    met = boxes.join(centres, [*PAGE, "_block", "_level", "_cell"])
     return met.where("cx between left and right and cy between top and bottom").select(
         *ANNOTATION, "rect_idx", "glyph_idx", "ch")
 

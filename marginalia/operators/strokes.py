@@ -1,9 +1,9 @@
 """Freehand strokes: boxes, and clusters of strokes at most 50 points apart."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.geometry import bbox_gap, cell_number, cell_of, cell_place, stroke_bounds
+from marginalia.functions.geometry import bbox_gap, cell, cell_of, cells_between, stroke_bounds
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.components import connected_components
 from marginalia.operators.stored import stored
@@ -16,7 +16,9 @@ CELL = 35.0
 # Cells this many steps apart can still hold boxes within the merge distance.
 REACH = 2
 # Squares of 4 by 4 cells bring near cells together.
-SQUARE_BITS = 2
+SQUARE = 4
+# Boxes over more cells than this in one direction, several pages wide, are not cut into pieces.
+WIDEST = 64
 # Cells with more pieces than this are not compared piece by piece but cut into parts first.
 FEW_PIECES = 64
 PARTS_PER_SIDE = 8
@@ -45,9 +47,10 @@ def stroke_clusters(ann: DataFrame) -> DataFrame:
     lowest = (strokes.where(F.col("node").isNotNull())
               .groupBy(*PAGE, "node").agg(F.min("annot_idx").alias("lowest")))
     linked = connected_components(cell_links(strokes), PAGE)
-    together = Window.partitionBy(*PAGE, F.coalesce("component", "node"))
-    lookup = (lowest.join(linked, [*PAGE, "node"], "left")
-              .select(*PAGE, "node", F.min("lowest").over(together).alias("cluster_idx")))
+    named = (lowest.join(linked, [*PAGE, "node"], "left")
+             .withColumn("component", F.coalesce("component", "node")))
+    clusters = named.groupBy(*PAGE, "component").agg(F.min("lowest").alias("cluster_idx"))
+    lookup = named.join(clusters, [*PAGE, "component"]).select(*PAGE, "node", "cluster_idx")
     found = spread_join(strokes, lookup, [*PAGE, "node"], "annot_idx")
     return stored(found.withColumn("cluster_idx", F.coalesce("cluster_idx", "annot_idx"))
                   .drop("node"))
@@ -67,13 +70,16 @@ def cell_links(boxes: DataFrame) -> DataFrame:
 
     A stroke counts for its first cell. Each cell it reaches into has an owner, the smallest
     first cell of the strokes there; links lead to owners and between owners of near cells.
+    Wide boxes have a piece in their first cell only and are compared with all boxes of the page.
     """
-    boxes = boxes.where(F.col("min_x").isNotNull()).select(*PAGE, *SIDES).distinct()
-    pieces = _cut(boxes.withColumn("first", _first_cell()), CELL, "node")
-    here = Window.partitionBy(*PAGE, "node")
-    reached = (pieces.select(*PAGE, "node", "first").distinct()
-               .withColumn("owner", F.min("first").over(here)).where("first <> owner")
-               .select(*PAGE, F.col("first").alias("a"), F.col("owner").alias("b")).distinct())
+    boxes = (boxes.where(F.col("min_x").isNotNull()).select(*PAGE, *SIDES).distinct()
+             .withColumn("first", _first_cell()).withColumn("wide", _is_wide()))
+    pieces = _cut(_first_piece_of_wide(boxes), CELL, "node")
+    reached = pieces.select(*PAGE, "node", "first").distinct()
+    owners = reached.groupBy(*PAGE, "node").agg(F.min("first").alias("owner"))
+    reached = (reached.join(owners, [*PAGE, "node"]).where("first <> owner")
+               .select(*PAGE, F.col("first").alias("a"), F.col("owner").alias("b"))
+               .union(_wide_links(boxes)).distinct())
     cells = _hulls(pieces, ["node"], F.min("first").alias("owner"))
     near = _judged(_neighbours(cells)).select(
         *PAGE, F.col("owner_a").alias("a"), F.col("owner_b").alias("b"), "node_a", "node_b",
@@ -92,19 +98,38 @@ def _cell(side: str, size: float) -> Column:
 
 
 def _first_cell() -> Column:
-    return cell_number(_cell("min_x", CELL), _cell("min_y", CELL))
+    """The cell of the upper left corner, null for strokes without points."""
+    return F.when(F.col("min_x").isNotNull(), cell(_cell("min_x", CELL), _cell("min_y", CELL)))
+
+
+def _is_wide() -> Column:
+    return F.greatest(_cell("max_x", CELL) - _cell("min_x", CELL), _cell("max_y", CELL) - _cell("min_y", CELL)) >= WIDEST
+
+
+def _first_piece_of_wide(boxes: DataFrame) -> DataFrame:
+    def cut(side: str, start: str) -> Column:
+        edge = ((_cell(start, CELL) + 0.5) * CELL).cast("float")
+        return F.when(F.col("wide"), F.greatest(start, F.least(side, edge))).otherwise(F.col(side)).alias(side)
+    return boxes.select(*PAGE, "first", "min_x", "min_y", cut("max_x", "min_x"), cut("max_y", "min_y"))
+
+
+def _wide_links(boxes: DataFrame) -> DataFrame:
+    wide = _side(boxes.where("wide").drop("wide"), "a")
+    met = wide.join(_side(boxes.drop("wide"), "b"), PAGE).where("first_a <> first_b")
+    return (met.where(bbox_gap(_box("a"), _box("b")) <= MERGE_DISTANCE)
+            .select(*PAGE, F.col("first_a").alias("a"), F.col("first_b").alias("b")).distinct())
 
 
 def _cut(boxes: DataFrame, size: float, name: str) -> DataFrame:
     """Boxes cut along the grid, one piece for every cell they reach into."""
     kept = [c for c in boxes.columns if c not in SIDES]
     spread = (boxes
-              .withColumn("_col", F.explode(F.sequence(_cell("min_x", size), _cell("max_x", size))))
-              .withColumn("_row", F.explode(F.sequence(_cell("min_y", size), _cell("max_y", size)))))
+              .withColumn("_col", F.explode(cells_between(_cell("min_x", size), _cell("max_x", size))))
+              .withColumn("_row", F.explode(cells_between(_cell("min_y", size), _cell("max_y", size)))))
 
     def edge(place: Column) -> Column:
         return (place * size).cast("float")
-    return spread.select(*kept, cell_number(F.col("_col"), F.col("_row")).alias(name),
+    return spread.select(*kept, cell(F.col("_col"), F.col("_row")).alias(name),
                          F.greatest("min_x", edge(F.col("_col"))).alias("min_x"),
                          F.greatest("min_y", edge(F.col("_row"))).alias("min_y"),
                          F.least("max_x", edge(F.col("_col") + 1)).alias("max_x"),
@@ -135,9 +160,8 @@ def _neighbours(cells: DataFrame) -> DataFrame:
     holds a cell from which it is within reach.
     """
     def square(col: Column, row: Column) -> Column:
-        return cell_number(F.shiftright(col, SQUARE_BITS), F.shiftright(row, SQUARE_BITS))
-    col, row = cell_place(F.col("node"))
-    places = cells.withColumn("col", col).withColumn("row", row)
+        return cell(cell_of(col, SQUARE), cell_of(row, SQUARE))
+    places = cells.select("*", "node.*")
     reached = F.array_distinct(F.array(*(
         square(F.col("col_b") + dx, F.col("row_b") + dy) for dx in (-REACH, 0) for dy in (-REACH, REACH))))
     ahead = _side(places, "b").withColumn("_square", F.explode(reached))
@@ -182,9 +206,9 @@ def _close_inside(pieces: DataFrame, unsure: DataFrame) -> DataFrame:
     link = [*PAGE, "a", "b"]
     cells = unsure.select(*PAGE, F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
     pieces = stored(pieces.join(cells, [*PAGE, "node"])
-                    .select(*PAGE, "node", F.lit(0).cast("bigint").alias("part"), *SIDES))
-    unsure = unsure.select(*link, "node_a", "node_b", F.lit(0).cast("bigint").alias("part_a"),
-                           F.lit(0).cast("bigint").alias("part_b"), "is_small")
+                    .select(*PAGE, "node", _no_part().alias("part"), *SIDES))
+    unsure = unsure.select(*link, "node_a", "node_b", _no_part().alias("part_a"),
+                           _no_part().alias("part_b"), "is_small")
     size, found = CELL, []
     while True:
         last = size / PARTS_PER_SIDE < SMALLEST_PART
@@ -213,6 +237,10 @@ def _close_inside(pieces: DataFrame, unsure: DataFrame) -> DataFrame:
     return links.distinct()
 
 
+def _no_part() -> Column:
+    return cell(F.lit(0.0), F.lit(0.0))
+
+
 def _join_sides(pairs: DataFrame, rows: DataFrame, key: str = "part") -> DataFrame:
     return (pairs.join(_side(rows, "a"), [*PAGE, "node_a", f"{key}_a"])
             .join(_side(rows, "b"), [*PAGE, "node_b", f"{key}_b"]))

@@ -107,6 +107,23 @@ def test_dense_groups_need_few_links(spark):
     assert ops.cell_links(boxes).count() == 0
 
 
+def test_far_and_wide_strokes(spark):
+    rng = random.Random(12)
+    far = [[(1e12, 5.0)], [(1e12, 60.0)], [(1e12, 400.0)], [(-1e12, 5.0)], [(3e38, -3e38)], [(3e38, -3e38)], [(-3e38, 0.0)], [(0.0, 0.0)]]
+    wide = [[(0.0, 0.0), (1e11, 10.0)], [(5e10, 55.0)], [(5e10, 300.0)], [(-40.0, -20.0)], [(-60.0, -20.0)], [(200.0, -1e12), (210.0, 1e12)],
+            [(2000.0, 5000.0)], [(0.0, 5040.0), (9000.0, 5080.0)], [(9049.0, 5100.0), (9100.0, 9000.0)]]
+    mixed = [*scattered(rng, 30, 3000, 3000, 60), *scattered(rng, 8, 3000, 3000, 5000)]
+    check(spark, [far, wide, mixed])
+
+
+def test_many_strokes_over_the_whole_page(spark):
+    rng = random.Random(13)
+    rows = [lib.freehand(0, (rng.uniform(0, 20), rng.uniform(0, 20)), (rng.uniform(590, 612), rng.uniform(770, 792))) for _ in range(5000)]
+    rows += [lib.freehand(0, (700.0, 900.0)), lib.freehand(0, (660.0, 400.0))]
+    found = {r.annot_idx: r.cluster_idx for r in ops.stroke_clusters(lib.annotations(spark, rows)).collect()}
+    assert {found[i] for i in range(5000)} == {0} and found[5000] == 5000 and found[5001] == 0
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(2)
     nodes = rng.sample(range(10_000), 400)

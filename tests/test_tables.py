@@ -137,6 +137,18 @@ def test_spread_join_splits_a_hot_key(spark, monkeypatch):
     assert joined.where("v = 'x'").count() == 1000 and joined.columns == ["k", "i", "v"]
 
 
+def test_reading_order_of_a_crowded_page(spark, monkeypatch):
+    """One page with distinct heights, blocks of three rows."""
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", 3)
+    rng = random.Random(3)
+    rows = [lib.note(0, "n", y=rng.choice([rng.uniform(-40, 800), 7.0, 1e30, -1e30])) for _ in range(200)] + [lib.caret(0) for _ in range(20)]
+    ann = lib.annotations(spark, rows).withColumn("outline_key", F.lit("~"))
+    found = {r.annot_idx: r["rank"] for r in sections.reading_order(ann).collect()}
+    heights = {r.annot_idx: r.sort_y for r in sections.with_sort_y(ann).collect()}
+    order = sorted(heights, key=lambda i: (heights[i], i))
+    assert [found[i] for i in order] == list(range(1, 221))
+
+
 def test_tables_round_trip(spark, tmp_path):
     ann = lib.annotations(spark, [lib.highlight(0, author="Ada"), lib.freehand(1, (1.0, 2.0))])
     for kind in ("parquet", "json"):

@@ -2,7 +2,7 @@
 
 A stage works on all that the one before it kept, and returns the columns of documents; the last returns the
 pieces of documents with their batches. A null text has no letters, so the first stage rejects it; a document without
-doc_id is judged like any other. Rows that repeat a document are near copies of each other: one stays.
+doc_id is judged like any other. Rows that repeat a doc_id are judged together by the first and third stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +21,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near copies."""
+    """The document with the smallest doc_id of each class of near copies.
+
+    Where rows repeat a doc_id, those that stand for a class are told by their fingerprints, and one of each class stays.
+    """
     classes = stored(simhash.near_duplicate_pages(as_page_text(docs)))
-    once = _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_doc_id"))))
-    again = classes.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    repeated = _only(once, again).dropDuplicates(["doc_id"])
-    return _without(once, again).unionByName(repeated)
+    first = F.col("doc_id").eqNullSafe(F.col("class_doc_id"))
+    ids = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(first).alias("first")).where("first")
+    firsts = classes.where(first).select(F.col("doc_id").alias("id"), "fingerprint", "class_fingerprint").distinct()
+    again = _wrapped(_joined(docs, ids.where("rows > 1"), "left_semi")).withColumn("own", simhash.fingerprint_of(F.col("row.text")))
+    again = (again.join(firsts, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("fingerprint")))
+             .dropDuplicates(["id", "class_fingerprint"]).select("row.*"))
+    return _joined(docs, ids.where("rows = 1"), "left_semi").unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +52,14 @@ def _without(docs: DataFrame, pages: DataFrame) -> DataFrame:
     return _joined(docs, pages, "left_anti")
 
 
-def _only(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    return _joined(docs, pages, "left_semi")
+def _joined(docs: DataFrame, pages: DataFrame, how: str) -> DataFrame:
+    """Documents with or without a row in pages; their own columns may have any names."""
+    ids = pages.select(F.col("doc_id").alias("id")).distinct()
+    return _wrapped(docs).join(ids, F.col("row.doc_id").eqNullSafe(F.col("id")), how).select("row.*")
 
 
-def _joined(docs: DataFrame, pages: DataFrame, how: str) -> DataFrame:
-    ids = pages.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def _wrapped(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"))
 
 
 STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup),

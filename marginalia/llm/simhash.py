@@ -10,6 +10,7 @@ cells next to its own. What meets is compared bit by bit.
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,10 +34,10 @@ EVEN_BITS = np.uint64(0x55555555)
 
 
 def near_duplicate_pages(page_text: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, page_idx, fingerprint, class_doc_id, class_page_idx) for each row of page_text.
+    """(doc_id, page_idx, fingerprint, class_fingerprint, class_doc_id, class_page_idx) for each row of page_text.
 
     Pages whose fingerprints differ in at most `max_distance` (up to 3) bits are linked; a class is what
-    links reach, named by its smallest page. Fingerprints are 64-bit, as signed longs. Null,
+    links reach, with its smallest fingerprint and its smallest page. Fingerprints are 64-bit, as signed longs. Null,
     empty and blank texts have fingerprint zero and are linked like any other. Rows that repeat a page each
     come back; a null doc_id or page_idx sorts first. Other columns are ignored.
     """
@@ -54,10 +55,19 @@ def near_duplicate_pages(page_text: DataFrame, max_distance: int = MAX_DISTANCE)
                    .withColumn("component", F.coalesce("component", "fingerprint")))
     firsts = classes.groupBy("component").agg(F.min("first").alias("class"))
     named = classes.join(firsts, "component").select(
-        "fingerprint", F.col("class.doc_id").alias("class_doc_id"),
+        "fingerprint", F.col("component").alias("class_fingerprint"), F.col("class.doc_id").alias("class_doc_id"),
         F.col("class.page_idx").alias("class_page_idx"))
     return (pages.join(named, "fingerprint")
-            .select(*PAGE, "fingerprint", "class_doc_id", "class_page_idx"))
+            .select(*PAGE, "fingerprint", "class_fingerprint", "class_doc_id", "class_page_idx"))
+
+
+def fingerprint_of(text: Column) -> Column:
+    """A text's fingerprint as near_duplicate_pages gives it."""
+    @F.pandas_udf("long")
+    def of(column: pd.Series) -> pd.Series:
+        prints = [fingerprint(None if t is None else t.encode()) for t in column]
+        return pd.Series(np.array(prints, np.uint64).view(np.int64))
+    return of(text)
 
 
 def hex_fingerprint(fingerprint: Column) -> Column:

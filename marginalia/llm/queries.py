@@ -157,9 +157,59 @@ def op9_license_scan(spark, sf_dir):
     return licenses.licensed_pages(as_page_text(read(spark, sf_dir, "documents"))).drop("page_idx")
 
 
+TEMPLATES = ", ".join(f"({i}, '{name}', '{licenses.normal_words(text)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+ORACLE_SQL["op9_license_scan"] = rf"""
+with lines as (
+  select doc_id, ord, trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as words
+  from (select doc_id, unnest(a) as line, unnest(range(len(a))) as ord
+        from (select doc_id, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') as a from documents))),
+parts as (
+  select *, count_if(words = '') over (partition by doc_id order by ord) as part from lines),
+passages as (
+  select *, row_number() over () as id, length(words) - length(replace(words, ' ', '')) as size from (
+    select doc_id, words from lines where words <> ''
+    union all select doc_id, string_agg(words, ' ' order by ord) from parts where words <> ''
+      group by doc_id, part having count(*) > 1
+    union all select doc_id, string_agg(words, ' ' order by ord) from parts where words <> ''
+      group by doc_id having count(distinct part) > 1)),
+templates as (select template, license_id, words, length(words) - length(replace(words, ' ', '')) as size
+  from (values {TEMPLATES}) t(template, license_id, words)),
+own as (
+  select id, w[i] || ' ' || w[i + 1] as bigram, count(*) as n
+  from (select id, string_split(words, ' ') as w, unnest(range(1, size + 1)) as i from passages
+        where size <= (select 1.5 * max(size) from templates)) group by id, bigram),
+known as (
+  select template, w[i] || ' ' || w[i + 1] as bigram, count(*) as n
+  from (select template, string_split(words, ' ') as w, unnest(range(1, size + 1)) as i from templates) group by template, bigram),
+shared as (select id, template, sum(least(o.n, k.n)) as n from own o join known k using (bigram) group by id, template),
+scores as (
+  select doc_id, id, license_id, 2 * n::bigint / (p.size + t.size) as dice
+  from shared join passages p using (id) join templates t using (template))
+select doc_id, license_id, count(distinct id) as n_places, max(dice) as best_dice
+from scores where dice >= 0.8 group by doc_id, license_id"""
+
+
 @query
 def op10_topk_search(spark, sf_dir):
     """The queries are the documents whose doc_id is divisible by 100, whole."""
     documents = read(spark, sf_dir, "documents")
     queries = documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return search.search_pages(as_page_text(documents), queries).drop("page_idx")
+    found = search.search_pages(as_page_text(documents), queries)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+ORACLE_SQL["op10_topk_search"] = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+bags as (select doc_id, word, count(*) as times from (select doc_id, unnest(w) as word from words) group by doc_id, word),
+sizes as (select doc_id, len(w) as size, avg(len(w)) over () as mean, count(*) over () as n from words),
+idf as (
+  select word, ln(1 + ((select count(*) from words) - count(*) + 0.5) / (count(*) + 0.5)) as idf from bags group by word),
+scores as (
+  select q.doc_id as query_id, d.doc_id, round(sum(q.times * idf * d.times * 2.2e0
+    / (d.times + 1.2e0 * (0.25e0 + 0.75e0 * size / mean))), 9) as score
+  from bags q join bags d using (word) join idf using (word) join sizes s on s.doc_id = d.doc_id
+  where q.doc_id % 100 = 0 group by q.doc_id, d.doc_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from scores)
+select query_id, rank, doc_id, round(score, 6) as score from ranked where rank <= 10"""

@@ -12,17 +12,16 @@ PARTS = 16
 
 
 def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, component) of every node on an edge (keys, a, b); a and b differ.
+    """(keys, node, component) of every node on an edge (keys, a, b); a and b differ. Store costly edges.
 
     Each round hangs nodes below smaller neighbours, until every component is a star. The
     number of rounds grows with the logarithm of the size, not with the length of chains.
     """
-    while True:
+    edges = edges.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    while not _is_star_forest(edges, keys):
         for _ in range(ROUNDS_PER_LOOK):
             edges = _round(edges, keys)
         edges = stored(edges)
-        if _is_star_forest(edges, keys):
-            break
     ends = _both(edges, keys, ("a", "b"), ("b", "b"))
     return ends.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).distinct()
 

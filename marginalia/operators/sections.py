@@ -9,8 +9,8 @@ from marginalia.operators.blocks import (
 from marginalia.operators.outline import NO_HEADING, page_headings
 from marginalia.operators.stored import stored
 
-# Heights, in points, by which a page is cut where annotations are numbered.
-STRIP, LINE = 16.0, 0.25
+# Height of a line, in points, by which a page is cut where annotations are numbered.
+LINE = 0.25
 
 
 def headings_at(pages: DataFrame, ol: DataFrame) -> DataFrame:
@@ -59,15 +59,13 @@ def with_sort_y(ann: DataFrame) -> DataFrame:
 def reading_order(assigned: DataFrame) -> DataFrame:
     """Add `rank`, the 1-based place in the section by page, height and position.
 
-    A page is cut by height into strips and these into lines, so that a page with very many heights is sorted by
-    lines; annotations of the same height, as all carets and free texts are, are cut by position.
+    A page is cut by height into lines, so that a page with very many heights is sorted line by line; annotations of
+    the same height, as all carets and free texts are, are cut by position.
     """
-    y = F.col("sort_y")
-    rows = stored(with_sort_y(assigned).drop("rects", "points")).withColumns({
-        "_pages": page_block(), "_strip": y - F.pmod(y, F.lit(STRIP)), "_line": y - F.pmod(y, F.lit(LINE)), "_part": annot_block()})
-    levels = [["_pages"], ["page_idx"], ["_strip"], ["_line"], ["sort_y", "_part"]]
-    return number_rows(rows, ["doc_id", "outline_key"], levels, ["annot_idx"],
-                       "rank").drop("_pages", "_strip", "_line", "_part")
+    line = F.col("sort_y") - F.pmod(F.col("sort_y"), F.lit(LINE))
+    rows = stored(with_sort_y(assigned).drop("rects", "points")).withColumns({"_line": line, "_part": annot_block()})
+    levels = [["page_idx"], ["_line"], ["sort_y", "_part"]]
+    return number_rows(rows, ["doc_id", "outline_key"], levels, ["annot_idx"], "rank").drop("_line", "_part")
 
 
 def image_first_shown(ordered: DataFrame) -> DataFrame:

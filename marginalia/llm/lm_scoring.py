@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from marginalia.llm.batches import lower_words, texts
 from marginalia.operators.stored import stored
 
 # Tokens a block holds before it is closed, and tokens for each shard of the counts.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 19
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 19
 # One training page in so many is left out while the weights are learned.
 DELETED_PART = 10
 EM_ROUNDS = 40
@@ -33,7 +34,7 @@ END = b"\n"  # no word contains it
 
 COUNTED, DELETED, SCORED = 0, 1, 2
 PAGE = ["doc_id", "page_idx"]
-BLOCK = "block long, pages binary, words binary, tokens binary, roles binary, lengths binary"
+BLOCK = "block long, n_tokens long, pages binary, words binary, tokens binary, roles binary, lengths binary"
 REQUEST = "shard long, block long, ones binary, one_counts binary, twos binary, two_counts binary"
 REPLY = "block long, shard long, ones binary, twos binary, known long, known_kept long, tokens long, tokens_kept long"
 
@@ -52,32 +53,39 @@ def score_pages(page_text: DataFrame) -> DataFrame:
     left_out = F.pmod(F.xxhash64(*PAGE), F.lit(DELETED_PART)) == 0
     role = F.when(~training, SCORED).when(left_out, DELETED).otherwise(COUNTED)
     blocks = stored(page_text.select(*PAGE, "text", role.alias("role")).mapInArrow(_blocks, BLOCK))
-    tokens = blocks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
-    shards = int(tokens // SHARD_TOKENS) + 1
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = tokens // SHARD_TOKENS + 1
     replies = stored(blocks.select("block", "words", "tokens", "roles", "lengths")
                      .mapInArrow(_requests(shards), REQUEST).groupBy("shard").applyInArrow(_reply, REPLY))
     totals = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("known", "known_kept", "tokens", "tokens_kept"))).first()
-    resolved = blocks.groupBy("block").cogroup(replies.select("block", "shard", "ones", "twos").groupBy("block"))
-    seen = (resolved.applyInArrow(_deleted_tokens(totals[1], totals[3]), "bucket int, two int, one int, n long")
+    answers = replies.select("block", "shard", "ones", "twos")
+    deleted = (x.where(F.pmod("block", F.lit(2)) == 1).groupBy("block") for x in (blocks, answers))
+    seen = (next(deleted).cogroup(next(deleted))
+            .applyInArrow(_deleted_tokens(totals[1], totals[3]), "bucket int, two int, one int, n long")
             .groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect())
     weights = learn_weights([tuple(r) for r in seen], totals[1])
-    return resolved.applyInArrow(_scores(weights, totals[0], totals[2]),
-                                 "doc_id long, page_idx int, n_tokens long, n_known long, train_tokens long, "
-                                 "base_score double, score double")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _scores(weights, totals[0], totals[2]),
+        "doc_id long, page_idx int, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a task in blocks: different words by hash in order, and the tokens as places of these."""
-    number = TaskContext.get().partitionId() << 32
-    block = Block()
+    """Pages of a task in blocks: different words by hash in order, and the tokens as places of these.
+
+    Pages that are left out while the weights are learned have blocks of their own, with odd numbers.
+    """
+    numbers = [TaskContext.get().partitionId() << 32, (TaskContext.get().partitionId() << 32) + 1]
+    blocks = [Block(), Block()]
     for batch in batches:
         for row in zip(*(batch[c].to_pylist() for c in (*PAGE, "role")), texts(batch["text"]), strict=True):
-            block.add(*row)
-            if block.size >= BLOCK_TOKENS:
-                yield block.packed(number)
-                number, block = number + 1, Block()
-    if block.pages:
-        yield block.packed(number)
+            odd = int(row[2] == DELETED)
+            blocks[odd].add(*row)
+            if blocks[odd].size >= BLOCK_TOKENS:
+                yield blocks[odd].packed(numbers[odd])
+                numbers[odd], blocks[odd] = numbers[odd] + 2, Block()
+    for number, block in zip(numbers, blocks, strict=True):
+        if block.pages:
+            yield block.packed(number)
 
 
 class Block:
@@ -104,8 +112,8 @@ class Block:
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         pages = pa.RecordBatch.from_pylist(self.pages, PAGE_SCHEMA).serialize().to_pybytes()
-        return _batch(BLOCK, [[number], [pages], [hashes[order].tobytes()], [rank[np.concatenate(self.parts)].tobytes()],
-                              [np.array(self.roles, np.int8).tobytes()], [np.array(self.lengths, np.int64).tobytes()]])
+        return _batch(BLOCK, [[number], [self.size], [pages], [_steps(hashes[order])], [_planes(rank[np.concatenate(self.parts)])],
+                              [_planes(np.array(self.roles, np.int8))], [_planes(np.array(self.lengths, np.int64))]])
 
 
 PAGE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("page_idx", pa.int32())])
@@ -122,10 +130,10 @@ class Tokens:
     """A block unpacked: words by hash, tokens, contexts, different bigrams by hash, and what each token is of."""
 
     def __init__(self, row: dict):
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.int32)
-        self.lengths = np.frombuffer(row["lengths"], np.int64)
-        self.roles = np.repeat(np.frombuffer(row["roles"], np.int8), self.lengths)
+        self.words = _from_steps(row["words"])
+        self.tokens = _from_planes(row["tokens"], np.int32)
+        self.lengths = _from_planes(row["lengths"], np.int64)
+        self.roles = np.repeat(_from_planes(row["roles"], np.int8), self.lengths)
         self.contexts = np.empty_like(self.tokens)
         self.contexts[1:] = self.tokens[:-1]
         ends = np.cumsum(self.lengths)
@@ -173,12 +181,13 @@ def _from_steps(packed: bytes) -> np.ndarray:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    return np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+    octets = np.ascontiguousarray(numbers.reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(octets.tobytes())
 
 
 def _from_planes(packed: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    octets = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(octets.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _reply(requests: pa.Table) -> pa.Table:

@@ -18,11 +18,12 @@ PRIVATE_USE = 0xE000
 
 
 def _folding() -> dict[str, str]:
-    """Letters that lower-casing alone does not bring together with those of the same upper case, or wrongly does.
+    """Letters that lower-casing alone does not bring together with those of the same upper case, or wrongly
+    does.
 
-    Letters are the same if their upper case is the same single letter; ASCII letters are the same as no others. Each gets the
-    lower case of that letter if this leads back to it, else a character of its own. The lower case of a
-    capital sigma depends on what follows, so it is given here.
+    Letters are the same if their upper case is the same single letter; ASCII letters are the same as no
+    others. Each gets the lower case of that letter if this leads back to it, else a character of its own.
+    The lower case of a capital sigma depends on what follows, so it is given here.
     """
     folding, own = {"\u03a3": "\u03c3"}, {}
     for c in filter(str.isprintable, map(chr, range(0x80, 0x1E944))):

@@ -59,8 +59,8 @@ def with_sort_y(ann: DataFrame) -> DataFrame:
 def reading_order(assigned: DataFrame) -> DataFrame:
     """Add `rank`, the 1-based place in the section by page, height and position.
 
-    A page is cut by height into lines, so that a page with very many heights is sorted line by line; annotations of
-    the same height, as all carets and free texts are, are cut by position.
+    A page is cut by height into lines, so that a page with very many heights is sorted line by line;
+    annotations of the same height, as all carets and free texts are, are cut by position.
     """
     line = F.col("sort_y") - F.pmod(F.col("sort_y"), F.lit(LINE))
     rows = stored(with_sort_y(assigned).drop("rects", "points")).withColumns({"_line": line, "_part": annot_block()})

@@ -1,7 +1,8 @@
 """Putting ordered blocks together to documents in pieces.
 
-Every document has the same form: rows (doc_id, name, piece_no, markdown), to be read by piece_no. The cut does not look at
-sizes: a digest has a piece for its front and one for each page of a section, an export one for each page.
+Every document has the same form: rows (doc_id, name, piece_no, markdown), to be read by piece_no. The cut
+does not look at sizes: a digest has a piece for its front and one for each page of a section, an export one
+for each page.
 """
 
 from pyspark.sql import DataFrame

@@ -1,8 +1,9 @@
 """Training-data pipeline over `documents`: language, near copies, benchmark passages, batches.
 
 A stage works on all that the one before it kept, and returns the columns of documents; the last returns the
-pieces of documents with their batches. A null text has no letters, so the first stage rejects it; a document without
-doc_id is judged like any other. Rows that repeat a doc_id are judged together by the first and third stage.
+pieces of documents with their batches. A null text has no letters, so the first stage rejects it; a
+document without doc_id is judged like any other. Rows that repeat a doc_id are judged together by the first
+and third stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies.
 
-    Where rows repeat a doc_id, those that stand for a class are told by their fingerprints, and one of each class stays.
+    Where rows repeat a doc_id, those that stand for a class are told by their fingerprints, and one of each
+    class stays.
     """
     classes = stored(simhash.near_duplicate_pages(as_page_text(docs)))
     first = F.col("doc_id").eqNullSafe(F.col("class_doc_id"))

@@ -37,10 +37,10 @@ def contaminated_pages(page_text: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, page_idx, n_words, n_hit, n_items, item_ids, contaminated) for each row of page_text.
 
     `items` has item_id and text: passages that must not be trained on. A word of a page is hit if it lies
-    in an occurrence of a window of an item; n_items and item_ids (sorted as strings) tell the items with such windows. An item of 1
-    to 12 words is one window, one without words has none, and rows without item_id are left out; rows that repeat
-    an item add their windows to it. Pages without words are clean. Rows that repeat a page are judged each
-    on its own. Other columns are ignored.
+    in an occurrence of a window of an item; n_items and item_ids (sorted as strings) tell the items with
+    such windows. An item of 1 to 12 words is one window, one without words has none, and rows without
+    item_id are left out; rows that repeat an item add their windows to it. Pages without words are clean.
+    Rows that repeat a page are judged each on its own. Other columns are ignored.
     """
     windows, of_items = _windows(items)
     windows = stored(windows)

@@ -58,14 +58,14 @@ def main_text(web_pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of web_pages (page_id, url, html).
 
     The library has no web pages among its own records, so these are taken as they are crawled. A page votes
-    for its best containers by generalised path: tags and classes from the body down, without
-    digits. They are scored by length of text outside links, nearness to it, and names. A host keeps the paths with the
-    most votes; each page is then extracted again with the first of them that suits it, at all its places in page
-    order, or else with its own best container. Menus, headers and footers, notices, adverts, forms, comments and what
-    is not shown are left out, a header only where it is not an article's with its heading. Text is
-    decoded; white space within a block becomes one space, and blocks are joined by one. Null and empty html,
-    and pages with nothing else, give an empty text. Null urls are one host. Rows that repeat a page come back
-    each. Other columns are ignored.
+    for its best containers by generalised path: tags and classes from the body down, without digits. They
+    are scored by length of text outside links, nearness to it, and names. A host keeps the paths with the
+    most votes; each page is then extracted again with the first of them that suits it, at all its places in
+    page order, or else with its own best container. Menus, headers and footers, notices, adverts, forms,
+    comments and what is not shown are left out, a header only where it is not an article's with its
+    heading. Text is decoded; white space within a block becomes one space, and blocks are joined by one.
+    Null and empty html, and pages with nothing else, give an empty text. Null urls are one host. Rows that
+    repeat a page come back each. Other columns are ignored.
     """
     pages = web_pages.select("page_id", "url", "html").withColumn("host", host(F.col("url")))
     votes = (pages.select("host", "html").mapInArrow(_vote, "host string, path string, score double")

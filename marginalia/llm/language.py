@@ -77,11 +77,11 @@ def page_languages(page_text: DataFrame, dictionaries: dict[str, Dictionary],
                    min_margin: float = MIN_MARGIN) -> DataFrame:
     """(doc_id, page_idx, lang_pred, score, rejected) for each row of page_text.
 
-    lang_pred is the language whose dictionary gives the fewest bytes over all pieces of the text, its letters in
-    lower case; ties go to the first in the alphabet. It is `und`, score 0, for null texts, texts without
-    letters, and without dictionaries. The score is the share of the runner-up's bytes that the best saves (1 with
-    one language); `und` and scores below min_margin are rejected. Rows that repeat a page come back each.
-    Other columns are ignored.
+    lang_pred is the language whose dictionary gives the fewest bytes over all pieces of the text, its
+    letters in lower case; ties go to the first in the alphabet. It is `und`, score 0, for null texts, texts
+    without letters, and without dictionaries. The score is the share of the runner-up's bytes that the best
+    saves (1 with one language); `und` and scores below min_margin are rejected. Rows that repeat a page
+    come back each. Other columns are ignored.
     """
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(dictionaries)

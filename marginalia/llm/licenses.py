@@ -51,13 +51,15 @@ LINE_END = re.compile(r"\r\n?|\n")
 
 def licensed_pages(page_text: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                    min_dice: float = MIN_DICE) -> DataFrame:
-    """(doc_id, page_idx, license_id, n_places, best_dice) for each licence a row of page_text has a notice of.
-
-    Each line of a page is a passage, and so is each block of lines without a blank one between them, and the whole text.
-    Passages and templates, (license_id, text), are compared in lower case and by words of letters and digits alone:
-    twice the bigrams they share over the bigrams of both, repeats included. Only templates whose size
-    allows min_dice (above 0) are looked at. A passage counts once for a licence. Texts of less than two words match nothing; pages without
-    notices, null and empty texts give no rows. Rows that repeat a page are scanned each. Other columns are ignored.
+    """(doc_id, page_idx, license_id, n_places, best_dice) for each licence a row of page_text has a notice
+    of.
+
+    Each line of a page is a passage, and so is each block of lines without a blank one between them, and
+    the whole text. Passages and templates, (license_id, text), are compared in lower case and by words of
+    letters and digits alone: twice the bigrams they share over the bigrams of both, repeats included. Only
+    templates whose size allows min_dice (above 0) are looked at. A passage counts once for a licence. Texts
+    of less than two words match nothing; pages without notices, null and empty texts give no rows. Rows
+    that repeat a page are scanned each. Other columns are ignored.
     """
     if not 0 < min_dice <= 1:
         raise ValueError("min_dice must be above 0 and at most 1")

@@ -23,11 +23,12 @@ def pack_pages(page_lengths: DataFrame, max_tokens: int = MAX_TOKENS, buckets: i
                batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """(doc_id, page_idx, piece_no, n_tokens, bucket_tokens, batch_no, batch_row) for each piece of a page.
 
-    `page_lengths` has doc_id, page_idx and n_tokens. A page of more than max_tokens becomes pieces of that length and
-    one of the rest. Bucket bounds are those, at most `buckets` of them, that need the least padding over all
-    pieces. A bucket's batches take batch_tokens // bucket_tokens rows each, in the order of a hash, so that a batch mixes
-    documents; the last may be short. (bucket_tokens, batch_no, batch_row) tells pieces apart. A page without tokens (null, zero, negative)
-    comes back once with n_tokens 0 and nulls for bucket and batch. Rows that repeat a page are packed each. Other columns are ignored.
+    `page_lengths` has doc_id, page_idx and n_tokens. A page of more than max_tokens becomes pieces of that
+    length and one of the rest. Bucket bounds are those, at most `buckets` of them, that need the least
+    padding over all pieces. A bucket's batches take batch_tokens // bucket_tokens rows each, in the order
+    of a hash, so that a batch mixes documents; the last may be short. (bucket_tokens, batch_no, batch_row)
+    tells pieces apart. A page without tokens (null, zero, negative) comes back once with n_tokens 0 and
+    nulls for bucket and batch. Rows that repeat a page are packed each. Other columns are ignored.
     """
     if not 1 <= max_tokens <= batch_tokens or buckets < 1:
         raise ValueError("a batch holds at least one sequence, in at least one bucket")

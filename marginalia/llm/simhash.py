@@ -34,12 +34,13 @@ EVEN_BITS = np.uint64(0x55555555)
 
 
 def near_duplicate_pages(page_text: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, page_idx, fingerprint, class_fingerprint, class_doc_id, class_page_idx) for each row of page_text.
+    """(doc_id, page_idx, fingerprint, class_fingerprint, class_doc_id, class_page_idx) for each row of
+    page_text.
 
     Pages whose fingerprints differ in at most `max_distance` (up to 3) bits are linked; a class is what
-    links reach, with its smallest fingerprint and its smallest page. Fingerprints are 64-bit, as signed longs. Null,
-    empty and blank texts have fingerprint zero and are linked like any other. Rows that repeat a page each
-    come back; a null doc_id or page_idx sorts first. Other columns are ignored.
+    links reach, with its smallest fingerprint and its smallest page. Fingerprints are 64-bit, as signed
+    longs. Null, empty and blank texts have fingerprint zero and are linked like any other. Rows that repeat
+    a page each come back; a null doc_id or page_idx sorts first. Other columns are ignored.
     """
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError("the grid finds pairs within three bits")

@@ -1,9 +1,9 @@
 """Greedy word-piece lengths of page text by an automaton that reads each byte once.
 
-The longest-match automaton of Song et al. (Fast WordPiece Tokenization, 2021), with counts instead of pieces: a
-trie of the vocabulary, and for each node the number of pieces that are certain once no edge
-fits ("pops"), with a link to the node of what is left. The root of pieces that start a word and the root of those that
-continue one are nodes of the same trie.
+The longest-match automaton of Song et al. (Fast WordPiece Tokenization, 2021), with counts instead of
+pieces: a trie of the vocabulary, and for each node the number of pieces that are certain once no edge fits
+("pops"), with a link to the node of what is left. The root of pieces that start a word and the root of
+those that continue one are nodes of the same trie.
 """
 
 import base64
@@ -30,9 +30,9 @@ def page_tokens(page_text: DataFrame, vocabulary: list[bytes], mark: bytes = WOR
     """(doc_id, page_idx, n_words, n_tokens, n_unknown) for each row of page_text.
 
     Words are what white space separates. A word's pieces are found greedily, the longest first: the first
-    piece of those in the vocabulary that begin with `mark`, the others of those that do not. A word that pieces cannot make up
-    is one token and counted as unknown. Null and empty texts have none. Rows that repeat a page come back each. Other columns are
-    ignored.
+    piece of those in the vocabulary that begin with `mark`, the others of those that do not. A word that
+    pieces cannot make up is one token and counted as unknown. Null and empty texts have none. Rows that
+    repeat a page come back each. Other columns are ignored.
     """
     if len(vocabulary) > MOST_PIECES:
         raise ValueError(f"more than {MOST_PIECES} pieces")
@@ -80,7 +80,9 @@ class WordLengths(dict):
 
 
 class Automaton:
-    """`edges` of each node by byte, its failure `link` (NONE if there is none), and the `pops` on the way there."""
+    """`edges` of each node by byte, its failure `link` (NONE if there is none), and the `pops` on the way
+    there.
+    """
 
     def __init__(self, vocabulary: Iterable[bytes], mark: bytes):
         self.edges: list[dict[int, int]] = [{}, {}]
@@ -100,7 +102,9 @@ class Automaton:
         self._link(ends)
 
     def _link(self, ends: set[int]) -> None:
-        """From the roots down: a piece pops itself; else what its parent pops, and what more has to go until the byte fits."""
+        """From the roots down: a piece pops itself; else what its parent pops, and what more has to go
+        until the byte fits.
+        """
         waiting = deque([FIRST, NEXT])
         while waiting:
             parent = waiting.popleft()

@@ -40,9 +40,10 @@ ASIDE_ROLES = set("alert alertdialog banner complementary contentinfo dialog for
 REMARK_WORDS = set("comment comments commentlist disqus replies respond related recommended teaser promo promoted "
                    "sponsor sponsored ad ads advert adverts advertisement".split())
 ASIDE_WORDS = REMARK_WORDS | set(
-    "advertising banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr header login masthead menu menubar modal nav "
-    "navbar navigation newsletter notice notices overlay pager pagination paywall popup promotion share sharing "
-    "sidebar sidebars signup social subscribe subscription toolbar topbar widget widgets".split())
+    "adbox adcontainer adsense adslot adunit advertising alert alerts banner breadcrumb breadcrumbs "
+    "consent cookie cookies copyright cta disclaimer footer gdpr header login masthead menu menubar modal "
+    "nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promotion "
+    "share sharing sidebar sidebars signup social subscribe subscription toolbar topbar widget widgets".split())
 MAIN_WORDS = set("article body content entry main post story text".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>"""

@@ -1,10 +1,12 @@
 """Exact top-k search in page text: BM25 over an inverted index, pruned by block maxima.
 
-Pages lie in shards, each with an inverted index of its own; idf and lengths are those of all pages. In a shard the pages are in
-order of length and in blocks of 16, the same for all posting lists, and each list keeps its largest impact in each block it reaches.
-The sum of these over a query's terms bounds every score in a block. As in block-max WAND, blocks whose bound cannot reach the
-query's k-th best score so far are skipped, with all lists at once, and only the others are scored. The blocks with
-the largest bounds come first, so that the k-th best score rises early, and it is carried from shard to shard of a task.
+Pages lie in shards, each with an inverted index of its own; idf and lengths are those of all pages. In a
+shard the pages are in order of length and in blocks of 4, the same for all posting lists, and each list
+keeps its largest impact in each block it reaches. The sum of these over a query's terms bounds every score
+in a block. As in block-max WAND, blocks whose bound cannot reach the query's k-th best score so far are
+skipped, with all lists at once, and only the others are scored. The blocks with the largest bounds come
+first, so that the k-th best score rises early. It is carried from shard to shard of a task, and starts from
+what a part of the shards, searched before, has reached.
 """
 
 from collections.abc import Iterable, Iterator
@@ -21,9 +23,15 @@ from marginalia.operators.stored import stored
 K1, B = 1.2, 0.75
 TOP = 10
 # Limits of a shard of the index, pages of a block, and queries that are sent to all shards at once.
-SHARD_PAGES, SHARD_TOKENS, BLOCK_PAGES, QUERIES_AT_ONCE = 8192, 1 << 22, 16, 4096
+SHARD_PAGES, SHARD_TOKENS, BLOCK_PAGES, QUERIES_AT_ONCE = 8192, 1 << 23, 4, 4096
 # Blocks scored in the first round of a query in a shard; each round takes four times as many.
-FIRST_ROUND = 4
+FIRST_ROUND = 16
+# A term that has one block in so many is common.
+BLOCKS_PER_COMMON = 4
+# One shard in so many is searched before the others, so that these start from scores to be reached.
+AHEAD = 8
+# Queries whose bounds are taken together.
+BOUNDS_AT_ONCE = 64
 # Scores are compared to so many decimals, so that copies tie whatever the order of their sums.
 DECIMALS = 9
 NO_DOC, NO_PAGE = -(1 << 63), -(1 << 31)
@@ -34,12 +42,14 @@ SEPARATORS = bytes(c if chr(c).isalnum() and c < 128 or c > 127 else 32 for c in
 
 
 def search_pages(page_text: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
-    """(query_id, rank, doc_id, page_idx, score): the `top` best pages for each row of queries (query_id, text).
+    """(query_id, rank, doc_id, page_idx, score): the `top` best pages for each row of queries (query_id,
+    text).
 
-    BM25 with idf ln(1 + (N - n + 0.5) / (n + 0.5)); a word counts as often as the query has it. Words are runs of ASCII letters
-    and digits and of all other characters, A-Z in lower case. Equal scores (to 9 decimals) are in order of doc_id and page_idx, nulls
-    first. A query has fewer rows if fewer pages share a word with it, none if it is null or empty. Null and empty pages count
-    in N and are never found. Rows that repeat a page are found each; query_id must not repeat. Other columns are ignored.
+    BM25 with idf ln(1 + (N - n + 0.5) / (n + 0.5)); a word counts as often as the query has it. Words are
+    runs of ASCII letters and digits and of all other characters, A-Z in lower case. Equal scores (to 9
+    decimals) are in order of doc_id and page_idx, nulls first. A query has fewer rows if fewer pages share
+    a word with it, none if it is null or empty. Null and empty pages count in N and are never found. Rows
+    that repeat a page are found each; query_id must not repeat. Other columns are ignored.
 
     Queries are taken in blocks of QUERIES_AT_ONCE, which bounds what the driver and the tasks hold of them.
     """
@@ -70,16 +80,23 @@ def _search(shards: DataFrame, queries: "Queries", n_pages: int, mean_length: fl
     n = np.zeros(len(queries.terms))
     n[[r.term for r in holders]] = [r.n for r in holders]
     queries.weigh(np.log(1 + (n_pages - n + 0.5) / (n + 0.5)))
-    sent = context.broadcast(queries)
+    shards = shards.withColumn("ahead", F.pmod(F.xxhash64("lengths"), F.lit(AHEAD)) == 0)
+    early = stored(shards.where("ahead").drop("ahead").mapInArrow(_searcher(context.broadcast(queries), mean_length, top), FOUND))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    reached = early.withColumn("place", place).where(F.col("place") == top).select("query_id", "score").collect()
+    queries.start_from({r.query_id: r.score for r in reached})
+    rest = shards.where(~F.col("ahead")).drop("ahead").mapInArrow(_searcher(context.broadcast(queries), mean_length, top), FOUND)
+    return early.unionByName(rest)
 
+
+def _searcher(sent, mean_length: float, top: int):
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(sent.value.ids), top)
+        best = Best(sent.value.least, top)
         for batch in batches:
             for row in batch.to_pylist():
                 Shard(row, mean_length).search(sent.value, best)
         yield best.rows(sent.value.ids)
-
-    return shards.mapInArrow(search, FOUND)
+    return search
 
 
 def _words(text: bytes | None) -> Iterator[list[bytes]]:
@@ -150,10 +167,13 @@ def _queries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Queries:
-    """A block of queries: all their terms in order, and for each query the places of its terms among them with weights."""
+    """A block of queries: all their terms in order, and for each query the places of its terms among them
+    with weights.
+    """
 
     def __init__(self, ids: np.ndarray, terms: np.ndarray, places: list[np.ndarray], weights: list[np.ndarray]):
         self.ids, self.terms, self.places, self.weights = ids, terms, places, weights
+        self.least = np.full(len(ids), -np.inf)
 
     @classmethod
     def of(cls, rows: list) -> "Queries":
@@ -165,6 +185,10 @@ class Queries:
     def weigh(self, idf: np.ndarray) -> None:
         self.weights = [w * idf[p] for w, p in zip(self.weights, self.places, strict=True)]
 
+    def start_from(self, scores: dict[int, float]) -> None:
+        """Scores that the k-th best of a query will reach at least."""
+        self.least = np.array([scores.get(i, -np.inf) for i in self.ids.tolist()])
+
 
 def _holders(words):
     """How many pages of a task's shards have each term of a block of queries."""
@@ -186,15 +210,15 @@ def _known(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Best:
-    """The best pages of each query so far, the worst of them last."""
+    """The best pages of each query so far, the worst of them last, and scores to be reached."""
 
-    def __init__(self, n_queries: int, top: int):
-        self.top = top
-        self.scores = np.full((n_queries, top), -np.inf)
-        self.pages = np.zeros((n_queries, top, 2), np.int64)
+    def __init__(self, start: np.ndarray, top: int):
+        self.top, self.start = top, start
+        self.scores = np.full((len(start), top), -np.inf)
+        self.pages = np.zeros((len(start), top, 2), np.int64)
 
     def least(self, query: int) -> float:
-        return self.scores[query, -1]
+        return max(self.scores[query, -1], self.start[query])
 
     def add(self, query: int, scores: np.ndarray, pages: np.ndarray) -> None:
         scores = np.r_[self.scores[query], scores]
@@ -229,30 +253,38 @@ class Shard:
         self.cell_block = keys[first] % self.blocks
         self.cell_most = np.maximum.reduceat(self.impacts, first) if len(first) else np.zeros(0)
         self.of_cells = np.searchsorted(keys[first], np.arange(len(self.terms) + 1) * self.blocks)
-        # Terms of at least half the blocks have their cells in a table as well.
-        self.common = np.flatnonzero(2 * np.diff(self.of_cells) >= self.blocks)
+        # Terms of a good part of the blocks have their cells in a table as well.
+        self.common = np.flatnonzero(BLOCKS_PER_COMMON * np.diff(self.of_cells) >= self.blocks)
         self.common_place = np.full(len(self.terms), -1)
         self.common_place[self.common] = np.arange(len(self.common))
-        self.table = np.full((len(self.common), self.blocks), -1)
+        self.table = np.full((len(self.common), self.blocks), -1, np.int32)
         cells = _ranges(self.of_cells[self.common], np.diff(self.of_cells)[self.common])
         self.table[np.repeat(np.arange(len(self.common)), np.diff(self.of_cells)[self.common]), self.cell_block[cells]] = cells
         self.most = np.where(self.table >= 0, np.r_[self.cell_most, 0.0][self.table], 0.0)
 
     def search(self, queries: Queries, best: Best) -> None:
         here, at = _known(self.terms, queries.terms)
-        for query, (places, weights) in enumerate(zip(queries.places, queries.weights, strict=True)):
-            known = here[places]
-            if known.any():
-                self._search(query, at[places[known]], weights[known], best)
-
-    def _search(self, query: int, terms: np.ndarray, weights: np.ndarray, best: Best) -> None:
+        for first in range(0, len(queries.ids), BOUNDS_AT_ONCE):
+            some = range(first, min(first + BOUNDS_AT_ONCE, len(queries.ids)))
+            own = [(at[p[here[p]]], w[here[p]]) for p, w in ((queries.places[q], queries.weights[q]) for q in some)]
+            weights = np.zeros((len(own), len(self.common)))
+            for i, (terms, weight) in enumerate(own):
+                common = self.common_place[terms]
+                weights[i, common[common >= 0]] = weight[common >= 0]
+            bounds = weights @ self.most
+            for i, query in enumerate(some):
+                if len(own[i][0]):
+                    self._search(query, *own[i], bounds[i], best)
+
+    def _search(self, query: int, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, best: Best) -> None:
+        """`bounds` are those of the common terms alone."""
         common = self.common_place[terms]
         row, row_weight = common[common >= 0], weights[common >= 0]
         rare, rare_weight = terms[common < 0], weights[common < 0]
         sizes = self.of_cells[rare + 1] - self.of_cells[rare]
         cells, cell_weight = _ranges(self.of_cells[rare], sizes), np.repeat(rare_weight, sizes)
         in_block = self.cell_block[cells]
-        bounds = row_weight @ self.most[row] + np.bincount(in_block, cell_weight * self.cell_most[cells], self.blocks)
+        bounds = bounds + np.bincount(in_block, cell_weight * self.cell_most[cells], self.blocks)
         bounds = bounds * (1 + 1e-9) + 10.0 ** -DECIMALS
         bounds[bounds <= 2 * 10.0 ** -DECIMALS] = -np.inf
         step = FIRST_ROUND

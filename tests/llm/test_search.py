@@ -41,6 +41,8 @@ def test_matches_brute_force(spark, monkeypatch, top):
     monkeypatch.setattr(search, "BLOCK_PAGES", 4)
     monkeypatch.setattr(search, "QUERIES_AT_ONCE", 20)
     monkeypatch.setattr(search, "FIRST_ROUND", 1)
+    monkeypatch.setattr(search, "AHEAD", 2)
+    monkeypatch.setattr(search, "BOUNDS_AT_ONCE", 7)
     pick = random.Random(top)
     word = lambda: f"w{int(pick.paretovariate(0.6))}"
     texts = [" ".join(word() for _ in range(pick.randint(1, 120))) for _ in range(300)]

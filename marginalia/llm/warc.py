@@ -1,6 +1,7 @@
 """Digest files as WARC archives, read back to a capture index that is merged from sorted runs."""
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
@@ -34,20 +35,24 @@ COLUMNS = [c.split()[0] for c in INDEX.split(", ")]
 
 
 def write_archives(digests: DataFrame, folder: str) -> None:
-    """Write a record for each row of digests (doc_id, file_name, markdown, written_at) to WARC files in a new folder.
+    """Write a record for each row of digests (doc_id, file_name, markdown, written_at) to gzipped WARC
+    files in a new folder.
 
-    Of rows with equal markdown the one with the largest doc_id becomes a response with the whole text, the others
-    revisits of it; rows that repeat this doc_id are all responses. Null markdown counts as empty. A null doc_id is the
-    smallest, and named `none` in the archive. Null file_name and written_at are left out of the record. Other columns are ignored.
+    Of rows with equal markdown the one with the largest doc_id becomes a response with the whole text, the
+    others revisits of it; rows that repeat this doc_id are all responses. Null markdown counts as empty. A
+    null doc_id is the smallest, and named `none` in the archive. Null file_name and written_at are left out
+    of the record. Other columns are ignored.
     """
     rows = digests.select("doc_id", F.struct("written_at", "file_name").alias("own"),
                           F.coalesce("markdown", F.lit("")).alias("markdown"))
     rows = rows.withColumn("identity", F.sha2("markdown", 256))
     kept = stored(rows.groupBy("identity").agg(
-        F.max(F.struct("doc_id", "own")).alias("kept"), F.sum(F.octet_length("markdown")).alias("bytes")))
+        F.max(F.struct("doc_id", "own")).alias("kept"), F.sum(F.octet_length("markdown")).alias("bytes"),
+        F.count("*").alias("rows")))
     total = kept.agg(F.sum("bytes")).first()[0] or 0
-    first = F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))
-    records = (rows.join(kept.select("identity", "kept"), "identity")
+    repeated = stored(kept.where("rows > 1").select("identity", "kept"))  # often few, and then no text moves to meet them
+    first = F.col("kept").isNull() | F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))
+    records = (rows.join(repeated, "identity", "left")
                .select("doc_id", "own.*", "markdown",
                        F.when(~first, F.col("kept")).alias("kept"))
                .repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("doc_id", "file_name")))
@@ -56,14 +61,15 @@ def write_archives(digests: DataFrame, folder: str) -> None:
                     F.col("kept.own.file_name").alias("of_name"),
                     F.date_format("kept.own.written_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("of_date"))
      .mapInArrow(_records, "value string")
-     .write.option("lineSep", END.decode()).text(folder))
+     .write.option("lineSep", END.decode()).option("compression", "gzip").text(folder))
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """An index row for each record below the folder, sorted within an archive; payload digests are checked.
 
-    Columns: url_key, written_at, doc_id, file_name, record_type, refers_to (doc_id of the response a revisit names),
-    payload_bytes and payload_digest of the full text, and archive, offset and length of the record.
+    Columns: url_key, written_at, doc_id, file_name, record_type, refers_to (doc_id of the response a
+    revisit names), payload_bytes and payload_digest of the full text, and archive, offset and length of the
+    record in the unpacked archive.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     return files.select("path", "content").mapInArrow(_index_runs, INDEX)
@@ -72,8 +78,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def merge_captures(index: DataFrame) -> DataFrame:
     """Index rows in the order of url_key, written_at and doc_id, numbered by an increasing `position`.
 
-    Each archive's rows are a sorted run. A range of keys goes to one task, which merges what each run has of it with a loser tree.
-    Keys that many rows share are cut by time and doc_id, so a range stays small. Nulls come first.
+    Each archive's rows are a sorted run. A range of keys goes to one task, which merges what each run has
+    of it with a loser tree. Keys that many rows share are cut by time and doc_id, so a range stays small.
+    Nulls come first.
     """
     index = stored(index)
     ranges = max(1, -(-index.count() // ROWS_PER_RANGE))
@@ -86,7 +93,9 @@ def payload_digest(payload: bytes) -> str:
 
 
 def url_key(uri: str | None) -> str:
-    """Sortable key of a URI: host labels from the right, then path and query; without scheme, www and fragment."""
+    """Sortable key of a URI: host labels from the right, then path and query; without scheme, www and
+    fragment.
+    """
     parts = urlsplit((uri or "").strip()) if "[" not in (uri or "") and "]" not in (uri or "") else None
     if not parts or not parts.netloc:
         return (uri or "").strip().lower()
@@ -155,7 +164,7 @@ def _index_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
             archive = path.rpartition("/")[2]
-            run = [_index_row(archive, *record) for record in parse(content.as_py())
+            run = [_index_row(archive, *record) for record in parse(gzip.decompress(content.as_py()))
                    if record[2]["WARC-Type"] in ("response", "revisit")]
             yield _table(sorted(run, key=_order), INDEX_SCHEMA)
 

@@ -1,5 +1,6 @@
 """WARC archives: round trip, revisits, and the merged index."""
 
+import gzip
 import random
 from datetime import UTC, datetime
 
@@ -46,7 +47,7 @@ def test_round_trip(spark, tmp_path, monkeypatch):
     order = [(r.url_key, r.written_at is not None, r.written_at or datetime.min, r.doc_id) for r in got]
     assert order == sorted(order)
     assert len({r.archive for r in got}) > 10
-    contents = {r.path.rpartition("/")[2]: bytes(r.content) for r in spark.read.format("binaryFile").load(folder).collect()}
+    contents = {r.path.rpartition("/")[2]: gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").load(folder).collect()}
     texts = {doc: body or "" for doc, _, body, _ in rows}
     for r in got:
         [(_, length, fields, block)] = warc.parse(contents[r.archive][r.offset:r.offset + r.length])

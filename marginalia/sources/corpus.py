@@ -1,9 +1,9 @@
 """An annotated library derived from the given `documents` and `events` tables.
 
-Every document becomes a paged text of two lines a page, every event an annotation. A quarter of the events
-lie on the document with the event's user_id, so some documents have many; the others are spread over all
-documents, and all over all pages of their document. One in twenty lies on a page behind the last, which has
-no text. All rows and whole texts take part.
+Every document becomes a paged text of two lines a page, every event an annotation. A quarter of
+the events lie on the document with the event's user_id, so some documents have many; the others
+are spread over all documents, and all over all pages of their document. One in twenty lies on a
+page behind the last, which has no text. All rows and whole texts take part.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,11 +73,11 @@ class Corpus:
         rows = placed.selectExpr(
             "event_id", "doc_id", """cast(if(event_id % 20 = 7, n_pages + event_id % 3,
                  (event_id * 31 + event_id div 1000) % n_pages) as int) as page_idx""",
-            """case event_type when 'click' then case event_id % 13 when 0 then 'underline' when 1 then
-            'strikeout' when 2 then 'squiggly' else 'highlight' end when 'view' then 'note' when
-            'purchase' then 'rect' when 'error' then 'freehand' else case event_id % 5 when 0 then
-            'stamp' when 1 then 'caret' when 2 then 'caret' else 'free_text' end end as raw_kind
-            """
+            """case event_type when 'click' then case event_id % 13 when 0 then 'underline' when 1 then 'strikeout'
+                 when 2 then 'squiggly' else 'highlight' end when 'view' then 'note'
+                 when 'purchase' then 'rect' when 'error' then 'freehand'
+                 else case event_id % 5 when 0 then 'stamp' when 1 then 'caret' when 2 then 'caret'
+                 else 'free_text' end end as raw_kind""",
             """case event_id % 4 when 0 then '#FF0' when 1 then '#FFCC00' when 2 then '##00F'
                  else 'ff0000' end as color""",
             """case event_id % 3 when 0 then concat('com', char(173), 'ment  no.\\t', event_id)
@@ -115,9 +115,8 @@ class Corpus:
         return self.bodies().select(*PAGE).join(self.marks().select("doc_id"), "doc_id", "left_semi")
 
     def highlight_raw(self, ann: DataFrame) -> DataFrame:
-        """Text found under the highlights of `annotations()`. It starts anywhere in the page, has doubled
-        spaces and upper-case vowels; one in fifty is nowhere on the page.
-        """
+        """Text found under the highlights of `annotations()`. It starts anywhere in the page, has doubled spaces and
+        upper-case vowels; one in fifty is nowhere on the page."""
         marked = ann.where("kind = 'highlight'")
         bodies = self.bodies().where(F.length("body") > 0)
         marked = marked.select(*PAGE, "annot_idx", "event_id")

@@ -30,11 +30,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = stored(simhash.near_duplicate_pages(as_page_text(docs)))
     first = F.col("doc_id").eqNullSafe(F.col("class_doc_id"))
     ids = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(first).alias("first")).where("first")
+    once = _joined(docs, ids.where("rows = 1"), "left_semi")
+    if ids.where("rows > 1").isEmpty():
+        return once
     firsts = classes.where(first).select(F.col("doc_id").alias("id"), "fingerprint", "class_fingerprint").distinct()
     again = _wrapped(_joined(docs, ids.where("rows > 1"), "left_semi")).withColumn("own", simhash.fingerprint_of(F.col("row.text")))
     again = (again.join(firsts, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("fingerprint")))
              .dropDuplicates(["id", "class_fingerprint"]).select("row.*"))
-    return _joined(docs, ids.where("rows = 1"), "left_semi").unionByName(again)
+    return once.unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

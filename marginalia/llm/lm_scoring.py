@@ -1,11 +1,12 @@
 """Page text scored by a bigram model with deleted interpolation.
 
-P(w | v) = a * c(v w) / c(v) + b * c(w) / N + z / (V + 1), where the weights a, b, z depend on how often the context v was
-seen. They are learned by expectation-maximisation on pages that were left out of the counts meanwhile, and then used
-with the counts of all training pages.
+P(w | v) = a * c(v w) / c(v) + b * c(w) / N + z / (V + 1), where the weights a, b, z depend on how often the
+context v was seen. They are learned by expectation-maximisation on pages that were left out of the counts
+meanwhile, and then used with the counts of all training pages.
 
-Tokens travel in packed blocks of pages, not row by row: a block asks the shards, which are ranges of n-gram hashes, for
-the counts of its different n-grams and brings its own; a shard adds up what all blocks bring and answers each.
+Tokens travel in packed blocks of pages, not row by row: a block asks the shards, which are ranges of n-gram
+hashes, for the counts of its different n-grams and brings its own; a shard adds up what all blocks bring
+and answers each.
 """
 
 from collections.abc import Iterable, Iterator
@@ -23,11 +24,12 @@ from marginalia.llm.batches import lower_words, texts
 from marginalia.operators.stored import stored
 
 # Tokens a block holds before it is closed, and tokens for each shard of the counts.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 19
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 19
 # One training page in so many is left out while the weights are learned.
 DELETED_PART = 10
 EM_ROUNDS = 40
-# Probabilities are rounded to this many steps an octave where weights are learned, so that what the driver receives is bounded.
+# Probabilities are rounded to this many steps an octave where weights are learned, so that what the driver
+# receives is bounded.
 STEPS = 4
 LEAST_WEIGHT = 1e-6
 END = b"\n"  # no word contains it
@@ -42,12 +44,12 @@ REPLY = "block long, shard long, ones binary, twos binary, known long, known_kep
 def score_pages(page_text: DataFrame) -> DataFrame:
     """(doc_id, page_idx, n_tokens, n_known, train_tokens, base_score, score) for each row of page_text.
 
-    `training` (boolean, null is false) tells the rows to learn from. Tokens are the words of the lower-cased text
-    (A-Z only) and one end. n_known counts tokens seen in training, train_tokens all training tokens N.
-    base_score is the sum over tokens of log10((c + 1) / (N + V + 1)), score the log10 probability of the text under
-    the interpolated bigram model; the first word's context is an end. Null and empty texts are an end alone. Without
-    training rows both scores are zero. N-grams are told apart by 64-bit hashes. Rows that repeat a page are scored
-    (and learned from) each. Other columns are ignored.
+    `training` (boolean, null is false) tells the rows to learn from. Tokens are the words of the
+    lower-cased text (A-Z only) and one end. n_known counts tokens seen in training, train_tokens all
+    training tokens N. base_score is the sum over tokens of log10((c + 1) / (N + V + 1)), score the log10
+    probability of the text under the interpolated bigram model; the first word's context is an end. Null
+    and empty texts are an end alone. Without training rows both scores are zero. N-grams are told apart by
+    64-bit hashes. Rows that repeat a page are scored (and learned from) each. Other columns are ignored.
     """
     training = F.coalesce(F.col("training"), F.lit(False))
     left_out = F.pmod(F.xxhash64(*PAGE), F.lit(DELETED_PART)) == 0
@@ -127,7 +129,9 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 
 
 class Tokens:
-    """A block unpacked: words by hash, tokens, contexts, different bigrams by hash, and what each token is of."""
+    """A block unpacked: words by hash, tokens, contexts, different bigrams by hash, and what each token is
+    of.
+    """
 
     def __init__(self, row: dict):
         self.words = _from_steps(row["words"])
@@ -247,8 +251,9 @@ def _deleted_tokens(known: int, tokens: int):
 def learn_weights(seen: list[tuple[int, int, int, int]], known: int) -> np.ndarray:
     """Weights (bigram, unigram, unseen) of each context bucket, by expectation-maximisation.
 
-    `seen` has (bucket, bigram level, unigram level, tokens); levels are -STEPS * log2 of a probability, -1 for zero.
-    Buckets without tokens take even weights; no weight for the unseen is zero. Contexts never seen have no bigrams.
+    `seen` has (bucket, bigram level, unigram level, tokens); levels are -STEPS * log2 of a probability, -1
+    for zero. Buckets without tokens take even weights; no weight for the unseen is zero. Contexts never
+    seen have no bigrams.
     """
     rows = np.array(seen, np.int64).reshape(-1, 4)
     weights = np.full((65, 3), 1 / 3)

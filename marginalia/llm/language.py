@@ -87,7 +87,7 @@ def page_languages(page_text: DataFrame, dictionaries: dict[str, Dictionary],
         judge = Judge(dictionaries)
         for batch in batches:
             found = [judge(t) for t in texts(batch["text"])]
-            rejected = [lang == UNDECIDED or score < min_margin for lang, score in found]
+            rejected = [not _told(lang, score, min_margin) for lang, score in found]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["page_idx"], pa.array([lang for lang, _ in found], pa.string()),
                  pa.array([score for _, score in found], pa.float64()), pa.array(rejected, pa.bool_())],
@@ -97,6 +97,21 @@ def page_languages(page_text: DataFrame, dictionaries: dict[str, Dictionary],
         predict, "doc_id long, page_idx int, lang_pred string, score double, rejected boolean")
 
 
+def told_rows(rows: DataFrame, dictionaries: dict[str, Dictionary], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows, with all their columns, whose text page_languages does not reject."""
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(dictionaries)
+        for batch in batches:
+            found = map(judge, texts(batch["text"]))
+            yield batch.filter(pa.array([_told(lang, score, min_margin) for lang, score in found], pa.bool_()))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
+def _told(lang: str, score: float, min_margin: float) -> bool:
+    return lang != UNDECIDED and score >= min_margin
+
+
 def letters(text: str) -> str:
     """The text's letters in lower case, with one space for whatever is between them."""
     return NO_LETTERS.sub(" ", text.lower())

@@ -106,3 +106,19 @@ def test_nulls_and_empty_tables(spark, tmp_path):
         found = stage(spark, odd, str(tmp_path))
         assert found.count() == {"SimHash near-dedup": 2}.get(name, 3)
     assert as_page_text(empty).columns[-1] == "page_idx"
+
+
+@pytest.mark.parametrize("doc_id", [None, 3])
+def test_bad_rows_take_no_others_along(spark, tmp_path, doc_id):
+    pick = random.Random(12)
+    item = sentence(pick, "aa", 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    learned = [(100 + i, sentence(pick, lang, 60), lang) for i in range(40) for lang in SYLLABLES]
+    clean = [(doc_id, sentence(pick, lang, 50), lang) for lang in SYLLABLES]
+    bad = {"language ID": [(doc_id, "12 34 !!", "aa"), (doc_id, None, None)],
+           "benchmark decontamination": [(doc_id, "lomi " + item, "aa")]}
+    for name, own in bad.items():
+        docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in learned + clean + own], SCHEMA)
+        kept = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).collect()
+        assert sorted(r.text for r in kept if r.doc_id == doc_id) == sorted(t for _, t, _ in clean)
+        assert len(kept) == len(learned) + len(clean)

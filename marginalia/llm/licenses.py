@@ -50,7 +50,7 @@ LINE_END = re.compile(r"\r\n?|\n")
 
 
 def licensed_pages(page_text: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
-                   min_dice: float = MIN_DICE) -> DataFrame:
+                   min_dice: float = MIN_DICE, inside: bool = False) -> DataFrame:
     """(doc_id, page_idx, license_id, n_places, best_dice) for each licence a row of page_text has a notice
     of.
 
@@ -60,6 +60,12 @@ def licensed_pages(page_text: DataFrame, templates: list[tuple[str, str]] = TEMP
     templates whose size allows min_dice (above 0) are looked at. A passage counts once for a licence. Texts
     of less than two words match nothing; pages without notices, null and empty texts give no rows. Rows
     that repeat a page are scanned each. Other columns are ignored.
+
+    With `inside`, notices within longer passages and across lines count too: stretches of the text's words, of
+    whatever length and line, that start and end with a bigram of the template and are near enough to it; from
+    each word the nearest. Those that share words with a passage counted for the licence belong to it, and its
+    coefficient stands for them. Of the others, those with most shared bigrams and then the best coefficient are
+    places, and what shares words with a place belongs to it.
     """
     if not 0 < min_dice <= 1:
         raise ValueError("min_dice must be above 0 and at most 1")
@@ -69,7 +75,7 @@ def licensed_pages(page_text: DataFrame, templates: list[tuple[str, str]] = TEMP
         for batch in batches:
             rows = [(doc, page, *found) for doc, page, text in
                     zip(*(batch[c].to_pylist() for c in ("doc_id", "page_idx", "text")), strict=True)
-                    for found in scanner.notices(text)]
+                    for found in scanner.notices(text, inside)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
                     (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.float64()))],
@@ -101,15 +107,67 @@ class Scanner:
         self.least = min(self.sizes, default=0) * min_dice / (2 - min_dice)
         self.most = max(self.sizes, default=0) * (2 - min_dice) / min_dice
 
-    def notices(self, text: str | None) -> list[tuple[str, int, float]]:
-        """(licence, passages, best coefficient) of each licence found."""
+    def notices(self, text: str | None, inside: bool = False) -> list[tuple[str, int, float]]:
+        """(licence, places, best coefficient) of each licence found."""
         places, best = Counter(), {}
-        for passage in passages(text or ""):
+        spans: dict[str, list[tuple[int, int]]] = {}
+        for start, passage in passages(text or ""):
             for name, dice in self.matches(passage).items():
                 places[name] += 1
                 best[name] = max(best.get(name, 0.0), dice)
+                spans.setdefault(name, []).append((start, start + passage.count(" ") + 1))
+        for name, new, dice in self.inner_places(text or "", spans) if inside else ():
+            places[name] += new
+            best[name] = max(best.get(name, 0.0), dice)
         return [(name, places[name], best[name]) for name in sorted(best)]
 
+    def inner_places(self, text: str, spans: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[str, bool, float]]:
+        """(licence, whether it is a new place, coefficient) of stretches apart from the spans of the licence's passages."""
+        words = normal_words(text).split()
+        known: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        for at, bigram in enumerate(pairwise(words)):
+            for template in self.bigrams.get(bigram, ()):
+                known.setdefault(template, []).append((at, bigram))
+        found: dict[str, list[tuple[int, float, int, int]]] = {}
+        for template, there in known.items():
+            for stretch in self.stretches(template, there):
+                found.setdefault(self.names[template], []).append(stretch)
+        for name, stretches in found.items():
+            held = bytearray(len(words))  # 1: in a passage, 2: in a place
+            for start, end in spans.get(name, ()):
+                held[start:end] = b"\1" * (end - start)
+            for _, dice, start, end in sorted(stretches, key=lambda s: (-s[0], -s[1], s[2])):
+                if held.find(1, start, end) < 0:
+                    new = held.find(2, start, end) < 0
+                    if new:
+                        held[start:end] = b"\2" * (end - start)
+                    yield name, new, dice
+
+    def stretches(self, template: int, there: list[tuple[int, tuple[str, str]]]) -> Iterator[tuple[int, float, int, int]]:
+        """(shared bigrams, coefficient, first word, end) of the stretch from each bigram of a template that is
+        nearest to it, if near enough."""
+        size, known = self.sizes[template], self.bigrams
+        least, most = size * self.min_dice / (2 - self.min_dice) - 1e-9, size * (2 - self.min_dice) / self.min_dice
+        ahead: Counter[tuple[str, str]] = Counter()
+        shared = end = 0  # what the longest stretch from here shares with the template
+        for i, (start, first) in enumerate(there):
+            while end < len(there) and there[end][0] < start + most:
+                bigram = there[end][1]
+                ahead[bigram] += 1
+                shared += ahead[bigram] <= known[bigram][template]
+                end += 1
+            if shared >= least:
+                seen: Counter[tuple[str, str]] = Counter()
+                own, best = 0, (0.0, 0, 0)
+                for at, bigram in there[i:end]:
+                    seen[bigram] += 1
+                    own += seen[bigram] <= known[bigram][template]
+                    best = max(best, (2 * own / (at - start + 1 + size), own, at + 2))
+                if best[0] >= self.min_dice:
+                    yield best[1], best[0], start, best[2]
+            shared -= ahead[first] <= known[first][template]
+            ahead[first] -= 1
+
     def matches(self, passage: str) -> dict[str, float]:
         """Best coefficient for each licence of which a template is near enough."""
         size = passage.count(" ")
@@ -136,17 +194,21 @@ class Scanner:
         return 2 * min(size, other) >= self.min_dice * (size + other)
 
 
-def passages(text: str) -> Iterator[str]:
-    """Normalised lines, blocks of several lines, and the whole text if it has several lines with words."""
-    lines = [normal_words(line) for line in LINE_END.split(text)]
-    yield from filter(None, lines)
+def passages(text: str) -> Iterator[tuple[int, str]]:
+    """Normalised lines, blocks of several lines, and the whole text if it has several lines with words; before each
+    the number of its first word in the text."""
+    lines, first = [], 0
+    for line in map(normal_words, LINE_END.split(text)):
+        lines.append((first, line))
+        first += line.count(" ") + 1 if line else 0
+    yield from ((at, line) for at, line in lines if line)
     blocks, block = [], []
-    for line in [*lines, ""]:
+    for at, line in [*lines, (first, "")]:
         if line:
-            block.append(line)
+            block.append((at, line))
         elif block:
             blocks.append(block)
             block = []
-    yield from (" ".join(b) for b in blocks if len(b) > 1)
+    yield from ((b[0][0], " ".join(line for _, line in b)) for b in blocks if len(b) > 1)
     if len(blocks) > 1:
-        yield " ".join(filter(None, lines))
+        yield 0, " ".join(line for _, line in lines if line)

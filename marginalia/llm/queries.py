@@ -154,7 +154,7 @@ select page_id, url, trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g')) as text
 
 @query
 def op9_license_scan(spark, sf_dir):
-    return licenses.licensed_pages(as_page_text(read(spark, sf_dir, "documents"))).drop("page_idx")
+    return licenses.licensed_pages(as_page_text(read(spark, sf_dir, "documents")), inside=True).drop("page_idx")
 
 
 TEMPLATES = ", ".join(f"({i}, '{name}', '{licenses.normal_words(text)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))

@@ -5,8 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, extraction, language, licenses, lm_scoring, packing, search, simhash, token_counts, warc
-from marginalia.operators.stored import new_path
+from marginalia.llm import (
+    decontamination, extraction, language, licenses, lm_scoring, openings, packing, ranking, repeats, search, simhash,
+    token_counts, warc)
+from marginalia.operators.blocks import block_of, number_rows
+from marginalia.operators.stored import new_path, stored
 
 # Vocabulary of op5, a file of a public tokenizer.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -213,3 +216,112 @@ scores as (
   where q.doc_id % 100 = 0 group by q.doc_id, d.doc_id),
 ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from scores)
 select query_id, rank, doc_id, round(score, 6) as score from ranked where rank <= 10"""
+
+
+@query
+def op11_conversation_trie(spark, sf_dir):
+    """A rebuilt conversation as a document whose annotations are its turns."""
+    turns = read(spark, sf_dir, "conversations").where("conv_id is not null")
+    block = F.coalesce(block_of(F.col("turn"), 1024), F.lit(-(1 << 63)))
+    turns = stored(number_rows(turns.withColumn("block", block), ["conv_id"], [["block"]], ["turn", "role", "text"], "place"))
+    taken = F.crc32(F.col("conv_id").cast("string")) % 4
+    convs = turns.select("conv_id").distinct()
+    own = turns.where(F.col("place") > taken).select("conv_id", "place", "role", "text")
+    first = turns.where("place <= 3 and conv_id % 20 = 0").select(F.col("conv_id").alias("base"), "place", "role", "text")
+    base = (convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).withColumn("taken", taken)
+            .join(first, "base").where("place <= taken").select("conv_id", "place", "role", "text"))
+    annotations = own.unionByName(base).select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.col("place").alias("annot_idx"),
+                                               F.col("role").alias("kind"), F.col("text").alias("contents"))
+    nodes = openings.shared_openings(annotations, convs.select(F.col("conv_id").alias("doc_id")))
+    return nodes.select(F.col("doc_id").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent_doc_id").alias("parent_conv_id"),
+                        F.col("n_docs").alias("n_convs"), "n_children", "n_leaves", F.col("saved_words").alias("saved_tokens"), "ends_sha256")
+
+
+ORACLE_SQL["op11_conversation_trie"] = r"""
+with original as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as place
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id, conv_id - conv_id % 20 as base,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: i::bigint)),
+        lambda bits, i: xor(bits >> 1, 3988292384::bigint * (bits & 1)))), 4294967295::bigint) % 4 as taken
+  from (select distinct conv_id from original)),
+rebuilt as (
+  select c.conv_id, place, role, text from convs c join original o on o.conv_id = c.conv_id and place > taken
+  union all select c.conv_id, place, role, text from convs c join original o on o.conv_id = base and place <= taken),
+steps as (
+  select conv_id, row_number() over (partition by conv_id order by place) as depth, text,
+    sha256(length(role)::varchar || ' ' || role || text) as step from rebuilt),
+members as (
+  select conv_id, depth, array_to_string(list(step) over (partition by conv_id order by depth), '') as path,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from steps
+  union all select conv_id, 0, '', 0 from convs),
+nodes as (
+  select path, min(conv_id) as conv_id, any_value(depth) as depth, count(*) as n_convs, any_value(words) as words,
+    case when path <> '' then left(path, length(path) - 64) end as above from members group by path),
+ends as (
+  select path, string_agg(conv_id::varchar, ',' order by conv_id) as ids
+  from (select *, max(depth) over (partition by conv_id) as deepest from members) where depth = deepest group by path),
+children as (select above, count(*) as n_children from nodes where above is not null group by above),
+full_nodes as (
+  select n.*, coalesce(n_children, 0) as n_children from nodes n left join children c on c.above = n.path),
+upwards as (
+  select left(path, 64 * unnest(range(depth + 1))) as path, (n_children = 0)::bigint as leaf, (n_convs - 1) * words as saved from full_nodes),
+sums as (select path, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from upwards group by path)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs::bigint as n_convs, n.n_children::bigint as n_children,
+  n_leaves, saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from full_nodes n left join nodes p on p.path = n.above join sums s on s.path = n.path left join ends e on e.path = n.path"""
+
+
+@query
+def op12_ranked_search(spark, sf_dir):
+    """A benchmark item as an annotation whose contents are its text."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("page_idx"),
+                                                    F.lit(0).alias("annot_idx"), F.col("text").alias("contents"))
+    found = ranking.pages_spoken_of(as_page_text(read(spark, sf_dir, "documents")), items)
+    return found.select(F.col("doc_id").alias("item_id"), "rank", F.col("found_doc_id").alias("doc_id"), "score")
+
+
+ORACLE_SQL["op12_ranked_search"] = r"""
+with terms as (
+  select 'd' as side, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents
+  union all select 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') from benchmark),
+totals as (select count(*)::bigint as n, sum(len(t))::bigint as l from terms where side = 'd' and len(t) > 0),
+postings as (
+  select id, term, count(*) as tf, any_value(m) as m
+  from (select id, unnest(t) as term, 10 + (90 * len(t)::bigint * n) // l as m from terms, totals where side = 'd' and len(t) > 0)
+  group by id, term),
+weights as (
+  select term, floor(1000 * ln((2 * (select n from totals) + 2)::double / (2 * count(*) + 1)))::bigint as w from postings group by term),
+asked as (select distinct id, term from (select id, unnest(t) as term from terms where side = 'i')),
+scores as (
+  select a.id as item_id, p.id as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked a join postings p using (term) join weights using (term) group by a.id, p.id),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10"""
+
+
+@query
+def op13_substring_dedup(spark, sf_dir):
+    pages = repeats.without_repeats(as_page_text(read(spark, sf_dir, "documents")))
+    return pages.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op13_substring_dedup"] = r"""
+with texts as (
+  select row_number() over () as row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select row, ofs, array_to_string(w[ofs + 1 : ofs + 35], ' ') as passage from (select *, unnest(range(len(w) - 34)) as ofs from texts)),
+repeated as (select row, ofs from windows where passage in (select passage from windows group by passage having count(*) > 1)),
+gone as (select distinct row, unnest(range(ofs, ofs + 35)) as place from repeated),
+single as (select row, w[place + 1] as word, place from (select *, unnest(range(len(w))) as place from texts)),
+kept as (
+  select row, string_agg(word, ' ' order by place) as rest from single anti join gone using (row, place) group by row),
+removed as (select row, count(*) as n from gone group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256
+from texts left join removed using (row) left join kept using (row)"""

@@ -17,7 +17,7 @@ import __spark_entry__ as contract
 from marginalia.llm import language, lm_scoring, packing, queries, token_counts
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ["documents", "pages", "benchmark"]
+TABLES = ["documents", "pages", "benchmark", "conversations"]
 
 
 def ordered(columns, rows):

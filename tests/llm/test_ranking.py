@@ -1,0 +1,90 @@
+"""Ranked search for annotations, against scores of all pages."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from marginalia.llm import ranking
+
+PAGES = "doc_id long, page_idx int, text string"
+NOTES = "doc_id long, page_idx int, annot_idx int, contents string, note_text string"
+
+
+def terms(text):
+    lower = re.sub("[A-Z]", lambda c: c[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower)
+
+
+def slow(pages, notes, top=10):
+    bags = [(doc, page, Counter(terms(text))) for doc, page, text in pages if terms(text)]
+    n, length = len(bags), sum(sum(b.values()) for *_, b in bags)
+    df = Counter(t for *_, b in bags for t in b)
+    first = lambda v: (v is not None, v or 0)
+    out = []
+    for *key, contents, text in notes:
+        asked = set(terms(contents if contents and contents.strip() else text))
+        scores = []
+        for doc, page, bag in bags:
+            m = 100 - 90 + 90 * sum(bag.values()) * n // length
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * bag[t] // (1000 * bag[t] + 8 * m)) for t in asked if t in bag)
+            if score:
+                scores.append((-score, first(doc), first(page), doc, page))
+        out += [(*key, rank, doc, page, -score) for rank, (score, _, _, doc, page) in enumerate(sorted(scores)[:top], 1)]
+    return out
+
+
+def library(seed):
+    pick = random.Random(seed)
+    word = lambda: pick.choice(["Alpha", "beta", "x1", "Éa", "éa", "zz"]) if pick.random() < 0.3 else f"w{int(pick.paretovariate(0.6)) % 400}"
+    pages = [(i % 60, i // 60, pick.choice([" ", "-", ",\n"]).join(word() for _ in range(pick.choice([0, 1, 5, 5, 20, 80, 300])))) for i in range(200)]
+    pages += pages[:10] + [(300 + i, 0, pages[30][2]) for i in range(30)] + [(None, None, "beta zz"), (None, 3, None), (4, None, "  "), (5, 0, "w1 " * 3000)]
+    notes = [(i, 0, i % 3, pick.choice([None, " ", " ".join(word() for _ in range(pick.choice([1, 3, 12, 60])))]), f"beta w{i}") for i in range(30)]
+    notes += [notes[4], notes[4], (None, None, None, "alpha w2 w3", None), (90, 0, 0, None, None), (91, 0, 0, "?!", "x1"), (92, 0, 0, "nowhere", "x1")]
+    return pages, notes
+
+
+def same(spark, pages, notes, **more):
+    found = ranking.pages_spoken_of(spark.createDataFrame(pages, PAGES).repartition(5), spark.createDataFrame(notes, NOTES).repartition(3), **more)
+    assert found.columns == ["doc_id", "page_idx", "annot_idx", "rank", "found_doc_id", "found_page_idx", "score"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(slow(pages, notes, **more), key=repr)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SHARD_PAGES": 7}, {"SHARD_TERMS": 300}, {"ASKED_AT_ONCE": 5, "FIRST_ROUND": 1}])
+def test_against_all_scores(spark, monkeypatch, limits):
+    """One shard of a stratum and many, several blocks of annotations."""
+    for name, value in limits.items():
+        monkeypatch.setattr(ranking, name, value)
+    same(spark, *library(len(limits)))
+
+
+def test_other_numbers_of_pages(spark):
+    pages, notes = library(9)
+    same(spark, pages, notes[:8], top=3)
+
+
+def test_empty_tables(spark):
+    pages, notes = library(5)
+    same(spark, [], notes)
+    same(spark, pages, [])
+    same(spark, [(1, 0, None), (2, 0, "")], notes)
+
+
+def test_strata_that_cannot_win_are_not_visited(spark, monkeypatch):
+    """Long pages with one hit each cannot pass ten short pages with all terms."""
+    texts = [b"a b c d"] * 12 + [b"a " + b" ".join(b"p%d" % i for i in range(n)) for n in (200, 300, 400, 500)]
+    building = ranking.Building()
+    for doc, text in enumerate(texts):
+        building.add(doc, 0, 10 + len(text.split()), text)
+    shard = next(ranking._each([building.packed()]))
+    shard.weigh()
+    seen = []
+    score = ranking.Shard._score
+    monkeypatch.setattr(ranking.Shard, "_score", lambda self, query, cells, weights, best: (seen.extend(set(self.cell_strata[cells].tolist())), score(self, query, cells, weights, best)))
+    best = ranking.Best(1, 10)
+    monkeypatch.setattr(ranking, "FIRST_ROUND", 1)
+    shard.search(0, shard.places([b"a", b"b", b"c"]), np.array([5, 50, 50]), best)
+    assert seen == [0] and best.pages[0, :, 0].tolist() == list(range(10))

@@ -10,12 +10,12 @@ shards. Document frequencies, the number of pages and of terms are those of the
 """
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import effective_contents
@@ -27,18 +27,19 @@ TOP = 10
 # Share of the length in m, of 100, and the damping of tf: a posting gives 10^9 tf div (1000 tf + 8 m).
 LENGTH_SHARE, SCALE, TF_FACTOR, M_FACTOR = 90, 1_000_000_000, 1000, 8
 # Terms and pages of a shard, and annotations and terms that are sent to all shards at once.
-SHARD_TERMS, SHARD_PAGES, ASKED_AT_ONCE, TERMS_AT_ONCE = 1 << 20, 1 << 16, 4096, 1 << 20
+SHARD_TERMS, SHARD_PAGES, ASKED_AT_ONCE, TERMS_AT_ONCE = 1 << 21, 1 << 16, 4096, 1 << 20
 # Strata visited in the first round of a query in a shard; each round takes four times as many.
 FIRST_ROUND = 2
 NO_DOC, NO_PAGE = -(1 << 63), -(1 << 31)
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Bytes that are not part of a term, as spaces.
 SEPARATORS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
-# A shard: its pages in order of m and the m of each; for each term its cells, one for each stratum it occurs in;
-# for each cell its groups, one for each tf, largest first; for each group the places of its pages.
-SHARD = ("docs array<long>, pages array<int>, m array<long>, terms array<binary>, cell_starts array<int>, "
-         "cell_strata array<int>, group_starts array<int>, group_tf array<long>, posting_starts array<int>, postings array<int>")
+# A shard is a compressed Arrow table of one row: its pages in order of m and the m of each; for each term the number
+# of its cells, one for each stratum it occurs in; for each cell its stratum and the number of its groups, one for
+# each tf, largest first; for each group its tf and the number of its pages; the places of these.
+SHARD = "shard binary"
+COLUMNS = ["docs", "pages", "m", "terms", "term_cells", "cell_strata", "cell_groups", "group_tf", "group_pages", "postings"]
 FOUND = "query long, found_doc_id long, found_page_idx int, score long"
 
 
@@ -57,11 +58,11 @@ def pages_spoken_of(page_text: DataFrame, annotations: DataFrame, top: int = TOP
     and rows that repeat an annotation are answered each. note_text may be absent; other columns are ignored.
     """
     pages = page_text.select(*PAGE, "text")
-    lengths = pages.groupBy(_length().alias("n")).agg(F.count("*").alias("pages")).where("n > 0")
+    lengths = stored(pages.select("text").mapInArrow(_lengths, "n long").groupBy("n").agg(F.count("*").alias("pages")))
     n_pages, n_terms = (x or 0 for x in lengths.agg(F.sum("pages"), F.sum(F.col("n") * F.col("pages"))).first())
     asked = stored(_asked(annotations))
     found = new_path(pages.sparkSession)
-    pages.sparkSession.createDataFrame([], FOUND).write.parquet(found)
+    _no_rows(pages.sparkSession, FOUND).write.parquet(found)
     if n_pages:
         shards = stored(_shards(pages, lengths, n_pages, n_terms))
         for part in _parts(asked):
@@ -69,11 +70,29 @@ def pages_spoken_of(page_text: DataFrame, annotations: DataFrame, top: int = TOP
     best = Window.partitionBy("query").orderBy(F.desc("score"), "found_doc_id", "found_page_idx")
     ranked = (pages.sparkSession.read.schema(FOUND).parquet(found)
               .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top))
-    return ranked.join(asked.drop("text"), "query").select(*ANNOTATION, "rank", "found_doc_id", "found_page_idx", "score")
+    return ranked.join(asked.drop("text", "n"), "query").select(*ANNOTATION, "rank", "found_doc_id", "found_page_idx", "score")
 
 
-def _length() -> Column:
-    return F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
+def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))))
+
+
+def _n_terms(column: pa.Array) -> np.ndarray:
+    return np.array([sum(map(len, _terms(text))) for text in texts(column)], np.int64)
+
+
+def _lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of terms of each text that has any."""
+    for batch in batches:
+        n = _n_terms(batch["text"])
+        yield pa.RecordBatch.from_arrays([pa.array(n[n > 0])], ["n"])
+
+
+def _with_length(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has terms, with their number as `n`."""
+    for batch in batches:
+        n = _n_terms(batch["text"])
+        yield batch.append_column("n", pa.array(n)).filter(pa.array(n > 0))
 
 
 def normaliser(n: Column, n_pages: int, n_terms: int) -> Column:
@@ -83,13 +102,14 @@ def normaliser(n: Column, n_pages: int, n_terms: int) -> Column:
 def _asked(annotations: DataFrame) -> DataFrame:
     """Annotations with terms, numbered; a number is only good for the table it is stored in."""
     more = F.col("note_text") if "note_text" in annotations.columns else F.lit(None).cast("string")
-    return (annotations.select(*ANNOTATION, effective_contents(F.col("contents"), more).alias("text"))
-            .where(F.regexp_like("text", F.lit(TERM))).withColumn("query", F.monotonically_increasing_id()))
+    rows = annotations.select(*ANNOTATION, effective_contents(F.col("contents"), more).alias("text"))
+    return (rows.mapInArrow(_with_length, "doc_id long, page_idx int, annot_idx int, text string, n long")
+            .withColumn("query", F.monotonically_increasing_id()))
 
 
 def _parts(asked: DataFrame) -> Iterator[list]:
     """Queries in blocks of about ASKED_AT_ONCE, and of about TERMS_AT_ONCE terms."""
-    queries, terms = asked.agg(F.count("*"), F.sum(F.regexp_count("text", F.lit(TERM)))).first()
+    queries, terms = asked.agg(F.count("*"), F.sum("n")).first()
     parts = max(-(-queries // ASKED_AT_ONCE), -(-(terms or 0) // TERMS_AT_ONCE))
     for part in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).select("query", "text").collect()
@@ -103,7 +123,7 @@ def _shards(pages: DataFrame, lengths: DataFrame, n_pages: int, n_terms: int) ->
     large = (lengths.select(m, (F.col("n") * F.col("pages")).alias("terms")).groupBy("m").agg(F.sum("terms").alias("terms"))
              .where(F.col("terms") > SHARD_TERMS).select("m", F.ceil(F.col("terms") / SHARD_TERMS).alias("parts")))
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*PAGE, "text"), F.col("parts"))).otherwise(0)
-    return (pages.withColumn("n", _length()).where("n > 0").select("*", m)
+    return (pages.mapInArrow(_with_length, "doc_id long, page_idx int, text string, n long").select("*", m)
             .join(stored(large), "m", "left").withColumn("part", part)
             .repartition("m", "part").sortWithinPartitions("m").select(*PAGE, "m", "text")
             .mapInArrow(_indexer(SHARD_TERMS, SHARD_PAGES), SHARD))
@@ -131,35 +151,40 @@ class Building:
     """Pages of a shard to be, in order of m."""
 
     def __init__(self):
-        self.pages, self.places, self.keys, self.times, self.counts, self.size = [], {}, [], [], [], 0
+        self.pages, self.parts, self.lengths, self.size = [], [], [], 0
 
     def add(self, doc_id: int | None, page_idx: int | None, m: int, text: bytes) -> None:
-        bag: Counter[bytes] = Counter()
+        length = 0
         for terms in _terms(text):
-            bag.update(terms)
-            self.size += len(terms)
-        places = self.places
-        self.keys.append(np.fromiter((places.setdefault(t, len(places)) for t in bag), np.int64, len(bag)))
-        self.times.append(np.fromiter(bag.values(), np.int64, len(bag)))
-        self.counts.append(len(bag))
+            self.parts.append(pa.array(terms, pa.binary()))
+            length += len(terms)
+        self.lengths.append(length)
+        self.size += length
         self.pages.append((NO_DOC if doc_id is None else doc_id, NO_PAGE if page_idx is None else page_idx, m))
 
     def packed(self) -> pa.RecordBatch:
         docs, pages, m = np.array(self.pages, np.int64).T
-        term, tf = np.concatenate(self.keys), np.concatenate(self.times)
-        page = np.repeat(np.arange(len(docs)), self.counts)
+        of_page = np.repeat(np.arange(len(docs)), self.lengths)
+        terms = pa.concat_arrays(self.parts).dictionary_encode()
+        places = terms.indices.to_numpy().astype(np.int64)
+        postings, tf = np.unique(places * len(docs) + of_page, return_counts=True)
+        term, page = np.divmod(postings, len(docs))
         stratum = np.cumsum(np.r_[0, m[1:] != m[:-1]])[page]
-        order = np.lexsort((page, -tf, stratum, term))
+        order = np.lexsort((-tf, term * len(docs) + stratum))
         term, stratum, tf, page = term[order], stratum[order], tf[order], page[order]
         new_cell = np.r_[True, (term[1:] != term[:-1]) | (stratum[1:] != stratum[:-1])]
         groups = np.flatnonzero(new_cell | np.r_[True, tf[1:] != tf[:-1]])
         cells = np.flatnonzero(new_cell)
-        columns = [pa.array(docs), pa.array(pages.astype(np.int32)), pa.array(m), pa.array(list(self.places), pa.binary()),
-                   _ints(np.searchsorted(term[cells], np.arange(len(self.places) + 1))), _ints(stratum[cells]),
-                   _ints(np.r_[np.searchsorted(groups, cells), len(groups)]), pa.array(tf[groups]),
-                   _ints(np.r_[groups, len(term)]), _ints(page)]
+        columns = [pa.array(docs), _ints(pages), pa.array(m), terms.dictionary,
+                   _ints(np.diff(np.searchsorted(term[cells], np.arange(len(terms.dictionary) + 1)))), _ints(stratum[cells]),
+                   _ints(np.diff(np.r_[np.searchsorted(groups, cells), len(groups)])), _ints(tf[groups]),
+                   _ints(np.diff(np.r_[groups, len(term)])), _ints(page)]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-        return pa.RecordBatch.from_arrays(lists, [c.split()[0] for c in SHARD.split(", ")])
+        row = pa.RecordBatch.from_arrays(lists, COLUMNS)
+        packed = pa.BufferOutputStream()
+        with pa.ipc.new_stream(packed, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(row)
+        return pa.RecordBatch.from_arrays([pa.array([packed.getvalue().to_pybytes()], pa.binary())], ["shard"])
 
 
 def _ints(values: np.ndarray) -> pa.Array:
@@ -187,7 +212,7 @@ class Queries:
 
 def _search(shards: DataFrame, queries: Queries, found: str, top: int) -> None:
     """Add the best pages of each task for a block of queries to the table of those found."""
-    holders = shards.select("terms", "cell_starts", "group_starts", "posting_starts").mapInArrow(_holders(queries.terms), "term int, df long")
+    holders = shards.mapInArrow(_holders(queries.terms), "term int, df long")
     queries.weigh([(r.term, r.df) for r in holders.groupBy("term").agg(F.sum("df").alias("df")).collect()])
     shards.mapInArrow(_searcher(queries, top), FOUND).write.mode("append").parquet(found)
 
@@ -221,8 +246,8 @@ def _searcher(queries: Queries, top: int):
 
 def _each(batches: Iterable[pa.RecordBatch]) -> Iterator["Shard"]:
     for batch in batches:
-        for row in range(batch.num_rows):
-            yield Shard(batch.slice(row, 1))
+        for packed in batch["shard"]:
+            yield Shard(pa.ipc.open_stream(packed.as_buffer()).read_next_batch())
 
 
 class Best:
@@ -249,14 +274,17 @@ class Best:
 
 class Shard:
     def __init__(self, row: pa.RecordBatch):
-        for name in row.schema.names:
-            values = row[name].flatten()
-            setattr(self, name, values.to_pylist() if name == "terms" else values.to_numpy(zero_copy_only=False))
+        columns = {name: row[name].flatten() for name in COLUMNS}
+        self.terms = columns.pop("terms")
+        own = {name: c.to_numpy() for name, c in columns.items()}
+        self.docs, self.pages, self.m = own["docs"], own["pages"], own["m"]
+        self.cell_strata, self.group_tf, self.postings = own["cell_strata"], own["group_tf"].astype(np.int64), own["postings"]
+        self.cell_starts, self.group_starts, self.posting_starts = (
+            np.r_[0, np.cumsum(own[name], dtype=np.int64)] for name in ("term_cells", "cell_groups", "group_pages"))
 
     def places(self, terms: list[bytes]) -> np.ndarray:
         """Where the shard has each term, or -1."""
-        own = {t: i for i, t in enumerate(self.terms)}
-        return np.fromiter((own.get(t, -1) for t in terms), np.int64, len(terms))
+        return pc.index_in(pa.array(terms, pa.binary()), value_set=self.terms).fill_null(-1).to_numpy().astype(np.int64)
 
     def weigh(self) -> None:
         """The impact of each group, and the largest of each cell, which is that of its first group."""

@@ -15,14 +15,19 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.batches import texts, words
+from marginalia.operators.stored import stored
 
 WINDOW = 35
+# Bytes of a text's digest. Bits for each text that loses something in the filter, and 2^26 bits at most.
+DIGEST = 12
+BITS_PER_TEXT, MOST_BITS = 16, 26
 # Words of a minimiser, and windows of a packed string at most.
 M, MOST_WINDOWS = 2, 512
 # Packed strings, and their bytes, that a task counts at once.
@@ -46,14 +51,15 @@ def without_repeats(page_text: DataFrame, window: int = WINDOW) -> DataFrame:
     than a window keeps all. Rows that repeat a page are pages of their own: where they have the same text, it
     repeats itself. Null doc_id and page_idx are kept; other columns are ignored.
 
-    What a page loses hangs on its text alone, so places are named by the SHA-256 of the text.
+    What a page loses hangs on its text alone, so places are named by 96 bits of the SHA-256 of the text. Only
+    texts that may lose something meet what they lose; a filter of bounded size tells most others before.
     """
     pages = page_text.select("doc_id", "page_idx", "text")
     often = _often(pages, window)
     packed = pages.mapInArrow(_packer(window, often), PACKED)
     counted = (packed.repartition("bucket").sortWithinPartitions("bucket")
                .mapInArrow(_counter(window, frozenset(b for own in often.values() for b in own)), COUNTED))
-    return _without(pages, _covered(counted, window))
+    return _without(pages, stored(_covered(counted, window)))
 
 
 def _often(pages: DataFrame, window: int) -> dict[int, list[int]]:
@@ -63,7 +69,7 @@ def _often(pages: DataFrame, window: int) -> dict[int, list[int]]:
     """
     total = pages.count()
     sample = pages.sample(min(1.0, SAMPLED_PAGES / max(total, 1)), seed=1)
-    seen = sample.mapInArrow(_packer(window, {}), PACKED).groupBy("bucket").agg(F.count("*").alias("n"))
+    seen = stored(sample.mapInArrow(_packer(window, {}), PACKED).groupBy("bucket").agg(F.count("*").alias("n")))
     strings = seen.agg(F.sum("n")).first()[0] or 0
     return {r.bucket: [r.bucket + (part << 32) for part in range(1, 2 + r.n * FREQUENT // strings)]
             for r in seen.where(F.col("n") > max(strings // FREQUENT, 32)).collect()}
@@ -82,9 +88,29 @@ def _covered(counted: DataFrame, window: int) -> DataFrame:
 
 def _without(pages: DataFrame, covered: DataFrame) -> DataFrame:
     """Pages without text are spread by their ids, as they match nothing."""
-    digest = F.when(F.length("text") > 0, F.sha2("text", 256)).otherwise(F.md5(F.concat_ws(" ", "doc_id", "page_idx")))
+    digest = F.when(F.length("text") > 0, F.substring(F.sha2("text", 256), 1, 2 * DIGEST)).otherwise(F.md5(F.concat_ws(" ", "doc_id", "page_idx")))
     own = pages.withColumn("digest", F.unhex(digest))
-    return own.join(covered, "digest", "left").drop("digest").mapInArrow(_remover, KEPT)
+    bits = 1 << min(MOST_BITS, max(15, (BITS_PER_TEXT * covered.count()).bit_length()))
+    place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    may_lose = _filter(covered.select((place + 1).alias("place")), bits)(place)
+    losing = own.where(may_lose).join(covered, "digest", "left")
+    others = own.where(~may_lose).withColumn("covered", F.lit(None).cast(covered.schema["covered"].dataType))
+    return losing.unionByName(others).drop("digest").mapInArrow(_remover, KEPT)
+
+
+def _filter(places: DataFrame, bits: int):
+    """A test of whether a place is among these (counted from 1), by one bit for each."""
+    parts = (places.groupBy(F.bitmap_bucket_number("place").alias("part"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect())
+    packed = np.zeros(bits // 8, np.uint8)
+    for row in parts:
+        start = (row.part - 1) * len(row.bits)
+        packed[start:start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+
+    def test(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+    return F.pandas_udf(test, "boolean")
 
 
 def _packer(window: int, often: dict[int, list[int]]):
@@ -100,7 +126,7 @@ def _packer(window: int, often: dict[int, list[int]]):
                     ids.setdefault(text, xxhash.xxh32_intdigest(f"{doc_id} {page_idx}"))
             rows, size = [], 0
             for text, n in copies.items():
-                digest = sha256(text).digest()
+                digest = sha256(text).digest()[:DIGEST]
                 for bucket, first, packed in _strings(text, window, hashes):
                     if bucket in often:
                         own = often[bucket]

@@ -40,6 +40,17 @@ def number_rows(df: DataFrame, group: list[str], levels: list[list[str]], order:
             .withColumn(name, F.col("_pos") + F.col("_start")).drop("_pos", "_start"))
 
 
+def running_total(df: DataFrame, group: list[str], levels: list[list[str]], order: list[str],
+                  value: str, name: str) -> DataFrame:
+    """Add the sum of `value` over the rows before each in its group as `name`; levels and order as in
+    `number_rows`."""
+    keys = [*group, *(c for level in levels for c in level)]
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = _block_starts(df.groupBy(*keys).agg(F.sum(value).alias("_n")), group, levels)
+    return (df.withColumn("_before", F.coalesce(F.sum(value).over(before), F.lit(0))).join(starts, keys)
+            .withColumn(name, F.col("_before") + F.col("_start")).drop("_before", "_start"))
+
+
 def _block_starts(sizes: DataFrame, group: list[str], levels: list[list[str]]) -> DataFrame:
     outer = [*group, *(c for level in levels[:-1] for c in level)]
     before = (Window.partitionBy(*outer).orderBy(*levels[-1])

@@ -1,11 +1,15 @@
 """Highlighted text: read from glyph boxes, then shown in bold inside its page."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import cell, cell_of, cells_between
 from marginalia.functions.text import case_fold, clean_text, is_blank, passage_pattern
-from marginalia.operators.blocks import ANNOTATION, PAGE, block_of, spread_join
+from marginalia.operators.blocks import ANNOTATION, PAGE, block_of
+from marginalia.operators.positions import place_passages
 from marginalia.operators.sections import annotated_pages
 
 # Side of the smallest squares, in points, that bring glyphs and highlight boxes together; each level above has
@@ -13,6 +17,8 @@ from marginalia.operators.sections import annotated_pages
 CELL = 36.0
 # Highlights of a page, by position, that meet its glyphs in one task.
 BOXES_PER_BLOCK = 16384
+# Highlights of a page, by position, that are looked up in it together.
+HIGHLIGHTS_PER_BLOCK = 512
 
 
 def annotated_page_text(page_text: DataFrame, ann: DataFrame) -> DataFrame:
@@ -68,27 +74,81 @@ def _meet(boxes: DataFrame, centres: DataFrame) -> DataFrame:
         *ANNOTATION, "rect_idx", "glyph_idx", "ch")
 
 
+def located(raw: DataFrame, page_text: DataFrame | None) -> DataFrame:
+    """Where highlighted text (`raw` by annotation) stands in its page, in blocks of a page's highlights:
+    (doc_id, page_idx, text, is_first, places), where places are (annot_idx, start, size, shown).
+
+    The cleaned highlight is looked up in the page text without regard to case, and failing that, as if the page
+    text were cleaned too. start counts from 1. Where it is found nowhere or there is no page text, start
+    is null and `shown` the highlight by itself, null if it is blank. A block reads its page once. Each
+    block has the text of its page; is_first is true for one block of each page.
+    """
+    shown = F.when(~is_blank(clean_text(F.col("raw"))), clean_text(F.col("raw")))
+    rows = raw.select(*ANNOTATION, shown.alias("shown"), block_of(F.col("annot_idx"), HIGHLIGHTS_PER_BLOCK).alias("block"))
+    wanted = F.struct("annot_idx", "shown", case_fold(F.col("shown")).alias("needle"))
+    blocks = rows.groupBy(*PAGE, "block").agg(F.collect_list(wanted).alias("wanted"))
+    first = F.min("block").over(Window.partitionBy(*PAGE))
+    blocks = blocks.withColumn("is_first", F.col("block") == first).drop("block")
+    if page_text is None:
+        blocks = blocks.withColumn("text", F.lit(None).cast("string"))
+    else:
+        blocks = blocks.join(page_text.where(F.length("text") > 0).select(*PAGE, "text"), PAGE, "left")
+    return (blocks.select(*PAGE, "is_first", "text", case_fold(F.col("text")).alias("folded"), "wanted")
+            .mapInArrow(_locate, LOCATED))
+
+
+LOCATED = ("doc_id long, page_idx int, is_first boolean, text string, "
+           "places array<struct<annot_idx int, start int, size int, shown string>>")
+
+
+def _locate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places = pa.list_(pa.struct([("annot_idx", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("shown", pa.string())]))
+    for batch in batches:
+        rows = []
+        for folded, wanted in zip(batch["folded"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
+            found = {} if folded is None else place_passages(folded, {w["needle"] for w in wanted if w["needle"]})
+            row = []
+            for w in wanted:
+                start, size = found.get(w["needle"], (None, None))
+                row.append({"annot_idx": w["annot_idx"], "start": None if start is None else start + 1, "size": size,
+                            "shown": w["shown"] if start is None else None})
+            rows.append(row)
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*PAGE, "is_first", "text")), pa.array(rows, places)],
+                                         [*PAGE, "is_first", "text", "places"])
+
+
+def in_bold(text: Column, start: Column, size: Column) -> Column:
+    """The text with a stretch of it in bold."""
+    end = start + size
+    return F.concat(F.substring(text, F.lit(1), start - 1), F.lit("**"), F.substring(text, start, size), F.lit("**"),
+                    F.substring(text, end, F.length(text)))
+
+
+def alone(shown: Column) -> Column:
+    return F.concat(F.lit("**"), shown, F.lit("**"))
+
+
 def in_pages(raw: DataFrame, page_text: DataFrame) -> DataFrame:
-    """Highlighted text (`raw` by annotation) with `passage`; only its pages are read, each folded once."""
-    pages = page_text.join(annotated_pages(raw), PAGE, "left_semi").select(
-        *PAGE, "text", case_fold(F.col("text")).alias("folded"))
-    return with_passage(spread_join(raw, pages, PAGE, "annot_idx"), folded="folded").drop("folded")
+    """`passage` by annotation: its page with the highlighted text in bold, or the highlight alone."""
+    rows = located(raw, page_text).select(*PAGE, "text", F.inline("places"))
+    passage = F.coalesce(in_bold(F.col("text"), F.col("start"), F.col("size")), alone(F.col("shown")))
+    return rows.select(*ANNOTATION, passage.alias("passage"))
 
 
-def with_passage(rows: DataFrame, text: str = "text", raw: str = "raw", folded: str | None = None) -> DataFrame:
+def with_passage(rows: DataFrame, text: str = "text", raw: str = "raw") -> DataFrame:
     """Add `passage`: the page text with the highlighted text in bold.
 
     The cleaned highlight is looked up in the page text without regard to case. Failing that,
     it is looked up as if the page text were cleaned too, and the matching stretch of the
     untouched text is marked. Failing that, or without page text, the highlight stands alone.
-    Only the first occurrence is marked. Null when there is no highlighted text. `folded` names the
-    case-folded page text if there is a column of it.
+    Only the first occurrence is marked. Null when there is no highlighted text. This is the form for rows that
+    have both texts; `in_pages` brings them together, with many highlights on a page.
     """
     found = F.coalesce(F.position(F.col("_needle"), F.col("_folded")), F.lit(0))
     rows = (rows.withColumn("_shown", clean_text(F.col(raw)))
             .withColumn("_shown", F.when(~is_blank(F.col("_shown")), F.col("_shown")))
             .withColumn("_needle", case_fold(F.col("_shown")))
-            .withColumn("_folded", F.when(F.col("_shown").isNotNull(), F.col(folded) if folded else case_fold(F.col(text))))
+            .withColumn("_folded", F.when(F.col("_shown").isNotNull(), case_fold(F.col(text))))
             .withColumn("_at", found))
     loose = F.when((F.col("_at") == 0) & F.col("_folded").isNotNull(),
                    F.regexp_substr(F.col("_folded"), passage_pattern(F.col("_needle"))))
@@ -96,12 +156,6 @@ def with_passage(rows: DataFrame, text: str = "text", raw: str = "raw", folded:
             .withColumn("_start", F.when(F.col("_at") > 0, F.col("_at"))
                         .otherwise(F.position(F.col("_loose"), F.col("_folded"))))
             .withColumn("_size", F.length(F.coalesce("_loose", "_needle"))))
-    end = F.col("_start") + F.col("_size")
-    page = F.col(text)
-    in_context = F.concat(
-        F.substring(page, F.lit(1), F.col("_start") - 1), F.lit("**"),
-        F.substring(page, F.col("_start"), F.col("_size")), F.lit("**"),
-        F.substring(page, end, F.length(page)))
-    alone = F.concat(F.lit("**"), F.col("_shown"), F.lit("**"))
-    return (rows.withColumn("passage", F.coalesce(in_context, alone))
+    in_context = in_bold(F.col(text), F.col("_start"), F.col("_size"))
+    return (rows.withColumn("passage", F.coalesce(in_context, alone(F.col("_shown"))))
             .drop("_shown", "_needle", "_folded", "_at", "_loose", "_start", "_size"))

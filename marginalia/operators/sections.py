@@ -1,6 +1,6 @@
 """Which heading an annotation belongs to, and in which order a section is read."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import sort_y
@@ -56,14 +56,18 @@ def with_sort_y(ann: DataFrame) -> DataFrame:
                                            F.col("points")))
 
 
+def line_of(sort_y: Column) -> Column:
+    return sort_y - F.pmod(sort_y, F.lit(LINE))
+
+
 def reading_order(assigned: DataFrame) -> DataFrame:
     """Add `rank`, the 1-based place in the section by page, height and position.
 
     A page is cut by height into lines, so that a page with very many heights is sorted line by line;
     annotations of the same height, as all carets and free texts are, are cut by position.
     """
-    line = F.col("sort_y") - F.pmod(F.col("sort_y"), F.lit(LINE))
-    rows = stored(with_sort_y(assigned).drop("rects", "points")).withColumns({"_line": line, "_part": annot_block()})
+    rows = stored(with_sort_y(assigned).drop("rects", "points")).withColumns(
+        {"_line": line_of(F.col("sort_y")), "_part": annot_block()})
     levels = [["page_idx"], ["_line"], ["sort_y", "_part"]]
     return number_rows(rows, ["doc_id", "outline_key"], levels, ["annot_idx"], "rank").drop("_line", "_part")
 

@@ -1,16 +1,23 @@
 """Freehand strokes: boxes, and clusters of strokes at most 50 points apart."""
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import bbox_gap, cell, cell_of, cells_between, stroke_bounds
 from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.components import connected_components
+from marginalia.operators.links import SIDES, forest, spanning_links
 from marginalia.operators.stored import stored
 
 # Fixed value: strokes this close, in points, share a crop.
 MERGE_DISTANCE = 50.0
 
+# Pages of at most so many strokes are solved each in one go.
+SMALL_PAGE = 256
 # Any two boxes that reach into one cell of this side are within the merge distance.
 CELL = 35.0
 # Cells this many steps apart can still hold boxes within the merge distance.
@@ -25,8 +32,6 @@ PARTS_PER_SIDE = 8
 # Parts are not cut below this side, where coordinates have no more digits.
 SMALLEST_PART = 1e-3
 
-SIDES = ["min_x", "min_y", "max_x", "max_y"]
-
 
 def stroke_boxes(ann: DataFrame) -> DataFrame:
     """The bounding box of every stroke, null for strokes without points."""
@@ -35,15 +40,68 @@ def stroke_boxes(ann: DataFrame) -> DataFrame:
             .select(*ANNOTATION, *(F.col("_b")[side].alias(side) for side in SIDES)))
 
 
+def stroke_links(ann: DataFrame, max_gap: float = MERGE_DISTANCE) -> DataFrame:
+    """(doc_id, page_idx, a, b, gap): a minimum spanning forest of the strokes of each page, by annot_idx, a < b.
+
+    Links of at most a distance, up to max_gap, make the clusters for it. Strokes without points have no links.
+    """
+    return spanning_links(stroke_boxes(ann), max_gap)
+
+
 def stroke_clusters(ann: DataFrame) -> DataFrame:
     """Strokes with boxes and `cluster_idx`, the smallest annot_idx of their cluster.
 
-    A cluster is a connected component of "at most 50 points apart". Strokes are never paired
-    up: those in one grid cell are linked through the cell, and two cells are linked when some
-    of their strokes are close. Components are then found on cells, whose number depends on
-    the page and not on how often it was drawn on.
+    A cluster is a connected component of "at most 50 points apart". Pages of few strokes are solved each by itself,
+    others together, by grid cells.
+    """
+    strokes = stroke_boxes(ann)
+    large = stored(strokes.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > SMALL_PAGE).select(*PAGE))
+    wanted = F.struct("annot_idx", *SIDES)
+    small = (strokes.join(large, PAGE, "left_anti").groupBy(*PAGE).agg(F.collect_list(wanted).alias("strokes"))
+             .mapInArrow(_cluster_page, CLUSTERED).select(*PAGE, F.inline("strokes")))
+    if large.isEmpty():
+        return stored(small)
+    return stored(small.unionByName(_clusters_by_cells(strokes.join(large, PAGE, "left_semi"))))
+
+
+STROKE = [("annot_idx", pa.int32()), *((side, pa.float32()) for side in SIDES), ("cluster_idx", pa.int32())]
+CLUSTERED = ("doc_id long, page_idx int, strokes array<struct<annot_idx int, min_x float, min_y float, max_x float, "
+             "max_y float, cluster_idx int>>")
+
+
+def _cluster_page(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = batch["strokes"].to_pylist()
+        for strokes in pages:
+            boxed = [s for s in strokes if s["min_x"] is not None]
+            lowest = {s["annot_idx"]: s["annot_idx"] for s in strokes}
+            if len(boxed) > 1:
+                sides = np.array([[s[side] for side in SIDES] for s in boxed], np.float32)
+                _hang(lowest, forest(np.array([s["annot_idx"] for s in boxed], np.int64), sides, MERGE_DISTANCE))
+            for s in strokes:
+                s["cluster_idx"] = lowest[s["annot_idx"]]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in PAGE), pa.array(pages, pa.list_(pa.struct(STROKE)))], [*PAGE, "strokes"])
+
+
+def _hang(lowest: dict[int, int], links: list[tuple[int, int, float]]) -> None:
+    """Set the lowest stroke of each cluster; at first each stroke is its own."""
+    def top(stroke: int) -> int:
+        while lowest[stroke] != stroke:
+            stroke = lowest[stroke]
+        return stroke
+    for a, b, _ in links:
+        low, high = sorted((top(a), top(b)))
+        lowest[high] = low
+    for stroke in lowest:
+        lowest[stroke] = top(stroke)
+
+
+def _clusters_by_cells(strokes: DataFrame) -> DataFrame:
+    """Strokes are never paired up: those in one grid cell are linked through the cell, and two cells are linked when
+    some of their strokes are close. Components are then found on cells, whose number depends on the page and
+    not on how often it was drawn on.
     """
-    strokes = stroke_boxes(ann).withColumn("node", _first_cell())
+    strokes = strokes.withColumn("node", _first_cell())
     lowest = (strokes.where(F.col("node").isNotNull())
               .groupBy(*PAGE, "node").agg(F.min("annot_idx").alias("lowest")))
     linked = connected_components(cell_links(strokes), PAGE)
@@ -52,8 +110,7 @@ def stroke_clusters(ann: DataFrame) -> DataFrame:
     clusters = named.groupBy(*PAGE, "component").agg(F.min("lowest").alias("cluster_idx"))
     lookup = named.join(clusters, [*PAGE, "component"]).select(*PAGE, "node", "cluster_idx")
     found = spread_join(strokes, lookup, [*PAGE, "node"], "annot_idx")
-    return stored(found.withColumn("cluster_idx", F.coalesce("cluster_idx", "annot_idx"))
-                  .drop("node"))
+    return found.withColumn("cluster_idx", F.coalesce("cluster_idx", "annot_idx")).drop("node")
 
 
 def cluster_bounds(clusters: DataFrame) -> DataFrame:

@@ -1,21 +1,59 @@
 """Putting ordered blocks together to documents in pieces.
 
-Every document has the same form: rows (doc_id, name, piece_no, markdown), to be read by piece_no. The cut
-does not look at sizes: a digest has a piece for its front and one for each page of a section, an export one
-for each page.
+Every document has the same form: rows (doc_id, name, piece_no, markdown), to be read by piece_no. A piece holds
+blocks of one place: the front of a digest, a page of a section, a page of an export. A place of more than
+half of PIECE_BYTES is cut by the running sum of its bytes, so no piece is larger than PIECE_BYTES but a
+single block.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = ["doc_id", "piece_no"]
+from marginalia.operators.blocks import PAGE, annot_block, block_of, number_rows, page_block, running_total
+from marginalia.operators.passages import in_bold
+from marginalia.operators.sections import line_of
+from marginalia.operators.stored import stored
+
+PIECE_BYTES = 1 << 20
+PLACE = ["doc_id", "section", "page_idx"]
 ORDER = ["part", "outline_key", "sort_y", "annot_idx"]
+BLOCK = [*PLACE, *ORDER, "start", "size", "bytes", "markdown"]
+
+
+def assemble(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, piece_no, markdown) from blocks with the columns of BLOCK, in the order of PLACE and ORDER.
+
+    A block with a start is a highlight in its page: the page's text, a row of `texts` (doc_id, page_idx, text),
+    is put in front of its Markdown with the stretch in bold. `bytes` count it, so the text meets a piece once,
+    after the cut, and not each of its blocks.
+    """
+    blocks = stored(blocks)
+    sizes = blocks.groupBy(*PLACE).agg(F.sum("bytes").alias("total"))
+    crowded = sizes.where(F.col("total") > PIECE_BYTES // 2).select(*PLACE)
+    cut = cut_by_bytes(blocks.join(crowded, PLACE, "left_semi"), PLACE)
+    calm = sizes.join(crowded, PLACE, "left_anti").select(*PLACE, F.lit(0).cast("long").alias("cut"))
+    pieces = calm.unionByName(cut.select(*PLACE, "cut").distinct()).withColumn("_pages", page_block())
+    numbered = number_rows(pieces, ["doc_id"], [["section"], ["_pages"]], ["page_idx", "cut"], "piece_no").drop("_pages")
+    content = F.when(F.col("bytes") > 0, F.struct(*ORDER, "start", "size", "markdown"))
+    filled = (blocks.join(crowded, PLACE, "left_anti").withColumn("cut", F.lit(0).cast("long")).unionByName(cut)
+              .groupBy(*PLACE, "cut").agg(F.array_sort(F.collect_list(content)).alias("blocks")))
+    full = numbered.join(filled, [*PLACE, "cut"]).join(texts, PAGE, "left")
+    shown = F.transform("blocks", lambda b: F.when(b["start"].isNull(), b["markdown"]).otherwise(
+        F.concat(F.lit("> "), in_bold(F.col("text"), b["start"], b["size"]), F.lit("\n"), b["markdown"])))
+    return full.select("doc_id", (F.col("piece_no") - 1).alias("piece_no"), F.array_join(shown, "").alias("markdown"))
+
 
+def cut_by_bytes(blocks: DataFrame, place: list[str]) -> DataFrame:
+    """Blocks with `cut`, the number of their piece within their place; numbers may be left out.
 
-def assemble(blocks: DataFrame) -> DataFrame:
-    """Join the column `markdown` of each piece's blocks by ORDER."""
-    joined = F.expr(f"listagg(markdown, '') within group (order by {', '.join(ORDER)})")
-    return blocks.groupBy(*PIECE).agg(joined.alias("markdown"))
+    A block belongs to the stretch of half of PIECE_BYTES in which it starts. Only the last block of a stretch can
+    be longer than that; it is a piece by itself.
+    """
+    half = PIECE_BYTES // 2
+    rows = blocks.withColumns({"_line": line_of(F.col("sort_y")), "_part": annot_block()})
+    ran = running_total(rows, place, [["part", "outline_key", "_line"], ["sort_y", "_part"]], ["annot_idx"], "bytes", "_ran")
+    return (ran.withColumn("cut", 2 * block_of(F.col("_ran"), half) + F.when(F.col("bytes") > half, 1).otherwise(0))
+            .drop("_line", "_part", "_ran"))
 
 
 def named(pieces: DataFrame, names: DataFrame) -> DataFrame:

@@ -4,16 +4,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import file_stem
-from marginalia.operators.blocks import ANNOTATION, PAGE, number_rows, page_block, spread_join
+from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.stored import stored
 from marginalia.operators.crops import crops, image_dirs, with_images
 from marginalia.operators.filters import filter_annotations
-from marginalia.operators.passages import highlight_text, in_pages, with_passage
+from marginalia.operators.passages import alone, highlight_text, in_bold, located
 from marginalia.operators.render import annotation_block, document_head, section_head, summary_row
 from marginalia.operators.sections import headings_at, with_image_shown, with_sort_y
 from marginalia.operators.strokes import stroke_clusters
 from marginalia.operators.summary import COUNTS, document_totals, page_counts, section_totals
-from marginalia.plans.assembly import ORDER, PIECE, assemble, named
+from marginalia.plans.assembly import BLOCK, assemble, named
 
 
 def annotation_digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame,
@@ -38,37 +38,50 @@ def digest(ann: DataFrame, ol: DataFrame, names: DataFrame, page_text: DataFrame
     """Digest of documents that have annotations, in pieces (doc_id, name, piece_no, markdown).
 
     Title and summary are piece 0. Sections follow in outline order, then annotations without a heading, with a
-    piece for each page; a section's head stands on its first.
+    piece for each page; a section's head stands on its first. Crowded pages and long summaries are cut
+    further, see `assemble`.
     """
     pages = stored(digest_pages(ann, ol))
-    blocks = annotation_blocks(ann, pages, page_text, raw, images, rel_dir)
-    return named(assemble(blocks.withColumn("part", F.lit(3)).select(*PIECE, *ORDER, "markdown")
-                          .unionByName(_frame(pages, names))), names)
+    blocks, texts = _blocks(ann, pages, page_text, raw, images, rel_dir)
+    placed = blocks.withColumns({"section": F.col("outline_key"), "part": F.lit(3), "outline_key": F.lit("")})
+    return named(assemble(placed.select(*BLOCK).unionByName(_frame(pages, names)), texts), names)
 
 
 def digest_pages(ann: DataFrame, ol: DataFrame) -> DataFrame:
-    """Annotated pages with counts, heading, and the number of their piece."""
-    pages = stored(headings_at(page_counts(ann), ol).withColumn("_pages", page_block()))
-    return number_rows(pages, ["doc_id"], [["outline_key"], ["_pages"]], ["page_idx"], "piece_no").drop("_pages")
+    """Annotated pages with counts and heading."""
+    return headings_at(page_counts(ann), ol)
 
 
 def annotation_blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | None = None,
                       raw: DataFrame | None = None, images: DataFrame | None = None,
                       rel_dir: str | None = None) -> DataFrame:
     """One row per annotation with its Markdown and the columns that place it."""
+    blocks, texts = _blocks(ann, pages, page_text, raw, images, rel_dir)
+    quote = F.concat(F.lit("> "), in_bold(F.col("text"), F.col("start"), F.col("size")), F.lit("\n"))
+    return spread_join(blocks, texts, PAGE, "annot_idx").withColumn(
+        "markdown", F.concat(F.coalesce(quote, F.lit("")), "markdown")).drop("start", "size", "bytes", "text")
+
+
+def _blocks(ann: DataFrame, pages: DataFrame, page_text: DataFrame | None, raw: DataFrame | None,
+            images: DataFrame | None, rel_dir: str | None) -> tuple[DataFrame, DataFrame]:
+    """Annotations with Markdown, without the page text around highlights that are found there (start, size),
+    and the text of such pages; `bytes` count both.
+    """
     rows = with_sort_y(ann).drop("rects", "points")
     if images is not None:
         rows = rows.join(_shown_images(rows, pages, images, rel_dir), ANNOTATION, "left")
-    rows = spread_join(rows, pages.select(*PAGE, "outline_key", "piece_no"), PAGE, "annot_idx")
-    passages = F.lit(None).cast("string").alias("passage")
-    if raw is not None:
-        marked = raw.select(*ANNOTATION, "raw")
-        shown = in_pages(marked, page_text) if page_text is not None else with_passage(
-            marked.withColumn("text", F.lit(None).cast("string")))
-        rows, passages = rows.join(shown.select(*ANNOTATION, "passage"), ANNOTATION, "left"), F.col("passage")
-    rows = rows.select("*", passages) if raw is None else rows
-    return rows.select(*ANNOTATION, "outline_key", "piece_no", "sort_y",
-                       annotation_block(images is not None).alias("markdown"))
+    rows = spread_join(rows, pages.select(*PAGE, "outline_key"), PAGE, "annot_idx")
+    if raw is None:
+        raw = ann.sparkSession.createDataFrame([], "doc_id long, page_idx int, annot_idx int, raw string")
+    found = stored(located(raw, page_text))
+    texts = found.where("is_first and text is not null").select(*PAGE, "text")
+    places = found.select(*PAGE, F.octet_length("text").alias("_text_bytes"), F.inline("places"))
+    markdown = annotation_block(images is not None)
+    around = F.when(F.col("start").isNotNull(), F.col("_text_bytes") + len("> ****\n")).otherwise(0)
+    blocks = (rows.join(places.withColumn("passage", alone(F.col("shown"))).drop("shown"), ANNOTATION, "left")
+              .select(*ANNOTATION, "outline_key", "sort_y", "start", "size", "_text_bytes", markdown.alias("markdown"))
+              .withColumn("bytes", F.octet_length("markdown") + around).drop("_text_bytes"))
+    return blocks, texts
 
 
 def _shown_images(rows: DataFrame, pages: DataFrame, images: DataFrame,
@@ -79,23 +92,25 @@ def _shown_images(rows: DataFrame, pages: DataFrame, images: DataFrame,
 
 
 def _frame(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """Title, summary and section heads; parts 0 to 2 are the front, heads come before part 3."""
-    front = {"piece_no": F.lit(0).cast("bigint"), "sort_y": F.lit(0.0), "annot_idx": F.lit(0)}
+    """Title, summary and section heads; the front lies before all sections, heads come before part 3."""
+    front = {"section": F.lit(""), "page_idx": F.lit(-1)}
     totals = document_totals(pages).join(names.select("doc_id", "name"), "doc_id", "left")
     base_name = F.coalesce(F.substring_index("name", "/", -1), F.lit(""))
     head = document_head(base_name, F.col("annotations"), F.col("pages"))
     ends = totals.select("doc_id", F.lit("").alias("outline_key"), F.explode(F.array(
         F.struct(F.lit(0).alias("part"), head.alias("markdown")),
         F.struct(F.lit(2).alias("part"), F.lit("\n").alias("markdown")))).alias("_b"))
-    sections = section_totals(pages, F.min("piece_no").alias("first_piece"))
+    sections = section_totals(pages, F.min("page_idx").alias("page_idx"))
     row = summary_row(F.col("title"), [F.col(c) for c in COUNTS])
     rows = sections.select("doc_id", "outline_key", F.lit(1).alias("part"), row.alias("markdown"))
     heads = sections.select(
-        F.col("first_piece").alias("piece_no"), "doc_id", "outline_key", F.lit(2).alias("part"), F.lit(0.0).alias("sort_y"),
-        F.lit(0).alias("annot_idx"), section_head(F.col("title"), F.col("depth")).alias("markdown"))
-    columns = [*PIECE, *ORDER, "markdown"]
-    return (ends.select("doc_id", "outline_key", "_b.*").withColumns(front).select(*columns)
-            .unionByName(rows.withColumns(front).select(*columns)).unionByName(heads.select(*columns)))
+        "doc_id", F.col("outline_key").alias("section"), "page_idx", F.lit(2).alias("part"), F.lit("").alias("outline_key"),
+        section_head(F.col("title"), F.col("depth")).alias("markdown"))
+    none = {"sort_y": F.lit(0.0), "annot_idx": F.lit(0), "start": F.lit(None).cast("int"), "size": F.lit(None).cast("int"),
+            "bytes": F.octet_length("markdown")}
+    blocks = (ends.select("doc_id", "outline_key", "_b.*").unionByName(rows).withColumns(front)
+              .unionByName(heads))
+    return blocks.withColumns(none).select(*BLOCK)
 
 
 def digest_files(texts: DataFrame, suffix: str = "-annotations.md") -> DataFrame:

@@ -98,6 +98,16 @@ TABLES = {
           t.outline_key || '/' || lpad(e.sibling_ord::varchar, 19, '0')
         from outline_entries e join tree t on e.doc_id = t.doc_id and e.parent_id = t.id)
       select * from tree""",
+    "outline_by_place": """
+      with recursive placed as (
+        select *, lpad((row_number() over (partition by doc_id, parent_id order by sibling_ord) - 1)::varchar, 19, '0') as place
+        from outline_entries),
+      tree as (
+        select doc_id, id, title, page_idx, 0 as depth, place as outline_key from placed where parent_id is null
+        union all
+        select e.doc_id, e.id, e.title, e.page_idx, t.depth + 1, t.outline_key || '/' || e.place
+        from placed e join tree t on e.doc_id = t.doc_id and e.parent_id = t.id)
+      select * from tree""",
     "headings": """
       select doc_id, title, page_idx, arg_min(depth, outline_key) as depth,
         min(outline_key) as outline_key, max(outline_key) as last_key
@@ -106,9 +116,13 @@ TABLES = {
       select doc_id, page_idx, title, depth, outline_key from headings where page_idx is not null
       qualify row_number() over (partition by doc_id, page_idx order by last_key desc) = 1""",
     "doc_pages": "select doc_id, max(page_idx) + 1 as n_pages from bodies group by doc_id",
+    "numbered_documents": "select doc_id, row_number() over (order by doc_id) - 1 as place from documents",
     "placed_events": """
-      select *, case when event_id % 4 = 0 then user_id
-        else (event_id * 7919) % (select max(doc_id) + 1 from documents) end as doc_id from events""",
+      select e.*, d.doc_id from (
+        select *, case when event_id % 4 = 0 then user_id % n
+          else ((event_id // 4 * 3 + event_id % 4 - 1) * 7919) % n end as place
+        from events, (select greatest(count(*), 1) as n from documents)) e
+      join numbered_documents d using (place)""",
     "events_as_annotations": """
       select event_id, doc_id, (case when event_id % 20 = 7 then n_pages + event_id % 3
           else (event_id * 31 + event_id // 1000) % n_pages end)::int as page_idx,
@@ -180,7 +194,7 @@ TABLES = {
     "position_map": f"""
       with letters as (
         select doc_id, page_idx, unnest(range(1, length(text) + 1)) as i, unnest(string_split(text, '')) as c
-        from page_text where (doc_id, page_idx) in (select (doc_id, page_idx) from {{raw}})),
+        from page_text where (doc_id, page_idx) in (select (doc_id, page_idx) from {{mapped}})),
       kept as (select *, regexp_full_match(c, '[{SPACE}]') as space from letters
                where not regexp_full_match(c, '[{STRIP}]')),
       runs as (select *, lag(space, 1, true) over (partition by doc_id, page_idx order by i) as after_space
@@ -227,6 +241,24 @@ TABLES = {
       select s.*, cluster_idx from strokes s join (
         select doc_id, page_idx, a as annot_idx, min(b) as cluster_idx from reach group by all)
         using (doc_id, page_idx, annot_idx)""",
+    # All pairs of strokes, the shortest first; a pair is a link if no shorter ones lead from one end to the other.
+    "stroke_pairs": """
+      select *, row_number() over (partition by doc_id, page_idx order by gap, not same, a, b) as place
+      from (select a.doc_id, a.page_idx, a.annot_idx as a, b.annot_idx as b,
+          sqrt((greatest(0::float, a.min_x - b.max_x, b.min_x - a.max_x) * greatest(0::float, a.min_x - b.max_x, b.min_x - a.max_x)
+            + greatest(0::float, a.min_y - b.max_y, b.min_y - a.max_y) * greatest(0::float, a.min_y - b.max_y, b.min_y - a.max_y))::double) as gap,
+          a.min_x = b.min_x and a.min_y = b.min_y and a.max_x = b.max_x and a.max_y = b.max_y as same
+        from strokes a join strokes b on a.doc_id = b.doc_id and a.page_idx = b.page_idx and a.annot_idx < b.annot_idx
+        where a.min_x is not null and b.min_x is not null)
+      where gap <= 120""",
+    "shorter_ways": """
+      with recursive ways as (
+        select doc_id, page_idx, place, a as at from stroke_pairs
+        union
+        select w.doc_id, w.page_idx, w.place, case when p.a = w.at then p.b else p.a end
+        from ways w join stroke_pairs p on p.doc_id = w.doc_id and p.page_idx = w.page_idx and p.place < w.place
+          and (p.a = w.at or p.b = w.at))
+      select * from ways""",
     "cluster_boxes": """
       select doc_id, page_idx, cluster_idx, min(min_x) as x, min(min_y) as y,
         max(max_x) - min(min_x) as w, max(max_y) - min(min_y) as h
@@ -311,9 +343,9 @@ TABLES = {
 RECURSIVE = {"outline", "clusters"}
 
 
-def sql(select, ann="annotations", raw="raw_text", shown="plain", span="true", folder="'images/'"):
+def sql(select, ann="annotations", raw="raw_text", shown="plain", span="true", folder="'images/'", mapped=None):
     """The select with every derived table it needs in front."""
-    names = {"ann": ann, "raw": raw, "shown": shown, "span": span, "folder": folder}
+    names = {"ann": ann, "raw": raw, "shown": shown, "span": span, "folder": folder, "mapped": mapped or raw}
     tables = {name: _fill(body, names) for name, body in TABLES.items()}
     needed: list[str] = []
 
@@ -343,6 +375,16 @@ ORACLE_SQL = {
         "case when kind = 'highlight' and event_id % 11 <> 0 then case when event_id % 3 = 0 then 2 else 1 end "
         "else 0 end as n_rects, "
         "case when kind = 'freehand' and not no_points then 3 else 0 end as n_points from annotations"),
+    "annotation_files": sql(
+        f"select {KEY}, kind, color, contents, note_text, author, state, x, y, w, h, "
+        "case when kind = 'highlight' and event_id % 11 <> 0 then case when event_id % 3 = 0 then 2 else 1 end "
+        "else 0 end as n_rects, "
+        "case when kind = 'freehand' and not no_points then 3 else 0 end as n_points from annotations"),
+    "annotation_file_errors":
+        "select doc_id, page_idx::int as page_idx, annot_idx::int as annot_idx, reason from documents, "
+        "(values (null, null, 'not JSON'), (null, null, 'page number'), (null, null, 'pages'), (4, 0, 'record'), "
+        "(4, 1, 'kind'), (4, 2, 'field'), (5, null, 'page')) as e(page_idx, annot_idx, reason) where doc_id % 20 = 0",
+    "outline_files": sql("select doc_id, title, page_idx::int as page_idx, depth, outline_key from outline_by_place"),
     "outline_preorder": sql("select *, least(depth + 2, 4) as level from outline"),
     "outline_dedup": sql("select * from headings"),
     "heading_assignment": sql(f"select {KEY}, event_id, title, depth, outline_key from assigned"),
@@ -374,6 +416,11 @@ ORACLE_SQL = {
     "clean_text": "select doc_id, " + clean(
         "replace(replace(text, 'th', 't' || chr(173) || 'h'), ' ', ' ' || chr(9))") + " as cleaned from documents",
     "highlight_in_context": sql("select * from passages"),
+    "position_map": sql(
+        "select doc_id, page_idx, start::int as start, shift::int as shift from (select *, start = 0 or shift <> lag(shift) over ("
+        "partition by doc_id, page_idx order by start) as is_new from (select doc_id, page_idx, start, place - 1 - start as shift "
+        "from (select doc_id, page_idx, unnest(range(length(cleaned))) as start, unnest(places[1 : length(cleaned)]) as place "
+        "from position_map))) where is_new", mapped="page_text"),
     "highlight_text_from_glyphs": sql("select * from glyph_text"),
     "annotation_labels": sql(f"select event_id, {LABEL} as label from events_as_annotations"),
     "markup_kinds": sql("select event_id, raw_kind, kind from events_as_annotations"),
@@ -385,6 +432,9 @@ ORACLE_SQL = {
         "from events_as_annotations"),
     "stroke_bounds": sql("select * from strokes"),
     "stroke_clusters": sql(f"select {KEY}, cluster_idx from clusters"),
+    "stroke_links": sql(
+        "select doc_id, page_idx, a, b, gap from stroke_pairs p where not exists (select 1 from shorter_ways w "
+        "where w.doc_id = p.doc_id and w.page_idx = p.page_idx and w.place = p.place and w.at = p.b)"),
     "cluster_bounds": sql("select * from cluster_boxes"),
     "pixel_boxes": sql("select * from boxes"),
     "crop_numbering": sql("select * from numbered"),

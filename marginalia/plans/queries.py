@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import (
     clean_text, effective_contents, is_blank, normalize_color)
 from marginalia.operators import crops as crop_ops
-from marginalia.operators.blocks import ANNOTATION
+from marginalia.operators.blocks import ANNOTATION, PAGE
 from marginalia.operators.filters import filter_annotations, filter_colors, filter_pages, filter_report
 from marginalia.operators.outline import dedup_outline, flatten_outline
 from marginalia.operators.passages import annotated_page_text, highlight_text, in_pages
+from marginalia.operators.positions import position_maps
 from marginalia.operators.render import annotation_label, heading_level
 from marginalia.operators.sections import assign_headings, image_first_shown, reading_order, with_sort_y
 from marginalia.operators.stored import stored
-from marginalia.operators.strokes import cluster_bounds, stroke_boxes, stroke_clusters
+from marginalia.operators.strokes import cluster_bounds, stroke_boxes, stroke_clusters, stroke_links
 from marginalia.operators.summary import COUNTS, document_totals, page_counts, section_summary
 from marginalia.plans.digest import annotation_blocks, annotation_digest, digest, digest_files, digest_pages
 from marginalia.plans.export import corpus_export
 from marginalia.sources.corpus import Corpus
+from marginalia.sources.files import annotation_records, annotations_of, errors_of, outline_of
 
 PAGE_RANGE = "1,3,5-6,8-,4-2"
 COLORS = "#ff0, 0000FF"
 IMAGE_DIR = "out/images"
+LONGEST_GAP = 120.0
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +56,27 @@ def _annotation_scan(c):
         F.coalesce(F.array_size("points"), F.lit(0)).alias("n_points"))
 
 
+@query("annotation_files")
+def _annotation_files(c):
+    """Annotations out of nested files."""
+    return annotations_of(annotation_records(c.annotation_files())).select(
+        *ANNOTATION, "kind", "color", "contents", "note_text", "author", "state", "x", "y", "w", "h",
+        F.coalesce(F.array_size("rects"), F.lit(0)).alias("n_rects"), F.coalesce(F.array_size("points"), F.lit(0)).alias("n_points"))
+
+
+@query("annotation_file_errors")
+def _annotation_file_errors(c):
+    """What cannot be read of good and broken files."""
+    files = c.annotation_files().unionByName(c.broken_files())
+    return errors_of(annotation_records(files)).select(*ANNOTATION, "reason")
+
+
+@query("outline_files")
+def _outline_files(c):
+    """Outlines out of nested files."""
+    return outline_of(c.outline_files())
+
+
 @query("outline_preorder")
 def _outline_preorder(c):
     return _outline(c).withColumn("level", heading_level(F.col("depth")))
@@ -139,6 +163,13 @@ def _highlight_in_context(c):
     return in_pages(raw, c.page_text()).select(*ANNOTATION, "passage")
 
 
+@query("position_map")
+def _position_map(c):
+    """Runs of the map from cleaned page text back to the page."""
+    maps = position_maps(c.page_text())
+    return maps.select(*PAGE, F.inline("runs"))
+
+
 @query("highlight_text_from_glyphs")
 def _highlight_text_from_glyphs(c):
     ann = stored(c.annotations())
@@ -179,6 +210,12 @@ def _stroke_cluster_members(c):
     return stroke_clusters(stored(c.annotations())).select(*ANNOTATION, "cluster_idx")
 
 
+@query("stroke_links")
+def _stroke_links(c):
+    """Links for every distance up to LONGEST_GAP points."""
+    return stroke_links(stored(c.annotations()), LONGEST_GAP)
+
+
 @query("cluster_bounds")
 def _stroke_cluster_bounds(c):
     return cluster_bounds(stroke_clusters(stored(c.annotations())))

@@ -1,9 +1,10 @@
 """An annotated library derived from the given `documents` and `events` tables.
 
-Every document becomes a paged text of two lines a page, every event an annotation. A quarter of
-the events lie on the document with the event's user_id, so some documents have many; the others
-are spread over all documents, and all over all pages of their document. One in twenty lies on a
-page behind the last, which has no text. All rows and whole texts take part.
+Every document becomes a paged text of two lines a page, every event an annotation. Documents are numbered
+by doc_id. A quarter of the events lie on the document with the event's user_id as its number, so some
+documents have many; the others are dealt over all documents in turn, and all over all pages of their
+document. One in twenty lies on a page behind the last, which has no text. All rows and whole texts take
+part, whatever their ids.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import shown_kind
 from marginalia.operators.blocks import PAGE, block_of, number_rows, spread_join
+from marginalia.operators.outline import flatten_outline
+from marginalia.operators.stored import stored
 
 LINES_PER_PAGE = 2
 
@@ -66,10 +69,10 @@ class Corpus:
 
     def marks(self) -> DataFrame:
         """Events as annotations, without their places in the page lists."""
-        documents = (self.documents.agg(F.max("doc_id")).first()[0] or 0) + 1
-        placed = self.events.withColumn("doc_id", F.expr(
-            f"if(event_id % 4 = 0, user_id, (event_id * 7919) % {documents})")).join(
-            self.documents.select("doc_id", (page_numbers() + 1).alias("n_pages")), "doc_id")
+        count = max(self.documents.count(), 1)
+        spread = "(event_id div 4 * 3 + pmod(event_id, 4) - 1) * 7919"
+        place = f"pmod(if(event_id % 4 = 0, user_id, {spread}), {count}L) + 1"
+        placed = self.events.withColumn("place", F.expr(place)).join(self._numbered_documents(), "place")
         rows = placed.selectExpr(
             "event_id", "doc_id", """cast(if(event_id % 20 = 7, n_pages + event_id % 3,
                  (event_id * 31 + event_id div 1000) % n_pages) as int) as page_idx""",
@@ -101,6 +104,12 @@ class Corpus:
                  if(event_id % 10 = 7, null, struct(float(x + w) as x, y))),
                  p -> p is not null) end as points""")
 
+    def _numbered_documents(self) -> DataFrame:
+        """doc_id and n_pages with `place`, counted from 1 by doc_id."""
+        rows = self.documents.select("doc_id", (page_numbers() + 1).alias("n_pages"), F.lit(0).alias("_all"),
+                                     block_of(F.col("doc_id")).alias("_block"))
+        return number_rows(rows, ["_all"], [["_block"]], ["doc_id"], "place").drop("_all", "_block")
+
     def annotations(self) -> DataFrame:
         """Events as annotations; a page lists them by event_id."""
         numbered = number_rows(self.marks().withColumn("_part", block_of(F.col("event_id"))), PAGE,
@@ -109,6 +118,41 @@ class Corpus:
             *PAGE, (F.col("_number") - 1).cast("int").alias("annot_idx"), "event_id", "kind",
             "color", "contents", "note_text", "author", "state", "x", "y", "w", "h", "rects", "points")
 
+    def annotation_files(self) -> DataFrame:
+        """The annotations as nested files (doc_id, content), 64 pages of a document in each."""
+        record = F.expr("""to_json(struct(case kind when 'note' then 'TextNote' when 'free_text' then 'free_text'
+            when 'rect' then 'RectAnnotation' else kind end as type, color, contents, note_text as text, author, state,
+            x, y, w, h, rects, points))""")
+        listed = F.array_sort(F.collect_list(F.struct("annot_idx", record.alias("record"))))
+        pages = self.annotations().groupBy(*PAGE).agg(listed.alias("records")).select("doc_id", block_of(F.col("page_idx"), 64).alias("_file"), F.expr(
+            "concat('\"', page_idx, '\": [', array_join(records.record, ', '), ']')").alias("page"))
+        return pages.groupBy("doc_id", "_file").agg(F.collect_list("page").alias("pages")).selectExpr(
+            "doc_id", """concat('{"version": 1, "pages": {', array_join(pages, ', '), '}}') as content""")
+
+    def broken_files(self) -> DataFrame:
+        """Annotation files of every twentieth document that cannot be read, or not all of them."""
+        texts = ['{"pages": ', '{"pages": {"x": []}}', '{"pages": []}', '{"version": 1}',
+                 '{"Pages": {"4": [7, {"color": "#FFF"}, {"type": "highlight", "rects": 5}, {"type": "stamp", "x": 1.5}], "5": {}}}']
+        return self.documents.where("doc_id % 20 = 0").select("doc_id", F.explode(F.array(*map(F.lit, texts))).alias("content"))
+
+    def outline_files(self) -> DataFrame:
+        """The outlines as nested files (doc_id, content)."""
+        entries = stored(self.outline_entries())
+        depths = flatten_outline(entries).select("doc_id", "id", "depth")
+        rows = stored(entries.join(depths, ["doc_id", "id"]))
+        listed = F.expr("array_join(array_sort(collect_list(struct(sibling_ord, entry))).entry, ', ')")
+        below = None
+        for depth in range(rows.agg(F.max("depth")).first()[0] or 0, -1, -1):
+            level = rows.where(F.col("depth") == depth)
+            if below is None:
+                level = level.withColumn("children", F.lit(None).cast("string"))
+            else:
+                level = level.join(below.withColumnRenamed("parent_id", "id"), ["doc_id", "id"], "left")
+            entry = F.expr("""concat(rtrim('}', to_json(struct(title, page_idx as page))),
+                              coalesce(concat(', "children": [', children, ']'), ''), '}')""")
+            below = level.withColumn("entry", entry).groupBy("doc_id", "parent_id").agg(listed.alias("children"))
+        return below.select("doc_id", F.concat(F.lit("["), "children", F.lit("]")).alias("content"))
+
     def page_entries(self) -> DataFrame:
         """The pages an annotation file lists, some without annotations: all pages of documents
         with an annotation."""

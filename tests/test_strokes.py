@@ -9,12 +9,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import bbox_gap, pixel_box
+from marginalia.operators import links
 from marginalia.operators import strokes as ops
 from marginalia.operators.components import connected_components
 from marginalia.operators.crops import crops, image_dirs, number_crops, pixel_boxes, with_images
 from marginalia.operators.stored import stored
 
 
+@pytest.fixture(autouse=True)
+def no_small_pages(monkeypatch):
+    """Grid cells, whatever the size of a page; tests of small pages set their size."""
+    monkeypatch.setattr(ops, "SMALL_PAGE", 0)
+
+
 def clusters_by_pairs(boxes):
     """Smallest member of each box's cluster; boxes are float32 rows, None without points."""
     parent = list(range(len(boxes)))
@@ -183,3 +190,65 @@ def test_crop_numbers_skip_what_is_not_drawn(spark):
     assert images[2, 0] == "d/annotation_004.png"
     assert images[3, 999] == "d/annotation_1004.png"
     assert not images.keys() & {(0, 4), (0, 5), (1, 0), (2, 1)}
+
+
+def test_small_pages(spark, monkeypatch):
+    """Pages on both sides of the limit."""
+    monkeypatch.setattr(ops, "SMALL_PAGE", 40)
+    rng = random.Random(12)
+    pages = [scattered(rng, count, 500, 500, 60) for count in (1, 2, 3, 12, 40, 41, 60, 25)]
+    check(spark, [*pages, [[], []], [[(1e30, 0.0)], [(-1e30, 0.0)], [(1e30, 20.0)]]])
+
+
+def links_by_pairs(boxes, max_gap):
+    """Kruskal's algorithm over all pairs."""
+    pairs = []
+    for b, other in enumerate(boxes):
+        for a in range(b):
+            if boxes[a] is None or other is None:
+                continue
+            one = boxes[a]
+            dx = max(np.float32(0), one[0] - other[2], other[0] - one[2])
+            dy = max(np.float32(0), one[1] - other[3], other[1] - one[3])
+            gap = math.sqrt(dx * dx + dy * dy)
+            if gap <= max_gap:
+                pairs.append((gap, one != other, a, b))
+    own = list(range(len(boxes)))
+    links = []
+    for gap, _, a, b in sorted(pairs):
+        if own[a] != own[b]:
+            own = [own[a] if o == own[b] else o for o in own]
+            links.append((a, b, gap))
+    return sorted(links)
+
+
+def float_boxes(strokes):
+    arrays = [np.array(points, dtype=np.float32).reshape(-1, 2) for points in strokes]
+    return [(*a.min(0), *a.max(0)) if len(a) else None for a in arrays]
+
+
+@pytest.mark.parametrize("at_once,max_gap", [(1024, 50.0), (1024, 200.0), (7, 50.0), (7, 200.0), (3, 0.0)])
+def test_links_are_a_minimum_spanning_forest(spark, monkeypatch, at_once, max_gap):
+    """One block a page, and many that Borůvka's rounds join; equal boxes and ties by rounded places."""
+    monkeypatch.setattr(links, "BOXES_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    pages = [scattered(rng, 40, 400, 400, 50), scattered(rng, 9, 300, 300, 10), [[], [(0.0, 0.0)]],
+             [[(float(rng.randrange(0, 300, 50)), float(rng.randrange(0, 300, 50)))] for _ in range(45)]]
+    rows = [lib.freehand(p, *points) for p, strokes in enumerate(pages) for points in strokes]
+    found = ops.stroke_links(lib.annotations(spark, rows), max_gap).collect()
+    for p, strokes in enumerate(pages):
+        assert sorted((r.a, r.b, r.gap) for r in found if r.page_idx == p) == links_by_pairs(float_boxes(strokes), max_gap)
+
+
+def test_links_give_the_clusters_of_every_distance(spark, monkeypatch):
+    monkeypatch.setattr(ops, "SMALL_PAGE", 256)
+    rng = random.Random(31)
+    page = scattered(rng, 80, 500, 500, 30)
+    ann = stored(lib.annotations(spark, [lib.freehand(0, *points) for points in page]))
+    found = ops.stroke_links(ann, 300.0).collect()
+    own = list(range(len(page)))
+    for r in found:
+        if r.gap <= 50.0:
+            own = [min(own[r.a], own[r.b]) if o in (own[r.a], own[r.b]) else o for o in own]
+    assert own == [r.cluster_idx for r in ops.stroke_clusters(ann).orderBy("annot_idx").collect()]
+    assert own == clusters_by_pairs(float_boxes(page))

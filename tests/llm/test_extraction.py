@@ -31,13 +31,48 @@ def test_page(source, text):
 
 
 @pytest.mark.parametrize("source", ["<a" * 50_000, "<div>" * 50_000 + "x", '<a title="' * 20_000, "<b>" * 20_000 + "<div>x</div>" * 2_000,
-                                    "<!--" * 50_000, "</p>" * 50_000, "&amp" * 50_000, "<script>" * 20_000])
+                                    "<!--" * 50_000, "</p>" * 50_000, "<i>" * 50_000 + "<div></div>" * 20_000, "<li><ul>" + "<i>" * 30_000 + "<li></li>" * 20_000, "&amp" * 50_000, "<script>" * 20_000])
 def test_hostile_markup_takes_no_long_time(source):
     start = time.perf_counter()
     Page(source).text([])
     assert time.perf_counter() - start < 10
 
 
+ARTICLE = "<h1>The title</h1><p>" + "Some words of the story. " * 12 + "</p><p>The end of it.</p>"
+PLAIN = "The title " + "Some words of the story. " * 12 + "The end of it."
+MENU = "<ul class='main-menu'><li><a href=/>Home</a><li>About</ul>"
+COMMENTS = "<div id='comments' class='comments-area'><h2>Replies</h2><p>Nice one.</p></div>"
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "content with-sidebar", "page has-header", "entry has-cookie-banner", "article comments-open",
+                                  "main social-enabled", "post tag-newsletter category-share", "theme-copyright", "sidebar-right", "page-header"])
+def test_names_that_tell_a_state_do_not_cost_the_article(name):
+    assert Page(f"<div class='{name}'>{MENU}<article>{ARTICLE}</article>{COMMENTS}</div>").text([]) == PLAIN
+    assert Page(f"<body>{MENU}<div class='{name}'>{ARTICLE}</div>{COMMENTS}<footer>f</footer>").text([]) == PLAIN
+
+
+@pytest.mark.parametrize("name", ["site-footer", "comment-list", "commentList", "cookie_banner", "nav-links", "widget-area", "share-buttons", "ad-slot", "sidebar"])
+def test_names_of_asides(name):
+    assert Page(f"<main>{ARTICLE}<div class='x {name} y'><p>not this</p></div></main>").text([]) == PLAIN
+
+
+@pytest.mark.parametrize("source", [
+    f"<form id='aspnetForm'>{MENU}<div>{ARTICLE}</div><button>Send</button></form>",
+    f"<article class='post comments-open'>{ARTICLE}</article>{COMMENTS}",
+    f"<nav>{'<i>' * 300}<a href=/>Menu</a> and more</nav><main>{'<i>' * 300}{ARTICLE}</main>{'<i>' * 300}{COMMENTS}",
+    f"{'<div>' * 400}<article>{ARTICLE}</article><nav>Menu</nav>{COMMENTS}{'</div>' * 400}<footer>f</footer>",
+    f"<table><tr><td class=menu>Home<td>{ARTICLE}<tr><td><td class='footer'>f</table>",
+    f"<div role=navigation>Home</div><div role=main>{ARTICLE}</div><div role=complementary>side</div>",
+    f"<div id=wrapper class='sidebar-left'><div class=sidebar>{'side ' * 9}</div><div id=content>{ARTICLE}</div></div>",
+    f"<section><div class='entry-header'></div>{ARTICLE}<div class='related-posts'><article><p>Other</p></article></div></section>",
+])
+def test_kinds_of_pages(spark, source):
+    """By itself, and with a vote of its host."""
+    assert Page(source).text([]) == PLAIN
+    pages = spark.createDataFrame([(i, "http://h.example/", source) for i in range(5)], SCHEMA)
+    assert {r.text for r in extraction.main_text(pages).collect()} == {PLAIN}
+
+
 def page(pick, n, outer, comments):
     body = " ".join(f"word{pick.randrange(100)}" for _ in range(n))
     remarks = "".join(f"<div class='comment c{i}'><p>{'nice ' * 30}</p></div>" for i in range(comments))

@@ -2,8 +2,9 @@
 
 Windows are dealt to buckets by their minimiser, the least hash of two neighbouring words in them. Consecutive
 windows with the same minimiser overlap in all but a word each, so they travel as one packed string, a
-super-k-mer. All copies of a window reach the same bucket, where sorting counts them: by a rolling hash
-first, and those that look alike word by word.
+super-k-mer, and strings of a task that go to the same bucket travel compressed together. All copies of a
+window reach the same bucket, where sorting counts them: by a rolling hash first, and those that look
+alike word by word.
 
 A minimiser that a sample of pages shows often is dealt over many buckets, and a bucket with more
 strings than a task should hold is counted in parts. Windows found once there are counted again by their
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +32,17 @@ DIGEST = 12
 BITS_PER_TEXT, MOST_BITS = 16, 26
 # Words of a minimiser, and windows of a packed string at most.
 M, MOST_WINDOWS = 2, 512
-# Packed strings, and their bytes, that a task counts at once.
-STRINGS_AT_ONCE, BYTES_AT_ONCE = 16384, 16 << 20
+# Bytes of packed strings that a task sends at once and that it counts at once, and those of a bucket, about.
+SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 64 << 20, 96 << 20, 48 << 20
 # Pages looked at for frequent minimisers, about. Frequent is what has one in so many packed strings.
 SAMPLED_PAGES, FREQUENT = 20_000, 2000
 # Words whose hashes a task remembers.
 REMEMBERED = 1 << 20
 
-PACKED = "bucket long, digest binary, first long, copies int, packed binary"
+PACKED = "bucket int, strings binary"
+STRINGS = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("copies", pa.int32()), ("dealt", pa.bool_()), ("packed", pa.binary())])
 COUNTED = "digest binary, first long, last long, window binary, twice boolean"
+SENT = "doc_id long, page_idx int, digest binary, text binary"
 KEPT = "doc_id long, page_idx int, n_words long, n_removed long, text string"
 
 
@@ -55,35 +59,46 @@ def without_repeats(page_text: DataFrame, window: int = WINDOW) -> DataFrame:
     texts that may lose something meet what they lose; a filter of bounded size tells most others before.
     """
     pages = page_text.select("doc_id", "page_idx", "text")
-    often = _often(pages, window)
-    packed = pages.mapInArrow(_packer(window, often), PACKED)
-    counted = (packed.repartition("bucket").sortWithinPartitions("bucket")
-               .mapInArrow(_counter(window, frozenset(b for own in often.values() for b in own)), COUNTED))
+    n_pages, size = pages.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    # A string has about twice as many words as are in none before it.
+    buckets = 1 + 3 * (size or 0) // BUCKET_BYTES
+    often = _often(pages, n_pages, window)
+    packed = pages.mapInArrow(_packer(window, often, buckets, SENT_AT_ONCE), PACKED)
+    counted = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counter(window, COUNTED_AT_ONCE), COUNTED)
     return _without(pages, stored(_covered(counted, window)))
 
 
-def _often(pages: DataFrame, window: int) -> dict[int, list[int]]:
-    """Buckets of each frequent minimiser; less than FREQUENT minimisers can be frequent.
+def _often(pages: DataFrame, n_pages: int, window: int) -> dict[int, int]:
+    """Frequent minimisers, less than FREQUENT of them, with the number of parts each is dealt into.
 
     Which ones are found changes where windows are counted, never the counts.
     """
-    total = pages.count()
-    sample = pages.sample(min(1.0, SAMPLED_PAGES / max(total, 1)), seed=1)
-    seen = stored(sample.mapInArrow(_packer(window, {}), PACKED).groupBy("bucket").agg(F.count("*").alias("n")))
+    sample = pages.sample(min(1.0, SAMPLED_PAGES / max(n_pages, 1)), seed=1).select("text")
+    seen = stored(sample.mapInArrow(_minimisers_of(window), "minimiser long").groupBy("minimiser").agg(F.count("*").alias("n")))
     strings = seen.agg(F.sum("n")).first()[0] or 0
-    return {r.bucket: [r.bucket + (part << 32) for part in range(1, 2 + r.n * FREQUENT // strings)]
+    return {r.minimiser: 1 + r.n * FREQUENT // strings
             for r in seen.where(F.col("n") > max(strings // FREQUENT, 32)).collect()}
 
 
+def _minimisers_of(window: int):
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for text in texts(batch["text"]):
+                found = [m for m, _, _ in _strings(text or b"", window, hashes)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["minimiser"])
+    return find
+
+
 def _covered(counted: DataFrame, window: int) -> DataFrame:
-    """(digest, covered): stretches of words to be removed from the text of this digest."""
+    """(digest, covered): stretches of words to be removed from the text of this digest, (first, last) of each."""
     found = counted.where("last is not null").select("digest", "first", "last")
     again = (counted.where("window is not null").groupBy("window")
              .agg(F.collect_list(F.struct("digest", "first", "twice")).alias("places"))
              .where(F.size("places") > 1).select(F.explode("places").alias("place")).where("not place.twice")
              .select("place.digest", "place.first", (F.col("place.first") + (window - 1)).alias("last")))
-    return (found.unionByName(again).groupBy("digest")
-            .agg(F.collect_set(F.struct("first", "last")).alias("covered")))
+    stretches = found.unionByName(again).select("digest", "first", (F.col("last") - F.col("first")).cast("int").alias("more"))
+    return stretches.repartition("digest").groupBy("digest").agg(F.collect_list(F.struct("first", "more")).alias("covered"))
 
 
 def _without(pages: DataFrame, covered: DataFrame) -> DataFrame:
@@ -93,9 +108,22 @@ def _without(pages: DataFrame, covered: DataFrame) -> DataFrame:
     bits = 1 << min(MOST_BITS, max(15, (BITS_PER_TEXT * covered.count()).bit_length()))
     place = F.pmod(F.xxhash64("digest"), F.lit(bits))
     may_lose = _filter(covered.select((place + 1).alias("place")), bits)(place)
-    losing = own.where(may_lose).join(covered, "digest", "left")
-    others = own.where(~may_lose).withColumn("covered", F.lit(None).cast(covered.schema["covered"].dataType))
-    return losing.unionByName(others).drop("digest").mapInArrow(_remover, KEPT)
+    losing = own.where(may_lose).mapInArrow(_compress, SENT).join(covered, "digest", "left")
+    others = own.where(~may_lose).select("doc_id", "page_idx", F.encode("text", "utf-8").alias("text"),
+                                         F.lit(None).cast(covered.schema["covered"].dataType).alias("covered"))
+    return (losing.drop("digest").mapInArrow(_remover(decompress), KEPT)
+            .unionByName(others.mapInArrow(_remover(bytes), KEPT)))
+
+
+def _compress(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [zstandard.compress(text or b"", 3) for text in texts(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["page_idx"], batch["digest"], pa.array(packed, pa.binary())],
+                                         [c.split()[0] for c in SENT.split(", ")])
+
+
+def decompress(packed: bytes) -> bytes:
+    return zstandard.decompress(packed)
 
 
 def _filter(places: DataFrame, bits: int):
@@ -113,10 +141,12 @@ def _filter(places: DataFrame, bits: int):
     return F.pandas_udf(test, "boolean")
 
 
-def _packer(window: int, often: dict[int, list[int]]):
-    """Packed strings of pages; equal texts of a batch travel once, with their number."""
+def _packer(window: int, often: dict[int, int], buckets: int, at_once: int):
+    """Packed strings of pages by bucket; equal texts of a batch travel once, with their number."""
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
+        waiting: dict[int, list[tuple]] = defaultdict(list)
+        size = 0
         for batch in batches:
             copies: dict[bytes, int] = defaultdict(int)
             ids: dict[bytes, int] = {}
@@ -124,23 +154,39 @@ def _packer(window: int, often: dict[int, list[int]]):
                 if text:
                     copies[text] += 1
                     ids.setdefault(text, xxhash.xxh32_intdigest(f"{doc_id} {page_idx}"))
-            rows, size = [], 0
             for text, n in copies.items():
                 digest = sha256(text).digest()[:DIGEST]
-                for bucket, first, packed in _strings(text, window, hashes):
-                    if bucket in often:
-                        own = often[bucket]
-                        bucket = own[(ids[text] + int.from_bytes(digest[:4])) % len(own)]
-                    rows.append((bucket, digest, first, n, packed))
+                for minimiser, first, packed in _strings(text, window, hashes):
+                    parts = often.get(minimiser)
+                    bucket = minimiser
+                    if parts:
+                        bucket += (1 + (ids[text] + int.from_bytes(digest[:4])) % parts) << 32
+                    waiting[_mixed(bucket) % buckets].append((digest, first, n, parts is not None, packed))
                     size += len(packed)
-                    if size > BYTES_AT_ONCE:
-                        yield _batch(rows, PACKED)
-                        rows, size = [], 0
-            if rows:
-                yield _batch(rows, PACKED)
+                    if size >= at_once:
+                        yield _sent(waiting)
+                        size = 0
+        if waiting:
+            yield _sent(waiting)
     return pack
 
 
+def _mixed(bucket: int) -> int:
+    return (bucket * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32
+
+
+def _sent(waiting: dict[int, list[tuple]]) -> pa.RecordBatch:
+    buckets, blobs = [], []
+    for bucket, rows in waiting.items():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, STRINGS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+            stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STRINGS, strict=True)], schema=STRINGS))
+        buckets.append(bucket)
+        blobs.append(sink.getvalue().to_pybytes())
+    waiting.clear()
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "strings"])
+
+
 class Hashes(dict):
     """64-bit hashes of words."""
 
@@ -183,45 +229,33 @@ def _minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
-def _counter(window: int, dealt: frozenset[int]):
-    """Windows that occur twice in a bucket, and those that other parts of their minimiser may have too."""
-    split = np.array(sorted(dealt), np.int64)
-
+def _counter(window: int, at_once: int):
+    """Windows that occur twice in a bucket, and those that other parts of their minimiser or bucket may have too."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cut in _buckets(batches):
-            buckets = np.asarray(table["bucket"])
-            open_ = np.isin(buckets, split) | np.isin(buckets, np.array(cut, np.int64))
-            yield from _counted(table, open_, window)
+        for table, is_part in _buckets(batches, at_once):
+            yield from _counted(table, is_part | np.asarray(table["dealt"]), window)
     return count
 
 
-def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
-    """Tables of whole buckets, in the order of buckets; one too large for a table comes in parts, named."""
+def _buckets(batches: Iterable[pa.RecordBatch], at_once: int) -> Iterator[tuple[pa.Table, bool]]:
+    """The strings of each bucket, or of a part of one that is too large for a task, and whether it is a part."""
     held: list[pa.RecordBatch] = []
-    rows = size = 0
-    cut: list[int] = []
-    for whole in batches:
-        for at in range(0, whole.num_rows, STRINGS_AT_ONCE // 4):
-            batch = whole.slice(at, STRINGS_AT_ONCE // 4)
-            held.append(batch)
-            rows += batch.num_rows
-            size += batch["packed"].nbytes
-            if rows < STRINGS_AT_ONCE and size < BYTES_AT_ONCE:
-                continue
-            table = pa.Table.from_batches(held)
-            buckets = np.asarray(table["bucket"])
-            end = int(np.searchsorted(buckets, buckets[-1]))
-            if end and buckets[0] != buckets[-1]:
-                yield table.slice(0, end), cut
-                cut = [b for b in cut if b == buckets[-1]]
-                rest = table.slice(end)
-                held, rows, size = rest.to_batches(), rest.num_rows, rest["packed"].nbytes
-            else:
-                cut = [int(buckets[-1])]
-                yield table, cut
-                held, rows, size = [], 0, 0
-    if rows:
-        yield pa.Table.from_batches(held), cut
+    last, size, is_part = None, 0, False
+    for batch in batches:
+        for bucket, packed in zip(batch["bucket"].to_pylist(), batch["strings"], strict=True):
+            if bucket != last:
+                if held:
+                    yield pa.Table.from_batches(held), is_part
+                last, held, size, is_part = bucket, [], 0, False
+            elif size >= at_once:
+                is_part = True
+                yield pa.Table.from_batches(held), True
+                held, size = [], 0
+            strings = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            held.append(strings)
+            size += strings.nbytes
+    if held:
+        yield pa.Table.from_batches(held), is_part
 
 
 def _counted(table: pa.Table, open_: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
@@ -242,8 +276,8 @@ def _counted(table: pa.Table, open_: np.ndarray, window: int) -> Iterator[pa.Rec
     digests = table["digest"].to_pylist()
     edge = np.flatnonzero(np.r_[True, (twice[1:] != twice[:-1]) | (string[1:] != string[:-1])])
     last = np.r_[edge[1:], len(twice)] - 1
-    rows = [(digests[s], a, b + window - 1, None, None) for s, a, b in zip(
-        string[edge][twice[edge]].tolist(), first[edge][twice[edge]].tolist(), first[last][twice[edge]].tolist(), strict=True)]
+    rows = list({(digests[s], a, b + window - 1, None, None) for s, a, b in zip(
+        string[edge][twice[edge]].tolist(), first[edge][twice[edge]].tolist(), first[last][twice[edge]].tolist(), strict=True)})
     if open_.any():
         one = np.unique(kinds, return_index=True)[1]
         for i in one[open_[string[one]]].tolist():
@@ -274,18 +308,19 @@ def _kinds(ids: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return kinds
 
 
-def _remover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, page_idx, text, covered in zip(batch["doc_id"].to_pylist(), batch["page_idx"].to_pylist(),
-                                                   texts(batch["text"]), batch["covered"].to_pylist(), strict=True):
-            rows.append((doc_id, page_idx, *_rest(text, covered or [])))
-        yield _batch(rows, KEPT)
+def _remover(opened):
+    def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, page_idx, text, covered in zip(*(batch[c].to_pylist() for c in ("doc_id", "page_idx", "text", "covered")), strict=True):
+                rows.append((doc_id, page_idx, *_rest(text and opened(text), covered or [])))
+            yield _batch(rows, KEPT)
+    return remove
 
 
 def _rest(text: bytes | None, covered: list[dict]) -> tuple[int, int, bytes]:
     """Number of words, of removed words, and the words that stay."""
-    stretches = sorted((c["first"], c["last"]) for c in covered)
+    stretches = sorted((c["first"], c["first"] + c["more"]) for c in covered)
     kept, n_words, n_removed, at = [], 0, 0, 0
     for some in words(text):
         if not stretches:

@@ -56,18 +56,19 @@ def test_frequent_minimisers_and_cut_buckets(spark, monkeypatch):
     rows = [(i, 0, " ".join([f"w{pick.random()}" for _ in range(40)] + line + [f"v{i // 2}-{j}" for j in range(40)])) for i in range(300)]
     rows += [(500 + i, 0, rows[9][2]) for i in range(200)]
     pages = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    often = repeats._often(pages, 35)
-    assert often and all(len(set(own)) == len(own) > 1 for own in often.values())
+    often = repeats._often(pages, len(rows), 35)
+    assert often and all(parts > 1 for parts in often.values())
     expected = order(slow(rows, 35))
     assert order(map(tuple, repeats.without_repeats(pages).collect())) == expected
-    monkeypatch.setattr(repeats, "_often", lambda pages, window: {})
-    counted = pages.mapInArrow(repeats._packer(35, {}), repeats.PACKED).toArrow().sort_by("bucket")
-    monkeypatch.setattr(repeats, "STRINGS_AT_ONCE", 16)
-    parts = list(repeats._buckets(counted.to_batches()))
-    assert any(cut for _, cut in parts) and sum(t.num_rows for t, _ in parts) == counted.num_rows
-    tables = [b for t, cut in parts for b in repeats._counted(t, np.isin(np.asarray(t["bucket"]), cut), 35)]
-    parted = spark.createDataFrame([tuple(r.values()) for b in tables for r in b.to_pylist()], repeats.COUNTED)
-    assert order(map(tuple, repeats._without(pages, repeats._covered(parted, 35)).collect())) == expected
+    monkeypatch.setattr(repeats, "SENT_AT_ONCE", 5000)
+    monkeypatch.setattr(repeats, "COUNTED_AT_ONCE", 20_000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 200_000)
+    sent = pages.mapInArrow(repeats._packer(35, {}, 3, 5000), repeats.PACKED).toArrow().sort_by("bucket")
+    parts = list(repeats._buckets(sent.to_batches(), 20_000))
+    assert sum(is_part for _, is_part in parts) > 3 and len(sent) > 20
+    assert order(map(tuple, repeats.without_repeats(pages).collect())) == expected
+    monkeypatch.setattr(repeats, "_often", lambda pages, n_pages, window: {})
+    assert order(map(tuple, repeats.without_repeats(pages).collect())) == expected
 
 
 def test_windows_with_equal_hashes():
@@ -89,9 +90,9 @@ def test_long_text_in_stretches(spark, monkeypatch):
         starts = [first + i for _, first, packed in repeats._strings((text or "").encode(), 8, hashes)
                   for i in range(len(packed.split()) - 7)]
         assert starts == list(range(len(words) - 7))
-    covered = [{"first": 3, "last": 40}, {"first": 20, "last": 30}, {"first": 38, "last": 60}, {"first": 90, "last": 95}]
+    covered = [{"first": 3, "more": 37}, {"first": 20, "more": 10}, {"first": 38, "more": 22}, {"first": 90, "more": 5}]
     words = [b"w%d" % i for i in range(120)]
-    gone = {i for c in covered for i in range(c["first"], c["last"] + 1)}
+    gone = {i for c in covered for i in range(c["first"], c["first"] + c["more"] + 1)}
     assert repeats._rest(b" ".join(words), covered) == (120, len(gone), b" ".join(w for i, w in enumerate(words) if i not in gone))
 
 

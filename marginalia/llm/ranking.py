@@ -28,6 +28,8 @@ TOP = 10
 LENGTH_SHARE, SCALE, TF_FACTOR, M_FACTOR = 90, 1_000_000_000, 1000, 8
 # Terms and pages of a shard, and annotations and terms that are sent to all shards at once.
 SHARD_TERMS, SHARD_PAGES, ASKED_AT_ONCE, TERMS_AT_ONCE = 1 << 21, 1 << 16, 4096, 1 << 20
+# Terms of a stratum that are dealt to one task.
+PART_TERMS = 1 << 17
 # Strata visited in the first round of a query in a shard; each round takes four times as many.
 FIRST_ROUND = 2
 NO_DOC, NO_PAGE = -(1 << 63), -(1 << 31)
@@ -118,10 +120,10 @@ def _parts(asked: DataFrame) -> Iterator[list]:
 
 
 def _shards(pages: DataFrame, lengths: DataFrame, n_pages: int, n_terms: int) -> DataFrame:
-    """The index. A stratum's rows come together, in parts where it has more terms than a shard."""
+    """The index. A stratum's rows come together, in parts where it has many terms."""
     m = normaliser(F.col("n"), n_pages, n_terms).alias("m")
     large = (lengths.select(m, (F.col("n") * F.col("pages")).alias("terms")).groupBy("m").agg(F.sum("terms").alias("terms"))
-             .where(F.col("terms") > SHARD_TERMS).select("m", F.ceil(F.col("terms") / SHARD_TERMS).alias("parts")))
+             .where(F.col("terms") > PART_TERMS).select("m", F.ceil(F.col("terms") / PART_TERMS).alias("parts")))
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*PAGE, "text"), F.col("parts"))).otherwise(0)
     return (pages.mapInArrow(_with_length, "doc_id long, page_idx int, text string, n long").select("*", m)
             .join(stored(large), "m", "left").withColumn("part", part)

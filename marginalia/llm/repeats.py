@@ -18,6 +18,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,11 +34,11 @@ BITS_PER_TEXT, MOST_BITS = 16, 26
 # Words of a minimiser, and windows of a packed string at most.
 M, MOST_WINDOWS = 2, 512
 # Bytes of packed strings that a task sends at once and that it counts at once, and those of a bucket, about.
-SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 64 << 20, 96 << 20, 48 << 20
+SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 40 << 20, 24 << 20, 16 << 20
 # Pages looked at for frequent minimisers, about. Frequent is what has one in so many packed strings.
 SAMPLED_PAGES, FREQUENT = 20_000, 2000
 # Words whose hashes a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 PACKED = "bucket int, strings binary"
 STRINGS = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("copies", pa.int32()), ("dealt", pa.bool_()), ("packed", pa.binary())])
@@ -259,14 +260,12 @@ def _buckets(batches: Iterable[pa.RecordBatch], at_once: int) -> Iterator[tuple[
 
 
 def _counted(table: pa.Table, open_: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    strings = table["packed"].to_pylist()
-    all_words = b" ".join(strings).split(b" ")
-    places: dict[bytes, int] = {}
-    ids = np.fromiter((places.setdefault(w, len(places)) for w in all_words), np.int32, len(all_words))
-    sizes = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
+    split = pc.split_pattern(table["packed"].combine_chunks(), b" ")
+    words_, sizes = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    ids = words_.indices.to_numpy()
     starts = np.cumsum(sizes) - sizes
     n_windows = sizes - window + 1
-    string = np.repeat(np.arange(len(strings)), n_windows)
+    string = np.repeat(np.arange(len(sizes)), n_windows)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     at = starts[string] + offset
     kinds = _kinds(ids, at, window)
@@ -281,7 +280,7 @@ def _counted(table: pa.Table, open_: np.ndarray, window: int) -> Iterator[pa.Rec
     if open_.any():
         one = np.unique(kinds, return_index=True)[1]
         for i in one[open_[string[one]]].tolist():
-            passage = b" ".join(all_words[at[i]:at[i] + window])
+            passage = b" ".join(words_.dictionary.take(pa.array(ids[at[i]:at[i] + window])).to_pylist())
             rows.append((digests[string[i]], int(first[i]), None, sha256(passage).digest(), bool(twice[i])))
     for part in range(0, len(rows), 65536):
         yield _batch(rows[part:part + 65536], COUNTED)

@@ -53,7 +53,7 @@ def same(spark, pages, notes, **more):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(slow(pages, notes, **more), key=repr)
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHARD_PAGES": 7}, {"SHARD_TERMS": 300}, {"ASKED_AT_ONCE": 5, "FIRST_ROUND": 1}])
+@pytest.mark.parametrize("limits", [{}, {"SHARD_PAGES": 7}, {"SHARD_TERMS": 300}, {"PART_TERMS": 100}, {"ASKED_AT_ONCE": 5, "FIRST_ROUND": 1}])
 def test_against_all_scores(spark, monkeypatch, limits):
     """One shard of a stratum and many, several blocks of annotations."""
     for name, value in limits.items():

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.geometry import pixel_box
-from marginalia.functions.text import file_stem
 from marginalia.operators.blocks import ANNOTATION, PAGE, block_of, number_rows, page_block, spread_join
+from marginalia.operators.names import file_stems
 from marginalia.operators.stored import stored
 from marginalia.operators.strokes import cluster_bounds
 
@@ -37,9 +37,8 @@ def pixel_boxes(ann: DataFrame, clusters: DataFrame, geometry: DataFrame) -> Dat
 
 
 def image_dirs(names: DataFrame) -> DataFrame:
-    """The folder of each document's crops, next to its digest."""
-    folder = F.concat(file_stem(F.col("name")), F.lit(IMAGE_DIR_SUFFIX))
-    return names.select("doc_id", folder.alias("image_dir"))
+    """The folder of each document's crops, next to its digest; no two documents share one."""
+    return file_stems(names).select("doc_id", F.concat("stem", F.lit(IMAGE_DIR_SUFFIX)).alias("image_dir"))
 
 
 def number_crops(boxes: DataFrame, image_dir: str | DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Document outlines: from parent links to reading order, and one row per heading."""
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -9,15 +11,55 @@ from marginalia.operators.stored import stored
 
 # Sorts after every outline key: the place of annotations that belong to no heading.
 NO_HEADING = "~"
+# Outlines of at most so many entries are walked through each in one go.
+SMALL_OUTLINE = 4096
 
 
 def flatten_outline(entries: DataFrame) -> DataFrame:
     """Entries with depth and `outline_key`, a string that sorts them in preorder.
 
-    One join per level, from the roots down. Entries that hang from no root are dropped.
+    Outlines of few entries are walked through each by itself; others are joined level by level, from the roots
+    down. Entries that hang from no root are left out, see `loose_entries`.
     """
     entries = entries.select("doc_id", "id", "parent_id", "sibling_ord",
                              F.coalesce("title", F.lit("")).alias("title"), "page_idx")
+    sizes = entries.groupBy("doc_id").agg(F.count("*").alias("n"))
+    large = stored(sizes.where(F.col("n") > SMALL_OUTLINE).select("doc_id"))
+    listed = F.collect_list(F.struct("id", "parent_id", "sibling_ord", "title", "page_idx"))
+    small = stored(entries.join(large, "doc_id", "left_anti").groupBy("doc_id").agg(listed.alias("entries"))
+                   .mapInArrow(_walk, "doc_id long, entries array<struct<id long, title string, page_idx int, depth int, outline_key string>>")
+                   .select("doc_id", F.inline("entries")))
+    if large.isEmpty():
+        return small
+    return small.unionByName(_flatten_by_level(entries.join(large, "doc_id", "left_semi")))
+
+
+def loose_entries(entries: DataFrame, flat: DataFrame) -> DataFrame:
+    """Entries that hang from no root of their outline: below an entry that is not there, or in a circle."""
+    return entries.join(flat.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+
+
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("title", pa.string()), ("page_idx", pa.int32()), ("depth", pa.int32()),
+                               ("outline_key", pa.string())]))
+    for batch in batches:
+        outlines = []
+        for entries in batch["entries"].to_pylist():
+            below: dict[int | None, list[dict]] = {}
+            for entry in entries:
+                below.setdefault(entry["parent_id"], []).append(entry)
+            flat, waiting = [], [(entry, 0, "") for entry in below.pop(None, [])]
+            while waiting:
+                entry, depth, above = waiting.pop()
+                key = above + str(entry["sibling_ord"]).zfill(19)
+                flat.append({"id": entry["id"], "title": entry["title"], "page_idx": entry["page_idx"], "depth": depth, "outline_key": key})
+                if entry["id"] is not None:
+                    waiting.extend((child, depth + 1, key + "/") for child in below.get(entry["id"], ()))
+            outlines.append(flat)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(outlines, kind)], ["doc_id", "entries"])
+
+
+def _flatten_by_level(entries: DataFrame) -> DataFrame:
     level = entries.where(F.col("parent_id").isNull()).select(
         "doc_id", "id", "title", "page_idx", F.lit(0).alias("depth"),
         _ordinal(F.col("sibling_ord")).alias("outline_key"))

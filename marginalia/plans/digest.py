@@ -8,6 +8,7 @@ from marginalia.operators.blocks import ANNOTATION, PAGE, spread_join
 from marginalia.operators.stored import stored
 from marginalia.operators.crops import crops, image_dirs, with_images
 from marginalia.operators.filters import filter_annotations
+from marginalia.operators.names import file_stems, with_file_names
 from marginalia.operators.passages import alone, highlight_text, in_bold, located
 from marginalia.operators.render import annotation_block, document_head, section_head, summary_row
 from marginalia.operators.sections import headings_at, with_image_shown, with_sort_y
@@ -113,6 +114,10 @@ def _frame(pages: DataFrame, names: DataFrame) -> DataFrame:
     return blocks.withColumns(none).select(*BLOCK)
 
 
-def digest_files(texts: DataFrame, suffix: str = "-annotations.md") -> DataFrame:
-    """Add file_name, the document's name with its extension replaced."""
+def digest_files(texts: DataFrame, suffix: str = "-annotations.md", names: DataFrame | None = None) -> DataFrame:
+    """Add file_name, the document's name with its extension replaced; with the table of names, a different one for
+    each document.
+    """
+    if names is not None:
+        return with_file_names(texts, file_stems(names), suffix)
     return texts.withColumn("file_name", F.concat(file_stem(F.col("name")), F.lit(suffix)))

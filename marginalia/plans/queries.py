@@ -281,14 +281,14 @@ def _filtered_digest_with_images(c):
 
 @query("digest_files")
 def _digest_file_rows(c):
-    return digest_files(_document_digest(c))
+    return digest_files(_document_digest(c), names=c.names())
 
 
 @query("corpus_export")
 def _whole_document_export(c):
     ann = stored(c.annotations())
     texts = corpus_export(c.page_text(), ann, c.names(), c.highlight_raw(ann))
-    return digest_files(texts, "-export.md")
+    return digest_files(texts, "-export.md", c.names())
 
 
 @query("page_range_export")

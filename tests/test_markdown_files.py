@@ -1,0 +1,46 @@
+"""Markdown files on disk, one for each document."""
+
+import library as lib
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.operators.crops import image_dirs
+from marginalia.operators.names import file_stems
+from marginalia.operators.outline import flatten_outline
+from marginalia.plans.assembly import whole_documents
+from marginalia.plans.digest import digest, digest_files
+from marginalia.sources.markdown_files import write_markdown_files
+
+
+def stems(spark, *pairs):
+    return {r.doc_id: r.stem for r in file_stems(lib.names(spark, *pairs)).collect()}
+
+
+def test_no_two_documents_share_a_name(spark):
+    found = stems(spark, (3, "a/doc.pdf"), (1, "a/doc.epub"), (2, "a/doc"), (4, "a/doc~7.pdf"), (5, None), (6, None), (7, "b/doc.pdf"),
+                  (8, "../../etc/x.pdf"), (9, "/etc//x.md"), (10, "v1.2/plain"), (10, "v1.2/plain"))
+    assert found == {1: "a/doc", 2: "a/doc~2", 3: "a/doc~3", 4: "a/doc~7~4", 5: "~5", 6: "~6", 7: "b/doc", 8: "etc/x", 9: "etc/x~9", 10: "v1.2/plain"}
+    folders = [r.image_dir for r in image_dirs(lib.names(spark, (1, "a/doc.pdf"), (2, "a/doc.epub"))).orderBy("doc_id").collect()]
+    assert folders == ["a/doc-annotations-images", "a/doc~2-annotations-images"]
+
+
+def test_files_are_whole_documents(spark, tmp_path):
+    rows = [lib.note(p, f"nöte {p}", doc_id=d) for d in (1, 2, 3) for p in range(30 if d == 1 else 2)]
+    names = lib.names(spark, (1, "a/doc.pdf"), (2, "a/doc.epub"), (3, "b.pdf"))
+    pieces = digest(lib.annotations(spark, rows), flatten_outline(lib.outline(spark, [("Coast", 5)])), names)
+    write_markdown_files(digest_files(pieces, names=names), str(tmp_path / "out"))
+    expected = {r.doc_id: r.markdown for r in whole_documents(pieces).collect()}
+    found = {str(f.relative_to(tmp_path / "out")): f.read_text() for f in (tmp_path / "out").rglob("*") if f.is_file()}
+    assert found == {"a/doc-annotations.md": expected[1], "a/doc~2-annotations.md": expected[2], "b-annotations.md": expected[3]}
+    write_markdown_files(digest_files(pieces.where("doc_id = 3").withColumn("markdown", F.lit("new ")), names=names), f"file://{tmp_path}/out")
+    assert (tmp_path / "out" / "b-annotations.md").read_text() == "new " * pieces.where("doc_id = 3").count()
+
+
+def test_a_failed_task_leaves_nothing(spark, tmp_path):
+    good = spark.range(40).selectExpr("id as doc_id", "concat('d', id, '.md') as file_name", "0L as piece_no", "'text' as markdown")
+    bad = good.withColumn("markdown", F.when(F.col("doc_id") == 33, F.raise_error(F.lit("no text"))).otherwise(F.col("markdown")))
+    with pytest.raises(Exception, match="no text"):
+        write_markdown_files(bad, str(tmp_path / "out"))
+    assert not [f for f in tmp_path.rglob("*") if f.is_file()]
+    write_markdown_files(good.limit(0), str(tmp_path / "none"))
+    assert not [f for f in (tmp_path / "none").rglob("*") if f.is_file()]

@@ -6,9 +6,9 @@ import library as lib
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import blocks, sections
+from marginalia.operators import blocks, outline, sections
 from marginalia.operators.filters import filter_annotations, filter_colors, filter_report
-from marginalia.operators.outline import dedup_outline, flatten_outline
+from marginalia.operators.outline import dedup_outline, flatten_outline, loose_entries
 from marginalia.operators.stored import stored
 from marginalia.operators.summary import document_totals, page_counts, section_summary
 from marginalia.plans.digest import annotation_digest, digest_files
@@ -42,6 +42,19 @@ def test_outline_without_roots_is_empty(spark):
         {"doc_id": 1, "id": 1, "parent_id": 2, "sibling_ord": 0, "title": "x"},
         {"doc_id": 1, "id": 2, "parent_id": 1, "sibling_ord": 0, "title": "y"}])
     assert flatten_outline(loop).isEmpty()
+    assert loose_entries(loop, flatten_outline(loop)).count() == loop.count()
+
+
+def test_large_outlines_are_joined_level_by_level(spark, monkeypatch):
+    """Both ways give the same, on both sides of the limit; repeated ids have the same children."""
+    rng = random.Random(44)
+    entries = lib.outline(spark, random_outline(rng), doc_id=1).union(lib.outline(spark, random_outline(rng) * 6, doc_id=2))
+    entries = stored(entries.union(entries.where("doc_id = 2 and parent_id is null")))
+    walked = sorted(map(tuple, flatten_outline(entries).collect()), key=repr)
+    monkeypatch.setattr(outline, "SMALL_OUTLINE", min(r["count"] for r in entries.groupBy("doc_id").count().collect()))
+    assert sorted(map(tuple, flatten_outline(entries).collect()), key=repr) == walked
+    monkeypatch.setattr(outline, "SMALL_OUTLINE", 0)
+    assert sorted(map(tuple, flatten_outline(entries).collect()), key=repr) == walked
 
 
 @pytest.mark.parametrize("pages_per_block", [1024, 3])

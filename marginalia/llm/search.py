@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.batches import stretches, texts
-from marginalia.operators.stored import stored
+from marginalia.operators.stored import new_path, stored
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -56,23 +56,26 @@ def search_pages(page_text: DataFrame, queries: DataFrame, top: int = TOP) -> Da
     shards = stored(page_text.select(*PAGE, "text").mapInArrow(_index, SHARD))
     totals = shards.select("lengths").mapInArrow(_totals, "pages long, tokens long").agg(F.sum("pages"), F.sum("tokens")).first()
     n_pages, tokens = (x or 0 for x in totals)
-    asked = stored(queries.where("query_id is not null").select("query_id", "text").mapInArrow(_queries, "query_id long, terms binary, times binary"))
+    asked = stored(queries.where("query_id is not null").select("query_id", "text")
+                   .mapInArrow(_queries, "query_id long, terms binary, times binary").withColumn("number", F.monotonically_increasing_id()))
     parts = -(-asked.count() // QUERIES_AT_ONCE)
-    found = page_text.sparkSession.createDataFrame([], FOUND)
+    spark = page_text.sparkSession
+    found = new_path(spark)
+    spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in FOUND.split(", ")))).write.parquet(found)
     for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        rows = asked.where(F.pmod(F.xxhash64("number"), F.lit(parts)) == part).select("number", "terms", "times").collect()
         if rows:
-            found = found.unionByName(_search(shards, Queries.of(rows), n_pages, tokens / n_pages if n_pages else 0, top))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "page_idx")
-    return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-            .select("query_id", "rank", *PAGE, "score"))
+            _search(shards, Queries.of(rows), n_pages, tokens / n_pages if n_pages else 0, top, found)
+    best = Window.partitionBy("number").orderBy(F.desc("score"), "doc_id", "page_idx")
+    ranked = spark.read.schema(FOUND).parquet(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return ranked.join(asked.select("number", "query_id"), "number").select("query_id", "rank", *PAGE, "score")
 
 
-FOUND = "query_id long, doc_id long, page_idx int, score double"
+FOUND = "number long, doc_id long, page_idx int, score double"
 
 
-def _search(shards: DataFrame, queries: "Queries", n_pages: int, mean_length: float, top: int) -> DataFrame:
-    """Best pages of each task for a block of queries."""
+def _search(shards: DataFrame, queries: "Queries", n_pages: int, mean_length: float, top: int, found: str) -> None:
+    """Add the best pages of each task for a block of queries to the table of those found."""
     context = shards.sparkSession.sparkContext
     words = context.broadcast(queries.terms)
     holders = (shards.select("terms", "starts").mapInArrow(_holders(words), "term int, n long")
@@ -81,12 +84,16 @@ def _search(shards: DataFrame, queries: "Queries", n_pages: int, mean_length: fl
     n[[r.term for r in holders]] = [r.n for r in holders]
     queries.weigh(np.log(1 + (n_pages - n + 0.5) / (n + 0.5)))
     shards = shards.withColumn("ahead", F.pmod(F.xxhash64("lengths"), F.lit(AHEAD)) == 0)
-    early = stored(shards.where("ahead").drop("ahead").mapInArrow(_searcher(context.broadcast(queries), mean_length, top), FOUND))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    reached = early.withColumn("place", place).where(F.col("place") == top).select("query_id", "score").collect()
-    queries.start_from({r.query_id: r.score for r in reached})
-    rest = shards.where(~F.col("ahead")).drop("ahead").mapInArrow(_searcher(context.broadcast(queries), mean_length, top), FOUND)
-    return early.unionByName(rest)
+    first = context.broadcast(queries)
+    early = stored(shards.where("ahead").drop("ahead").mapInArrow(_searcher(first, mean_length, top), FOUND))
+    place = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score")))
+    reached = early.withColumn("place", place).where(F.col("place") == top).select("number", "score").collect()
+    queries.start_from({r.number: r.score for r in reached})
+    second = context.broadcast(queries)
+    rest = shards.where(~F.col("ahead")).drop("ahead").mapInArrow(_searcher(second, mean_length, top), FOUND)
+    early.unionByName(rest).write.mode("append").parquet(found)
+    for sent in (words, first, second):
+        sent.unpersist()
 
 
 def _searcher(sent, mean_length: float, top: int):
@@ -179,7 +186,7 @@ class Queries:
     def of(cls, rows: list) -> "Queries":
         own = [np.frombuffer(r.terms, np.uint64) for r in rows]
         terms = np.unique(np.concatenate(own))
-        return cls(np.array([r.query_id for r in rows], np.int64), terms, [np.searchsorted(terms, t) for t in own],
+        return cls(np.array([r.number for r in rows], np.int64), terms, [np.searchsorted(terms, t) for t in own],
                    [np.frombuffer(r.times, np.int32).astype(float) for r in rows])
 
     def weigh(self, idf: np.ndarray) -> None:
@@ -231,7 +238,7 @@ class Best:
         doc, page = self.pages[query, place].T
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[query]), pa.array(doc, mask=doc == NO_DOC), pa.array(page.astype(np.int32), mask=page == NO_PAGE),
-             pa.array(self.scores[query, place])], ["query_id", *PAGE, "score"])
+             pa.array(self.scores[query, place])], ["number", *PAGE, "score"])
 
 
 class Shard:

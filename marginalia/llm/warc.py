@@ -3,10 +3,11 @@
 import base64
 import gzip
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from typing import NamedTuple
-from urllib.parse import quote, unquote, urlsplit
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +30,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 # Characters of a URI that stay as they are; control characters, blanks and the percent sign do not.
 URI_SAFE = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "%")
 
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+AUTHORITY = re.compile(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?", re.S)
+
 INDEX = ("url_key string, written_at timestamp, doc_id long, file_name string, record_type string, refers_to long, "
          "payload_bytes long, payload_digest string, archive string, offset long, length long")
 COLUMNS = [c.split()[0] for c in INDEX.split(", ")]
@@ -93,15 +97,20 @@ def payload_digest(payload: bytes) -> str:
 
 
 def url_key(uri: str | None) -> str:
-    """Sortable key of a URI: host labels from the right, then path and query; without scheme, www and
-    fragment.
+    """Sortable key of a URI: host labels from the right, then path and query; without scheme, user, www, the usual
+    port and fragment. What has no host is its own key in lower case. Any text has one, however odd its host.
     """
-    parts = urlsplit((uri or "").strip()) if "[" not in (uri or "") and "]" not in (uri or "") else None
-    if not parts or not parts.netloc:
-        return (uri or "").strip().lower()
-    host = parts.netloc.rpartition("@")[2].lower().removesuffix(":80").removesuffix(":443").removeprefix("www.")
-    path = parts.path.rstrip("/") + ("?" + "&".join(sorted(parts.query.split("&"))) if parts.query else "")
-    return ",".join(reversed(host.split("."))) + ")" + path.lower()
+    own = (uri or "").strip()
+    scheme, mark, rest = own.partition("//")
+    if not mark or scheme and not SCHEME.fullmatch(scheme):
+        return own.lower()
+    host, path, query = AUTHORITY.fullmatch(rest).groups()
+    host = host.rpartition("@")[2].lower().removesuffix(":80").removesuffix(":443").removeprefix("www.")
+    if not host:
+        return own.lower()
+    query = "?" + "&".join(sorted(query.split("&"))) if query else ""
+    labels = [host] if host.startswith("[") else reversed(host.split("."))
+    return ",".join(labels) + ")" + (path.rstrip("/") + query).lower()
 
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

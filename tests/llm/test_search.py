@@ -49,6 +49,7 @@ def test_matches_brute_force(spark, monkeypatch, top):
     pages = [(i, i % 3, pick.choice(texts)) for i in range(500)]
     pages += [(900, 0, None), (901, 0, ""), (902, 0, "?!"), (None, None, texts[0]), (7, 1, texts[1]), (7, 1, texts[1]), (903, 0, "É w1 " * 3000)]
     queries = [(i, pick.choice(texts)) for i in range(40)] + [(100, None), (101, ""), (102, "nowhere"), (103, "W1 w1 É"), (None, "w1")]
+    queries += queries[:3] + [(5, texts[8])]
     table = spark.createDataFrame(pages, PAGES)
     asked = spark.createDataFrame(queries, QUERIES)
     for name in ("terms", "lengths", "score", "rank"):

@@ -80,3 +80,12 @@ def test_loser_tree(n):
 def test_url_key():
     assert warc.url_key("HTTP://user@WWW.Blog.Example.org:80/A/b/?y=2&x=1#top") == "org,example,blog)/a/b?x=1&y=2"
     assert [warc.url_key(u) for u in (None, "", "library/Doc.md")] == ["", "", "library/doc.md"]
+
+
+def test_url_key_of_odd_uris():
+    """Nothing raises, and what differs in scheme, user, port or fragment alone has one key."""
+    assert warc.url_key("http://a\u2100b.com/x") == "com,a\u2100b)/x"
+    assert warc.url_key("http://[::1]:8080/x?b&a") == "[::1]:8080)/x?a&b" and warc.url_key("http://[bad/x") == "[bad)/x"
+    assert warc.url_key("//h.example") == warc.url_key("https://u:p@h.example:443/#f") == "example,h)"
+    for odd in ("http://", "http:///p", "http://?q", "http://#", "a b//c", "http://x:port:80/y", "http://\x00\x7f/\n?\n#\n", "\u3002//", "h" * 9999 + "://x"):
+        assert isinstance(warc.url_key(odd), str)

@@ -34,14 +34,17 @@ BITS_PER_TEXT, MOST_BITS = 16, 26
 # Words of a minimiser, and windows of a packed string at most.
 M, MOST_WINDOWS = 2, 512
 # Bytes of packed strings that a task sends at once and that it counts at once, and those of a bucket, about.
-SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 40 << 20, 24 << 20, 16 << 20
+SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 32 << 20, 64 << 20, 40 << 20
+# Parts of a bucket, by minimiser, that are counted one after the other.
+PARTS = 8
 # Pages looked at for frequent minimisers, about. Frequent is what has one in so many packed strings.
 SAMPLED_PAGES, FREQUENT = 20_000, 2000
 # Words whose hashes a task remembers.
 REMEMBERED = 1 << 18
 
 PACKED = "bucket int, strings binary"
-STRINGS = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("copies", pa.int32()), ("dealt", pa.bool_()), ("packed", pa.binary())])
+STRINGS = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("copies", pa.int32()), ("dealt", pa.bool_()), ("part", pa.uint8()),
+                     ("packed", pa.binary())])
 COUNTED = "digest binary, first long, last long, window binary, twice boolean"
 SENT = "doc_id long, page_idx int, digest binary, text binary"
 KEPT = "doc_id long, page_idx int, n_words long, n_removed long, text string"
@@ -162,7 +165,8 @@ def _packer(window: int, often: dict[int, int], buckets: int, at_once: int):
                     bucket = minimiser
                     if parts:
                         bucket += (1 + (ids[text] + int.from_bytes(digest[:4])) % parts) << 32
-                    waiting[_mixed(bucket) % buckets].append((digest, first, n, parts is not None, packed))
+                    part, bucket = divmod(_mixed(bucket), buckets)
+                    waiting[bucket].append((digest, first, n, parts is not None, part % PARTS, packed))
                     size += len(packed)
                     if size >= at_once:
                         yield _sent(waiting)
@@ -234,7 +238,10 @@ def _counter(window: int, at_once: int):
     """Windows that occur twice in a bucket, and those that other parts of their minimiser or bucket may have too."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, is_part in _buckets(batches, at_once):
-            yield from _counted(table, is_part | np.asarray(table["dealt"]), window)
+            for part in range(PARTS):
+                some = table.filter(pc.equal(table["part"], part))
+                if some.num_rows:
+                    yield from _counted(some, is_part | np.asarray(some["dealt"]), window)
     return count
 
 

@@ -267,9 +267,9 @@ def _buckets(batches: Iterable[pa.RecordBatch], at_once: int) -> Iterator[tuple[
 
 
 def _counted(table: pa.Table, open_: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    split = pc.split_pattern(table["packed"].combine_chunks(), b" ")
-    words_, sizes = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy().astype(np.int64)
-    ids = words_.indices.to_numpy()
+    packed = table["packed"].combine_chunks()
+    split = pc.split_pattern(packed, b" ")
+    ids, sizes = split.flatten().dictionary_encode().indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     n_windows = sizes - window + 1
     string = np.repeat(np.arange(len(sizes)), n_windows)
@@ -286,13 +286,23 @@ def _counted(table: pa.Table, open_: np.ndarray, window: int) -> Iterator[pa.Rec
         string[edge][twice[edge]].tolist(), first[edge][twice[edge]].tolist(), first[last][twice[edge]].tolist(), strict=True)})
     if open_.any():
         one = np.unique(kinds, return_index=True)[1]
-        for i in one[open_[string[one]]].tolist():
-            passage = b" ".join(words_.dictionary.take(pa.array(ids[at[i]:at[i] + window])).to_pylist())
-            rows.append((digests[string[i]], int(first[i]), None, sha256(passage).digest(), bool(twice[i])))
+        one = one[open_[string[one]]]
+        text, begins, ends = _word_bytes(packed, pc.binary_length(split.flatten()).to_numpy(), starts, sizes)
+        for i, begin, end in zip(one.tolist(), begins[at[one]].tolist(), ends[at[one] + window - 1].tolist(), strict=True):
+            rows.append((digests[string[i]], int(first[i]), None, sha256(text[begin:end]).digest(), bool(twice[i])))
     for part in range(0, len(rows), 65536):
         yield _batch(rows[part:part + 65536], COUNTED)
 
 
+def _word_bytes(packed: pa.Array, lengths: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    """The bytes of all packed strings, and where each of their words begins and ends in them."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4).astype(np.int64)
+    behind = np.cumsum(lengths.astype(np.int64) + 1)
+    begins = behind - lengths - 1
+    begins = begins + np.repeat(offsets[:-1] - begins[starts], sizes)
+    return memoryview(packed.buffers()[2]), begins, begins + lengths
+
+
 def _kinds(ids: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """A number for each window; windows have the same if and only if their words are the same."""
     base = np.uint64(0xD1342543DE82EF95)

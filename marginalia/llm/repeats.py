@@ -34,13 +34,15 @@ BITS_PER_TEXT, MOST_BITS = 16, 26
 # Words of a minimiser, and windows of a packed string at most.
 M, MOST_WINDOWS = 2, 512
 # Bytes of packed strings that a task sends at once and that it counts at once, and those of a bucket, about.
-SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 32 << 20, 64 << 20, 40 << 20
+SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 20 << 20, 56 << 20, 40 << 20
 # Parts of a bucket, by minimiser, that are counted one after the other.
 PARTS = 8
 # Pages looked at for frequent minimisers, about. Frequent is what has one in so many packed strings.
 SAMPLED_PAGES, FREQUENT = 20_000, 2000
 # Words whose hashes a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+# Pages whose texts a task holds at once.
+PAGES_AT_ONCE = 1024
 
 PACKED = "bucket int, strings binary"
 STRINGS = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("copies", pa.int32()), ("dealt", pa.bool_()), ("part", pa.uint8()),
@@ -146,12 +148,12 @@ def _filter(places: DataFrame, bits: int):
 
 
 def _packer(window: int, often: dict[int, int], buckets: int, at_once: int):
-    """Packed strings of pages by bucket; equal texts of a batch travel once, with their number."""
+    """Packed strings of pages by bucket; equal texts side by side travel once, with their number."""
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         waiting: dict[int, list[tuple]] = defaultdict(list)
         size = 0
-        for batch in batches:
+        for batch in (whole.slice(at, PAGES_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, PAGES_AT_ONCE)):
             copies: dict[bytes, int] = defaultdict(int)
             ids: dict[bytes, int] = {}
             for doc_id, page_idx, text in zip(batch["doc_id"].to_pylist(), batch["page_idx"].to_pylist(), texts(batch["text"]), strict=True):

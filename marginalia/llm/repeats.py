@@ -34,7 +34,7 @@ BITS_PER_TEXT, MOST_BITS = 16, 26
 # Words of a minimiser, and windows of a packed string at most.
 M, MOST_WINDOWS = 2, 512
 # Bytes of packed strings that a task sends at once and that it counts at once, and those of a bucket, about.
-SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 20 << 20, 56 << 20, 40 << 20
+SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 16 << 20, 40 << 20, 28 << 20
 # Parts of a bucket, by minimiser, that are counted one after the other.
 PARTS = 8
 # Pages looked at for frequent minimisers, about. Frequent is what has one in so many packed strings.
@@ -42,7 +42,7 @@ SAMPLED_PAGES, FREQUENT = 20_000, 2000
 # Words whose hashes a task remembers.
 REMEMBERED = 1 << 17
 # Pages whose texts a task holds at once.
-PAGES_AT_ONCE = 1024
+PAGES_AT_ONCE = 512
 
 PACKED = "bucket int, strings binary"
 STRINGS = pa.schema([("digest", pa.binary()), ("first", pa.int64()), ("copies", pa.int32()), ("dealt", pa.bool_()), ("part", pa.uint8()),
@@ -70,7 +70,7 @@ def without_repeats(page_text: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = 1 + 3 * (size or 0) // BUCKET_BYTES
     often = _often(pages, n_pages, window)
     packed = pages.mapInArrow(_packer(window, often, buckets, SENT_AT_ONCE), PACKED)
-    counted = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counter(window, COUNTED_AT_ONCE), COUNTED)
+    counted = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_counter(window, COUNTED_AT_ONCE), COUNTED)
     return _without(pages, stored(_covered(counted, window)))
 
 

@@ -16,7 +16,6 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -34,9 +33,11 @@ BITS_PER_TEXT, MOST_BITS = 16, 26
 # Words of a minimiser, and windows of a packed string at most.
 M, MOST_WINDOWS = 2, 512
 # Bytes of packed strings that a task sends at once and that it counts at once, and those of a bucket, about.
-SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 16 << 20, 40 << 20, 28 << 20
+SENT_AT_ONCE, COUNTED_AT_ONCE, BUCKET_BYTES = 16 << 20, 32 << 20, 20 << 20
+# Partitions that buckets are spread over at most.
+MOST_PARTITIONS = 1 << 14
 # Parts of a bucket, by minimiser, that are counted one after the other.
-PARTS = 8
+PARTS = 16
 # Pages looked at for frequent minimisers, about. Frequent is what has one in so many packed strings.
 SAMPLED_PAGES, FREQUENT = 20_000, 2000
 # Words whose hashes a task remembers.
@@ -66,11 +67,11 @@ def without_repeats(page_text: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     pages = page_text.select("doc_id", "page_idx", "text")
     n_pages, size = pages.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    # A string has about twice as many words as are in none before it.
+    # Strings overlap in all but one word of a window: together they are about three times as long as the texts.
     buckets = 1 + 3 * (size or 0) // BUCKET_BYTES
     often = _often(pages, n_pages, window)
     packed = pages.mapInArrow(_packer(window, often, buckets, SENT_AT_ONCE), PACKED)
-    counted = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_counter(window, COUNTED_AT_ONCE), COUNTED)
+    counted = packed.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_counter(window, COUNTED_AT_ONCE), COUNTED)
     return _without(pages, stored(_covered(counted, window)))
 
 
@@ -141,10 +142,10 @@ def _filter(places: DataFrame, bits: int):
         start = (row.part - 1) * len(row.bits)
         packed[start:start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
 
-    def test(place: pd.Series) -> pd.Series:
+    def test(place: pa.Array) -> pa.Array:
         at = place.to_numpy()
-        return pd.Series((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-    return F.pandas_udf(test, "boolean")
+        return pa.array((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+    return F.arrow_udf(test, "boolean")
 
 
 def _packer(window: int, often: dict[int, int], buckets: int, at_once: int):
